@@ -1,0 +1,15 @@
+"""docweave: JSON-document dataflow operators on Spark.
+
+Operators are functions from DataFrame to DataFrame built from Catalyst
+expressions; they run the same way on batch and streaming DataFrames.
+"""
+
+from pyspark import cloudpickle as _cloudpickle
+
+import docweave as _self
+
+# Functions of this package that run inside Python workers (user code,
+# enrichment, pushes) are shipped by value, so executors need no install.
+_cloudpickle.register_pickle_by_value(_self)
+
+__version__ = "0.1.0"

@@ -241,21 +241,22 @@ def _v_flatten(doc: Column, sep: str, max_depth: int) -> Column:
     entry = "struct<key:string,value:variant>"
 
     def expand(e):
+        # an object expands to its prefixed entries ({} to none); anything else stays
         child = F.map_entries(_vmap(e["value"]))
-        return F.when(
-            P.v_is_object(e["value"]),
-            F.transform(child, lambda c: F.struct(
-                F.concat(e["key"], F.lit(sep), c["key"]).alias("key"),
-                c["value"].alias("value")).cast(entry)),
-        ).otherwise(F.array(e.cast(entry)))
+        nested = F.transform(child, lambda c: F.struct(
+            F.concat(e["key"], F.lit(sep), c["key"]).alias("key"),
+            c["value"].alias("value")).cast(entry))
+        return F.coalesce(nested, F.array(e.cast(entry)))
 
     arr = F.map_entries(_vmap(doc)).cast(f"array<{entry}>")
     for _ in range(max_depth):
         arr = F.flatten(F.transform(arr, expand))
-    left = F.exists(arr, lambda e: P.v_is_object(e["value"]))
-    # last value wins for keys that collide after flattening
-    dedup = F.filter(arr, lambda e, i: ~F.exists(F.slice(arr, i + 2, F.size(arr) + 1),
-                                                lambda x: x["key"] == e["key"]))
+    left = F.exists(arr, lambda e: _vmap(e["value"]).isNotNull())
+    # last value wins for keys that collide after flattening (rare: checked first)
+    keys = F.transform(arr, lambda e: e["key"])
+    dedup = F.when(F.size(F.array_distinct(keys)) == F.size(arr), arr).otherwise(
+        F.filter(arr, lambda e, i: ~F.exists(F.slice(arr, i + 2, F.size(arr) + 1),
+                                             lambda x: x["key"] == e["key"])))
     flat = F.to_variant_object(F.map_from_entries(dedup))
     return (F.when(_vmap(doc).isNull(), doc)
             .when(left, F.raise_error(F.lit(f"document deeper than max_depth={max_depth}")))
@@ -304,14 +305,16 @@ def _v_trim(v: Column, prefix: Column, fields: Column, allows: bool, depth: int,
         if depth + 1 >= max_depth:
             return x
         sub = _v_trim(x, F.concat(prefix, k, F.lit(".")), fields, allows, depth + 1, max_depth)
-        return F.when(P.v_is_object(x), sub).otherwise(x)
+        return F.coalesce(sub, x)  # sub is NULL when x is not an object
 
     def keep(k, x):
         listed = F.array_contains(fields, F.concat(prefix, k))
         leaf_keep = listed if allows else ~listed
-        return F.when(P.v_is_object(x), P.vtype(x) != F.lit("OBJECT<>")).otherwise(leaf_keep)
+        obj = _vmap(x)
+        return F.when(obj.isNotNull(), F.size(obj) > 0).otherwise(leaf_keep)
 
-    return F.to_variant_object(F.map_filter(F.transform_values(m, edit), keep))
+    return F.when(m.isNotNull(),
+                  F.to_variant_object(F.map_filter(F.transform_values(m, edit), keep)))
 
 
 def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",

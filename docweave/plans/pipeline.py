@@ -1,0 +1,146 @@
+"""Declarative wiring of sources, transforms and sinks.
+
+A pipeline is a small DAG of named nodes.  Sources make DataFrames, transforms
+map DataFrames (a split returns ``Split`` and downstream edges pick ``yes`` or
+``no``), sinks consume them.  Building the pipeline only composes DataFrame
+plans -- Catalyst sees the whole chain and fuses it into as few stages as the
+edges allow; an edge with a grouping adds exactly one exchange.
+
+Rules checked when built: at least one source and one sink, every transform
+and sink has at least one input, inputs exist, no cycles, a stream name is
+only used on a split, and the grouping is known.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docweave.operators.routing import GROUPINGS, merge, partition
+from docweave.operators.split import Split
+
+
+@dataclass(frozen=True)
+class Edge:
+    """Input of a node: upstream ``node``, optional ``stream`` (yes/no), grouping."""
+
+    node: str
+    stream: str | None = None
+    grouping: str = "none"
+    key: str | Sequence[str] | None = None
+    n: int | None = None
+
+
+@dataclass
+class _Node:
+    name: str
+    kind: str  # source | transform | sink
+    fn: Callable
+    inputs: list[Edge] = field(default_factory=list)
+    parallelism: int | None = None
+
+
+def _edge(e) -> Edge:
+    if isinstance(e, Edge):
+        return e
+    if isinstance(e, str):
+        return Edge(e)
+    return Edge(*e)
+
+
+class Pipeline:
+    def __init__(self) -> None:
+        self._nodes: dict[str, _Node] = {}
+
+    def _add(self, node: _Node) -> Pipeline:
+        if node.name in self._nodes:
+            raise ValueError(f"duplicate node name {node.name!r}")
+        self._nodes[node.name] = node
+        return self
+
+    def source(self, name: str, fn: Callable[[SparkSession], DataFrame],
+               parallelism: int | None = None) -> Pipeline:
+        return self._add(_Node(name, "source", fn, [], parallelism))
+
+    def transform(self, name: str, fn: Callable[[DataFrame], DataFrame | Split],
+                  *inputs, parallelism: int | None = None) -> Pipeline:
+        return self._add(_Node(name, "transform", fn, [_edge(e) for e in inputs], parallelism))
+
+    def sink(self, name: str, fn: Callable[[DataFrame], object], *inputs) -> Pipeline:
+        return self._add(_Node(name, "sink", fn, [_edge(e) for e in inputs]))
+
+    # -- checks ------------------------------------------------------------------
+    def validate(self) -> list[str]:
+        kinds = [n.kind for n in self._nodes.values()]
+        if "source" not in kinds:
+            raise ValueError("a pipeline needs at least one source")
+        if "sink" not in kinds:
+            raise ValueError("a pipeline needs at least one sink")
+        for n in self._nodes.values():
+            if n.kind != "source" and not n.inputs:
+                raise ValueError(f"{n.kind} {n.name!r} has no input")
+            for e in n.inputs:
+                if e.node not in self._nodes:
+                    raise ValueError(f"{n.name!r} reads unknown node {e.node!r}")
+                if self._nodes[e.node].kind == "sink":
+                    raise ValueError(f"{n.name!r} reads from sink {e.node!r}")
+                if (e.grouping or "").strip().lower() not in GROUPINGS:
+                    raise ValueError(f"unknown grouping {e.grouping!r} on {n.name!r}")
+                if e.stream not in (None, "yes", "no"):
+                    raise ValueError(f"unknown stream {e.stream!r} on {n.name!r}")
+        return self._order()
+
+    def _order(self) -> list[str]:
+        order, state = [], {}
+
+        def visit(name: str) -> None:
+            if state.get(name) == 1:
+                raise ValueError(f"cycle through {name!r}")
+            if state.get(name) == 2:
+                return
+            state[name] = 1
+            for e in self._nodes[name].inputs:
+                visit(e.node)
+            state[name] = 2
+            order.append(name)
+
+        for name in self._nodes:
+            visit(name)
+        return order
+
+    # -- build / run --------------------------------------------------------------
+    def _input(self, built: dict, e: Edge) -> DataFrame:
+        out = built[e.node]
+        if isinstance(out, Split):
+            if e.stream is None:
+                raise ValueError(f"{e.node!r} is a split: pick stream 'yes' or 'no'")
+            out = out[e.stream]
+        elif e.stream is not None:
+            raise ValueError(f"{e.node!r} has no stream {e.stream!r}")
+        return partition(out, e.grouping, e.n, e.key)
+
+    def build(self, spark: SparkSession) -> dict[str, DataFrame | Split]:
+        """Compose every node's DataFrame (sinks are not run)."""
+        built: dict[str, DataFrame | Split] = {}
+        for name in self.validate():
+            node = self._nodes[name]
+            if node.kind == "source":
+                out = node.fn(spark)
+            else:
+                ins = [self._input(built, e) for e in node.inputs]
+                df = ins[0] if len(ins) == 1 else merge(*ins)
+                if node.kind == "sink":
+                    built[name] = df
+                    continue
+                out = node.fn(df)
+            if node.parallelism and isinstance(out, DataFrame):
+                out = out.repartition(node.parallelism)
+            built[name] = out
+        return built
+
+    def run(self, spark: SparkSession) -> dict[str, object]:
+        """Build, then hand each sink its input; returns what each sink returned."""
+        built = self.build(spark)
+        return {n.name: n.fn(built[n.name]) for n in self._nodes.values() if n.kind == "sink"}

@@ -48,6 +48,7 @@ def get_session(master: str | None = None, app: str = "docweave",
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory",
                                  os.environ.get("DOCWEAVE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
