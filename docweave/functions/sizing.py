@@ -27,3 +27,22 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     if max_rows <= 0:
         return df
     return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a narrow input over the cluster before CPU-heavy per-row work.
+
+    A small table stored as one file with one row group is scanned by a
+    single task; per-row work on it (VARIANT edits, XML parsing, regexes,
+    Python user code) would then use one core.  When the input has fewer
+    partitions than ``min_partitions`` (default: the session's default
+    parallelism) it is repartitioned round-robin; an input that is already
+    split -- any large table -- is returned unchanged, so no shuffle is added
+    at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave it as it is
+        return df
+    return df.repartition(target) if current < target else df

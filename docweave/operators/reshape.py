@@ -193,8 +193,11 @@ def rename_field(df: DataFrame, find: str, replace: str, doc: str | None = None)
         return df
     if doc is not None:
         value = F.coalesce(P.resolve_variant(doc, find).column, _json_null())
-        moved = _v_set(_v_remove(F.col(doc), P.split_path(find)), P.split_path(replace), value)
-        return df.withColumn(doc, moved)
+        tmp = "__moved_value"
+        staged = df.withColumn(tmp, value) \
+            .withColumn(doc, _v_remove(F.col(doc), P.split_path(find)))
+        return staged.withColumn(doc, _v_set(F.col(doc), P.split_path(replace), F.col(tmp))) \
+            .drop(tmp)
     ref = P.resolve_typed(df.schema, find)
     fparts, rparts = P.split_path(find), P.split_path(replace)
     if len(fparts) == 1 and len(rparts) == 1:
@@ -237,28 +240,35 @@ def flatten_columns(schema: T.StructType, sep: str = "_") -> list[Column]:
     return [c.alias(name) for name, c in out.items()]
 
 
-def _v_flatten(doc: Column, sep: str, max_depth: int) -> Column:
-    entry = "struct<key:string,value:variant>"
+_ENTRY = "struct<key:string,value:variant>"
 
+
+def _v_flat_level(arr: Column, sep: str) -> Column:
+    """Replace every object entry by its entries, keys prefixed (``{}`` vanishes)."""
     def expand(e):
-        # an object expands to its prefixed entries ({} to none); anything else stays
         child = F.map_entries(_vmap(e["value"]))
         nested = F.transform(child, lambda c: F.struct(
             F.concat(e["key"], F.lit(sep), c["key"]).alias("key"),
-            c["value"].alias("value")).cast(entry))
-        return F.coalesce(nested, F.array(e.cast(entry)))
+            c["value"].alias("value")).cast(_ENTRY))
+        return F.when(P.v_is_object(e["value"]), nested).otherwise(F.array(e.cast(_ENTRY)))
+
+    return F.flatten(F.transform(arr, expand))
+
+
+def _has_object(arr: Column) -> Column:
+    return F.exists(arr, lambda e: P.v_is_object(e["value"]))
+
 
-    arr = F.map_entries(_vmap(doc)).cast(f"array<{entry}>")
-    for _ in range(max_depth):
-        arr = F.flatten(F.transform(arr, expand))
-    left = F.exists(arr, lambda e: _vmap(e["value"]).isNotNull())
+def _v_from_entries(doc: Column, arr: Column, max_depth: int) -> Column:
+    """Rebuild the flat object; ``arr`` must be a column (it is read several times)."""
+    left = _has_object(arr)
     # last value wins for keys that collide after flattening (rare: checked first)
     keys = F.transform(arr, lambda e: e["key"])
     dedup = F.when(F.size(F.array_distinct(keys)) == F.size(arr), arr).otherwise(
         F.filter(arr, lambda e, i: ~F.exists(F.slice(arr, i + 2, F.size(arr) + 1),
                                              lambda x: x["key"] == e["key"])))
     flat = F.to_variant_object(F.map_from_entries(dedup))
-    return (F.when(_vmap(doc).isNull(), doc)
+    return (F.when(arr.isNull(), doc)
             .when(left, F.raise_error(F.lit(f"document deeper than max_depth={max_depth}")))
             .otherwise(flat))
 
@@ -272,7 +282,16 @@ def flatten_doc(df: DataFrame, sep: str = "_", doc: str | None = None,
     """
     _check_sep(sep)
     if doc is not None:
-        return df.withColumn(doc, _v_flatten(F.col(doc), sep, max_depth))
+        tmp = "__flat_entries"
+        # one projection per level, each reading the previous level's column: a
+        # level past a document's depth costs one cheap type probe per entry
+        staged = df.withColumn(tmp, F.map_entries(_vmap(F.col(doc))).cast(f"array<{_ENTRY}>"))
+        for _ in range(max_depth):
+            staged = staged.withColumn(tmp, F.when(_has_object(F.col(tmp)),
+                                                   _v_flat_level(F.col(tmp), sep))
+                                       .otherwise(F.col(tmp)))
+        return staged.withColumn(doc, _v_from_entries(F.col(doc), F.col(tmp), max_depth)) \
+            .drop(tmp)
     keep = list(keep)
     body = T.StructType([f for f in df.schema.fields if f.name not in keep])
     return df.select(*[F.col(_q(k)) for k in keep], *flatten_columns(body, sep))
@@ -298,23 +317,26 @@ def _typed_rebuild(col: Column | None, st: T.StructType, prefix: list[str],
 
 def _v_trim(v: Column, prefix: Column, fields: Column, allows: bool, depth: int,
             max_depth: int) -> Column:
-    """Trim one object level (a ``map<string,variant>``), recursing into objects."""
+    """Trim one object level, recursing into objects; emptied objects are removed."""
     m = _vmap(v)
+    last = depth + 1 >= max_depth
 
     def edit(k, x):
-        if depth + 1 >= max_depth:
-            return x
+        if last:
+            # allows: an object here holds no listed leaf; delete: left as it is
+            return F.when(P.v_is_object(x), F.lit(None)).otherwise(x) if allows else x
         sub = _v_trim(x, F.concat(prefix, k, F.lit(".")), fields, allows, depth + 1, max_depth)
-        return F.coalesce(sub, x)  # sub is NULL when x is not an object
+        return F.when(P.v_is_object(x), sub).otherwise(x)
 
     def keep(k, x):
         listed = F.array_contains(fields, F.concat(prefix, k))
         leaf_keep = listed if allows else ~listed
-        obj = _vmap(x)
-        return F.when(obj.isNotNull(), F.size(obj) > 0).otherwise(leaf_keep)
+        # x is SQL NULL only for an object dropped at the last level
+        return (F.when(x.isNull(), F.lit(False))
+                .when(P.v_is_object(x), P.vtype(x) != F.lit("OBJECT<>"))
+                .otherwise(leaf_keep))
 
-    return F.when(m.isNotNull(),
-                  F.to_variant_object(F.map_filter(F.transform_values(m, edit), keep)))
+    return F.to_variant_object(F.map_filter(F.transform_values(m, edit), keep))
 
 
 def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
@@ -329,9 +351,11 @@ def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
     allows = not (action is not None and str(action).strip().lower() == "delete")
     if doc is not None:
         arr = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+        if allows:  # nothing deeper than the longest listed path can be kept
+            max_depth = min(max_depth, max([len(P.split_path(n)) for n in names] or [1]))
         trimmed = _v_trim(F.col(doc), F.lit(""), arr, allows, 0, max_depth)
-        return df.withColumn(doc, F.when(_vmap(F.col(doc)).isNull(), F.col(doc))
-                             .otherwise(trimmed))
+        return df.withColumn(doc, F.when(P.v_is_object(F.col(doc)), trimmed)
+                             .otherwise(F.col(doc)))
     listed = set(names)
     rule = (lambda p: p in listed) if allows else (lambda p: p not in listed)
     keep = list(keep)

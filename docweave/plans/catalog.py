@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.paths import get_field, has_field
 from docweave.functions.predicates import Cond
+from docweave.functions.sizing import spread
 from docweave.operators.enrich import (enrich, enrich_from_table, short_code,
                                        short_code_collisions)
 from docweave.operators.filter import filter_docs
@@ -48,8 +49,10 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A test table; ``heavy=True`` spreads a narrow scan before CPU-heavy per-row work."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
 EV_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -110,7 +113,7 @@ def q_filter_nested_path(spark, sf):
 
 def _event_docs(spark, sf) -> DataFrame:
     """Events as VARIANT documents: ``{"event_id", "user_id", "event_type", "value", "props": {...}}``."""
-    ev = table(spark, sf, "events")
+    ev = table(spark, sf, "events", heavy=True)
     body = F.struct("event_id", "user_id", "event_type", "value",
                     F.try_parse_json("props").alias("props"))
     return ev.select(F.lit("event").alias("entity"), F.to_variant_object(body).alias("doc"))
@@ -223,7 +226,7 @@ SELECT doc_id, CASE WHEN regexp_matches(text, 'MIT License\..+token', 's')
                     THEN 'yes' ELSE 'no' END AS branch
 FROM documents""")
 def q_split_regex(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
     return branch(docs, "text", "RegexExpression", r"MIT License\..+token").select("doc_id", "branch")
 
 
@@ -240,7 +243,7 @@ def q_split_regex_number(spark, sf):
 SELECT doc_id, lang, CASE WHEN contains(text, 'License') THEN 'yes' ELSE 'no' END AS branch
 FROM documents""")
 def q_split_contains(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "lang", "text")
     return branch(docs, "text", "containsText", "License").select("doc_id", "lang", "branch")
 
 
@@ -347,7 +350,7 @@ def q_rename_variant(spark, sf):
 
 def _nested_orders(spark, sf) -> DataFrame:
     """Orders as nested documents ``{o: {key, total, cust: {id}, state: {status, priority}}}``."""
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders", heavy=True)
     return o.select(F.struct(
         F.col("o_orderkey").alias("key"),
         F.col("o_totalprice").alias("total"),
@@ -484,7 +487,7 @@ FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, leng
                             WHEN event_type = 'signup' THEN '[' || props || ']'
                             ELSE props END AS m FROM events)""")
 def q_malformed_split(spark, sf):
-    ev = table(spark, sf, "events")
+    ev = table(spark, sf, "events", heavy=True)
     # error events carry a truncated payload, signups a JSON array instead of an object
     env = ev.select("event_id", F.lit("event").alias("entity"),
                     F.when(F.col("event_type") == "error",
@@ -500,7 +503,7 @@ def q_malformed_split(spark, sf):
 @query("parse_documents_variant", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def q_parse_documents_variant(spark, sf):
-    ev = table(spark, sf, "events")
+    ev = table(spark, sf, "events", heavy=True)
     env = to_envelope(ev.select("event_id", "props"), entity="event")
     docs = parse_documents(env)
     inner = docs.withColumn("props", F.try_parse_json(get_field(docs, "props", "doc", "string")))
@@ -568,7 +571,7 @@ FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS parts,
              generate_series(1, len(string_split(text, chr(10)))) AS ii FROM documents),
      unnest(ii) AS t(i)""")
 def q_parse_feed(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", heavy=True)
     # one feed snapshot per document: every line of the text is an <item>
     items = F.transform(F.split("text", "\n", -1), lambda line, i: F.concat(
         F.lit("<item><guid>"), i.cast("string"), F.lit("</guid><category>"), F.col("lang"),
@@ -585,7 +588,7 @@ def q_parse_feed(spark, sf):
 SELECT doc_id, lang FROM documents
 WHERE regexp_matches(lower(text), '(^|\W)(license|licensed|token)(\W|$)')""")
 def q_track_keywords(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "lang", "text")
     return track_keywords(docs, "text", [" License", "licensed ", "TOKEN"]).select("doc_id", "lang")
 
 
@@ -774,7 +777,7 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS parts,
              generate_series(1, len(string_split(text, chr(10)))) AS ii FROM documents),
      unnest(ii) AS t(i)""")
 def q_flat_map_user(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
     return flat_map_docs(docs, _lines, "doc_id bigint, line_no bigint, line string")
 
 

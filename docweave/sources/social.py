@@ -38,7 +38,15 @@ def keyword_pattern(keywords: Sequence[str]) -> str:
 
 
 def keyword_match(text: Column, keywords: Sequence[str]) -> Column:
-    return F.lower(text).rlike(keyword_pattern(keywords))
+    """Whole-word match of any keyword.  A substring test runs first (cheap,
+    code-generated) so the regex only runs on texts that hold a keyword."""
+    lowered = F.lower(text)
+    words = [k.strip().lower() for k in keywords if k and k.strip()]
+    pattern = keyword_pattern(keywords)
+    maybe = F.lit(False)
+    for w in words:
+        maybe = maybe | F.contains(lowered, F.lit(w))
+    return maybe & lowered.rlike(pattern)
 
 
 def track_keywords(df: DataFrame, field: str, keywords: Sequence[str],
