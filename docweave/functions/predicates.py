@@ -69,10 +69,12 @@ def java_double(text: str) -> float:
         if body.lstrip("+-") == "Infinity":
             return -math.inf if body.startswith("-") else math.inf
         return float(body)
-    try:
-        return float.fromhex(s.rstrip("fFdD"))
-    except ValueError:
-        raise ValueError(f"not a number: {text!r}") from None
+    if re.match(r"^[+-]?0[xX]", s):  # hexadecimal float literal, e.g. 0x1p3
+        try:
+            return float.fromhex(s.rstrip("fFdD"))
+        except ValueError:
+            pass
+    raise ValueError(f"not a number: {text!r}")
 
 
 def total(positive: Column) -> Column:

@@ -60,8 +60,9 @@ def flat_map_docs(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str
                             raise
                         if on_error == "quarantine":
                             rows.append({ERROR_COL: f"{type(exc).__name__}: {exc}"})
-                yield pd.DataFrame.from_records(rows, columns=names) if rows else \
-                    pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+                # one object column per field: all-None columns convert cleanly
+                yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object)
+                                    for n in names})
         finally:
             if cleanup is not None:
                 cleanup(state)

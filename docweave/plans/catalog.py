@@ -28,10 +28,12 @@ from docweave.operators.split import branch, branch_exists, branch_fields, split
 from docweave.operators.user import flat_map_docs
 from docweave.plans.pipeline import Pipeline
 from docweave.session import scratch_path
+from docweave.streaming.runner import new_items_stream, run_stream, stream_table
 from docweave.sinks.payloads import (bars_payload, boxes_payload, map_payload,
                                      message_payload, timeline_payload)
 from docweave.sources.envelope import (decode_envelope, from_envelope, parse_documents,
                                        split_malformed, to_envelope)
+from docweave.sources.custom import parquet_row_groups, read_row_group, source_from_function
 from docweave.sources.feeds import new_items, parse_feed, snapshot_diff
 from docweave.sources.social import sample_stream, track_keywords
 
@@ -800,3 +802,83 @@ def q_pipeline_example(spark, sf):
     p.run(spark)
     return from_envelope(spark.read.parquet(out),
                          "event_id bigint, user_id bigint, event_type string, amount double")
+
+
+# --- user source (S9, S10) -------------------------------------------------------------
+
+@query("user_source", """
+SELECT doc_id, lang, n_chars FROM documents""")
+def q_user_source(spark, sf):
+    path = f"{sf.rstrip('/')}/documents.parquet"
+    source_from_function(spark, "docweave_parquet_groups", "doc_id bigint, lang string, n_chars bigint",
+                         lambda opts: parquet_row_groups(opts["path"]),
+                         read_row_group(["doc_id", "lang", "n_chars"]))
+    return spark.read.format("docweave_parquet_groups").option("path", path).load()
+
+
+# --- streaming (D4, R8, S5) ------------------------------------------------------------------
+
+def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there (availableNow) into parquet; read the result."""
+    out = scratch_path(spark, name)
+    q = (stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/_ckpt")
+         .trigger(availableNow=True).start(f"{out}/data"))
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/data")
+
+
+@query("stream_filter", """
+SELECT * FROM events WHERE event_type = 'purchase' AND value > 100""")
+def q_stream_filter(spark, sf):
+    ev = stream_table(spark, sf, "events")
+    return _drain(spark, filter_docs(ev, [Cond("event_type", "==", "purchase"),
+                                          Cond("value", ">", "100")]), "stream-filter")
+
+
+@query("stream_split", """
+SELECT event_id, CASE WHEN value > 250 THEN 'yes' ELSE 'no' END AS branch FROM events""")
+def q_stream_split(spark, sf):
+    ev = stream_table(spark, sf, "events").select("event_id", "value")
+    return _drain(spark, branch(ev, "value", ">", "250").select("event_id", "branch"),
+                  "stream-split")
+
+
+@query("stream_new_items", """
+WITH d AS (SELECT event_id, user_id, event_type,
+                  CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) AS poll_seq
+           FROM events)
+SELECT event_id, user_id, event_type, poll_seq FROM d
+WHERE NOT EXISTS (SELECT 1 FROM d d2 WHERE d2.poll_seq = d.poll_seq - 1
+                  AND d2.user_id = d.user_id AND d2.event_type = d.event_type)""")
+def q_stream_new_items(spark, sf):
+    # the poller numbers its polls: here one poll per day since 2024-01-01
+    ev = stream_table(spark, sf, "events").select(
+        "event_id", "user_id", "event_type",
+        (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).alias("poll"))
+    out = scratch_path(spark, "stream-new-items")
+
+    def write(batch, batch_id):
+        batch.drop("poll").write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    q = new_items_stream(ev, ["user_id", "event_type"], "poll", write, f"{out}/_ckpt",
+                         state_path=f"{out}/_state", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("event_id", "user_id", "event_type",
+                                                    "poll_seq")
+
+
+@query("stream_tick", """
+SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n_rows FROM events""")
+def q_stream_tick(spark, sf):
+    ev = stream_table(spark, sf, "events")
+    out = scratch_path(spark, "stream-tick")
+
+    def count(batch, batch_id):
+        batch.agg(F.count("*").alias("n_rows")).select(F.lit(batch_id).cast("bigint")
+                                                       .alias("batch_id"), "n_rows") \
+            .write.mode("overwrite").parquet(f"{out}/ticks/b={batch_id}")
+
+    ticks = []
+    q = run_stream(ev, count, f"{out}/_ckpt", available_now=True, on_tick=ticks.append)
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/ticks").select("batch_id", "n_rows")
