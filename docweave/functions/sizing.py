@@ -23,12 +23,36 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> int | None:
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` holds at most ``max_rows`` rows, else ``df``."""
+    """``broadcast(df)`` when ``df`` holds at most ``max_rows`` rows, else ``df``.
+
+    For a side read from storage (a mapping table): the bounded count reads
+    only that side.  A side *derived* from a large input goes through
+    ``broadcast_derived`` instead, so the derivation is not run twice.
+    """
     if max_rows <= 0:
         return df
     return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
 
 
+def broadcast_derived(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      reliable: bool = False) -> DataFrame:
+    """Materialise a derived side once, then broadcast it if it is small.
+
+    ``reliable=True`` writes a checkpoint to the shared checkpoint folder
+    (lineage cut: lost executors do not repeat the work -- use it when the
+    derivation has side effects such as remote lookups); otherwise the side
+    is persisted (memory and disk) and recomputed from lineage if lost.
+    """
+    if reliable:
+        from docweave.session import checkpoint_root
+        checkpoint_root(df.sparkSession)
+        side = df.checkpoint(eager=True)
+    else:
+        side = df.persist()
+    n = side.count()
+    return F.broadcast(side) if 0 < max_rows and n <= max_rows else side
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a narrow input over the cluster before CPU-heavy per-row work.
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import paths as P
-from docweave.functions.sizing import DEFAULT_BROADCAST_ROWS, sized_broadcast
+from docweave.functions.sizing import (DEFAULT_BROADCAST_ROWS, broadcast_derived,
+                                       sized_broadcast)
 from docweave.operators.reshape import add_field
 
 KEY = "__enrich_key"
@@ -63,7 +64,9 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
     ``fn`` takes a pandas Series of distinct keys (``vectorized=True``) or one
     key, plus the client from ``client_factory`` when given.  The keyed
     results are joined back with a broadcast when their number is proven
-    small, otherwise with a shuffle join.
+    small, otherwise with a shuffle join.  The lookup results are
+    checkpointed to the shared checkpoint folder first, so each key is looked
+    up once even when executors are lost or the plan is evaluated again.
     """
     ref = P.resolve(df, field, doc)
     key = P.v_string(ref.column) if ref.is_variant else ref.column
@@ -72,7 +75,8 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
     looked = keys.mapInPandas(_lookup_batches(fn, vectorized, client_factory, close),
                               f"{KEY} {keys.schema[KEY].dataType.simpleString()}, "
                               f"{VAL} {return_type}")
-    joined = base.join(sized_broadcast(looked, max_broadcast_rows), KEY, "left")
+    looked = broadcast_derived(looked, max_broadcast_rows, reliable=True)
+    joined = base.join(looked, KEY, "left")
     out = add_field(joined, save_to, F.col(VAL), doc)
     return out.drop(KEY, VAL)
 

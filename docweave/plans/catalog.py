@@ -350,9 +350,9 @@ def q_rename_variant(spark, sf):
                        get_field(docs, "event_type", "doc", "string").alias("event_type"))
 
 
-def _nested_orders(spark, sf) -> DataFrame:
+def _nested_orders(spark, sf, heavy: bool = False) -> DataFrame:
     """Orders as nested documents ``{o: {key, total, cust: {id}, state: {status, priority}}}``."""
-    o = table(spark, sf, "orders", heavy=True)
+    o = table(spark, sf, "orders", heavy=heavy)
     return o.select(F.struct(
         F.col("o_orderkey").alias("key"),
         F.col("o_totalprice").alias("total"),
@@ -381,7 +381,7 @@ def _flat_fields(df: DataFrame, doc: str, names: dict[str, str]) -> DataFrame:
 SELECT o_orderkey AS o_key, o_totalprice AS o_total, o_custkey AS o_cust_id,
        o_orderstatus AS o_state_status, o_orderpriority AS o_state_priority FROM orders""")
 def q_flatten_variant(spark, sf):
-    nested = _nested_orders(spark, sf)
+    nested = _nested_orders(spark, sf, heavy=True)
     docs = nested.select(F.to_variant_object(F.struct("o")).alias("doc"))
     flat = flatten_doc(docs, "_", doc="doc")
     return _flat_fields(flat, "doc", {"o_key": "bigint", "o_total": "double",
@@ -410,7 +410,7 @@ def q_trim_delete(spark, sf):
 SELECT o_orderkey AS o_key, o_custkey AS o_cust_id,
        CAST(NULL AS VARCHAR) AS o_state_status FROM orders""")
 def q_trim_variant(spark, sf):
-    nested = _nested_orders(spark, sf)
+    nested = _nested_orders(spark, sf, heavy=True)
     docs = nested.select(F.to_variant_object(F.struct("o")).alias("doc"))
     kept = trim(docs, ["o.key", "o.cust.id"], "allows", doc="doc")
     return kept.select(get_field(kept, "o.key", "doc", "bigint").alias("o_key"),
@@ -437,7 +437,7 @@ def q_remove_field_nested(spark, sf):
 @query("add_remove_variant", """
 SELECT o_orderkey AS o_key, CAST(NULL AS BIGINT) AS o_cust_id, o_orderstatus AS o_flag FROM orders""")
 def q_add_remove_variant(spark, sf):
-    nested = _nested_orders(spark, sf)
+    nested = _nested_orders(spark, sf, heavy=True)
     docs = nested.select(F.to_variant_object(F.struct("o")).alias("doc"), "o")
     docs = add_field(docs, "o.flag", F.col("o.state.status"), doc="doc")
     docs = remove_field(docs, "o.cust.id", doc="doc")

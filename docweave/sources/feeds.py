@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.sizing import DEFAULT_BROADCAST_ROWS, sized_broadcast
+from docweave.functions.sizing import (DEFAULT_BROADCAST_ROWS, broadcast_derived,
+                                       sized_broadcast)
 
 FEED_ENTITY = "rssItem"
 SEQ = "poll_seq"
@@ -70,14 +71,17 @@ def with_poll_seq(df: DataFrame, poll: str, feed: str | Sequence[str] | None = N
                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Number the polls of each feed densely (1, 2, ...) in ``poll`` order.
 
-    Only the small table of distinct ``(feed, poll)`` pairs is ranked; it is
-    joined back by broadcast when its size is proven small, else by shuffle.
+    Only the small table of distinct ``(feed, poll)`` pairs is ranked (a scan
+    of two columns with map-side distinct); it is materialised once and
+    joined back by broadcast when its row count is within
+    ``max_broadcast_rows``, else by a shuffle join.
     """
     feeds = _names(feed)
     polls = df.select(*feeds, poll).distinct()
     w = Window.partitionBy(*feeds).orderBy(poll) if feeds else Window.orderBy(poll)
     ranked = polls.withColumn(SEQ, F.dense_rank().over(w).cast("bigint"))
-    return df.join(sized_broadcast(ranked, max_broadcast_rows), feeds + [poll], "inner")
+    ranked = broadcast_derived(ranked, max_broadcast_rows, reliable=True)
+    return df.join(ranked, feeds + [poll], "inner")
 
 
 def new_items(df: DataFrame, item: str | Sequence[str], poll: str,
