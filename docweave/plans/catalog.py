@@ -31,8 +31,8 @@ from docweave.session import scratch_path
 from docweave.streaming.runner import new_items_stream, run_stream, stream_table
 from docweave.sinks.payloads import (bars_payload, boxes_payload, map_payload,
                                      message_payload, timeline_payload)
-from docweave.sources.envelope import (decode_envelope, from_envelope, parse_documents,
-                                       split_malformed, to_envelope)
+from docweave.sources.envelope import (classify_documents, decode_envelope, from_envelope,
+                                       parse_documents, split_malformed, to_envelope)
 from docweave.sources.custom import parquet_row_groups, read_row_group, source_from_function
 from docweave.sources.feeds import new_items, parse_feed, snapshot_diff
 from docweave.sources.social import sample_stream, track_keywords
@@ -496,10 +496,23 @@ def q_malformed_split(spark, sf):
                            F.expr("substring(props, 1, length(props) - 1)"))
                     .when(F.col("event_type") == "signup", F.concat(F.lit("["), "props", F.lit("]")))
                     .otherwise(F.col("props")).alias("map"))
-    s = split_malformed(env)
-    good = s.yes.select("event_id", F.lit("good").alias("status"))
-    dead = s.no.select("event_id", F.col("reason").alias("status"))
-    return good.unionByName(dead)
+    return classify_documents(env).select("event_id", "status")
+
+
+@query("malformed_dead_letter", """
+SELECT event_id, CASE WHEN json_valid(m) THEN 'not an object' ELSE 'malformed' END AS reason
+FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, length(props) - 1)
+                            WHEN event_type = 'signup' THEN '[' || props || ']'
+                            ELSE props END AS m FROM events)
+WHERE CASE WHEN json_valid(m) THEN json_type(m) <> 'OBJECT' ELSE true END""")
+def q_malformed_dead_letter(spark, sf):
+    ev = table(spark, sf, "events")
+    env = ev.select("event_id", F.lit("event").alias("entity"),
+                    F.when(F.col("event_type") == "error",
+                           F.expr("substring(props, 1, length(props) - 1)"))
+                    .when(F.col("event_type") == "signup", F.concat(F.lit("["), "props", F.lit("]")))
+                    .otherwise(F.col("props")).alias("map"))
+    return split_malformed(env).no.select("event_id", "reason")
 
 
 @query("parse_documents_variant", """

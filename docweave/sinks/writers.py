@@ -89,6 +89,29 @@ def push_rows(df: DataFrame, client_factory: Callable, send: Callable,
                            STATUS_SCHEMA)
 
 
+def push_sink(df: DataFrame, client_factory: Callable, send: Callable, failures_path: str,
+              payload: str = "payload", retries: int = 2, backoff: float = 0.0,
+              close: Callable | None = None, checkpoint: str | None = None):
+    """Push every payload and keep the failures as a table (K6).
+
+    Batch: runs the pushes and appends the failed rows to ``failures_path``.
+    Stream: one ``foreachBatch`` per micro-batch; the failed rows of batch
+    ``b`` go to ``failures_path/batch=b`` (overwritten on replay).
+    """
+    if df.isStreaming:
+        def each(batch: DataFrame, batch_id: int) -> None:
+            st = push_rows(batch, client_factory, send, payload, retries, backoff, close)
+            st.where(~F.col("ok")).write.mode("overwrite").parquet(
+                f"{failures_path}/batch={batch_id}")
+        w = df.writeStream.foreachBatch(each)
+        if checkpoint:
+            w = w.option("checkpointLocation", checkpoint)
+        return w.start()
+    st = push_rows(df, client_factory, send, payload, retries, backoff, close)
+    st.where(~F.col("ok")).write.mode("append").parquet(failures_path)
+    return None
+
+
 class _RowWriter:
     """``foreach`` writer built from three functions (streaming user sink)."""
 

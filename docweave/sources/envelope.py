@@ -64,6 +64,16 @@ def _is_object(v: Column) -> Column:
     return v.isNotNull() & P.v_is_object(v)
 
 
+def classify_documents(df: DataFrame, map_col: str = MAP, doc: str = DOC,
+                       status: str = "status") -> DataFrame:
+    """One pass: parse and label every record ``good``, ``malformed`` or ``not an object``."""
+    parsed = df if doc in df.columns else parse_documents(df, map_col, doc)
+    d = F.col(doc)
+    return parsed.withColumn(status, F.when(d.isNull(), F.lit("malformed"))
+                             .when(P.v_is_object(d), F.lit("good"))
+                             .otherwise(F.lit("not an object")))
+
+
 def split_malformed(df: DataFrame, map_col: str = MAP, doc: str = DOC) -> Split:
     """Good documents (JSON objects) and a dead letter for the rest.
 

@@ -130,3 +130,15 @@ def test_sinks_write(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
     sink_from_function(df, lambda row: seen.add(row["k"]))
     assert seen.value == 1
+
+
+def test_push_sink_failure_table(spark, tmp_path):
+    from docweave.sinks.writers import push_sink
+    df = spark.createDataFrame([("a",), ("b",)], "payload string")
+
+    def send(client, body):
+        if body == "b":
+            raise IOError("refused")
+
+    push_sink(df, lambda: None, send, str(tmp_path / "fail"), retries=0)
+    assert [r.payload for r in spark.read.parquet(str(tmp_path / "fail")).collect()] == ["b"]
