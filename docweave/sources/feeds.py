@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions.sizing import (DEFAULT_BROADCAST_ROWS, broadcast_derived,
                                        sized_broadcast)
@@ -63,6 +64,24 @@ def read_feed(spark: SparkSession, path: str, item_schema: str, stream: bool = F
                      F.col("_metadata.file_path").alias("source_file"))
 
 
+def comparable_keys(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Make item columns usable as join keys.
+
+    A VARIANT (a whole document as the item, as the reference compares whole
+    items) cannot be joined on; it is keyed by its JSON text, which is
+    canonical because VARIANT objects keep their keys sorted.
+    """
+    out, names = df, []
+    for c in cols:
+        if isinstance(df.schema[c].dataType, T.VariantType):
+            key = f"__key_{c}"
+            out = out.withColumn(key, F.to_json(F.col(c)))
+            names.append(key)
+        else:
+            names.append(c)
+    return out, names
+
+
 def _null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[l].eqNullSafe(right[r]) for l, r in pairs])
 
@@ -101,12 +120,14 @@ def new_items(df: DataFrame, item: str | Sequence[str], poll: str,
         raise ValueError("new_items needs at least one item column")
     rows = df.withColumn(SEQ, F.col(poll).cast("bigint")) if dense else \
         with_poll_seq(df, poll, feeds, max_broadcast_rows)
+    rows, items = comparable_keys(rows, items)
     key_cols = feeds + items
     prev = (rows.select(*key_cols, SEQ).distinct()
             .select(*[F.col(c).alias(f"__prev_{i}") for i, c in enumerate(key_cols)],
                     (F.col(SEQ) + 1).alias("__prev_seq")))
     pairs = [(c, f"__prev_{i}") for i, c in enumerate(key_cols)] + [(SEQ, "__prev_seq")]
-    return rows.join(prev, _null_safe_on(rows, prev, pairs), "left_anti")
+    out = rows.join(prev, _null_safe_on(rows, prev, pairs), "left_anti")
+    return out.drop(*[c for c in items if c.startswith("__key_")])
 
 
 def snapshot_diff(current: DataFrame, previous: DataFrame,
@@ -116,7 +137,9 @@ def snapshot_diff(current: DataFrame, previous: DataFrame,
     A set difference on keys -- every duplicate in ``current`` is kept -- not
     ``exceptAll`` (a bag difference).
     """
-    ks = _names(keys)
-    prev = previous.select(*[F.col(c).alias(f"__prev_{i}") for i, c in enumerate(ks)]).distinct()
+    cur, ks = comparable_keys(current, _names(keys))
+    prv, pks = comparable_keys(previous, _names(keys))
+    prev = prv.select(*[F.col(c).alias(f"__prev_{i}") for i, c in enumerate(pks)]).distinct()
     pairs = [(c, f"__prev_{i}") for i, c in enumerate(ks)]
-    return current.join(prev, _null_safe_on(current, prev, pairs), "left_anti")
+    out = cur.join(prev, _null_safe_on(cur, prev, pairs), "left_anti")
+    return out.drop(*[c for c in ks if c.startswith("__key_")])

@@ -74,6 +74,23 @@ def write_parquet_once(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+def _previous_state(spark: SparkSession, root: str, batch_id: int,
+                    empty_like: DataFrame) -> DataFrame:
+    """State written by the latest batch before ``batch_id`` (empty for the first)."""
+    try:
+        return spark.read.parquet(f"{root}/batch={batch_id - 1}")
+    except Exception:  # noqa: BLE001 - not written: first batch, or ids skipped
+        pass
+    try:
+        states = spark.read.parquet(root).where(F.col("batch") < batch_id)
+        last = states.agg(F.max("batch")).first()[0]
+    except Exception:  # noqa: BLE001 - no state at all yet
+        last = None
+    if last is None:
+        return empty_like.limit(0)
+    return spark.read.parquet(f"{root}/batch={last}")
+
+
 def new_items_stream(df: DataFrame, item: str | Sequence[str], poll: str,
                      output: Callable[[DataFrame, int], None], checkpoint: str,
                      state_path: str | None = None,
@@ -96,11 +113,7 @@ def new_items_stream(df: DataFrame, item: str | Sequence[str], poll: str,
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn(SEQ, F.col(poll).cast("bigint"))
         keys = rows.select(*key_cols, SEQ).distinct()
-        prev_path = f"{state_root}/batch={batch_id - 1}"
-        try:
-            earlier = spark.read.parquet(prev_path)
-        except Exception:  # first batch: nothing before it
-            earlier = keys.limit(0)
+        earlier = _previous_state(spark, state_root, batch_id, keys)
         all_keys = keys.unionByName(earlier)
         shifted = all_keys.withColumn(SEQ, F.col(SEQ) + 1)
         fresh = snapshot_diff(rows, shifted, key_cols + [SEQ])
