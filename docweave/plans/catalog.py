@@ -895,3 +895,80 @@ def q_stream_tick(spark, sf):
     q = run_stream(ev, count, f"{out}/_ckpt", available_now=True, on_tick=ticks.append)
     q.awaitTermination()
     return spark.read.parquet(f"{out}/ticks").select("batch_id", "n_rows")
+
+
+# --- VARIANT-mode twins of more operators -------------------------------------------------
+
+@query("filter_variant_array_contains", """
+SELECT o_custkey FROM orders GROUP BY o_custkey
+HAVING list_contains(list(o_orderpriority), '1-URGENT')""")
+def q_filter_variant_array_contains(spark, sf):
+    pri = _priorities(spark, sf)
+    docs = pri.select(F.to_variant_object(F.struct("o_custkey", "priorities")).alias("doc"))
+    out = filter_docs(docs, [Cond("priorities", "contains", "1-URGENT")], doc="doc")
+    return out.select(get_field(out, "o_custkey", "doc", "bigint").alias("o_custkey"))
+
+
+@query("split_fields_variant", """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_discount < l_tax THEN 'yes' ELSE 'no' END AS branch
+FROM lineitem""")
+def q_split_fields_variant(spark, sf):
+    li = table(spark, sf, "lineitem", heavy=True)
+    docs = li.select(F.to_variant_object(F.struct(
+        "l_orderkey", "l_linenumber", F.struct("l_discount", "l_tax").alias("price"))).alias("doc"))
+    out = branch_fields(docs, "price.l_discount", "<", "price.l_tax", doc="doc")
+    return out.select(get_field(out, "l_orderkey", "doc", "bigint").alias("l_orderkey"),
+                      get_field(out, "l_linenumber", "doc", "int").alias("l_linenumber"),
+                      "branch")
+
+
+@query("split_exists_variant", """
+SELECT d.doc_id, CASE WHEN l.toxic IS NOT NULL THEN 'yes' ELSE 'no' END AS branch
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def q_split_exists_variant(spark, sf):
+    df = _documents_labels(spark, sf)
+    docs = df.select(F.to_variant_object(F.struct("doc_id", "toxic")).alias("doc"))
+    out = branch_exists(docs, "toxic", doc="doc")
+    return out.select(get_field(out, "doc_id", "doc", "bigint").alias("doc_id"), "branch")
+
+
+@query("match_field_variant", """
+SELECT p_partkey FROM part WHERE regexp_full_match('SMALL', p_type)""")
+def q_match_field_variant(spark, sf):
+    part = table(spark, sf, "part")
+    docs = part.select(F.to_variant_object(F.struct("p_partkey", "p_type")).alias("doc"))
+    out = filter_docs(docs, [Cond("p_type", "match", "SMALL")], doc="doc")
+    return out.select(get_field(out, "p_partkey", "doc", "bigint").alias("p_partkey"))
+
+
+@query("timeline_variant", """
+SELECT event_id, event_type AS content, CAST(user_id AS VARCHAR) AS title FROM events""")
+def q_timeline_variant(spark, sf):
+    docs = _event_docs(spark, sf)
+    out = timeline_payload(docs, content="event_type", title="user_id", timestamp="event_id",
+                           doc="doc", widget_id="tl")
+    return out.select(F.try_variant_get("timestamp", "$", "bigint").alias("event_id"),
+                      "value.content", "value.title")
+
+
+@query("bars_variant", """
+SELECT event_id, 'w-value' AS widget_id, 'value' AS label, value FROM events
+UNION ALL
+SELECT event_id, 'w-k', 'k', CAST(NULL AS DOUBLE) FROM events""")
+def q_bars_variant(spark, sf):
+    docs = _event_docs(spark, sf)
+    out = bars_payload(docs, [("value", "w-value", "value"), ("k", "w-k", "props.k")],
+                       doc="doc", keep=["doc"])
+    return out.select(get_field(out, "event_id", "doc", "bigint").alias("event_id"),
+                      "widget_id", "label", "value")
+
+
+@query("track_keywords_variant", r"""
+SELECT doc_id FROM documents
+WHERE regexp_matches(lower(text), '(^|\W)(license|licensed|token)(\W|$)')""")
+def q_track_keywords_variant(spark, sf):
+    docs = table(spark, sf, "documents", heavy=True)
+    vdocs = docs.select(F.to_variant_object(F.struct("doc_id", "text")).alias("doc"))
+    out = track_keywords(vdocs, "text", ["license", "licensed", "token"], doc="doc")
+    return out.select(get_field(out, "doc_id", "doc", "bigint").alias("doc_id"))
