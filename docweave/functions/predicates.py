@@ -154,6 +154,16 @@ def _present(ref: P.FieldRef) -> Column:
     return ref.column.isNotNull()
 
 
+def _json_scalar_text(text: str) -> bool:
+    """True if ``text`` could be how a non-string JSON value prints (5, true, {...})."""
+    import json
+    try:
+        json.loads(text)
+        return True
+    except ValueError:
+        return False
+
+
 def equals(ref: P.FieldRef, value: str, coerce: bool = False) -> Column:
     if coerce:
         num = as_double(ref)
@@ -165,6 +175,9 @@ def equals(ref: P.FieldRef, value: str, coerce: bool = False) -> Column:
             s = _string_value(ref)
             eq_num = num == F.lit(rhs)
             return eq_num if s is None else (eq_num | (s == F.lit(value)))
+    if ref.is_variant and not _json_scalar_text(str(value)):
+        # no number, boolean, object or array prints as this text: one extraction
+        return P.v_string(ref.column) == F.lit(str(value))
     s = _string_value(ref)
     if s is None:
         return F.lit(False)
