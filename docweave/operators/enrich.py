@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions import paths as P
 from docweave.functions.sizing import (DEFAULT_BROADCAST_ROWS, broadcast_derived,
@@ -71,6 +72,9 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
     ref = P.resolve(df, field, doc)
     key = P.v_string(ref.column) if ref.is_variant else ref.column
     base = df.withColumn(KEY, key)
+    if df.isStreaming:
+        return _enrich_stream(base, save_to, fn, return_type, vectorized, client_factory,
+                              close, doc)
     keys = base.select(KEY).where(F.col(KEY).isNotNull()).distinct()
     looked = keys.mapInPandas(_lookup_batches(fn, vectorized, client_factory, close),
                               f"{KEY} {keys.schema[KEY].dataType.simpleString()}, "
@@ -81,6 +85,36 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
     return out.drop(KEY, VAL)
 
 
+def _enrich_stream(base: DataFrame, save_to: str, fn: Callable, return_type: str,
+                   vectorized: bool, client_factory: Callable | None,
+                   close: Callable | None, doc: str | None) -> DataFrame:
+    """Streaming form: look up the distinct keys of each Arrow batch, no join.
+
+    A stream cannot be counted or checkpointed inside the plan, so every
+    micro-batch looks its keys up where they are (one client per task).
+    """
+    lookup = _lookup_batches(fn, vectorized, client_factory, close)
+    fields = [f for f in base.schema.fields]
+    out_schema = T.StructType(fields + [T.StructField(VAL, _ddl_type(base, return_type), True)])
+
+    def run(batches):
+        def with_values():
+            for pdf in batches:
+                uniq = pd.DataFrame({KEY: pdf[KEY].dropna().unique()})
+                found = next(iter(lookup(iter([uniq])))) if len(uniq) else \
+                    pd.DataFrame({KEY: [], VAL: []})
+                mapping = dict(zip(found[KEY], found[VAL]))
+                yield pdf.assign(**{VAL: pdf[KEY].map(mapping)})
+        yield from with_values()
+
+    looked = base.mapInPandas(run, out_schema)
+    return add_field(looked, save_to, F.col(VAL), doc).drop(KEY, VAL)
+
+
+def _ddl_type(df: DataFrame, ddl: str) -> T.DataType:
+    return df.sparkSession.createDataFrame([], f"v {ddl}").schema["v"].dataType
+
+
 def short_code_expr(value: Column, length: int = 8) -> Column:
     """Deterministic code: the first ``length`` hex digits of md5."""
     if not 1 <= length <= 32:

@@ -34,6 +34,11 @@ def feed_schema(item_schema: str) -> str:
     return f"channel struct<item: array<struct<{item_schema}>>>"
 
 
+# Attributes become plain keys and the text of an element with attributes is
+# ``content``, as in the XML-to-JSON conversion the feeds were read with.
+XML_OPTIONS = {"attributePrefix": "", "valueTag": "content", "ignoreSurroundingSpaces": "true"}
+
+
 def parse_feed(df: DataFrame, xml_col: str, item_schema: str, entity: str = FEED_ENTITY,
                options: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per ``rss/channel/item`` of each XML snapshot in ``xml_col``.
@@ -42,24 +47,32 @@ def parse_feed(df: DataFrame, xml_col: str, item_schema: str, entity: str = FEED
     snapshot with a single item gives one row (the reference's parser fails
     there).  Columns in ``keep`` are carried next to each item.
     """
-    opts = {"ignoreSurroundingSpaces": "true", **(options or {})}
+    opts = {**XML_OPTIONS, **(options or {})}
     parsed = F.from_xml(F.col(xml_col), feed_schema(item_schema), opts)
     items = F.explode(parsed.getField("channel").getField("item")).alias("__item")
     return (df.select(*[F.col(k) for k in keep], items)
             .select(F.lit(entity).alias("entity"), *keep, "__item.*"))
 
 
-def read_feed(spark: SparkSession, path: str, item_schema: str, stream: bool = False,
-              entity: str = FEED_ENTITY, options: dict[str, str] | None = None) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, item_schema: str | None = None,
+              stream: bool = False, entity: str = FEED_ENTITY,
+              options: dict[str, str] | None = None) -> DataFrame:
     """Read landed feed snapshots (XML files) as one row per ``<item>``.
 
     Splits by the ``item`` row tag, so a large snapshot is read in parallel.
-    Works for batch and, with ``stream=True``, as a file stream; the source
-    path of each row is kept in ``source_file``.
+    Works for batch and, with ``stream=True``, as a file stream (a stream
+    needs ``item_schema``); the source path of each row is kept in
+    ``source_file``.  Without a schema, batch reads infer one, guessing
+    numbers and booleans from the text as the reference's conversion does.
     """
     reader = spark.readStream if stream else spark.read
-    opts = {"rowTag": "item", "ignoreSurroundingSpaces": "true", **(options or {})}
-    df = reader.format("xml").options(**opts).schema(item_schema).load(path)
+    opts = {"rowTag": "item", **XML_OPTIONS, **(options or {})}
+    reader = reader.format("xml").options(**opts)
+    if item_schema is not None:
+        reader = reader.schema(item_schema)
+    elif stream:
+        raise ValueError("a feed stream needs item_schema")
+    df = reader.load(path)
     return df.select(F.lit(entity).alias("entity"), "*",
                      F.col("_metadata.file_path").alias("source_file"))
 
@@ -118,6 +131,8 @@ def new_items(df: DataFrame, item: str | Sequence[str], poll: str,
     feeds, items = _names(feed), _names(item)
     if not items:
         raise ValueError("new_items needs at least one item column")
+    if df.isStreaming:
+        raise ValueError("new_items works on a batch; use docweave.streaming.new_items_stream")
     rows = df.withColumn(SEQ, F.col(poll).cast("bigint")) if dense else \
         with_poll_seq(df, poll, feeds, max_broadcast_rows)
     rows, items = comparable_keys(rows, items)

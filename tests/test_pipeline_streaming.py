@@ -97,3 +97,28 @@ def test_fan_out_stream(spark, tmp_path):
                        str(tmp_path / "ck"), available_now=True)
     q.awaitTermination()
     assert seen[0] == ("a", 10000) and seen[1][0] == "b"
+
+
+def test_enrich_on_a_stream(spark, tmp_path):
+    import pandas as pd
+    from docweave.operators.enrich import enrich
+    stream = stream_table(spark, SF01, "pages").select("page_id", "url")
+    out = enrich(stream, "url", "host", lambda s: s.str.extract(r"://([^/]+)")[0])
+    q = (out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 250 and got.where("host IS NULL").count() == 0
+
+
+def test_new_items_rejects_streams(spark):
+    with pytest.raises(ValueError):
+        new_items(stream_table(spark, SF01, "events"), "user_id", "ts")
+
+
+def test_read_feed_attributes(spark, tmp_path):
+    from docweave.sources.feeds import read_feed
+    (tmp_path / "f.xml").write_text('<rss><channel><item><guid isPermaLink="false">g1</guid>'
+                                    '<n>5</n></item></channel></rss>')
+    row = read_feed(spark, str(tmp_path)).first()
+    assert row.guid.content == "g1" and row.guid.isPermaLink is False and row.n == 5
