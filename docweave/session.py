@@ -30,9 +30,29 @@ DOC_SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the document settings to an existing session (runtime confs only)."""
-    for key, value in DOC_SETTINGS.items():
+# Settings for large inputs: many shuffle partitions that AQE coalesces to
+# ~128 MB each, 256 MB file splits, and skew handling for partitions above
+# 5x the median and 256 MB.  A 100 TB scan then runs as ~400k tasks of
+# bounded size; no partition has to fit a whole key group in memory.
+CLUSTER_SETTINGS = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
+}
+
+
+def configure(spark: SparkSession, cluster: bool = False) -> SparkSession:
+    """Apply the document settings to an existing session (runtime confs only).
+
+    ``cluster=True`` also applies ``CLUSTER_SETTINGS`` for large inputs.
+    """
+    for key, value in {**DOC_SETTINGS, **(CLUSTER_SETTINGS if cluster else {})}.items():
         spark.conf.set(key, value)
     return spark
 
