@@ -101,9 +101,10 @@ def _v_fail_or_false(cond_ok: Column, ref: P.FieldRef, op: str, on_error: str) -
 def as_double(ref: P.FieldRef) -> Column | None:
     """Double value of a field for numeric comparison; None if never numeric."""
     if ref.is_variant:
+        # numbers and numeric strings cast to double, objects/arrays give NULL;
+        # only booleans (which would cast to 1.0 / 0.0) are excluded by type
         v = ref.column
-        return (F.when(P.v_is_number(v), P.v_double(v))
-                .when(P.v_is_string(v), P.v_string(v).try_cast("double")))
+        return F.when(~P.v_is_boolean(v), P.v_double(v))
     if ref.kind == P.NUMBER:
         return ref.column if ref.data_type.typeName() == "double" else ref.column.cast("double")
     if ref.kind == P.STRING:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from docweave.functions.predicates import Cond, all_of, any_of, condition, total
 

@@ -57,9 +57,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> D
     return spread(df) if heavy else df
 
 
-EV_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
-
-
 # --- filter (F1-F19) --------------------------------------------------------------
 
 @query("filter_permit_all", """

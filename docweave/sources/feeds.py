@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.sizing import (DEFAULT_BROADCAST_ROWS, broadcast_derived,
-                                       sized_broadcast)
+from docweave.functions.sizing import DEFAULT_BROADCAST_ROWS, broadcast_derived
 
 FEED_ENTITY = "rssItem"
 SEQ = "poll_seq"

@@ -100,7 +100,6 @@ def test_fan_out_stream(spark, tmp_path):
 
 
 def test_enrich_on_a_stream(spark, tmp_path):
-    import pandas as pd
     from docweave.operators.enrich import enrich
     stream = stream_table(spark, SF01, "pages").select("page_id", "url")
     out = enrich(stream, "url", "host", lambda s: s.str.extract(r"://([^/]+)")[0])

@@ -1,7 +1,6 @@
 """Golden rows of the conditions (FIXTURES.md section 2), VARIANT and typed mode."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from docweave.functions.predicates import Cond, condition, fields_condition, java_double, total
 from docweave.operators.filter import filter_docs
