@@ -121,3 +121,37 @@ def test_read_feed_attributes(spark, tmp_path):
                                     '<n>5</n></item></channel></rss>')
     row = read_feed(spark, str(tmp_path)).first()
     assert row.guid.content == "g1" and row.guid.isPermaLink is False and row.n == 5
+
+
+def test_user_stream_source_and_foreach_sink(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from docweave.sinks.writers import sink_from_function
+    from docweave.sources.custom import source_from_function
+
+    path = f"{SF01}/labels.parquet"
+    n = pq.ParquetFile(path).metadata.num_rows
+
+    def read_range(a, b):
+        t = pq.read_table(path, columns=["doc_id", "quality"]).slice(a, b - a)
+        yield from zip(t.column("doc_id").to_pylist(), t.column("quality").to_pylist())
+
+    source_from_function(spark, "docweave_test_stream", "doc_id bigint, quality int",
+                         [], lambda d: iter(()), latest=lambda opts: n,
+                         read_range=read_range, range_splits=4)
+    stream = spark.readStream.format("docweave_test_stream").load()
+    out = tmp_path / "seen"
+    out.mkdir()
+
+    def process(row, state):
+        state.append(row["doc_id"])
+
+    def cleanup(state):
+        if state:
+            (out / f"part-{state[0]}-{len(state)}.txt").write_text("\n".join(map(str, state)))
+
+    q = sink_from_function(stream, process, prepare=list, cleanup=cleanup,
+                           checkpoint=str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    seen = [int(x) for f in out.iterdir() for x in f.read_text().split()]
+    assert sorted(seen) == sorted(pq.read_table(path).column("doc_id").to_pylist())
