@@ -60,13 +60,18 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     single task; per-row work on it (VARIANT edits, XML parsing, regexes,
     Python user code) would then use one core.  When the input has fewer
     partitions than ``min_partitions`` (default: the session's default
-    parallelism) it is repartitioned round-robin; an input that is already
-    split -- any large table -- is returned unchanged, so no shuffle is added
-    at scale.
+    parallelism) it is hash-repartitioned on a per-row id; an input that is
+    already split -- any large table -- is returned unchanged, so no shuffle
+    is added at scale.  The row id (partition index and position) keeps
+    identical rows apart -- hashing the content would send all copies of a
+    hot document to one task -- and avoids the local sort that a round-robin
+    repartition runs to stay deterministic.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     try:
         current = df.rdd.getNumPartitions()
     except Exception:  # no RDD view (e.g. a remote session): leave it as it is
         return df
-    return df.repartition(target) if current < target else df
+    if current >= target:
+        return df
+    return df.repartition(target, F.monotonically_increasing_id())
