@@ -165,9 +165,19 @@ def _v_remove(obj: Column, parts: list[str]) -> Column:
     return F.when(m.isNull(), obj).otherwise(F.to_variant_object(edited))
 
 
-def remove_field(df: DataFrame, path: str, doc: str | None = None) -> DataFrame:
-    """Remove the field at ``path``; parents stay, even when they become empty."""
+def remove_field(df: DataFrame, path: str, doc: str | None = None,
+                 also_literal: bool = False) -> DataFrame:
+    """Remove the field at ``path``; parents stay, even when they become empty.
+
+    ``also_literal=True`` also drops a top-level key spelled exactly like the
+    dotted path (the source and sink flavour of the reference's remove).
+    """
     parts = P.split_path(path)
+    if also_literal and len(parts) > 1:
+        if doc is not None:
+            df = df.withColumn(doc, _v_remove(F.col(doc), [path]))
+        elif path in df.columns:
+            df = df.drop(path)
     if doc is not None:
         return df.withColumn(doc, _v_remove(F.col(doc), parts))
     top = _field(df.schema, parts[0])

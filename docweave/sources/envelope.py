@@ -36,7 +36,14 @@ def read_kafka(spark: SparkSession, stream: bool = True, **options) -> DataFrame
     (``kafka.bootstrap.servers``, ``subscribe``, ``maxOffsetsPerTrigger``...).
     """
     reader = spark.readStream if stream else spark.read
-    raw = reader.format("kafka").options(**options).load()
+    try:
+        raw = reader.format("kafka").options(**options).load()
+    except Exception as exc:  # noqa: BLE001
+        if "kafka" in str(exc).lower() and "data source" in str(exc).lower():
+            raise RuntimeError("the Kafka connector is not on the classpath: start Spark with "
+                               "--packages org.apache.spark:spark-sql-kafka-0-10_2.13:<version>"
+                               ) from exc
+        raise
     return decode_envelope(raw, "topic", "value")
 
 

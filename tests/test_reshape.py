@@ -99,3 +99,17 @@ def test_typed_and_variant_agree(spark):
     vf = _json(R.flatten_doc(v, "_", doc="doc"))
     tf = R.flatten_doc(t, "_").first().asDict()
     assert vf == tf
+
+
+def test_remove_also_literal(spark):
+    df = _docs(spark, '{"a.b":1,"a":{"b":2,"c":3}}')
+    assert _json(R.remove_field(df, "a.b", doc="doc")) == {"a.b": 1, "a": {"c": 3}}
+    assert _json(R.remove_field(df, "a.b", doc="doc", also_literal=True)) == {"a": {"c": 3}}
+    t = spark.createDataFrame([(1, (2, 3))], "`a.b` int, a struct<b:int,c:int>")
+    assert R.remove_field(t, "a.b", also_literal=True).columns == ["a"]
+
+
+def test_read_kafka_message(spark):
+    from docweave.sources.envelope import read_kafka
+    with pytest.raises(RuntimeError, match="Kafka connector"):
+        read_kafka(spark, stream=False, subscribe="t", **{"kafka.bootstrap.servers": "x:1"})
