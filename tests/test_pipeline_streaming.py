@@ -155,3 +155,14 @@ def test_user_stream_source_and_foreach_sink(spark, tmp_path):
     q.stop()
     seen = [int(x) for f in out.iterdir() for x in f.read_text().split()]
     assert sorted(seen) == sorted(pq.read_table(path).column("doc_id").to_pylist())
+
+
+def test_run_stream_processing_time_ticks(spark, tmp_path):
+    from docweave.streaming.runner import run_stream
+    ticks, rows = [], []
+    stream = stream_table(spark, SF01, "region")
+    q = run_stream(stream, lambda b, i: rows.append(b.count()), str(tmp_path / "ck"),
+                   every="1 second", on_tick=ticks.append)
+    q.processAllAvailable()
+    q.stop()
+    assert sum(rows) == 5 and ticks and ticks[0] == 0

@@ -113,3 +113,16 @@ def test_read_kafka_message(spark):
     from docweave.sources.envelope import read_kafka
     with pytest.raises(RuntimeError, match="Kafka connector"):
         read_kafka(spark, stream=False, subscribe="t", **{"kafka.bootstrap.servers": "x:1"})
+
+
+def test_has_field_get_field_set_doc_keep_raw(doc_d, typed_d):
+    from docweave.functions.paths import get_field, has_field
+    row = doc_d.select(has_field(doc_d, "z", "doc").alias("z"),       # JSON null is present
+                       has_field(doc_d, "missing", "doc").alias("m"),
+                       has_field(doc_d, "o.x.y", "doc").alias("oxy"),
+                       get_field(doc_d, "n", "doc", "int").alias("n"), "map").first()
+    assert (row.z, row.m, row.oxy, row.n) == (True, False, True, 5)
+    assert row.map.startswith('{"s":"5"')  # raw text kept next to the parsed document
+    assert typed_d.select(has_field(typed_d, "no.such")).first()[0] is False
+    replaced = R.set_doc(doc_d, F.parse_json(F.lit('{"k":1}')))
+    assert _json(replaced) == {"k": 1}
