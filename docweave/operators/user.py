@@ -79,5 +79,23 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
+def map_field(df: DataFrame, field: str, save_to: str, fn: Callable[[pd.Series], pd.Series],
+              return_type: str = "string", doc: str | None = None) -> DataFrame:
+    """A 1:1 user function over one field as an Arrow (pandas) UDF.
+
+    ``fn`` maps a pandas Series of field values to a Series of results; the
+    result is stored at ``save_to`` (a dotted path; VARIANT ``doc`` allowed).
+    """
+    from pyspark.sql import functions as F
+
+    from docweave.functions import paths as P
+    from docweave.operators.reshape import add_field
+
+    ref = P.resolve(df, field, doc)
+    value = P.v_string(ref.column) if ref.is_variant else ref.column
+    udf = F.pandas_udf(fn, return_type)
+    return add_field(df, save_to, udf(value), doc)
+
+
 def format_error(exc: BaseException) -> str:
     return "".join(traceback.format_exception_only(type(exc), exc)).strip()

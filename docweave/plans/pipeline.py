@@ -121,12 +121,18 @@ class Pipeline:
             raise ValueError(f"{e.node!r} has no stream {e.stream!r}")
         return partition(out, e.grouping, e.n, e.key)
 
-    def build(self, spark: SparkSession) -> dict[str, DataFrame | Split]:
-        """Compose every node's DataFrame (sinks are not run)."""
+    def build(self, spark: SparkSession,
+              given: dict[str, DataFrame] | None = None) -> dict[str, DataFrame | Split]:
+        """Compose every node's DataFrame (sinks are not run).
+
+        ``given`` replaces source nodes by ready DataFrames (used per micro-batch).
+        """
         built: dict[str, DataFrame | Split] = {}
         for name in self.validate():
             node = self._nodes[name]
-            if node.kind == "source":
+            if node.kind == "source" and given and name in given:
+                out = given[name]
+            elif node.kind == "source":
                 out = node.fn(spark)
             else:
                 ins = [self._input(built, e) for e in node.inputs]
@@ -144,3 +150,35 @@ class Pipeline:
         """Build, then hand each sink its input; returns what each sink returned."""
         built = self.build(spark)
         return {n.name: n.fn(built[n.name]) for n in self._nodes.values() if n.kind == "sink"}
+
+    def run_stream(self, spark: SparkSession, checkpoint: str, **trigger):
+        """Run the whole pipeline as one streaming query.
+
+        The single streaming source is read once per micro-batch: inside
+        ``foreachBatch`` the batch is persisted, the DAG is built on it, and
+        every sink gets its input -- called as ``sink(df, batch_id)`` so it
+        can write idempotently per batch.  ``trigger`` is passed to
+        ``docweave.streaming.run_stream`` (``every=``, ``available_now=``...).
+        """
+        from docweave.streaming.runner import run_stream
+
+        self.validate()
+        sources = [n for n in self._nodes.values() if n.kind == "source"]
+        streams = {n.name: n.fn(spark) for n in sources}
+        live = [name for name, df in streams.items() if df.isStreaming]
+        if len(live) != 1:
+            raise ValueError("run_stream needs exactly one streaming source")
+        src = live[0]
+        static = {k: v for k, v in streams.items() if k != src}
+        sinks = [n for n in self._nodes.values() if n.kind == "sink"]
+
+        def each(batch: DataFrame, batch_id: int) -> None:
+            batch = batch.persist()
+            try:
+                built = self.build(spark, {src: batch, **static})
+                for n in sinks:
+                    n.fn(built[n.name], batch_id)
+            finally:
+                batch.unpersist()
+
+        return run_stream(streams[src], each, checkpoint, **trigger)

@@ -166,3 +166,27 @@ def test_run_stream_processing_time_ticks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(rows) == 5 and ticks and ticks[0] == 0
+
+
+def test_pipeline_run_stream_reads_source_once(spark, tmp_path):
+    out = tmp_path / "out"
+    p = (Pipeline()
+         .source("events", lambda s: stream_table(s, SF01, "events"))
+         .source("nation", lambda s: s.read.parquet(f"{SF01}/nation.parquet"))
+         .transform("big", lambda d: split(d, "value", ">", "100"), "events")
+         .sink("yes", lambda d, b: d.write.mode("overwrite").parquet(f"{out}/yes/b={b}"),
+               Edge("big", "yes"))
+         .sink("no", lambda d, b: d.write.mode("overwrite").parquet(f"{out}/no/b={b}"),
+               Edge("big", "no")))
+    q = p.run_stream(spark, str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination()
+    yes = spark.read.parquet(f"{out}/yes").count()
+    no = spark.read.parquet(f"{out}/no").count()
+    assert yes + no == 10000 and yes == spark.read.parquet(f"{SF01}/events.parquet").where("value > 100").count()
+
+
+def test_map_field_udf(spark):
+    from docweave.operators.user import map_field
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id int, s string")
+    out = {r.id: r.meta.n for r in map_field(df, "s", "meta.n", lambda x: x.str.len(), "int").collect()}
+    assert out == {1: 3, 2: None}
