@@ -32,7 +32,8 @@ from docweave.streaming.runner import new_items_stream, run_stream, stream_table
 from docweave.sinks.payloads import (bars_payload, boxes_payload, map_payload,
                                      message_payload, timeline_payload)
 from docweave.sources.envelope import (classify_documents, decode_envelope, from_envelope,
-                                       parse_documents, split_malformed, to_envelope)
+                                       parse_documents, split_malformed, to_envelope,
+                                       with_documents)
 from docweave.sources.custom import parquet_row_groups, read_row_group, source_from_function
 from docweave.sources.feeds import new_items, parse_feed, snapshot_diff
 from docweave.sources.social import sample_stream, track_keywords
@@ -969,3 +970,17 @@ def q_track_keywords_variant(spark, sf):
     vdocs = docs.select(F.to_variant_object(F.struct("doc_id", "text")).alias("doc"))
     out = track_keywords(vdocs, "text", ["license", "licensed", "token"], doc="doc")
     return out.select(get_field(out, "doc_id", "doc", "bigint").alias("doc_id"))
+
+
+@query("envelope_pipeline", """
+SELECT 'event' AS entity, event_id, user_id, value AS amount, CAST(NULL AS VARCHAR) AS value
+FROM events WHERE event_type = 'purchase' AND value > 100""")
+def q_envelope_pipeline(spark, sf):
+    # the reference's model end to end: JSON text envelopes in, JSON text envelopes out
+    ev = table(spark, sf, "events", heavy=True).select("event_id", "user_id", "event_type",
+                                                       "value")
+    env = to_envelope(ev, entity="event")
+    out = with_documents(env, lambda d: trim(rename_field(filter_docs(
+        d, [Cond("event_type", "==", "purchase"), Cond("value", ">", "100")], doc="doc"),
+        "value", "amount", doc="doc"), ["event_type"], "delete", doc="doc"))
+    return from_envelope(out, "event_id bigint, user_id bigint, amount double, value string")

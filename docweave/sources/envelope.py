@@ -117,6 +117,26 @@ def to_envelope(df: DataFrame, entity: str | None = None, doc: str | None = None
     return df.select(ent.alias(ENTITY), text.alias(MAP))
 
 
+def with_documents(df: DataFrame, fn, map_col: str = MAP, doc: str = DOC,
+                   dead_letter: bool = False):
+    """Run operators on envelopes: parse ``map`` once, apply ``fn``, print once.
+
+    ``fn`` takes the DataFrame with the VARIANT column ``doc`` (operators are
+    called with ``doc=doc``) and returns a DataFrame or a ``Split``; the result
+    comes back as ``(entity, map)`` envelopes (a ``Split`` of envelopes).  With
+    ``dead_letter=True`` the malformed records are returned too:
+    ``(result, dead)``.
+    """
+    parts = split_malformed(df, map_col, doc)
+    out = fn(parts.yes.drop(map_col))
+
+    def back(d: DataFrame) -> DataFrame:
+        return to_envelope(d, doc=doc)
+
+    result = Split(back(out.yes), back(out.no)) if isinstance(out, Split) else back(out)
+    return (result, parts.no) if dead_letter else result
+
+
 def from_envelope(df: DataFrame, schema: str, map_col: str = MAP,
                   entity_col: str = ENTITY) -> DataFrame:
     """Typed documents from an envelope with a known schema (``from_json``)."""

@@ -103,3 +103,15 @@ def test_new_items_whole_document_items(spark):
     got = sorted((r.poll_seq, r.item) for r in new_items(df, "doc", "poll").collect())
     # the same object with its keys in another order is the same item
     assert got == [(1, '{"a":1,"b":2}'), (1, '{"c":3}'), (2, '{"c":4}')]
+
+
+def test_with_documents_split_and_dead_letter(spark):
+    from docweave.operators.split import split
+    from docweave.sources.envelope import with_documents
+    env = spark.createDataFrame([("e", '{"n":5}'), ("e", '{"n":50}'), ("e", "{bad")],
+                                "entity string, map string")
+    (out, dead) = with_documents(env, lambda d: split(d, "n", ">", "10", doc="doc"),
+                                 dead_letter=True)
+    assert [r.map for r in out.yes.collect()] == ['{"n":50}']
+    assert [r.map for r in out.no.collect()] == ['{"n":5}']
+    assert dead.count() == 1
