@@ -32,7 +32,10 @@ def log_sink(df: DataFrame, path: str | None = None, doc: str | None = None,
     checkpoint, or the console when ``path`` is None.  Returns the streaming
     query, or None for batch.
     """
-    text = to_envelope(df, entity=entity, doc=doc).select("map")
+    if doc is None and set(df.columns) == {"entity", "map"}:
+        text = df.select("map")  # already an envelope: write its JSON text as is
+    else:
+        text = to_envelope(df, entity=entity, doc=doc).select("map")
     if df.isStreaming:
         w = text.writeStream.outputMode("append")
         if path is None:

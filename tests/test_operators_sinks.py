@@ -142,3 +142,24 @@ def test_push_sink_failure_table(spark, tmp_path):
 
     push_sink(df, lambda: None, send, str(tmp_path / "fail"), retries=0)
     assert [r.payload for r in spark.read.parquet(str(tmp_path / "fail")).collect()] == ["b"]
+
+
+def test_readme_envelope_example(spark, tmp_path):
+    from docweave.functions.predicates import Cond
+    from docweave.operators.filter import filter_docs
+    from docweave.operators.reshape import rename_field
+    from docweave.sources.envelope import read_documents, with_documents
+    from conftest import SF01
+
+    landing = str(tmp_path / "landing")
+    (spark.read.parquet(f"{SF01}/part.parquet")
+     .select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))))
+     .write.text(landing))
+    env = read_documents(spark, landing, entity="rssItem")
+    out = with_documents(env, lambda d: rename_field(
+        filter_docs(d, [Cond("title", "containsText", "widget")], doc="doc"),
+        "title", "rsstitle", doc="doc"))
+    log_sink(out, str(tmp_path / "logs"))
+    logged = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "logs")).collect()]
+    want = spark.read.parquet(f"{SF01}/part.parquet").where("p_name LIKE '%widget%'").count()
+    assert len(logged) == want and all("widget" in d["rsstitle"] and "title" not in d for d in logged)
