@@ -98,6 +98,27 @@ def _null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]
     return reduce(lambda a, b: a & b, [left[l].eqNullSafe(right[r]) for l, r in pairs])
 
 
+def dense_number(df: DataFrame, order_col: str, out: str,
+                 partitions: int | None = None) -> DataFrame:
+    """Number the distinct values of ``order_col`` 1, 2, ... without a global window.
+
+    Range-partition by the value, number rows within each partition, then add
+    the running count of the partitions before it -- a table of one row per
+    partition.  No partition ever holds more than its range.
+    """
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(n, order_col).withColumn("__part", F.spark_partition_id())
+    local = ranged.withColumn(
+        "__local", F.row_number().over(Window.partitionBy("__part").orderBy(order_col)))
+    sizes = local.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0))
+                           .alias("__offset"))
+    return (local.join(F.broadcast(offsets), "__part")
+            .withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint"))
+            .drop("__part", "__local", "__offset"))
+
+
 def with_poll_seq(df: DataFrame, poll: str, feed: str | Sequence[str] | None = None,
                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Number the polls of each feed densely (1, 2, ...) in ``poll`` order.
@@ -109,8 +130,11 @@ def with_poll_seq(df: DataFrame, poll: str, feed: str | Sequence[str] | None = N
     """
     feeds = _names(feed)
     polls = df.select(*feeds, poll).distinct()
-    w = Window.partitionBy(*feeds).orderBy(poll) if feeds else Window.orderBy(poll)
-    ranked = polls.withColumn(SEQ, F.dense_rank().over(w).cast("bigint"))
+    if feeds:
+        w = Window.partitionBy(*feeds).orderBy(poll)
+        ranked = polls.withColumn(SEQ, F.dense_rank().over(w).cast("bigint"))
+    else:
+        ranked = dense_number(polls, poll, SEQ)
     ranked = broadcast_derived(ranked, max_broadcast_rows, reliable=True)
     return df.join(ranked, feeds + [poll], "inner")
 

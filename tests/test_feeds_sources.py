@@ -115,3 +115,11 @@ def test_with_documents_split_and_dead_letter(spark):
     assert [r.map for r in out.yes.collect()] == ['{"n":50}']
     assert [r.map for r in out.no.collect()] == ['{"n":5}']
     assert dead.count() == 1
+
+
+def test_dense_number_distributed(spark):
+    from docweave.sources.feeds import dense_number
+    vals = spark.range(0, 5000, 7).select((F.col("id") * 3).alias("v"))
+    out = dense_number(vals, "v", "seq", partitions=6)
+    got = sorted((r.v, r.seq) for r in out.collect())
+    assert [s for _, s in got] == list(range(1, len(got) + 1))
