@@ -59,8 +59,9 @@ def _lookup_batches(fn: Callable, vectorized: bool, client_factory: Callable | N
 def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
            return_type: str = "string", vectorized: bool = True,
            client_factory: Callable | None = None, close: Callable | None = None,
-           doc: str | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Store ``fn(value of field)`` at ``save_to``.
+           doc: str | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+           entity: str | None = None) -> DataFrame:
+    """Store ``fn(value of field)`` at ``save_to`` (X1); ``entity`` overrides the record type.
 
     ``fn`` takes a pandas Series of distinct keys (``vectorized=True``) or one
     key, plus the client from ``client_factory`` when given.  The keyed
@@ -69,6 +70,8 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
     checkpointed to the shared checkpoint folder first, so each key is looked
     up once even when executors are lost or the plan is evaluated again.
     """
+    if entity is not None:
+        df = df.withColumn("entity", F.lit(entity))
     ref = P.resolve(df, field, doc)
     key = P.v_string(ref.column) if ref.is_variant else ref.column
     base = df.withColumn(KEY, key)
@@ -123,8 +126,10 @@ def short_code_expr(value: Column, length: int = 8) -> Column:
 
 
 def short_code(df: DataFrame, field: str, save_to: str, length: int = 8,
-               doc: str | None = None) -> DataFrame:
+               doc: str | None = None, entity: str | None = None) -> DataFrame:
     """Offline short code of a field, stored at ``save_to``."""
+    if entity is not None:
+        df = df.withColumn("entity", F.lit(entity))
     ref = P.resolve(df, field, doc)
     value = P.v_string(ref.column) if ref.is_variant else ref.column
     return add_field(df, save_to, short_code_expr(value, length), doc)

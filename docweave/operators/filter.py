@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from docweave.functions.predicates import Cond, all_of, any_of, condition, total
 
@@ -48,8 +49,13 @@ def filter_predicate(df: DataFrame, conditions: Iterable, action: str = "permit"
 
 def filter_docs(df: DataFrame, conditions: Iterable, action: str = "permit",
                 match: str = "all", doc: str | None = None, *,
-                coerce: bool = False, on_error: str = "false") -> DataFrame:
-    """Keep the documents that pass the conditions (a narrow ``where``)."""
+                coerce: bool = False, on_error: str = "false",
+                entity: str | None = None) -> DataFrame:
+    """Keep the documents that pass the conditions (a narrow ``where``).
+
+    ``entity`` overrides the record type of the kept documents.
+    """
     conds = list(conditions)
     pred = filter_predicate(df, conds, action, match, doc, coerce=coerce, on_error=on_error)
-    return df.where(pred)
+    out = df.where(pred)
+    return out if entity is None else out.withColumn("entity", F.lit(entity))

@@ -193,12 +193,19 @@ def remove_field(df: DataFrame, path: str, doc: str | None = None,
 
 # --- rename (P1) -----------------------------------------------------------------------
 
-def rename_field(df: DataFrame, find: str, replace: str, doc: str | None = None) -> DataFrame:
+def _entity(df: DataFrame, entity: str | None) -> DataFrame:
+    return df if entity is None else df.withColumn("entity", F.lit(entity))
+
+
+def rename_field(df: DataFrame, find: str, replace: str, doc: str | None = None,
+                 entity: str | None = None) -> DataFrame:
     """Move the value at ``find`` to ``replace`` (both may be dotted paths).
 
     A missing ``find`` creates ``replace`` with null; an existing ``replace``
-    is overwritten.
+    is overwritten.  ``entity`` overrides the record type.
     """
+    if entity is not None:
+        return _entity(rename_field(df, find, replace, doc), entity)
     if find == replace:
         return df
     if doc is not None:
@@ -284,13 +291,16 @@ def _v_from_entries(doc: Column, arr: Column, max_depth: int) -> Column:
 
 
 def flatten_doc(df: DataFrame, sep: str = "_", doc: str | None = None,
-                keep: Iterable[str] = (), max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
+                keep: Iterable[str] = (), max_depth: int = DEFAULT_MAX_DEPTH,
+                entity: str | None = None) -> DataFrame:
     """Flatten nested objects into one level joined by ``sep``.
 
     Typed mode flattens all columns except those in ``keep`` (e.g. ``entity``),
-    which pass through unchanged.
+    which pass through unchanged.  ``entity`` overrides the record type.
     """
     _check_sep(sep)
+    if entity is not None:
+        return _entity(flatten_doc(df, sep, doc, keep, max_depth), entity)
     if doc is not None:
         tmp = "__flat_entries"
         # one projection per level, each reading the previous level's column: a
@@ -351,12 +361,15 @@ def _v_trim(v: Column, prefix: Column, fields: Column, allows: bool, depth: int,
 
 def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
          doc: str | None = None, keep: Iterable[str] = (),
-         max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
+         max_depth: int = DEFAULT_MAX_DEPTH, entity: str | None = None) -> DataFrame:
     """Keep (``allows``) or drop (``delete``) the listed leaf paths, then prune empty objects.
 
     ``action`` other than ``delete`` (trimmed, any case) means allows.
     Typed mode passes the ``keep`` columns (e.g. ``entity``) through untouched.
+    ``entity`` overrides the record type.
     """
+    if entity is not None:
+        return _entity(trim(df, fields, action, doc, keep, max_depth), entity)
     names = [str(f).strip() for f in fields]
     allows = not (action is not None and str(action).strip().lower() == "delete")
     if doc is not None:

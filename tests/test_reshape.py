@@ -126,3 +126,16 @@ def test_has_field_get_field_set_doc_keep_raw(doc_d, typed_d):
     assert typed_d.select(has_field(typed_d, "no.such")).first()[0] is False
     replaced = R.set_doc(doc_d, F.parse_json(F.lit('{"k":1}')))
     assert _json(replaced) == {"k": 1}
+
+
+def test_entity_override_on_components(doc_d):
+    from docweave.functions.predicates import Cond
+    from docweave.operators.filter import filter_docs
+    from docweave.operators.enrich import short_code
+    outs = [filter_docs(doc_d, [Cond("s", "==", "5")], doc="doc", entity="kept"),
+            R.rename_field(doc_d, "s", "k", doc="doc", entity="kept"),
+            R.flatten_doc(doc_d, "_", doc="doc", entity="kept"),
+            R.trim(doc_d, ["s"], doc="doc", entity="kept"),
+            short_code(doc_d, "s", "code", doc="doc", entity="kept")]
+    assert [o.select("entity").first()[0] for o in outs] == ["kept"] * 5
+    assert R.rename_field(doc_d, "s", "k", doc="doc").select("entity").first()[0] == "e"
