@@ -169,3 +169,30 @@ def test_rename_matches_model(spark, docs):
         m["x"]["moved"] = value
         want[i] = m
     assert got == want
+
+
+EV_CONDS = st.tuples(
+    st.sampled_from(["event_type", "value", "user_id", "props.k", "missing.x"]),
+    st.sampled_from(["==", "!=", "<", ">=", "containsText", "contains", "notcontains",
+                     "matches_field"]),
+    st.sampled_from(["purchase", "click", "50", "100.5", "1", "ic"]))
+
+
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(conds=st.lists(EV_CONDS, min_size=1, max_size=3), match=st.sampled_from(["all", "any"]),
+       action=st.sampled_from(["permit", "block"]))
+def test_typed_and_variant_filters_agree(spark, conds, match, action):
+    from conftest import SF001
+    from docweave.operators.filter import filter_docs
+    conds = [c for c in conds if not (c[1] in ("<", ">=") and not c[2].replace(".", "").isdigit())]
+    if not conds:
+        return
+    ev = spark.read.parquet(f"{SF001}/events.parquet").select(
+        "event_id", "event_type", "value", "user_id", F.from_json("props", "k bigint").alias("props"))
+    docs = ev.select("event_id", F.to_variant_object(F.struct(
+        "event_type", "value", "user_id", "props")).alias("doc"))
+    cs = [Cond(*c) for c in conds]
+    typed = filter_docs(ev, cs, action, match).select("event_id")
+    dyn = filter_docs(docs, cs, action, match, doc="doc").select("event_id")
+    assert typed.exceptAll(dyn).count() == 0 and dyn.exceptAll(typed).count() == 0
