@@ -74,6 +74,25 @@ def write_parquet_once(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
+def _drop_old_states(spark: SparkSession, root: str, keep_from: int) -> None:
+    """Delete state snapshots of batches before ``keep_from`` (Hadoop FS, any store)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    if not fs.exists(base):
+        return
+    for st in fs.listStatus(base):
+        name = st.getPath().getName()
+        if name.startswith("batch="):
+            try:
+                bid = int(name.split("=", 1)[1])
+            except ValueError:
+                continue
+            if bid < keep_from:
+                fs.delete(st.getPath(), True)
+
+
 def _previous_state(spark: SparkSession, root: str, batch_id: int,
                     empty_like: DataFrame) -> DataFrame:
     """State written by the latest batch before ``batch_id`` (empty for the first)."""
@@ -127,5 +146,7 @@ def new_items_stream(df: DataFrame, item: str | Sequence[str], poll: str,
             top = all_keys.agg(F.max(SEQ)).first()[0]
             latest = all_keys.where(F.col(SEQ) == F.lit(top))
         latest.write.mode("overwrite").parquet(f"{state_root}/batch={batch_id}")
+        # a replay of this batch needs batch_id - 1; older snapshots are never read again
+        _drop_old_states(spark, state_root, batch_id - 1)
 
     return run_stream(df, sink, checkpoint, **kwargs)

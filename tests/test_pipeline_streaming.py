@@ -190,3 +190,19 @@ def test_map_field_udf(spark):
     df = spark.createDataFrame([(1, "abc"), (2, None)], "id int, s string")
     out = {r.id: r.meta.n for r in map_field(df, "s", "meta.n", lambda x: x.str.len(), "int").collect()}
     assert out == {1: 3, 2: None}
+
+
+def test_new_items_stream_prunes_old_state(spark, tmp_path):
+    ev = (spark.read.parquet(f"{SF01}/events.parquet")
+          .select("event_id", "user_id", "event_type",
+                  (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).alias("poll")))
+    src = tmp_path / "polls"
+    ev.repartition(1, "poll").write.partitionBy("poll").parquet(str(src))
+    stream = (spark.readStream.schema(spark.read.parquet(str(src)).schema)
+              .option("maxFilesPerTrigger", 5).parquet(str(src)))
+    q = new_items_stream(stream, ["user_id", "event_type"], "poll", lambda b, i: None,
+                         str(tmp_path / "ck"), state_path=str(tmp_path / "state"),
+                         available_now=True)
+    q.awaitTermination()
+    left = sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch="))
+    assert 1 <= len(left) <= 2
