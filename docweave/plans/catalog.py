@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions.documents import as_documents, typed_from_documents
 from docweave.functions.paths import get_field, has_field
 from docweave.functions.predicates import Cond
 from docweave.functions.sizing import spread
@@ -984,3 +985,15 @@ def q_envelope_pipeline(spark, sf):
         d, [Cond("event_type", "==", "purchase"), Cond("value", ">", "100")], doc="doc"),
         "value", "amount", doc="doc"), ["event_type"], "delete", doc="doc"))
     return from_envelope(out, "event_id bigint, user_id bigint, amount double, value string")
+
+
+@query("typed_from_documents", """
+SELECT 'event' AS entity, event_id, user_id, event_type, value,
+       CAST(json_extract(props, '$.k') AS BIGINT) AS props_k
+FROM events WHERE event_type = 'view' AND value >= 10""")
+def q_typed_from_documents(spark, sf):
+    # VARIANT documents -> typed columns (schema inferred once), then a typed filter
+    docs = _event_docs(spark, sf)
+    typed = typed_from_documents(docs)
+    out = filter_docs(typed, [Cond("event_type", "==", "view"), Cond("value", ">=", "10")])
+    return flatten_doc(out, "_", keep=["entity"])

@@ -139,3 +139,17 @@ def test_entity_override_on_components(doc_d):
             short_code(doc_d, "s", "code", doc="doc", entity="kept")]
     assert [o.select("entity").first()[0] for o in outs] == ["kept"] * 5
     assert R.rename_field(doc_d, "s", "k", doc="doc").select("entity").first()[0] == "e"
+
+
+def test_documents_round_trip(spark):
+    from docweave.functions.documents import as_documents, struct_ddl, typed_from_documents
+    df = spark.createDataFrame([("e", 1, ("x", 2.5)), ("e", 2, None)],
+                               "entity string, id bigint, o struct<s:string, f:double>")
+    docs = as_documents(df)
+    assert docs.columns == ["entity", "doc"]
+    back = typed_from_documents(docs)
+    as_dicts = lambda d: sorted((r.asDict(recursive=True) for r in d.collect()), key=lambda x: x["id"])
+    assert as_dicts(back) == as_dicts(df)  # VARIANT keeps object keys sorted: compare by name
+    assert struct_ddl("OBJECT<a: DECIMAL(2,1), b: VOID>") == "STRUCT<a: DOUBLE, b: VARIANT>"
+    sampled = typed_from_documents(docs, sample_fraction=1.0)
+    assert sampled.count() == 2
