@@ -37,9 +37,15 @@ def _with_entity(df: DataFrame, entity: str | None) -> DataFrame:
     return df if entity is None else df.withColumn("entity", F.lit(entity))
 
 
-def _split(df: DataFrame, positive: Column, entity: str | None) -> Split:
-    yes = df.where(positive)
-    no = df.where(~total(positive))
+def _split(df: DataFrame, positive: Column, entity: str | None, persist: bool = False) -> Split:
+    if persist and not df.isStreaming:
+        # evaluate the predicate once, keep the routed rows, derive both outputs
+        routed = df.withColumn("__route", total(positive)).persist()
+        yes = routed.where(F.col("__route")).drop("__route")
+        no = routed.where(~F.col("__route")).drop("__route")
+    else:
+        yes = df.where(positive)
+        no = df.where(~total(positive))
     return Split(_with_entity(yes, entity), _with_entity(no, entity))
 
 
@@ -55,9 +61,13 @@ def split_predicate(df: DataFrame, field: str, operator: str, value: str,
 
 
 def split(df: DataFrame, field: str, operator: str, value: str, doc: str | None = None,
-          entity: str | None = None, coerce: bool = False) -> Split:
-    """Route by ``field operator value``."""
-    return _split(df, split_predicate(df, field, operator, value, doc, coerce), entity)
+          entity: str | None = None, coerce: bool = False, persist: bool = False) -> Split:
+    """Route by ``field operator value``.
+
+    ``persist=True`` (batch) evaluates the predicate once on a persisted copy
+    that both outputs read, instead of scanning the input twice.
+    """
+    return _split(df, split_predicate(df, field, operator, value, doc, coerce), entity, persist)
 
 
 def branch(df: DataFrame, field: str, operator: str, value: str, doc: str | None = None,
@@ -67,9 +77,10 @@ def branch(df: DataFrame, field: str, operator: str, value: str, doc: str | None
 
 def split_fields(df: DataFrame, field1: str, operator: str, field2: str,
                  doc: str | None = None, entity: str | None = None,
-                 coerce: bool = False) -> Split:
+                 coerce: bool = False, persist: bool = False) -> Split:
     """Route by comparing two fields of the same document (CF1-CF6)."""
-    return _split(df, fields_condition(df, field1, operator, field2, doc, coerce), entity)
+    return _split(df, fields_condition(df, field1, operator, field2, doc, coerce), entity,
+                  persist)
 
 
 def branch_fields(df: DataFrame, field1: str, operator: str, field2: str,
@@ -80,10 +91,11 @@ def branch_fields(df: DataFrame, field1: str, operator: str, field2: str,
 
 
 def split_exists(df: DataFrame, field: str, doc: str | None = None,
-                 entity: str | None = None, nested: bool = False) -> Split:
+                 entity: str | None = None, nested: bool = False,
+                 persist: bool = False) -> Split:
     """Route by "field present and not null" (E1-E3); a dot is literal unless ``nested``."""
     pred = exists_condition(df, field, doc, nested)
-    return _split(df, pred, entity)
+    return _split(df, pred, entity, persist)
 
 
 def branch_exists(df: DataFrame, field: str, doc: str | None = None,

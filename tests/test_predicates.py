@@ -117,3 +117,12 @@ def test_split_partitions_input(spark):
     assert s.yes.count() + s.no.count() == 100
     assert s.yes.join(s.no, "id").count() == 0
     assert {r.entity for r in s.yes.collect()} == {"big"}
+
+
+def test_split_persisted_once(spark):
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN NULL ELSE id END AS v")
+    a = split(df, "v", "<", "500")
+    b = split(df, "v", "<", "500", persist=True)
+    assert sorted(r.id for r in a.yes.collect()) == sorted(r.id for r in b.yes.collect())
+    assert sorted(r.id for r in a.no.collect()) == sorted(r.id for r in b.no.collect())
+    assert b.yes.columns == df.columns
