@@ -101,10 +101,11 @@ def _v_fail_or_false(cond_ok: Column, ref: P.FieldRef, op: str, on_error: str) -
 def as_double(ref: P.FieldRef) -> Column | None:
     """Double value of a field for numeric comparison; None if never numeric."""
     if ref.is_variant:
-        # numbers and numeric strings cast to double, objects/arrays give NULL;
-        # only booleans (which would cast to 1.0 / 0.0) are excluded by type
+        # numbers and numeric strings cast to double (one type test, one cast);
+        # booleans, objects, arrays and non-JSON kinds are not numeric
         v = ref.column
-        return F.when(~P.v_is_boolean(v), P.v_double(v))
+        return F.when(P.vtype(v).rlike(r"^(STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"),
+                      P.v_double(v))
     if ref.kind == P.NUMBER:
         return ref.column if ref.data_type.typeName() == "double" else ref.column.cast("double")
     if ref.kind == P.STRING:
@@ -155,16 +156,6 @@ def _present(ref: P.FieldRef) -> Column:
     return ref.column.isNotNull()
 
 
-def _json_scalar_text(text: str) -> bool:
-    """True if ``text`` could be how a non-string JSON value prints (5, true, {...})."""
-    import json
-    try:
-        json.loads(text)
-        return True
-    except ValueError:
-        return False
-
-
 def equals(ref: P.FieldRef, value: str, coerce: bool = False) -> Column:
     if coerce:
         num = as_double(ref)
@@ -176,9 +167,10 @@ def equals(ref: P.FieldRef, value: str, coerce: bool = False) -> Column:
             s = _string_value(ref)
             eq_num = num == F.lit(rhs)
             return eq_num if s is None else (eq_num | (s == F.lit(value)))
-    if ref.is_variant and not _json_scalar_text(str(value)):
-        # no number, boolean, object or array prints as this text: one extraction
-        return P.v_string(ref.column) == F.lit(str(value))
+    if ref.is_variant:
+        # compare the text first; the type test runs only for rows whose text
+        # already matches (a number 5 prints as "5" but is not the string "5")
+        return (P.v_string(ref.column) == F.lit(str(value))) & P.v_is_string(ref.column)
     s = _string_value(ref)
     if s is None:
         return F.lit(False)
