@@ -84,7 +84,8 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
                               f"{VAL} {return_type}")
     looked = broadcast_derived(looked, max_broadcast_rows, reliable=True)
     joined = base.join(looked, KEY, "left")
-    out = add_field(joined, save_to, F.col(VAL), doc)
+    # a failed lookup keeps the document as it was (no field), as the reference does
+    out = add_field(joined, save_to, F.col(VAL), doc, skip_null=True)
     return out.drop(KEY, VAL)
 
 
@@ -111,7 +112,7 @@ def _enrich_stream(base: DataFrame, save_to: str, fn: Callable, return_type: str
         yield from with_values()
 
     looked = base.mapInPandas(run, out_schema)
-    return add_field(looked, save_to, F.col(VAL), doc).drop(KEY, VAL)
+    return add_field(looked, save_to, F.col(VAL), doc, skip_null=True).drop(KEY, VAL)
 
 
 def _ddl_type(df: DataFrame, ddl: str) -> T.DataType:

@@ -116,12 +116,20 @@ def _v_set(obj: Column, parts: list[str], value_v: Column) -> Column:
     return F.to_variant_object(F.map_concat(kept, F.create_map(F.lit(key), new_val)))
 
 
-def add_field(df: DataFrame, path: str, value, doc: str | None = None) -> DataFrame:
-    """Add or overwrite the field at ``path``; missing parents are created."""
+def add_field(df: DataFrame, path: str, value, doc: str | None = None,
+              skip_null: bool = False) -> DataFrame:
+    """Add or overwrite the field at ``path``; missing parents are created.
+
+    ``skip_null=True`` (VARIANT mode) leaves a document unchanged where the
+    value is NULL, instead of storing a JSON null.
+    """
     parts = P.split_path(path)
     value = value if isinstance(value, Column) else F.lit(value)
     if doc is not None:
-        return df.withColumn(doc, _v_set(F.col(doc), parts, _to_variant(df, value)))
+        edited = _v_set(F.col(doc), parts, _to_variant(df, value))
+        if skip_null:
+            edited = F.when(value.isNull(), F.col(doc)).otherwise(edited)
+        return df.withColumn(doc, edited)
     if len(parts) == 1:
         return df.withColumn(parts[0], value)
     top = _field(df.schema, parts[0])

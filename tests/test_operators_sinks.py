@@ -163,3 +163,17 @@ def test_readme_envelope_example(spark, tmp_path):
     logged = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "logs")).collect()]
     want = spark.read.parquet(f"{SF01}/part.parquet").where("p_name LIKE '%widget%'").count()
     assert len(logged) == want and all("widget" in d["rsstitle"] and "title" not in d for d in logged)
+
+
+def test_enrich_failure_leaves_variant_doc_unchanged(spark):
+    docs = parse_documents(spark.createDataFrame([("e", '{"u":"bad"}'), ("e", '{"u":"ok"}')],
+                                                 "entity string, map string"))
+
+    def fn(keys):
+        if (keys == "bad").any():
+            raise RuntimeError("down")
+        return keys + "!"
+
+    out = {json.loads(r[0])["u"]: json.loads(r[0]) for r in
+           enrich(docs, "u", "short", fn, doc="doc").select(F.to_json("doc")).collect()}
+    assert out["bad"] == {"u": "bad"} and out["ok"] == {"u": "ok", "short": "ok!"}
