@@ -134,7 +134,13 @@ def numeric(ref: P.FieldRef, op: str, value: str | float, on_error: str = "false
     if num is None:
         return F.lit(False) if ref.missing else _unsupported(ref, op, on_error)
     rhs = value if isinstance(value, (int, float)) else java_double(value)
-    return _compare(num, op, F.lit(float(rhs)))
+    out = _compare(num, op, F.lit(float(rhs)))
+    if ref.is_variant and on_error == "fail":
+        # a present value that is not a number (boolean, object, "abc") fails the row
+        bad = P.v_present(ref.column) & num.isNull()
+        out = F.when(bad, F.raise_error(F.lit(f"operator {op}: field {ref.path} is not a number"))
+                     .cast("boolean")).otherwise(out)
+    return out
 
 
 # --- string equality -------------------------------------------------------

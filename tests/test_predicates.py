@@ -126,3 +126,14 @@ def test_split_persisted_once(spark):
     assert sorted(r.id for r in a.yes.collect()) == sorted(r.id for r in b.yes.collect())
     assert sorted(r.id for r in a.no.collect()) == sorted(r.id for r in b.no.collect())
     assert b.yes.columns == df.columns
+
+
+def test_numeric_on_boolean_fail_mode(doc_d, typed_d):
+    assert doc_d.select(total(condition(doc_d, Cond("b", "<", "10"), "doc"))).first()[0] is False
+    with pytest.raises(Exception):
+        doc_d.select(condition(doc_d, Cond("b", "<", "10"), "doc", on_error="fail")).collect()
+    with pytest.raises(ValueError):
+        condition(typed_d, Cond("b", "<", "10"), on_error="fail")
+    # numbers and numeric strings are fine in fail mode
+    ok = doc_d.select(condition(doc_d, Cond("s", "<", "10"), "doc", on_error="fail")).first()[0]
+    assert ok is True
