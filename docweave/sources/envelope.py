@@ -84,7 +84,9 @@ def classify_documents(df: DataFrame, map_col: str = MAP, doc: str = DOC,
 def split_malformed(df: DataFrame, map_col: str = MAP, doc: str = DOC) -> Split:
     """Good documents (JSON objects) and a dead letter for the rest.
 
-    The dead-letter rows keep their original text and get a ``reason``.
+    The dead-letter rows keep their original text and get a ``reason``.  Both
+    outputs read the input; ``classify_documents`` labels every record in one
+    pass when one output with a status column is enough.
     """
     parsed = df if doc in df.columns else parse_documents(df, map_col, doc)
     ok = F.coalesce(_is_object(F.col(doc)), F.lit(False))

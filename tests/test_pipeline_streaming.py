@@ -206,3 +206,28 @@ def test_new_items_stream_prunes_old_state(spark, tmp_path):
     q.awaitTermination()
     left = sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch="))
     assert 1 <= len(left) <= 2
+
+
+def test_batch_equals_stream_variant_chain(spark, tmp_path):
+    from docweave.functions.paths import get_field
+    from docweave.operators.reshape import flatten_doc, trim
+
+    def chain(ev):
+        docs = ev.select("event_id", F.to_variant_object(F.struct(
+            "event_type", "value", F.try_parse_json("props").alias("props"))).alias("doc"))
+        d = filter_docs(docs, [Cond("props.k", ">=", "20"), Cond("event_type", "!=", "error")],
+                        doc="doc")
+        d = rename_field(d, "props.k", "meta.k", doc="doc")
+        d = trim(d, ["meta.k", "value"], doc="doc")
+        d = flatten_doc(d, "_", doc="doc")
+        return d.select("event_id", get_field(d, "meta_k", "doc", "bigint").alias("k"),
+                        get_field(d, "value", "doc", "double").alias("value"))
+
+    batch = chain(spark.read.parquet(f"{SF01}/events.parquet"))
+    q = (chain(stream_table(spark, SF01, "events")).writeStream.format("parquet")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
+         .start(str(tmp_path / "out")))
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == batch.count() > 0
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
