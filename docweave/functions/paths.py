@@ -182,6 +182,21 @@ def v_double(v: Column) -> Column:
     return F.try_variant_get(v, "$", "double")
 
 
+def v_java_text(v: Column) -> Column:
+    """Text of a value as the reference prints a decoded JSON value.
+
+    JSON integers print as integers (also beyond a long); any other number
+    was a Java ``Double``, whose text Spark's double-to-string cast
+    reproduces (``2.0``, ``100.0``, ``1.0E-4``).  Strings print as themselves;
+    other kinds as their JSON text.
+    """
+    t = vtype(v)
+    return (F.when(t.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT)$"), v_string(v))
+            .when(t.rlike(r"^DECIMAL\((19|[2-9][0-9]|[1-9][0-9]{2}),0\)$"), v_string(v))
+            .when(t.rlike(r"^(DECIMAL|DOUBLE|FLOAT)"), v_double(v).cast("string"))
+            .otherwise(v_string(v)))
+
+
 def get_field(df: DataFrame, path: str, doc: str | None = None,
               data_type: str | T.DataType | None = None) -> Column:
     """Value at ``path`` as a Column (P9); VARIANT values cast with ``try_variant_get``."""

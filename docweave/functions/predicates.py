@@ -274,7 +274,7 @@ def regex_find(ref: P.FieldRef, pattern: str) -> Column:
     if ref.missing:
         return F.lit(False)
     if ref.is_variant:
-        text = F.when(P.v_present(ref.column), P.v_string(ref.column))
+        text = F.when(P.v_present(ref.column), P.v_java_text(ref.column))
     elif ref.kind == P.STRING:
         text = ref.column
     else:

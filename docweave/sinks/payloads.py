@@ -107,7 +107,7 @@ def _text(df: DataFrame, path: str | None, doc: str | None) -> Column | None:
     if ref.missing:
         return None
     if ref.is_variant:
-        return F.when(P.v_present(ref.column), P.v_string(ref.column))
+        return F.when(P.v_present(ref.column), P.v_java_text(ref.column))
     return ref.column.cast("string")
 
 

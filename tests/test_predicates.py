@@ -137,3 +137,15 @@ def test_numeric_on_boolean_fail_mode(doc_d, typed_d):
     # numbers and numeric strings are fine in fail mode
     ok = doc_d.select(condition(doc_d, Cond("s", "<", "10"), "doc", on_error="fail")).first()[0]
     assert ok is True
+
+
+def test_regex_sees_java_number_text(spark):
+    from docweave.sources.envelope import parse_documents
+    df = parse_documents(spark.createDataFrame(
+        [("e", '{"a":2.0,"b":2.50,"c":5,"d":0.0001,"e":1e2,"f":12345678901234567890}')],
+        "entity string, map string"))
+    checks = [("a", r"^2\.0$"), ("b", r"^2\.5$"), ("c", r"^5$"), ("d", r"^1\.0E-4$"),
+              ("e", r"^100\.0$"), ("f", r"^12345678901234567890$")]
+    row = df.select(*[total(condition(df, Cond(f, "RegexExpression", p), "doc")).alias(f)
+                      for f, p in checks]).first()
+    assert all(row[f] for f, _ in checks), row
