@@ -24,32 +24,47 @@ KEY = "__enrich_key"
 VAL = "__enrich_value"
 
 
+def _chunks(batches, size: int | None):
+    for pdf in batches:
+        if not size or len(pdf) <= size:
+            yield pdf
+        else:
+            for start in range(0, len(pdf), size):
+                yield pdf.iloc[start:start + size]
+
+
+def _call(fn: Callable, keys: pd.Series, client, with_client: bool,
+          vectorized: bool) -> pd.Series:
+    """Look up one chunk of keys; if the batch call fails, one key at a time (NULL on error)."""
+    if vectorized:
+        try:
+            out = fn(keys, client) if with_client else fn(keys)
+            return pd.Series(out, index=keys.index)
+        except Exception:  # noqa: BLE001 - fall back to single keys
+            pass
+    vals = []
+    for k in keys:
+        try:
+            if vectorized:
+                one = (fn(pd.Series([k]), client) if with_client else fn(pd.Series([k]))).iloc[0]
+            else:
+                one = fn(k, client) if with_client else fn(k)
+        except Exception:  # noqa: BLE001 - a failed key keeps the document without value
+            one = None
+        vals.append(one)
+    return pd.Series(vals, index=keys.index, dtype=object)
+
+
 def _lookup_batches(fn: Callable, vectorized: bool, client_factory: Callable | None,
-                    close: Callable | None):
+                    close: Callable | None, batch_size: int | None = None):
+    """``mapInPandas`` body over distinct keys: one client per task."""
     def run(batches):
         client = client_factory() if client_factory else None
         try:
-            for pdf in batches:
+            for pdf in _chunks(batches, batch_size):
                 keys = pdf[KEY]
-                out = None
-                if vectorized:
-                    try:
-                        out = pd.Series(fn(keys, client) if client_factory else fn(keys),
-                                        index=keys.index)
-                    except Exception:
-                        out = None  # fall back to one key at a time
-                if out is None:
-                    vals = []
-                    for k in keys:
-                        try:
-                            one = fn(pd.Series([k]), client) if vectorized and client_factory \
-                                else fn(pd.Series([k])) if vectorized \
-                                else fn(k, client) if client_factory else fn(k)
-                            vals.append(one.iloc[0] if vectorized else one)
-                        except Exception:
-                            vals.append(None)
-                    out = pd.Series(vals, index=keys.index, dtype=object)
-                yield pd.DataFrame({KEY: keys, VAL: out})
+                vals = _call(fn, keys, client, client_factory is not None, vectorized)
+                yield pd.DataFrame({KEY: keys, VAL: vals})
         finally:
             if close is not None and client is not None:
                 close(client)
@@ -60,9 +75,11 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
            return_type: str = "string", vectorized: bool = True,
            client_factory: Callable | None = None, close: Callable | None = None,
            doc: str | None = None, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-           entity: str | None = None) -> DataFrame:
+           entity: str | None = None, batch_size: int | None = None) -> DataFrame:
     """Store ``fn(value of field)`` at ``save_to`` (X1); ``entity`` overrides the record type.
 
+    ``batch_size`` caps the keys per call of ``fn`` (a remote service's batch limit).
+
     ``fn`` takes a pandas Series of distinct keys (``vectorized=True``) or one
     key, plus the client from ``client_factory`` when given.  The keyed
     results are joined back with a broadcast when their number is proven
@@ -77,9 +94,9 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
     base = df.withColumn(KEY, key)
     if df.isStreaming:
         return _enrich_stream(base, save_to, fn, return_type, vectorized, client_factory,
-                              close, doc)
+                              close, doc, batch_size)
     keys = base.select(KEY).where(F.col(KEY).isNotNull()).distinct()
-    looked = keys.mapInPandas(_lookup_batches(fn, vectorized, client_factory, close),
+    looked = keys.mapInPandas(_lookup_batches(fn, vectorized, client_factory, close, batch_size),
                               f"{KEY} {keys.schema[KEY].dataType.simpleString()}, "
                               f"{VAL} {return_type}")
     looked = broadcast_derived(looked, max_broadcast_rows, reliable=True)
@@ -91,25 +108,29 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
 
 def _enrich_stream(base: DataFrame, save_to: str, fn: Callable, return_type: str,
                    vectorized: bool, client_factory: Callable | None,
-                   close: Callable | None, doc: str | None) -> DataFrame:
+                   close: Callable | None, doc: str | None,
+                   batch_size: int | None = None) -> DataFrame:
     """Streaming form: look up the distinct keys of each Arrow batch, no join.
 
     A stream cannot be counted or checkpointed inside the plan, so every
     micro-batch looks its keys up where they are (one client per task).
     """
-    lookup = _lookup_batches(fn, vectorized, client_factory, close)
     fields = [f for f in base.schema.fields]
     out_schema = T.StructType(fields + [T.StructField(VAL, _ddl_type(base, return_type), True)])
 
     def run(batches):
-        def with_values():
+        client = client_factory() if client_factory else None
+        try:
             for pdf in batches:
-                uniq = pd.DataFrame({KEY: pdf[KEY].dropna().unique()})
-                found = next(iter(lookup(iter([uniq])))) if len(uniq) else \
-                    pd.DataFrame({KEY: [], VAL: []})
-                mapping = dict(zip(found[KEY], found[VAL]))
+                uniq = pd.Series(pdf[KEY].dropna().unique())
+                mapping = {}
+                for chunk in _chunks([uniq.to_frame(KEY)], batch_size):
+                    vals = _call(fn, chunk[KEY], client, client_factory is not None, vectorized)
+                    mapping.update(zip(chunk[KEY], vals))
                 yield pdf.assign(**{VAL: pdf[KEY].map(mapping)})
-        yield from with_values()
+        finally:
+            if close is not None and client is not None:
+                close(client)
 
     looked = base.mapInPandas(run, out_schema)
     return add_field(looked, save_to, F.col(VAL), doc, skip_null=True).drop(KEY, VAL)

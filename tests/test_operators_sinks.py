@@ -177,3 +177,23 @@ def test_enrich_failure_leaves_variant_doc_unchanged(spark):
     out = {json.loads(r[0])["u"]: json.loads(r[0]) for r in
            enrich(docs, "u", "short", fn, doc="doc").select(F.to_json("doc")).collect()}
     assert out["bad"] == {"u": "bad"} and out["ok"] == {"u": "ok", "short": "ok!"}
+
+
+def test_enrich_batch_size_caps_calls(spark):
+    df = spark.range(0, 50).selectExpr("id", "concat('k', id % 20) AS k").coalesce(1)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def fn(keys):
+        assert len(keys) <= 7
+        sizes.add(1)
+        return keys.str.upper()
+
+    out = enrich(df, "k", "up", fn, batch_size=7)
+    assert out.where("up = upper(k)").count() == 50
+    assert sizes.value >= 3
+
+
+def test_sample_random(spark):
+    from docweave.sources.social import sample_stream
+    n = sample_stream(spark.range(10000), None, 0.3, method="random").count()
+    assert 2500 < n < 3500
