@@ -69,8 +69,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     try:
+        # an input behind a shuffle is already spread; asking an adaptive plan
+        # for its RDD would run those stages early, so only scans are checked
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
         current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): leave it as it is
+    except Exception:  # no JVM plan view (e.g. a remote session): leave it as it is
         return df
     if current >= target:
         return df

@@ -197,3 +197,12 @@ def test_sample_random(spark):
     from docweave.sources.social import sample_stream
     n = sample_stream(spark.range(10000), None, 0.3, method="random").count()
     assert 2500 < n < 3500
+
+
+def test_spread_only_narrow_scans(spark):
+    from docweave.functions.sizing import spread
+    from conftest import SF01
+    scan = spark.read.parquet(f"{SF01}/events.parquet")
+    assert spread(scan, 8).rdd.getNumPartitions() == 8
+    grouped = scan.groupBy("user_id").count()
+    assert spread(grouped, 8) is grouped  # behind a shuffle: unchanged, nothing executed
