@@ -47,12 +47,26 @@ def read_kafka(spark: SparkSession, stream: bool = True, **options) -> DataFrame
     return decode_envelope(raw, "topic", "value")
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_documents(spark: SparkSession, path: str, entity: str = "document",
                    stream: bool = False, schema: str | None = None) -> DataFrame:
-    """One JSON document per line of text files -> envelope."""
+    """One JSON document per line of text files.
+
+    Without ``schema``: envelopes ``(entity, map)`` with the raw text (parse
+    with ``parse_documents``).  With a DDL ``schema``: typed columns read by
+    the JSON reader (pushdown and pruning apply), plus ``_corrupt_record``
+    holding the text of lines that do not parse -- nothing is dropped.
+    """
     reader = spark.readStream if stream else spark.read
-    raw = reader.text(path)
-    return raw.select(F.lit(entity).alias(ENTITY), F.col("value").alias(MAP))
+    if schema is None:
+        raw = reader.text(path)
+        return raw.select(F.lit(entity).alias(ENTITY), F.col("value").alias(MAP))
+    typed = (reader.schema(f"{schema}, {CORRUPT} string")
+             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+             .json(path))
+    return typed.select(F.lit(entity).alias(ENTITY), "*")
 
 
 def parse_documents(df: DataFrame, map_col: str = MAP, doc: str = DOC,

@@ -123,3 +123,14 @@ def test_dense_number_distributed(spark):
     out = dense_number(vals, "v", "seq", partitions=6)
     got = sorted((r.v, r.seq) for r in out.collect())
     assert [s for _, s in got] == list(range(1, len(got) + 1))
+
+
+def test_read_documents_text_and_typed(spark, tmp_path):
+    from docweave.sources.envelope import read_documents
+    (tmp_path / "d.json").write_text('{"a":1,"b":{"c":"x"}}\n{bad\n{"a":2}\n')
+    env = read_documents(spark, str(tmp_path), entity="tweet")
+    assert env.columns == ["entity", "map"] and env.count() == 3
+    typed = read_documents(spark, str(tmp_path), entity="tweet", schema="a bigint, b struct<c:string>")
+    rows = sorted(typed.collect(), key=lambda r: (r.a is None, r.a))
+    assert [r.a for r in rows] == [1, 2, None]
+    assert rows[2]["_corrupt_record"] == "{bad" and rows[0].b.c == "x"
