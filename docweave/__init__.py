@@ -26,7 +26,7 @@ from docweave.operators.routing import fan_out, merge, partition  # noqa: E402
 from docweave.operators.split import (Split, branch, branch_exists, branch_fields,  # noqa: E402
                                       split, split_exists, split_fields)
 from docweave.operators.user import flat_map_docs, map_batches, map_field  # noqa: E402
-from docweave.plans.pipeline import Edge, Pipeline  # noqa: E402
+from docweave.plans.dataflow import Edge, Dataflow  # noqa: E402
 from docweave.session import checkpoint_root, configure, get_session  # noqa: E402
 from docweave.sinks.payloads import (Widget, bars_payload, boxes_payload,  # noqa: E402
                                      map_payload, message_payload, timeline_payload)

@@ -27,7 +27,7 @@ from docweave.operators.reshape import (add_field, flatten_doc, remove_field, re
 from docweave.operators.routing import fan_out, merge, partition
 from docweave.operators.split import branch, branch_exists, branch_fields, split
 from docweave.operators.user import flat_map_docs
-from docweave.plans.pipeline import Pipeline
+from docweave.plans.dataflow import Dataflow
 from docweave.session import scratch_path
 from docweave.streaming.runner import new_items_stream, run_stream, stream_table
 from docweave.sinks.payloads import (bars_payload, boxes_payload, map_payload,
@@ -795,14 +795,14 @@ def q_flat_map_user(spark, sf):
     return flat_map_docs(docs, _lines, "doc_id bigint, line_no bigint, line string")
 
 
-# --- pipeline (G1) ---------------------------------------------------------------------------
+# --- dataflow wiring (G1) ---------------------------------------------------------------------------
 
-@query("pipeline_example", """
+@query("readme_example", """
 SELECT 'purchase' AS entity, event_id, user_id, event_type, value AS amount FROM events
 WHERE event_type = 'purchase' AND value > 100""")
-def q_pipeline_example(spark, sf):
-    out = scratch_path(spark, "pipeline-example")
-    p = (Pipeline()
+def q_readme_example(spark, sf):
+    out = scratch_path(spark, "readme-example")
+    p = (Dataflow()
          .source("events", lambda s: table(s, sf, "events")
                  .select("event_id", "user_id", "event_type", "value"))
          .transform("purchases", lambda df: filter_docs(
@@ -973,10 +973,10 @@ def q_track_keywords_variant(spark, sf):
     return out.select(get_field(out, "doc_id", "doc", "bigint").alias("doc_id"))
 
 
-@query("envelope_pipeline", """
+@query("envelope_chain", """
 SELECT 'event' AS entity, event_id, user_id, value AS amount, CAST(NULL AS VARCHAR) AS value
 FROM events WHERE event_type = 'purchase' AND value > 100""")
-def q_envelope_pipeline(spark, sf):
+def q_envelope_chain(spark, sf):
     # the reference's model end to end: JSON text envelopes in, JSON text envelopes out
     ev = table(spark, sf, "events", heavy=True).select("event_id", "user_id", "event_type",
                                                        "value")

@@ -1,8 +1,8 @@
 """Declarative wiring of sources, transforms and sinks.
 
-A pipeline is a small DAG of named nodes.  Sources make DataFrames, transforms
+A dataflow is a small DAG of named nodes.  Sources make DataFrames, transforms
 map DataFrames (a split returns ``Split`` and downstream edges pick ``yes`` or
-``no``), sinks consume them.  Building the pipeline only composes DataFrame
+``no``), sinks consume them.  Building the dataflow only composes DataFrame
 plans -- Catalyst sees the whole chain and fuses it into as few stages as the
 edges allow; an edge with a grouping adds exactly one exchange.
 
@@ -50,34 +50,34 @@ def _edge(e) -> Edge:
     return Edge(*e)
 
 
-class Pipeline:
+class Dataflow:
     def __init__(self) -> None:
         self._nodes: dict[str, _Node] = {}
 
-    def _add(self, node: _Node) -> Pipeline:
+    def _add(self, node: _Node) -> Dataflow:
         if node.name in self._nodes:
             raise ValueError(f"duplicate node name {node.name!r}")
         self._nodes[node.name] = node
         return self
 
     def source(self, name: str, fn: Callable[[SparkSession], DataFrame],
-               parallelism: int | None = None) -> Pipeline:
+               parallelism: int | None = None) -> Dataflow:
         return self._add(_Node(name, "source", fn, [], parallelism))
 
     def transform(self, name: str, fn: Callable[[DataFrame], DataFrame | Split],
-                  *inputs, parallelism: int | None = None) -> Pipeline:
+                  *inputs, parallelism: int | None = None) -> Dataflow:
         return self._add(_Node(name, "transform", fn, [_edge(e) for e in inputs], parallelism))
 
-    def sink(self, name: str, fn: Callable[[DataFrame], object], *inputs) -> Pipeline:
+    def sink(self, name: str, fn: Callable[[DataFrame], object], *inputs) -> Dataflow:
         return self._add(_Node(name, "sink", fn, [_edge(e) for e in inputs]))
 
     # -- checks ------------------------------------------------------------------
     def validate(self) -> list[str]:
         kinds = [n.kind for n in self._nodes.values()]
         if "source" not in kinds:
-            raise ValueError("a pipeline needs at least one source")
+            raise ValueError("a dataflow needs at least one source")
         if "sink" not in kinds:
-            raise ValueError("a pipeline needs at least one sink")
+            raise ValueError("a dataflow needs at least one sink")
         for n in self._nodes.values():
             if n.kind != "source" and not n.inputs:
                 raise ValueError(f"{n.kind} {n.name!r} has no input")
@@ -152,7 +152,7 @@ class Pipeline:
         return {n.name: n.fn(built[n.name]) for n in self._nodes.values() if n.kind == "sink"}
 
     def run_stream(self, spark: SparkSession, checkpoint: str, **trigger):
-        """Run the whole pipeline as one streaming query.
+        """Run the whole dataflow as one streaming query.
 
         The single streaming source is read once per micro-batch: inside
         ``foreachBatch`` the batch is persisted, the DAG is built on it, and

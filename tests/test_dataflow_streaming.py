@@ -1,4 +1,4 @@
-"""Pipeline wiring, batch = stream parity, incremental new items."""
+"""Dataflow wiring, batch = stream parity, incremental new items."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,32 +7,32 @@ from docweave.functions.predicates import Cond
 from docweave.operators.filter import filter_docs
 from docweave.operators.reshape import rename_field
 from docweave.operators.split import split
-from docweave.plans.pipeline import Edge, Pipeline
+from docweave.plans.dataflow import Edge, Dataflow
 from docweave.sources.feeds import new_items
 from docweave.streaming.runner import fan_out_stream, new_items_stream, stream_table
 
 from conftest import SF01
 
 
-def test_pipeline_rules(spark):
+def test_dataflow_rules(spark):
     with pytest.raises(ValueError):
-        Pipeline().source("s", lambda s: s.range(1)).validate()
+        Dataflow().source("s", lambda s: s.range(1)).validate()
     with pytest.raises(ValueError):
-        Pipeline().sink("k", lambda d: d).validate()
+        Dataflow().sink("k", lambda d: d).validate()
     with pytest.raises(ValueError):
-        (Pipeline().source("s", lambda s: s.range(1)).transform("t", lambda d: d)
+        (Dataflow().source("s", lambda s: s.range(1)).transform("t", lambda d: d)
          .sink("k", lambda d: d, "t")).validate()
     with pytest.raises(ValueError):
-        (Pipeline().source("s", lambda s: s.range(1))
+        (Dataflow().source("s", lambda s: s.range(1))
          .sink("k", lambda d: d, Edge("s", grouping="bogus"))).validate()
     with pytest.raises(ValueError):
-        (Pipeline().source("s", lambda s: s.range(1))
+        (Dataflow().source("s", lambda s: s.range(1))
          .transform("a", lambda d: d, "b").transform("b", lambda d: d, "a")
          .sink("k", lambda d: d, "a")).validate()
 
 
-def test_pipeline_split_streams_and_union(spark):
-    p = (Pipeline()
+def test_dataflow_split_streams_and_union(spark):
+    p = (Dataflow()
          .source("nums", lambda s: s.range(10).withColumnRenamed("id", "v"))
          .source("more", lambda s: s.range(100, 103).withColumnRenamed("id", "v"))
          .transform("big", lambda d: split(d, "v", ">=", "5"), "nums")
@@ -45,7 +45,7 @@ def test_pipeline_split_streams_and_union(spark):
 
 def test_readme_example(spark):
     ev = spark.read.parquet(f"{SF01}/events.parquet")
-    p = (Pipeline().source("events", lambda s: ev)
+    p = (Dataflow().source("events", lambda s: ev)
          .transform("f", lambda d: filter_docs(d, [Cond("event_type", "==", "purchase"),
                                                    Cond("value", ">", "100")]), "events")
          .transform("r", lambda d: rename_field(d, "value", "amount"), "f")
@@ -168,9 +168,9 @@ def test_run_stream_processing_time_ticks(spark, tmp_path):
     assert sum(rows) == 5 and ticks and ticks[0] == 0
 
 
-def test_pipeline_run_stream_reads_source_once(spark, tmp_path):
+def test_dataflow_run_stream_reads_source_once(spark, tmp_path):
     out = tmp_path / "out"
-    p = (Pipeline()
+    p = (Dataflow()
          .source("events", lambda s: stream_table(s, SF01, "events"))
          .source("nation", lambda s: s.read.parquet(f"{SF01}/nation.parquet"))
          .transform("big", lambda d: split(d, "value", ">", "100"), "events")
