@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import paths as P
 
+# The grouping names of the reference ("none": no exchange, ours).
 GROUPINGS = ("shuffle", "field", "global", "none")
 
 

@@ -73,6 +73,7 @@ def boxes_payload(df: DataFrame, boxes, doc: str | None = None,
                   keep: Sequence[str] = ()) -> DataFrame:
     """As ``bars_payload``; the widget takes three or four boxes (K3)."""
     ws = _widgets(boxes)
+    # The box widget takes three or four boxes.
     if not 3 <= len(ws) <= 4:
         raise ValueError("there must be three or four boxes")
     return _unpivot(df, ws, doc, keep)

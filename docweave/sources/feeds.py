@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from docweave.functions.sizing import DEFAULT_BROADCAST_ROWS, broadcast_derived
 
+# The record type of feed items, as the reference emits it.
 FEED_ENTITY = "rssItem"
 SEQ = "poll_seq"
 
@@ -33,8 +34,8 @@ def feed_schema(item_schema: str) -> str:
     return f"channel struct<item: array<struct<{item_schema}>>>"
 
 
-# Attributes become plain keys and the text of an element with attributes is
-# ``content``, as in the XML-to-JSON conversion the feeds were read with.
+# Attributes become plain keys and the text of an element with
+# attributes is ``content``, as in the XML-to-JSON conversion the feeds were read with.
 XML_OPTIONS = {"attributePrefix": "", "valueTag": "content", "ignoreSurroundingSpaces": "true"}
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import paths as P
 
+# The record type of status documents, as the reference emits it.
 TWEET_ENTITY = "tweet"
 SAMPLE_BUCKETS = 10_000
 
