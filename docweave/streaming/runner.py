@@ -21,13 +21,19 @@ from docweave.sources.feeds import SEQ, snapshot_diff
 
 def stream_table(spark: SparkSession, sf_dir: str, table: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream over ``<sf_dir>/<table>.parquet`` with the table's schema."""
+    """A file stream over ``<sf_dir>/<table>.parquet`` (one file or a folder of files)."""
     path = f"{sf_dir.rstrip('/')}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(sf_dir)
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(hpath).isDirectory():
+        return reader.parquet(path)  # a table stored as a folder of files
+    # a table stored as one file: stream its folder, keeping only that file
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def run_stream(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,

@@ -231,3 +231,14 @@ def test_batch_equals_stream_variant_chain(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == batch.count() > 0
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_stream_table_folder(spark, tmp_path):
+    spark.read.parquet(f"{SF01}/nation.parquet").repartition(3).write.parquet(
+        str(tmp_path / "nation.parquet"))
+    s = stream_table(spark, str(tmp_path), "nation", max_files_per_trigger=1)
+    seen = []
+    from docweave.streaming.runner import run_stream
+    q = run_stream(s, lambda b, i: seen.append(b.count()), str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination()
+    assert sum(seen) == 25 and len(seen) == 3
