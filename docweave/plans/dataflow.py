@@ -146,6 +146,14 @@ class Dataflow:
             built[name] = out
         return built
 
+    def explain(self, spark: SparkSession, mode: str = "formatted") -> None:
+        """Print the physical plan each sink would run (after Catalyst fused the nodes)."""
+        built = self.build(spark)
+        for n in self._nodes.values():
+            if n.kind == "sink":
+                print(f"== sink {n.name} ==")
+                built[n.name].explain(mode)
+
     def run(self, spark: SparkSession) -> dict[str, object]:
         """Build, then hand each sink its input; returns what each sink returned."""
         built = self.build(spark)

@@ -242,3 +242,12 @@ def test_stream_table_folder(spark, tmp_path):
     q = run_stream(s, lambda b, i: seen.append(b.count()), str(tmp_path / "ck"), available_now=True)
     q.awaitTermination()
     assert sum(seen) == 25 and len(seen) == 3
+
+
+def test_dataflow_explain(spark, capsys):
+    p = (Dataflow().source("events", lambda s: s.read.parquet(f"{SF01}/events.parquet"))
+         .transform("f", lambda d: filter_docs(d, [Cond("value", ">", "100")]), "events")
+         .sink("log", lambda d: d.count(), "f"))
+    p.explain(spark)
+    out = capsys.readouterr().out
+    assert "== sink log ==" in out
