@@ -251,3 +251,10 @@ def test_dataflow_explain(spark, capsys):
     p.explain(spark)
     out = capsys.readouterr().out
     assert "== sink log ==" in out
+
+
+def test_dataflow_parallelism(spark):
+    p = (Dataflow().source("nums", lambda s: s.range(100))
+         .transform("spread", lambda d: d.withColumn("x", F.col("id") * 2), "nums", parallelism=3)
+         .sink("parts", lambda d: d.rdd.getNumPartitions(), "spread"))
+    assert p.run(spark)["parts"] == 3
