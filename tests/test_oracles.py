@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001, SF01
+from conftest import SF01
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -34,7 +34,7 @@ def duck():
 
 
 def test_contract():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) == set(QUERIES)  # every registered query has a DuckDB oracle
     assert len(QUERIES) >= 60
 
 
@@ -56,7 +56,3 @@ def test_query_matches_oracle(spark, duck, name):
     assert len(srows) == len(drows)
     assert _bag(srows, cols) == _bag(drows, cols)
 
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF001).count() >= 0
