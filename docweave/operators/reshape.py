@@ -76,6 +76,49 @@ def _json_null() -> Column:
     return F.parse_json(F.lit("null"))
 
 
+def object_depth(variant_schema: str) -> int:
+    """Deepest chain of objects nested in objects in a ``schema_of_variant`` type.
+
+    Objects inside arrays do not count: arrays are leaves for flatten and trim.
+    """
+    stack: list[str] = []
+    best = 0
+    i = 0
+    while i < len(variant_schema):
+        if variant_schema.startswith("OBJECT<", i):
+            stack.append("O")
+            i += len("OBJECT<")
+            chain = 0
+            for kind in stack:  # objects from the root, until the first array
+                if kind != "O":
+                    break
+                chain += 1
+            best = max(best, chain)
+            continue
+        if variant_schema.startswith("ARRAY<", i):
+            stack.append("A")
+            i += len("ARRAY<")
+            continue
+        if variant_schema[i] == "`":  # quoted field name: skip to its closing quote
+            j = variant_schema.index("`", i + 1)
+            while j + 1 < len(variant_schema) and variant_schema[j + 1] == "`":
+                j = variant_schema.index("`", j + 2)
+            i = j + 1
+            continue
+        if variant_schema[i] == ">" and stack:
+            stack.pop()
+        i += 1
+    return best
+
+
+def _resolve_depth(df: DataFrame, doc: str, max_depth) -> int:
+    """``max_depth="auto"``: measure the documents once (one aggregation)."""
+    if max_depth != "auto":
+        return int(max_depth)
+    merged = df.select(F.schema_of_variant_agg(F.col(doc))).first()[0]
+    return max(1, object_depth(merged or ""))
+
+
 def _check_sep(sep: str) -> str:
     if not isinstance(sep, str) or len(sep) != 1 or sep == ".":
         raise ValueError(f"separator must be one character other than '.', got {sep!r}")
@@ -305,11 +348,14 @@ def flatten_doc(df: DataFrame, sep: str = "_", doc: str | None = None,
 
     Typed mode flattens all columns except those in ``keep`` (e.g. ``entity``),
     which pass through unchanged.  ``entity`` overrides the record type.
+    VARIANT mode expands ``max_depth`` levels (a deeper document raises);
+    ``max_depth="auto"`` measures the documents first with one aggregation.
     """
     _check_sep(sep)
     if entity is not None:
         return _entity(flatten_doc(df, sep, doc, keep, max_depth), entity)
     if doc is not None:
+        max_depth = _resolve_depth(df, doc, max_depth)
         tmp = "__flat_entries"
         # one projection per level, each reading the previous level's column: a
         # level past a document's depth costs one cheap type probe per entry
@@ -379,6 +425,8 @@ def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
     if entity is not None:
         return _entity(trim(df, fields, action, doc, keep, max_depth), entity)
     names = [str(f).strip() for f in fields]
+    if doc is not None:
+        max_depth = _resolve_depth(df, doc, max_depth)
     allows = not (action is not None and str(action).strip().lower() == "delete")
     if doc is not None:
         arr = F.array(*[F.lit(n) for n in names]).cast("array<string>")

@@ -153,3 +153,16 @@ def test_documents_round_trip(spark):
     assert struct_ddl("OBJECT<a: DECIMAL(2,1), b: VOID>") == "STRUCT<a: DOUBLE, b: VARIANT>"
     sampled = typed_from_documents(docs, sample_fraction=1.0)
     assert sampled.count() == 2
+
+
+def test_auto_depth(spark):
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"j":1}}}}}}}}},"l":[{"x":{"y":{"z":1}}}]}'
+    df = _docs(spark, deep, '{"k":1}')
+    assert R.object_depth("OBJECT<a: OBJECT<b: ARRAY<OBJECT<c: OBJECT<d: BIGINT>>>>, `x>y`: BIGINT>") == 2
+    with pytest.raises(Exception):
+        R.flatten_doc(df, "_", doc="doc").collect()  # 10 levels > default 8
+    out = {json.dumps(json.loads(r[0]), sort_keys=True) for r in
+           R.flatten_doc(df, "_", doc="doc", max_depth="auto").select(F.to_json("doc")).collect()}
+    assert '{"a_b_c_d_e_f_g_h_i_j": 1, "l": [{"x": {"y": {"z": 1}}}]}' in out
+    t = R.trim(df, ["a.b.c.d.e.f.g.h.i.j"], "delete", doc="doc", max_depth="auto")
+    assert {json.loads(r[0]).get("a") is None for r in t.select(F.to_json("doc")).collect()} == {True}
