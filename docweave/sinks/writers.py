@@ -15,7 +15,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.sources.envelope import to_envelope
@@ -23,6 +23,11 @@ from docweave.sources.envelope import to_envelope
 STATUS_SCHEMA = "payload string, ok boolean, attempts int, error string"
 
 
+def idempotency_key(payload: Column) -> Column:
+    """A stable key per payload (same text, same key, on every re-run)."""
+    return F.xxhash64(payload.cast("string"))
+
+
 def log_sink(df: DataFrame, path: str | None = None, doc: str | None = None,
              entity: str | None = None, checkpoint: str | None = None,
              mode: str = "append"):
@@ -84,8 +89,10 @@ def push_rows(df: DataFrame, client_factory: Callable, send: Callable,
     """Post every payload; one status row per payload (K6).
 
     Lazy like any DataFrame: write the result (e.g. the rows with
-    ``ok = false`` to a failure table) to run it.  In a stream, call it from
-    ``foreachBatch`` and make ``send`` idempotent on the batch id.
+    ``ok = false`` to a failure table) to run it.  Delivery is at-least-once:
+    a task re-run after a lost executor posts its payloads again, so the
+    receiver should de-duplicate on ``idempotency_key(payload)`` (or, in a
+    stream, on the batch id passed to ``foreachBatch``).
     """
     src = df.select(F.col(payload).cast("string").alias("payload"))
     return src.mapInPandas(_push_batches(client_factory, send, retries, backoff, close),

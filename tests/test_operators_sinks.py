@@ -206,3 +206,10 @@ def test_spread_only_narrow_scans(spark):
     assert spread(scan, 8).rdd.getNumPartitions() == 8
     grouped = scan.groupBy("user_id").count()
     assert spread(grouped, 8) is grouped  # behind a shuffle: unchanged, nothing executed
+
+
+def test_idempotency_key_stable(spark):
+    from docweave.sinks.writers import idempotency_key
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "payload string")
+    keys = [r.k for r in df.select(idempotency_key(F.col("payload")).alias("k")).collect()]
+    assert keys[0] == keys[1] != keys[2]
