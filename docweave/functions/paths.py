@@ -157,12 +157,6 @@ def v_is_string(v: Column) -> Column:
     return vtype(v) == F.lit("STRING")
 
 
-def v_is_number(v: Column) -> Column:
-    return vtype(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-
-
-def v_is_boolean(v: Column) -> Column:
-    return vtype(v) == F.lit("BOOLEAN")
 
 
 def v_is_array(v: Column) -> Column:

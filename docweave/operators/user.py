@@ -10,7 +10,6 @@ calls ``prepare`` once, feeds Arrow batches, and ``cleanup`` in ``finally``.
 
 from __future__ import annotations
 
-import traceback
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -95,7 +94,3 @@ def map_field(df: DataFrame, field: str, save_to: str, fn: Callable[[pd.Series],
     value = P.v_string(ref.column) if ref.is_variant else ref.column
     udf = F.pandas_udf(fn, return_type)
     return add_field(df, save_to, udf(value), doc)
-
-
-def format_error(exc: BaseException) -> str:
-    return "".join(traceback.format_exception_only(type(exc), exc)).strip()

@@ -73,12 +73,6 @@ def fan_out_stream(df: DataFrame, writers: Sequence[Callable[[DataFrame, int], N
     return run_stream(df, sink, checkpoint, **kwargs)
 
 
-def write_parquet_once(path: str) -> Callable[[DataFrame, int], None]:
-    """Idempotent micro-batch writer: each batch id goes to its own folder."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return sink
-
 
 def _drop_old_states(spark: SparkSession, root: str, keep_from: int) -> None:
     """Delete state snapshots of batches before ``keep_from`` (Hadoop FS, any store)."""
