@@ -366,7 +366,7 @@ def flatten_doc(df: DataFrame, sep: str = "_", doc: str | None = None,
                                        .otherwise(F.col(tmp)))
         return staged.withColumn(doc, _v_from_entries(F.col(doc), F.col(tmp), max_depth)) \
             .drop(tmp)
-    keep = list(keep)
+    keep = [k for k in keep if k in df.columns]
     body = T.StructType([f for f in df.schema.fields if f.name not in keep])
     return df.select(*[F.col(_q(k)) for k in keep], *flatten_columns(body, sep))
 
@@ -437,7 +437,7 @@ def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
                              .otherwise(F.col(doc)))
     listed = set(names)
     rule = (lambda p: p in listed) if allows else (lambda p: p not in listed)
-    keep = list(keep)
+    keep = [k for k in keep if k in df.columns]
     body = T.StructType([f for f in df.schema.fields if f.name not in keep])
     return df.select(*[F.col(_q(k)) for k in keep], *_typed_rebuild(None, body, [], rule))
 

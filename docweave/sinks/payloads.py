@@ -49,6 +49,7 @@ def _value(df: DataFrame, path: str, doc: str | None, literal: bool = False) ->
 
 def _unpivot(df: DataFrame, widgets: list[Widget], doc: str | None,
              keep: Sequence[str]) -> DataFrame:
+    keep = [k for k in keep if k in df.columns]
     vals = []
     for w in widgets:
         v = _value(df, w.field, doc, literal=True)  # top-level field, dots literal
@@ -83,6 +84,7 @@ def map_payload(df: DataFrame, lat: str, lon: str, fields: Sequence[str] = (),
                 widget_id: str = "", doc: str | None = None,
                 keep: Sequence[str] = ()) -> DataFrame:
     """``{"value": {"latitude", "longitude", <fields>}}`` per document (K4)."""
+    keep = [k for k in keep if k in df.columns]
     names = [f.strip() for f in fields]
     parts = [_value(df, lat, doc).alias("latitude"), _value(df, lon, doc).alias("longitude")]
     parts += [_value(df, f, doc).alias(f) for f in names]
@@ -122,6 +124,7 @@ def timeline_payload(df: DataFrame, content: str | None = None, title: str | Non
     without it the current UTC epoch second is used (``now`` overrides, for
     tests).  A part is present only when its field exists in the document.
     """
+    keep = [k for k in keep if k in df.columns]
     ts = _epoch_seconds(df, timestamp, doc) if timestamp else \
         (now if now is not None else F.unix_timestamp())
     parts = []
@@ -136,6 +139,7 @@ def timeline_payload(df: DataFrame, content: str | None = None, title: str | Non
 def message_payload(df: DataFrame, field: str, prefix: str = "", doc: str | None = None,
                     keep: Sequence[str] = ()) -> DataFrame:
     """Status text ``prefix + " " + field`` per document (K7); a null field prints ``null``."""
+    keep = [k for k in keep if k in df.columns]
     t = _text(df, field, doc)
     t = F.coalesce(t, F.lit("null")) if t is not None else F.lit("null")
     return df.select(*[F.col(k) for k in keep],

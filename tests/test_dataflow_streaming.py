@@ -258,3 +258,31 @@ def test_dataflow_parallelism(spark):
          .transform("spread", lambda d: d.withColumn("x", F.col("id") * 2), "nums", parallelism=3)
          .sink("parts", lambda d: d.rdd.getNumPartitions(), "spread"))
     assert p.run(spark)["parts"] == 3
+
+
+def test_components_from_parameters(spark):
+    from docweave.plans.components import component
+    from docweave.sources.envelope import to_envelope, with_documents
+    ev = spark.read.parquet(f"{SF01}/events.parquet").select("event_id", "event_type", "value")
+    flow = (Dataflow()
+            .source("events", lambda s: ev)
+            .transform("only", component("filter", {
+                "action": "permit", "match": "all", "entity": "purchase",
+                "conditions": [{"field": "event_type", "operator": "==", "value": "purchase"},
+                               {"field": "value", "operator": ">", "value": "100"}]}), "events")
+            .transform("big", component("conditional", {"field": "value", "operator": ">=",
+                                                        "value": "300"}), "only")
+            .transform("renamed", component("rename", {"find": "value", "replace": "amount"}),
+                       Edge("big", "no"))
+            .sink("out", lambda d: d.collect(), "renamed"))
+    rows = flow.run(spark)["out"]
+    want = ev.where("event_type = 'purchase' AND value > 100 AND value < 300").count()
+    assert len(rows) == want and {r.entity for r in rows} == {"purchase"}
+    assert "amount" in rows[0].asDict()
+    with pytest.raises(ValueError):
+        component("rename", {"find": "a"})
+    with pytest.raises(ValueError):
+        component("filter", {"conditions": [], "bogus": 1})
+    env = to_envelope(ev, entity="event")
+    flat = with_documents(env, component("flatten", {"separator": "-"}, doc="doc"))
+    assert flat.count() == ev.count()
