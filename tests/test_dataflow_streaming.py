@@ -286,3 +286,24 @@ def test_components_from_parameters(spark):
     env = to_envelope(ev, entity="event")
     flat = with_documents(env, component("flatten", {"separator": "-"}, doc="doc"))
     assert flat.count() == ev.count()
+
+
+@pytest.mark.parametrize("kind,params", [
+    ("conditional_fields", {"field1": "lo", "operator": "<", "field2": "hi"}),
+    ("exists", {"field": "name"}),
+    ("trim", {"action": "delete", "field": ["hi"]}),
+    ("short_url", {"field": "url", "saveTo": "short"}),
+    ("bars", {"bars": [{"label": "lo", "id": "w1", "field": "lo"}]}),
+    ("boxes", {"bars": [("a", "1", "lo"), ("b", "2", "hi"), ("c", "3", "lo")]}),
+    ("map", {"latField": "lo", "lonField": "hi", "field": ["name"], "id": "m"}),
+    ("timeline", {"contentField": "name", "id": "t"}),
+    ("message", {"fieldToTweet": "name", "customText": "Hi"}),
+])
+def test_every_component_kind_runs(spark, kind, params):
+    from docweave.operators.split import Split
+    from docweave.plans.components import component
+    df = spark.createDataFrame([("e", 1.0, 2.0, "n", "http://a")],
+                               "entity string, lo double, hi double, name string, url string")
+    out = component(kind, params)(df)
+    frames = [out.yes, out.no] if isinstance(out, Split) else [out]
+    assert sum(f.count() for f in frames) >= 1
