@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import prepare
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .simhash_dedup import op7_simhash_dedup
 
 
 def _prepared(fn):
@@ -17,6 +18,7 @@ def _prepared(fn):
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op4_exact_dedup,
+    op7_simhash_dedup,
 )}
 
 ORACLES = {
