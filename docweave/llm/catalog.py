@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import prepare
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language_id import op2_language_id
 from .simhash_dedup import op7_simhash_dedup
 
 
@@ -17,6 +18,7 @@ def _prepared(fn):
 
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
+    op2_language_id,
     op4_exact_dedup,
     op7_simhash_dedup,
 )}
