@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import prepare
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op2_language_id
+from .packing import op1_best_fit_packing
 from .simhash_dedup import op7_simhash_dedup
 
 
@@ -18,6 +19,7 @@ def _prepared(fn):
 
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
+    op1_best_fit_packing,
     op2_language_id,
     op4_exact_dedup,
     op7_simhash_dedup,
