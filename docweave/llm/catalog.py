@@ -5,7 +5,9 @@ from __future__ import annotations
 from .common import prepare
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op2_language_id
+from .mixing import op6_mixing
 from .packing import op1_best_fit_packing
+from .sharding import op3_sharding
 from .simhash_dedup import op7_simhash_dedup
 
 
@@ -21,7 +23,9 @@ def _prepared(fn):
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op1_best_fit_packing,
     op2_language_id,
+    op3_sharding,
     op4_exact_dedup,
+    op6_mixing,
     op7_simhash_dedup,
 )}
 
