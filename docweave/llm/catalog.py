@@ -9,6 +9,7 @@ from .mixing import op6_mixing
 from .packing import op1_best_fit_packing
 from .sharding import op3_sharding
 from .simhash_dedup import op7_simhash_dedup
+from .wavelet import op9_wavelet_output
 
 
 def _prepared(fn):
@@ -27,6 +28,7 @@ QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op4_exact_dedup,
     op6_mixing,
     op7_simhash_dedup,
+    op9_wavelet_output,
 )}
 
 ORACLES = {
