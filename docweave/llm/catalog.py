@@ -7,6 +7,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op2_language_id
 from .mixing import op6_mixing
 from .packing import op1_best_fit_packing
+from .quality import op10_quality_rules
 from .sharding import op3_sharding
 from .simhash_dedup import op7_simhash_dedup
 from .wavelet import op9_wavelet_output
@@ -29,6 +30,7 @@ QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op6_mixing,
     op7_simhash_dedup,
     op9_wavelet_output,
+    op10_quality_rules,
 )}
 
 ORACLES = {

@@ -13,8 +13,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.session import scratch_path
 
@@ -138,7 +139,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str, before=None, schema: T.StructType | None = None) -> DataFrame:
     """Add ``number``: 0, 1, 2, ... without gaps among the rows of each ``key``.
 
     No window over a key: every task numbers its own rows per key, the counts
@@ -146,11 +147,10 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     of its task.  So a key with a third of all rows stays spread over tasks.
     ``key`` is an int column without nulls and few distinct values per task.
     The rows are written once, so that both uses see the same numbering.
+    Given ``before`` (batches -> batches of ``schema``), the numbered rows are
+    what it makes of ``df``, in the same Python task.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField("task", T.IntegerType()),
+    schema = T.StructType([*(schema or df.schema).fields, T.StructField("task", T.IntegerType()),
                            T.StructField("local", T.LongType())])
 
     def number(batches):
@@ -158,7 +158,7 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
 
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for batch in batches:
+        for batch in before(batches) if before else batches:
             keys = batch.column(key).to_numpy(zero_copy_only=False)
             order = np.argsort(keys, kind="stable")
             values, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
@@ -174,9 +174,9 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
 
     rows = materialise(df.mapInArrow(number, schema), name)
     counts = rows.groupBy(key, "task").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(key), F.col("task"),
-                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+                           F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
     return (rows.join(starts, [key, "task"])
             .withColumn("number", F.col("begin") + F.col("local"))
             .drop("task", "local", "begin"))

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import numbered, pick, texts
 from .tokens import VOCABULARY, crc32, encoded
@@ -242,18 +243,16 @@ class Places:
                 self.offset[at] + nth % self.times[at] * length)
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False,
-               vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of the columns doc_id, text.
+def cut_pieces(docs: DataFrame, capacity: int, with_ids: bool, vocabulary: str):
+    """(batches of doc_id, text -> batches of pieces, their schema).
 
-    ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers.
+    ``doc_id, piece, start, length, ids_crc32, key`` (the length as int) and
+    ``ids``, little-endian unsigned 32-bit integers.
     """
-    from pyspark.sql import types as T
-
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
-        *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
+        T.StructField("key", T.IntegerType()), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def run(batches):
         for batch in batches:
@@ -272,9 +271,10 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                  pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                 *([pa.array(data, pa.binary())] if with_ids else [])], names=schema.names)
+                 pa.array(length, pa.int32()), *([pa.array(data, pa.binary())] if with_ids else [])],
+                names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return run, schema
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -287,15 +287,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row; sequences are gapless from offset 0; an empty table gives an empty
     table.
     """
-    pieces = cut_pieces(pick(docs, doc_id=id_col, text=text_col), capacity, with_ids, vocabulary)
-    rows = numbered(pieces.withColumn("key", F.col("length").cast("int")), "key", "pieces")
+    base = pick(docs, doc_id=id_col, text=text_col)
+    cut, schema = cut_pieces(base, capacity, with_ids, vocabulary)
+    rows = numbered(base, "key", "pieces", cut, schema)
     histogram = rows.groupBy("key").agg((F.max("number") + 1).alias("n")).collect()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in histogram:
         counts[r.key] = r.n
     places = docs.sparkSession.sparkContext.broadcast(Places(plan_sequences(counts, capacity)))
-    from pyspark.sql import types as T
-
     kept = [f for f in rows.schema.fields if f.name not in ("key", "number")]
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])

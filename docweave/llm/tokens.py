@@ -3,48 +3,32 @@
 The vocabulary's normaliser and splitter never look across a space or a line
 feed: white space only separates, and neither composition nor lower-casing
 crosses it.  So the ids of a text are the ids of its space-separated pieces in
-order.  A full stop or comma after a letter and before white space begins a
-piece of its own in the splitter too, so it is set apart first; and texts of
-Latin-1 characters are put in lower case first, as the normaliser does.  Each
-Python worker keeps the ids of the pieces it has met (at most ``CACHE`` of
-them); the tokenizer sees each piece once.
+order.  Each Python worker keeps where the ids of the pieces it has met lie (at
+most ``CACHE`` pieces).  A new piece is reduced before it goes to the
+tokenizer: Latin-1 letters to lower case, as the normaliser does, and a full
+stop or comma after a letter at its end apart, as the splitter does; so most
+new pieces are spellings of a word that is known already.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Distinct pieces, and characters in them, that a worker keeps; beyond either it starts anew.
-CACHE = 600_000
-CACHE_CHARS = 12_000_000
-
-
-#: A full stop or comma that ends a word.
-_CLOSING = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
-
-
-def pieces_of(text: str) -> list[str]:
-    """Pieces whose ids, one after the other, are those of ``text``."""
-    if "<|" not in text:  # special tokens are matched before lower-casing
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            pass
-        else:
-            text = text.lower()
-    return _CLOSING.sub(r" \1", text).replace("\n", " ").split(" ")
+#: Pieces, and characters in them, that a worker keeps; beyond either it starts anew with the next texts.
+CACHE = 1_000_000
+CACHE_CHARS = 16_000_000
 
 
 class PieceEncoder:
-    """Ids of texts; remembers the ids of pieces in one growing array."""
+    """Ids of texts; the ids of known pieces lie in one growing array."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -54,9 +38,10 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
+        self.number: dict[str, int] = {"": 0}  # of a piece
+        self.known = 1  # numbers given out; several pieces may share one
         self.chars = 0
-        self.begin = np.zeros(1 << 16, np.int64)  # of piece i: ids[begin[i]:begin[i + 1]]
+        self.begin = np.zeros(1 << 16, np.int64)  # of number i: ids[begin[i]:begin[i + 1]]
         self.ids = np.zeros(1 << 18, np.uint32)
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +57,8 @@ class PieceEncoder:
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter((i for ids in each for i in ids), np.uint32, int(lengths.sum())), lengths
 
-    def _add(self, pieces: list[str]) -> None:
-        if not pieces:
-            return
-        ids, lengths = self._encoded(pieces)
-        first = len(self.number)
-        need = first + len(pieces) + 1
+    def _store(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, need = self.known, self.known + len(pieces) + 1
         if need > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros(max(need, len(self.begin)), np.int64)])
         self.begin[first + 1:need] = self.begin[first] + np.cumsum(lengths)
@@ -86,33 +67,81 @@ class PieceEncoder:
             self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
         self.ids[self.begin[first]:end] = ids
         self.number.update(zip(pieces, range(first, need - 1), strict=True))
+        self.known += len(pieces)
         self.chars += sum(map(len, pieces))
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode words that are not known yet; runs of letters together."""
+        words = [p for p in pieces if p.isalpha()]
+        others = [p for p in pieces if not p.isalpha()]
+        for part in (words, others):
+            if part:
+                self._store(part, *self._encoded(part))
+
+    def _add(self, fresh: set[str]) -> None:
+        reduced, closed = {}, {}  # piece -> its word; piece -> (its word, closing sign)
+        for piece in fresh:
+            if "<|" in piece:  # special tokens are matched before lower-casing
+                reduced[piece] = piece
+                continue
+            word = piece
+            if piece[-1] in ".," and piece[-2:-1].isalpha():
+                word = piece[:-1]
+            if word.isascii() or _latin(word):
+                word = word.lower()
+            if len(word) < len(piece) and piece[-1] in ".,":
+                closed[piece] = (word, piece[-1])
+            else:
+                reduced[piece] = word
+        words = {*reduced.values(), *(w for w, _ in closed.values()), *(c for _, c in closed.values())}
+        self._learn(words.difference(self.number))
+        number = self.number
+        for piece, word in reduced.items():
+            number[piece] = number[word]
+        if closed:
+            word = np.fromiter((number[w] for w, _ in closed.values()), np.int64, len(closed))
+            sign = np.fromiter((number[c] for _, c in closed.values()), np.int64, len(closed))
+            ids, lengths = self._gather(np.stack([word, sign], axis=1).ravel())
+            self._store(list(closed), ids, lengths.reshape(-1, 2).sum(axis=1))
+
+    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces with these numbers in order, number of ids of each)."""
+        begin = self.begin[number]
+        lengths = self.begin[number + 1] - begin
+        # each id's place: its piece's begin plus its place within the piece
+        shift = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
+        shift += np.arange(len(shift))
+        return self.ids[shift], lengths
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order as uint32, number of ids of each text)."""
+        if len(self.number) > CACHE or self.chars > CACHE_CHARS:
+            self.clear()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = pieces_of(text)
+            own = text.replace("\n", " ").split(" ")
             counts[i] = len(own)
             pieces += own
-        fresh = set(pieces).difference(self.number)
-        if fresh:
-            if len(self.number) + len(fresh) > CACHE or self.chars > CACHE_CHARS:
-                self.clear()
-                fresh = set(pieces).difference(self.number)
-            self._add([p for p in fresh if p.isalpha()])
-            self._add([p for p in fresh if not p.isalpha()])
-        number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        begin = self.begin[number]
-        lengths = self.begin[number + 1] - begin
-        upto = np.cumsum(lengths)
-        # each id's place: its piece's begin plus its place within the piece
-        ids = self.ids[np.repeat(begin - (upto - lengths), lengths) + np.arange(int(lengths.sum()))]
-        ends = np.concatenate([[0], upto])[np.cumsum(counts)]
+        number = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(number < 0).tolist()
+        if unknown:
+            missing = [pieces[i] for i in unknown]
+            self._add(set(missing))
+            number[unknown] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
+        ids, lengths = self._gather(number)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY) -> PieceEncoder:
     """The worker's encoder of a vocabulary file."""
