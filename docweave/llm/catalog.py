@@ -7,6 +7,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op2_language_id
 from .mixing import op6_mixing
 from .packing import op1_best_fit_packing
+from .pii import op5_pii
 from .quality import op10_quality_rules
 from .sharding import op3_sharding
 from .simhash_dedup import op7_simhash_dedup
@@ -27,6 +28,7 @@ QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op2_language_id,
     op3_sharding,
     op4_exact_dedup,
+    op5_pii,
     op6_mixing,
     op7_simhash_dedup,
     op9_wavelet_output,
