@@ -11,6 +11,7 @@ from .pii import op5_pii
 from .quality import op10_quality_rules
 from .sharding import op3_sharding
 from .simhash_dedup import op7_simhash_dedup
+from .suffix_dedup import op8_suffix_dedup
 from .wavelet import op9_wavelet_output
 
 
@@ -31,6 +32,7 @@ QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op5_pii,
     op6_mixing,
     op7_simhash_dedup,
+    op8_suffix_dedup,
     op9_wavelet_output,
     op10_quality_rules,
 )}
