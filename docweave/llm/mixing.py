@@ -185,10 +185,8 @@ def learn_domains(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     # at most ``max_labelled`` rows of a few numbers
     rows = chosen.filter("not odd").select("domain", "text").mapInArrow(
         describe, "domain string, f array<double>").collect()
-    model.weights = fit_softmax(np.array([r.f for r in rows]).reshape(len(rows), -1),
+    model.weights = fit_softmax(np.array([r.f for r in rows]).reshape(len(rows), 2 * len(domains) + EXTRA),
                                 np.array([number[r.domain] for r in rows], np.int64), len(domains))
-    if not len(rows):
-        model.weights = np.zeros((2 * len(domains) + EXTRA, len(domains)))
     return model
 
 
