@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, pick, texts
+from .common import numbered, pick
 from .tokens import VOCABULARY, crc32, encoded
 
 CAPACITY = 4096
@@ -257,7 +257,7 @@ def cut_pieces(docs: DataFrame, capacity: int, with_ids: bool, vocabulary: str):
     def run(batches):
         for batch in batches:
             row, piece, start, length, crc, data = [], [], [], [], [], []
-            for i, ids in enumerate(encoded(texts(batch.column("text")), vocabulary)):
+            for i, ids in enumerate(encoded(batch.column("text"), vocabulary)):
                 whole = np.append(ids, np.uint32(END_ID))
                 for p, at in enumerate(range(0, len(whole), capacity)):
                     part = whole[at:at + capacity]

@@ -4,10 +4,11 @@ The vocabulary's normaliser and splitter never look across a space or a line
 feed: white space only separates, and neither composition nor lower-casing
 crosses it.  So the ids of a text are the ids of its space-separated pieces in
 order.  Each Python worker keeps where the ids of the pieces it has met lie (at
-most ``CACHE`` pieces).  A new piece is reduced before it goes to the
-tokenizer: Latin-1 letters to lower case, as the normaliser does, and a full
-stop or comma after a letter at its end apart, as the splitter does; so most
-new pieces are spellings of a word that is known already.
+most ``CACHE`` pieces), in arrays addressed by a 128-bit hash, so that all
+pieces of a batch are looked up at once.  A new piece is reduced before it goes
+to the tokenizer: Latin-1 letters to lower case, as the normaliser does, and a
+full stop or comma after a letter at its end apart, as the splitter does; so
+most new pieces are spellings of a word that is known already.
 """
 
 from __future__ import annotations
@@ -15,16 +16,72 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from .common import mixed, utf8_parts
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Pieces, and characters in them, that a worker keeps; beyond either it starts anew with the next texts.
-CACHE = 1_000_000
-CACHE_CHARS = 16_000_000
+#: Pieces whose ids a worker keeps; beyond that it starts anew with the next texts.
+CACHE = 1_500_000
+#: Words, and characters in them, that it keeps by name to recognise new spellings of them.
+WORDS = 400_000
+WORD_CHARS = 8_000_000
+#: Bytes and texts that are worked on at once (arrays that stay in a core's cache).
+STRETCH = 1 << 19
+STRETCH_TEXTS = 1 << 12
+#: Longer texts are encoded on their own, without the cache.
+LONG = 1 << 19
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(LONG + STRETCH_TEXTS + 2, b, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+class HashTable:
+    """128-bit keys to numbers, by open addressing; all operations take arrays."""
+
+    def __init__(self, slots: int):
+        self.mask = np.uint64(slots - 1)
+        self.key = np.zeros((2, slots), np.uint64)
+        self.number = np.full(slots, -1, np.int32)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of the keys (a, b); -1 where there is none."""
+        slot = (a & self.mask).astype(np.int64)
+        out = self.number[slot]
+        todo = np.flatnonzero((out >= 0) & ((self.key[0, slot] != a) | (self.key[1, slot] != b)))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
+            at = slot[todo]
+            out[todo] = self.number[at]
+            todo = todo[(out[todo] >= 0) & ((self.key[0, at] != a[todo]) | (self.key[1, at] != b[todo]))]
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, number: np.ndarray) -> None:
+        """Store keys that are distinct and not there yet."""
+        slot = (a & self.mask).astype(np.int64)
+        todo = np.arange(len(a))
+        while len(todo):
+            taken = self.number[slot[todo]] >= 0
+            free = todo[~taken]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.key[0, slot[put]], self.key[1, slot[put]] = a[put], b[put]
+            self.number[slot[put]] = number[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
 
 
 class PieceEncoder:
@@ -38,8 +95,10 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}  # of a piece
-        self.known = 1  # numbers given out; several pieces may share one
+        self.table = HashTable(1 << max(10, (CACHE * 5 // 4).bit_length()))
+        self.kept = 0  # pieces in the table
+        self.number: dict[str, int] = {}  # of a word
+        self.known = 0  # numbers given out
         self.chars = 0
         self.begin = np.zeros(1 << 16, np.int64)  # of number i: ids[begin[i]:begin[i + 1]]
         self.ids = np.zeros(1 << 18, np.uint32)
@@ -57,8 +116,9 @@ class PieceEncoder:
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter((i for ids in each for i in ids), np.uint32, int(lengths.sum())), lengths
 
-    def _store(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first, need = self.known, self.known + len(pieces) + 1
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Append ids; the numbers under which they are found."""
+        first, need = self.known, self.known + len(lengths) + 1
         if need > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros(max(need, len(self.begin)), np.int64)])
         self.begin[first + 1:need] = self.begin[first] + np.cumsum(lengths)
@@ -66,43 +126,38 @@ class PieceEncoder:
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
         self.ids[self.begin[first]:end] = ids
-        self.number.update(zip(pieces, range(first, need - 1), strict=True))
-        self.known += len(pieces)
-        self.chars += sum(map(len, pieces))
+        self.known = need - 1
+        return np.arange(first, self.known)
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Encode words that are not known yet; runs of letters together."""
-        words = [p for p in pieces if p.isalpha()]
-        others = [p for p in pieces if not p.isalpha()]
-        for part in (words, others):
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        for part in (letters, others):
             if part:
-                self._store(part, *self._encoded(part))
-
-    def _add(self, fresh: set[str]) -> None:
-        reduced, closed = {}, {}  # piece -> its word; piece -> (its word, closing sign)
-        for piece in fresh:
-            if "<|" in piece:  # special tokens are matched before lower-casing
-                reduced[piece] = piece
-                continue
-            word = piece
-            if piece[-1] in ".," and piece[-2:-1].isalpha():
-                word = piece[:-1]
-            if word.isascii() or _latin(word):
-                word = word.lower()
-            if len(word) < len(piece) and piece[-1] in ".,":
-                closed[piece] = (word, piece[-1])
-            else:
-                reduced[piece] = word
-        words = {*reduced.values(), *(w for w, _ in closed.values()), *(c for _, c in closed.values())}
-        self._learn(words.difference(self.number))
-        number = self.number
-        for piece, word in reduced.items():
-            number[piece] = number[word]
-        if closed:
-            word = np.fromiter((number[w] for w, _ in closed.values()), np.int64, len(closed))
-            sign = np.fromiter((number[c] for _, c in closed.values()), np.int64, len(closed))
-            ids, lengths = self._gather(np.stack([word, sign], axis=1).ravel())
-            self._store(list(closed), ids, lengths.reshape(-1, 2).sum(axis=1))
+                self.number.update(zip(part, self._store(*self._encoded(part)).tolist(), strict=True))
+                self.chars += sum(map(len, part))
+
+    def _add(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of new pieces."""
+        words, closing = [], []
+        for piece in pieces:
+            sign = ""
+            if "<|" not in piece:  # special tokens are matched before lower-casing
+                if piece[-1] in ".," and piece[-2:-1].isalpha():
+                    piece, sign = piece[:-1], piece[-1]
+                if piece.isascii() or _latin(piece):
+                    piece = piece.lower()
+            words.append(piece)
+            closing.append(sign)
+        self._learn({*words, ".", ","}.difference(self.number))
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        closed = np.array([bool(c) for c in closing], np.bool_)
+        if closed.any():
+            signs = np.array([self.number[c] for c in closing if c], np.int64)
+            ids, lengths = self._gather(np.stack([out[closed], signs], axis=1).ravel())
+            out[closed] = self._store(ids, lengths.reshape(-1, 2).sum(axis=1))
+        return out
 
     def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces with these numbers in order, number of ids of each)."""
@@ -113,25 +168,62 @@ class PieceEncoder:
         shift += np.arange(len(shift))
         return self.ids[shift], lengths
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order as uint32, number of ids of each text)."""
-        if len(self.number) > CACHE or self.chars > CACHE_CHARS:
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts between ``bounds`` in order as uint32, number of ids of each text)."""
+        if self.kept > CACHE:
             self.clear()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = text.replace("\n", " ").split(" ")
-            counts[i] = len(own)
-            pieces += own
-        number = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
-        unknown = np.flatnonzero(number < 0).tolist()
-        if unknown:
-            missing = [pieces[i] for i in unknown]
-            self._add(set(missing))
-            number[unknown] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
+        if len(self.number) > WORDS or self.chars > WORD_CHARS:
+            self.number, self.chars = {}, 0  # the ids of known pieces stay
+        n_rows = len(bounds) - 1
+        # a space before each text and at the end
+        padded = np.full(len(data) + n_rows + 1, 0x20, np.uint8)
+        row_of = np.repeat(np.arange(n_rows, dtype=np.int32), np.diff(bounds))
+        padded[np.arange(1, len(data) + 1) + row_of] = data
+        apart = (padded == 0x20) | (padded == 0x0A)
+        change = np.diff(apart.view(np.int8))
+        begin, end = np.flatnonzero(change == -1) + 1, np.flatnonzero(change == 1) + 1
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(n_rows, np.int64)
+        values = padded.astype(np.uint64) + np.uint64(1)
+        hashes = []
+        for base in _BASES:
+            up, down = _powers(base)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[:len(values)])])
+            hashes.append(mixed((sums[end] - sums[begin]) * up[begin]))
+        a, b = hashes
+        number = self.table.find(a, b).astype(np.int64)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            order = unknown[np.lexsort((b[unknown], a[unknown]))]
+            new = np.ones(len(order), np.bool_)
+            new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+            first = order[new]
+            whole = padded.tobytes()
+            added = self._add([whole[x:y].decode() for x, y in
+                               zip(begin[first].tolist(), end[first].tolist(), strict=True)])
+            number[order] = added[np.cumsum(new) - 1]
+            self.table.add(a[first], b[first], added)
+            self.kept += len(first)
         ids, lengths = self._gather(number)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-        return ids, np.diff(ends, prepend=0)
+        row = np.searchsorted(bounds[:-1] + np.arange(n_rows) + 1, begin, side="right") - 1
+        return ids, np.bincount(row, lengths, minlength=n_rows).astype(np.int64)
+
+    def encode_alone(self, text: str) -> np.ndarray:
+        """The ids of one very long text; its different pieces are encoded some at a time."""
+        pieces = text.replace("\n", " ").split(" ")
+        number = {piece: i for i, piece in enumerate(dict.fromkeys(pieces))}
+        each, lengths = [], []
+        different = list(number)
+        for at in range(0, len(different), 10_000):
+            ids, n = self._encoded([p or " " for p in different[at:at + 10_000]])
+            each.append(ids)
+            lengths.append(n)
+        size = np.concatenate(lengths)
+        begin = np.cumsum(size) - size
+        order = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        taken = size[order]
+        shift = np.repeat(begin[order] - (np.cumsum(taken) - taken), taken)
+        return np.concatenate(each)[shift + np.arange(len(shift))]
 
 
 def _latin(text: str) -> bool:
@@ -143,20 +235,23 @@ def _latin(text: str) -> bool:
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str = VOCABULARY) -> PieceEncoder:
+def encoder(vocabulary: str) -> PieceEncoder:
     """The worker's encoder of a vocabulary file."""
     return PieceEncoder(vocabulary)
 
 
-def encoded(texts: list[str], vocabulary: str = VOCABULARY) -> Iterator[np.ndarray]:
-    """The ids of each text; some million characters are encoded at a time."""
-    at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end]) <= 2_000_000):
-            chars += len(texts[end])
-            end += 1
-        ids, lengths = encoder(vocabulary).encode(texts[at:end])
+def encoded(column: pa.Array, vocabulary: str = VOCABULARY) -> Iterator[np.ndarray]:
+    """The ids of each text of an Arrow string column; null counts as empty."""
+    data, bounds = utf8_parts(column)
+    known, at = encoder(vocabulary), 0
+    while at < len(bounds) - 1:
+        if bounds[at + 1] - bounds[at] > LONG:
+            yield known.encode_alone(data[bounds[at]:bounds[at + 1]].tobytes().decode())
+            at += 1
+            continue
+        end = int(np.searchsorted(bounds, bounds[at] + STRETCH, side="right")) - 1  # as many texts as fit
+        end = max(at + 1, min(end, at + STRETCH_TEXTS))
+        ids, lengths = known.encode(data[bounds[at]:bounds[end]], bounds[at:end + 1] - bounds[at])
         yield from np.split(ids, np.cumsum(lengths)[:-1])
         at = end
 

@@ -1,9 +1,10 @@
 """Token ids in one wavelet-matrix file per shard.
 
-A shard holds the ids of whole documents one after the other.  Its wavelet
-matrix has one bit plane per bit of an id, highest first: plane l lists bit l
-of all ids in the order left by the planes above (ids with a 0 before those
-with a 1, stably).  Planes are cut into chunks of ``CHUNK_BITS`` bits; each
+A shard holds the ids of whole documents one after the other.  The shard's
+alphabet numbers its different ids by falling frequency; its wavelet matrix has
+one bit plane per bit of such a number, highest first: plane l lists bit l of
+all numbers in the order left by the planes above (those with a 0 before those
+with a 1, stably).  The upper planes are mostly zeros.  Planes are cut into chunks of ``CHUNK_BITS`` bits; each
 chunk is compressed on its own and the directory keeps the number of ones
 before it, so a query touches one chunk per plane:
 
@@ -14,7 +15,7 @@ before it, so a query touches one chunk per plane:
 
 File layout (little endian): 8 bytes magic; u32 length of the header; the
 header as JSON (numbers of ids and planes, zeros per plane, places of the
-sections); then per plane the directory (u64 ones before, u64 place, u32
+sections); then the alphabet (u32 each); then per plane the directory (u64 ones before, u64 place, u32
 bytes, for each chunk) and the chunks, and one section with the documents
 (Arrow IPC stream of id and number of ids).  Sections and chunks are zstd
 frames.
@@ -35,26 +36,75 @@ from pyspark.sql import functions as F
 
 from docweave.session import scratch_path
 
-from .common import materialise, pick, texts
-from .tokens import VOCABULARY, crc32, encoded, encoder
+from .common import materialise, pick
+from .tokens import VOCABULARY, crc32, encoded
 
 MAGIC = b"WAVELET1"
 END_ID = 2
 CHUNK_BITS = 1 << 15
 #: Ids of a shard; a document is never divided, so its last one may exceed this.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
+#: Values that are moved at once.
+BLOCK = 1 << 15
 _ENTRY = np.dtype([("ones", "<u8"), ("at", "<u8"), ("size", "<u4")])
 
 
-def build(ids: np.ndarray, documents: pa.RecordBatch, n_planes: int) -> bytes:
+def _parted(values: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The values whose bit is 0, then those whose bit is 1, in order; block by block, to stay in the cache."""
+    out = np.empty_like(values)
+    low, high = 0, len(values) - int(np.count_nonzero(one))
+    for at in range(0, len(values), BLOCK):
+        bits, part = one[at:at + BLOCK], values[at:at + BLOCK]
+        if not bits.any():
+            out[low:low + len(part)] = part
+            low += len(part)
+            continue
+        zeros, ones = part[np.flatnonzero(~bits)], part[np.flatnonzero(bits)]
+        out[low:low + len(zeros)] = zeros
+        out[high:high + len(ones)] = ones
+        low, high = low + len(zeros), high + len(ones)
+    return out
+
+
+def _joined(values: np.ndarray, one: np.ndarray, zeros: int) -> np.ndarray:
+    """The inverse of ``_parted``; the first ``zeros`` values have the bit 0."""
+    out = np.empty_like(values)
+    low, high = 0, zeros
+    for at in range(0, len(values), BLOCK):
+        bits, part = one[at:at + BLOCK], out[at:at + BLOCK]
+        if not bits.any():
+            part[:] = values[low:low + len(part)]
+            low += len(part)
+            continue
+        where = np.flatnonzero(~bits)
+        part[where] = values[low:low + len(where)]
+        low += len(where)
+        where = np.flatnonzero(bits)
+        part[where] = values[high:high + len(where)]
+        high += len(where)
+    return out
+
+
+def build(ids: np.ndarray, documents: pa.RecordBatch) -> bytes:
     """The file of ``ids``; ``documents`` lists the shard's documents in order."""
     pack = zstandard.ZstdCompressor(level=1).compress
     body = io.BytesIO()
+
+    def section(data: bytes) -> dict:
+        place = {"at": body.tell(), "size": len(data)}
+        body.write(data)
+        return place
+
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    alphabet = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)]
+    n_planes = max(1, (len(alphabet) - 1).bit_length())
+    symbol = np.zeros(len(counts), np.uint16 if n_planes <= 16 else np.uint32)
+    symbol[alphabet] = np.arange(len(alphabet))
+    head = {"ids": len(ids), "bits": n_planes, "alphabet": section(pack(alphabet.astype("<u4").tobytes()))}
+    now = symbol[ids]
     planes = []
-    now = ids.astype(np.uint16 if n_planes <= 16 else np.uint32)
     for plane in range(n_planes - 1, -1, -1):
-        bits = (now >> now.dtype.type(plane)) & now.dtype.type(1)
-        one = bits.astype(np.bool_)
+        one = (now & now.dtype.type(1 << plane)) != 0
         packed = np.packbits(one)
         step = CHUNK_BITS // 8
         n_chunks = -(-len(packed) // step)
@@ -64,20 +114,15 @@ def build(ids: np.ndarray, documents: pa.RecordBatch, n_planes: int) -> bytes:
         per_chunk = np.bitwise_count(padded).reshape(n_chunks, step).sum(axis=1, dtype=np.uint64)
         entries["ones"] = np.cumsum(per_chunk) - per_chunk
         for c in range(n_chunks):
-            frame = pack(packed[c * step:(c + 1) * step].tobytes())
-            entries[c]["at"], entries[c]["size"] = body.tell(), len(frame)
-            body.write(frame)
-        directory = pack(entries.tobytes())
-        planes.append({"zeros": int(len(now) - per_chunk.sum()), "at": body.tell(), "size": len(directory)})
-        body.write(directory)
-        now = np.concatenate([now[~one], now[one]])
+            place = section(pack(packed[c * step:(c + 1) * step].tobytes()))
+            entries[c]["at"], entries[c]["size"] = place["at"], place["size"]
+        planes.append({"zeros": int(len(now) - per_chunk.sum()), **section(pack(entries.tobytes()))})
+        now = _parted(now, one)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, documents.schema) as writer:
         writer.write_batch(documents)
-    docs = pack(sink.getvalue().to_pybytes())
-    header = json.dumps({"ids": len(ids), "bits": n_planes, "planes": planes,
-                         "documents": {"at": body.tell(), "size": len(docs)}}).encode()
-    body.write(docs)
+    head |= {"planes": planes, "documents": section(pack(sink.getvalue().to_pybytes()))}
+    header = json.dumps(head).encode()
     return MAGIC + np.uint32(len(header)).astype("<u4").tobytes() + header + body.getvalue()
 
 
@@ -94,6 +139,7 @@ class WaveletFile:
         self._zeros = [p["zeros"] for p in header["planes"]]
         self._directories = [np.frombuffer(self._section(p), _ENTRY) for p in header["planes"]]
         self._documents = header["documents"]
+        self.alphabet = np.frombuffer(self._section(header["alphabet"]), "<u4")
         self._chunk = lru_cache(maxsize=256)(self._read_chunk)
 
     def _section(self, place: dict) -> bytes:
@@ -131,14 +177,19 @@ class WaveletFile:
             bit, ones = self._bit(plane, i), self._ones(plane, i)
             value = value << 1 | bit
             i = self._zeros[plane] + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
+
+    def _symbol(self, value: int) -> int:
+        """The number of an id in the alphabet; -1 if it does not occur."""
+        found = np.flatnonzero(self.alphabet == value)
+        return int(found[0]) if len(found) else -1
 
-    def _range(self, value: int, end: int) -> tuple[int, int]:
-        """Where the occurrences of ``value`` before ``end`` lie below the last plane."""
+    def _range(self, symbol: int, end: int) -> tuple[int, int]:
+        """Where the occurrences of ``symbol`` before ``end`` lie below the last plane."""
         begin = 0
         for plane in range(self.n_planes):
             a, b = self._ones(plane, begin), self._ones(plane, end)
-            if value >> (self.n_planes - 1 - plane) & 1:
+            if symbol >> (self.n_planes - 1 - plane) & 1:
                 begin, end = self._zeros[plane] + a, self._zeros[plane] + b
             else:
                 begin, end = begin - a, end - b
@@ -146,9 +197,10 @@ class WaveletFile:
 
     def rank(self, value: int, i: int) -> int:
         """Occurrences of ``value`` before place ``i``."""
-        if not 0 <= value < 1 << self.n_planes:
+        symbol = self._symbol(value)
+        if symbol < 0:
             return 0
-        begin, end = self._range(value, min(max(i, 0), self.n_ids))
+        begin, end = self._range(symbol, min(max(i, 0), self.n_ids))
         return end - begin
 
     def count(self, value: int) -> int:
@@ -166,9 +218,10 @@ class WaveletFile:
         """Place of the k-th occurrence (from 0) of ``value``."""
         if not 0 <= k < self.count(value):
             raise IndexError(k)
-        at = self._range(value, self.n_ids)[0] + k
+        symbol = self._symbol(value)
+        at = self._range(symbol, self.n_ids)[0] + k
         for plane in range(self.n_planes - 1, -1, -1):
-            bit = value >> (self.n_planes - 1 - plane) & 1
+            bit = symbol >> (self.n_planes - 1 - plane) & 1
             at = self._find(plane, bit, at - self._zeros[plane] if bit else at)
         return at
 
@@ -178,12 +231,10 @@ class WaveletFile:
         for plane in range(self.n_planes - 1, -1, -1):
             packed = [self._read_chunk(plane, c) for c in range(len(self._directories[plane]))]
             one = np.unpackbits(np.concatenate([*packed, np.zeros(0, np.uint8)]))[:self.n_ids].astype(np.bool_)
-            above = np.empty_like(value)
             zeros = self._zeros[plane]
-            above[~one] = value[:zeros]
-            above[one] = value[zeros:] | value.dtype.type(1 << (self.n_planes - 1 - plane))
-            value = above
-        return value.astype(np.uint32)
+            value[zeros:] |= value.dtype.type(1 << (self.n_planes - 1 - plane))
+            value = _joined(value, one, zeros)
+        return self.alphabet[value] if self.n_ids else np.zeros(0, np.uint32)
 
 
 def _write(folder: str, name: str, data: bytes) -> None:
@@ -209,7 +260,6 @@ def write_shards(docs: DataFrame, folder: str, end_id: int = END_ID, shard_ids:
     from pyspark.sql import types as T
 
     id_field = docs.schema["doc_id"]
-    n_planes = max(1, (encoder(vocabulary).tokenizer.get_vocab_size() - 1).bit_length())
 
     def run(batches):
         from pyspark import TaskContext
@@ -225,7 +275,7 @@ def write_shards(docs: DataFrame, folder: str, end_id: int = END_ID, shard_ids:
             lengths = np.array([len(x) for x in held], np.int64)
             documents = pa.RecordBatch.from_arrays([pa.concat_arrays(names), pa.array(lengths)],
                                                    names=["doc_id", "n_ids"])
-            _write(folder, name, build(np.concatenate(held), documents, n_planes))
+            _write(folder, name, build(np.concatenate(held), documents))
             row = pa.RecordBatch.from_pylist([{"file": name, "task": task, "part": part, "n_docs": len(held),
                                                "n_ids": size}], schema)
             part, size = part + 1, 0
@@ -235,7 +285,7 @@ def write_shards(docs: DataFrame, folder: str, end_id: int = END_ID, shard_ids:
 
         for batch in batches:
             column = batch.column("doc_id")
-            for i, ids in enumerate(encoded(texts(batch.column("text")), vocabulary)):
+            for i, ids in enumerate(encoded(batch.column("text"), vocabulary)):
                 held.append(np.append(ids, np.uint32(end_id)))
                 names.append(column.slice(i, 1))
                 size += len(held[-1])
@@ -250,10 +300,11 @@ def write_shards(docs: DataFrame, folder: str, end_id: int = END_ID, shard_ids:
     placed = docs.withColumn("place", F.monotonically_increasing_id())
     ranged = (placed.repartitionByRange(F.col("doc_id"), F.col("place"))
               .sortWithinPartitions("doc_id", "place").select(F.col("doc_id").cast(id_field.dataType), "text"))
-    return materialise(ranged.mapInArrow(run, T.StructType([
+    manifest = ranged.mapInArrow(run, T.StructType([
         T.StructField("file", T.StringType()), T.StructField("task", T.IntegerType()),
         T.StructField("part", T.IntegerType()), T.StructField("n_docs", T.LongType()),
-        T.StructField("n_ids", T.LongType())])), "wavelet-manifest")
+        T.StructField("n_ids", T.LongType())]))
+    return materialise(manifest.repartition(1), "wavelet-manifest")  # one short row per file
 
 
 def read_documents(spark: SparkSession, folder: str, manifest: DataFrame, id_type) -> DataFrame:

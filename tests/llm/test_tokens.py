@@ -1,6 +1,7 @@
 """Ids by pieces equal the ids of whole texts."""
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -10,20 +11,48 @@ from docweave.llm import tokens
 WHOLE = Tokenizer.from_file(tokens.VOCABULARY)
 
 
+def whole(texts):
+    return [WHOLE.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x0b\x1c\x85\xa0#'sé̀ΣAé<|>endoftext12"), st.characters(codec="utf-8")),
-               max_size=60))
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x0b\x1c\x85\xa0#'se\u0301\u0300\u03a3A\u00e9<|>endoftext12.,"),
+                                  st.characters(codec="utf-8")), max_size=60))
 def test_pieces_equal_whole(text):
-    texts = [text, "", text[::-1]]
-    assert [x.tolist() for x in tokens.encoded(texts)] == [
-        WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = [text, "", None, text[::-1], f"A{text}. a{text},", text + "\n" + text]
+    assert [x.tolist() for x in tokens.encoded(pa.array(texts))] == whole(texts)
 
 
-def test_cache_starts_anew(monkeypatch):
+def test_cache_starts_anew_and_long_texts(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 50)
-    enc = tokens.PieceEncoder(tokens.VOCABULARY)
+    monkeypatch.setattr(tokens, "STRETCH", 500)
+    monkeypatch.setattr(tokens, "STRETCH_TEXTS", 3)
+    monkeypatch.setattr(tokens, "LONG", 2000)
+    tokens._powers.cache_clear()
+    tokens.encoder.cache_clear()
     rng = np.random.default_rng(0)
     for _ in range(40):
-        text = " ".join(f"word{i}x<|endoftext|>" for i in rng.integers(0, 200, 30).tolist())
-        assert enc.encode([text])[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
-        assert len(enc.number) <= 160
+        texts = [" ".join(f"Word{chr(97 + i % 26) * (i // 26)}{rng.choice(['', '.', ',', '..', '<|endoftext|>'])}"
+                          for i in rng.integers(0, 200, int(rng.integers(0, 90))).tolist()) for _ in range(5)]
+        assert [x.tolist() for x in tokens.encoded(pa.array(texts))] == whole(texts)
+        assert tokens.encoder(tokens.VOCABULARY).kept < 600
+    text = "Long  text, of. words\n" * 500 + "x" * 3000 + "\u00e9"
+    assert [x.tolist() for x in tokens.encoded(pa.array([text, "a", text]))] == whole([text, "a", text])
+    tokens.encoder.cache_clear()
+    tokens._powers.cache_clear()
+
+
+def test_sliced_column():
+    column = pa.array(["a b", None, "c. d", "e"]).slice(1, 3)
+    assert [x.tolist() for x in tokens.encoded(column)] == whole([None, "c. d", "e"])
+
+
+def test_hash_table():
+    table = tokens.HashTable(64)
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 8, 40).astype(np.uint64)  # many share a slot
+    b = np.arange(40).astype(np.uint64)
+    table.add(a[:20], b[:20], np.arange(20))
+    table.add(a[20:], b[20:], np.arange(20, 40))
+    assert table.find(a, b).tolist() == list(range(40))
+    assert table.find(a, b + np.uint64(100)).tolist() == [-1] * 40

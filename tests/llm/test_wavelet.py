@@ -15,7 +15,7 @@ def test_queries(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(49_407, rng.zipf(1.3, n)).astype(np.uint32) if n else np.zeros(0, np.uint32)
     docs = pa.RecordBatch.from_arrays([pa.array([5, None]), pa.array([n, 0])], names=["doc_id", "n_ids"])
-    f = W.WaveletFile(W.build(ids, docs, 16))
+    f = W.WaveletFile(W.build(ids, docs))
     assert (f.ids() == ids).all() and f.documents().column("doc_id").to_pylist() == [5, None]
     for i in rng.integers(0, n, 20).tolist() if n else []:
         assert f.access(i) == ids[i]
@@ -32,7 +32,7 @@ def test_queries(n):
 def test_wide_ids():
     ids = np.array([1 << 19, 5, 1 << 19, 0], np.uint32)
     docs = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([4])], names=["doc_id", "n_ids"])
-    f = W.WaveletFile(W.build(ids, docs, 20))
+    f = W.WaveletFile(W.build(ids, docs))
     assert f.ids().tolist() == ids.tolist() and f.select(1 << 19, 1) == 2
 
 
