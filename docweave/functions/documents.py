@@ -28,11 +28,26 @@ def struct_ddl(variant_schema: str) -> str:
     """Turn a ``schema_of_variant`` type into a ``variant_get`` target type.
 
     Objects become structs; decimals become doubles (JSON numbers, and a
-    sampled precision may be too narrow); JSON null becomes VARIANT.
+    sampled precision may be too narrow), but integers beyond 64 bits stay
+    decimals; JSON null becomes VARIANT.  Field names, quoted or plain, stay as
+    they are, whatever they spell.
     """
-    out = variant_schema.replace("OBJECT<", "STRUCT<")
-    out = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", out)
-    return re.sub(r"\bVOID\b", "VARIANT", out)
+    out: list[str] = []
+    # a quoted name, or a plain one before its colon, or a type
+    for quoted, name, word, rest in re.findall(
+            r"(`(?:[^`]|``)*`\s*:)|([^\s<>,:`()]+\s*:)|([A-Z_]+(?:\(\d+,\s*\d+\))?)|(.)", variant_schema, re.S):
+        if quoted or name:
+            out.append(quoted or f"`{name.rstrip(': ')}`:")
+        elif word == "OBJECT":
+            out.append("STRUCT")
+        elif word == "VOID":
+            out.append("VARIANT")
+        elif word.startswith("DECIMAL("):
+            digits, scale = (int(x) for x in word[8:-1].split(","))
+            out.append(word if scale == 0 and digits > 18 else "DOUBLE")
+        else:
+            out.append(word or rest)
+    return "".join(out)
 
 
 def variant_schema(df: DataFrame, doc: str = "doc", sample_fraction: float | None = None,

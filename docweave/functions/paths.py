@@ -157,10 +157,9 @@ def v_is_string(v: Column) -> Column:
     return vtype(v) == F.lit("STRING")
 
 
-
-
 def v_is_array(v: Column) -> Column:
-    return vtype(v).startswith("ARRAY")
+    # reading the elements as VARIANT does not decode them
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def v_is_object(v: Column) -> Column:

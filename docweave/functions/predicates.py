@@ -101,11 +101,12 @@ def _v_fail_or_false(cond_ok: Column, ref: P.FieldRef, op: str, on_error: str) -
 def as_double(ref: P.FieldRef) -> Column | None:
     """Double value of a field for numeric comparison; None if never numeric."""
     if ref.is_variant:
-        # numbers and numeric strings cast to double (one type test, one cast);
-        # booleans, objects, arrays and non-JSON kinds are not numeric
+        # numbers and numeric strings cast to double, objects and arrays do not; booleans
+        # and times would, but are not numeric
         v = ref.column
-        return F.when(P.vtype(v).rlike(r"^(STRING|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"),
-                      P.v_double(v))
+        number = P.v_double(v)
+        return F.when(number.isNotNull() & ~P.vtype(v).isin(
+            "BOOLEAN", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ"), number)
     if ref.kind == P.NUMBER:
         return ref.column if ref.data_type.typeName() == "double" else ref.column.cast("double")
     if ref.kind == P.STRING:
@@ -200,12 +201,24 @@ def full_match_pattern(pattern: Column) -> Column:
     return F.concat(F.lit("\\A(?:"), pattern, F.lit(")\\z"))
 
 
+def pattern_matches(pattern: Column, text: Column, on_error: str = "false") -> Column:
+    """Does a regex that comes from the data match the whole text?
+
+    A bad pattern gives NULL under ``on_error="false"`` and fails the row
+    under ``"fail"``.
+    """
+    if on_error == "fail":
+        return F.regexp_like(text, full_match_pattern(pattern))
+    found = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), pattern, text)
+    return F.when(pattern.isNotNull() & text.isNotNull(), found == F.lit("true"))
+
+
 def field_is_regex(ref: P.FieldRef, text: str, on_error: str = "false") -> Column:
     """``match``: the field's string is the pattern, ``text`` must match fully."""
     s = _string_value(ref)
     if s is None:
         return F.lit(False) if ref.missing else _unsupported(ref, "match", on_error)
-    out = F.regexp_like(F.lit(text), full_match_pattern(s))
+    out = pattern_matches(s, F.lit(text), on_error)
     if ref.is_variant and on_error == "fail":
         out = F.coalesce(out, _v_fail_or_false(P.v_is_string(ref.column), ref, "match", on_error))
     return out
@@ -375,7 +388,7 @@ def fields_condition(df: DataFrame, field1: str, op: str, field2: str,
     text = _string_value(r2)
     if text is None:
         return F.lit(False)
-    return F.regexp_like(text, full_match_pattern(pattern))
+    return pattern_matches(pattern, text)
 
 
 def exists_condition(df: DataFrame, field: str, doc: str | None = None,

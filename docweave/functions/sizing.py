@@ -1,10 +1,10 @@
 """Size checks before a broadcast.
 
-A side is broadcast only when a bounded action proves it small:
-``limit(max_rows + 1).count()`` reads at most ``max_rows + 1`` rows, so the
-check itself stays cheap when the side turns out to be large.  Beyond the
-bound the plain DataFrame is returned and Spark plans a shuffle join (AQE may
-still switch to a broadcast from runtime statistics, and splits skewed
+A side is broadcast only when a bounded action proves it small, in rows *and*
+in bytes: at most ``max_rows + 1`` rows are read and their text is measured, so
+the check itself stays cheap when the side turns out to be large.  Beyond
+either bound the plain DataFrame is returned and Spark plans a shuffle join
+(AQE may still switch to a broadcast from runtime statistics, and splits skewed
 partitions).
 """
 
@@ -12,8 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> int | None:
@@ -22,39 +24,56 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> int | None:
     return n if n <= max_rows else None
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` holds at most ``max_rows`` rows, else ``df``.
+def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """Has ``df`` at most ``max_rows`` rows and about ``max_bytes`` bytes? (one bounded scan)
 
-    For a side read from storage (a mapping table): the bounded count reads
+    Strings and binaries count by their length, nested values by their JSON
+    text, other columns as eight bytes.
+    """
+    if max_rows <= 0:
+        return False
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = F.octet_length(c)
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+            width = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            width = F.lit(8)
+        size = size + F.coalesce(width, F.lit(0)) + 8
+    n, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and total <= max_bytes
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                    max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when ``df`` is proven small, else ``df``.
+
+    For a side read from storage (a mapping table): the bounded check reads
     only that side.  A side *derived* from a large input goes through
     ``broadcast_derived`` instead, so the derivation is not run twice.
     """
-    if max_rows <= 0:
-        return df
-    return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
 
 
 def broadcast_derived(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      reliable: bool = False) -> DataFrame:
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Materialise a derived side once, then broadcast it if it is small.
 
-    ``reliable=True`` writes a checkpoint to the shared checkpoint folder
-    (lineage cut: lost executors do not repeat the work -- use it when the
-    derivation has side effects such as remote lookups); otherwise the side
-    is persisted (memory and disk) and recomputed from lineage if lost.
+    The checkpoint in the shared checkpoint folder cuts the lineage, so lost
+    executors do not repeat the work (nor remote lookups), and nothing stays
+    cached.
     """
-    if reliable:
-        from docweave.session import checkpoint_root
-        checkpoint_root(df.sparkSession)
-        side = df.checkpoint(eager=True)
-    else:
-        side = df.persist()
-    n = side.count()
-    return F.broadcast(side) if 0 < max_rows and n <= max_rows else side
+    from docweave.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return sized_broadcast(df.checkpoint(eager=True), max_rows, max_bytes)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a narrow input over the cluster before CPU-heavy per-row work.
+    """Spread a narrow input over the cluster before CPU-heavy per-row work (opt-in).
+
+    No operator calls this by itself.
 
     A small table stored as one file with one row group is scanned by a
     single task; per-row work on it (VARIANT edits, XML parsing, regexes,

@@ -8,12 +8,14 @@ and joined back.  A key whose lookup fails gets NULL; the document is kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docweave.functions import paths as P
 from docweave.functions.sizing import (DEFAULT_BROADCAST_ROWS, broadcast_derived,
@@ -22,6 +24,8 @@ from docweave.operators.reshape import add_field
 
 KEY = "__enrich_key"
 VAL = "__enrich_value"
+#: Keys whose values a streaming task remembers; beyond that it starts anew.
+STREAM_KEYS = 100_000
 
 
 def _chunks(batches, size: int | None):
@@ -93,51 +97,54 @@ def enrich(df: DataFrame, field: str, save_to: str, fn: Callable,
     key = P.v_string(ref.column) if ref.is_variant else ref.column
     base = df.withColumn(KEY, key)
     if df.isStreaming:
-        return _enrich_stream(base, save_to, fn, return_type, vectorized, client_factory,
-                              close, doc, batch_size)
+        value = _stream_lookup(fn, return_type, vectorized, client_factory, close, batch_size)(key)
+        return add_field(df.withColumn(VAL, value), save_to, F.col(VAL), doc, skip_null=True).drop(VAL)
     keys = base.select(KEY).where(F.col(KEY).isNotNull()).distinct()
     looked = keys.mapInPandas(_lookup_batches(fn, vectorized, client_factory, close, batch_size),
                               f"{KEY} {keys.schema[KEY].dataType.simpleString()}, "
                               f"{VAL} {return_type}")
-    looked = broadcast_derived(looked, max_broadcast_rows, reliable=True)
+    looked = broadcast_derived(looked, max_broadcast_rows)
     joined = base.join(looked, KEY, "left")
-    # a failed lookup keeps the document as it was (no field), as the reference does
+    # a failed lookup keeps the document as it was, as the reference does
     out = add_field(joined, save_to, F.col(VAL), doc, skip_null=True)
     return out.drop(KEY, VAL)
 
 
-def _enrich_stream(base: DataFrame, save_to: str, fn: Callable, return_type: str,
-                   vectorized: bool, client_factory: Callable | None,
-                   close: Callable | None, doc: str | None,
-                   batch_size: int | None = None) -> DataFrame:
-    """Streaming form: look up the distinct keys of each Arrow batch, no join.
+def _stream_lookup(fn: Callable, return_type: str, vectorized: bool, client_factory: Callable | None,
+                   close: Callable | None, batch_size: int | None):
+    """Streaming form: an Arrow UDF over the key column alone, one client per task.
 
-    A stream cannot be counted or checkpointed inside the plan, so every
-    micro-batch looks its keys up where they are (one client per task).
+    A stream cannot be counted or checkpointed inside the plan, so keys are
+    looked up where they are, each once per task.  The other columns do not
+    leave the JVM.
     """
-    fields = [f for f in base.schema.fields]
-    out_schema = T.StructType(fields + [T.StructField(VAL, _ddl_type(base, return_type), True)])
-
-    def run(batches):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         client = client_factory() if client_factory else None
+        known: dict = {}
         try:
-            for pdf in batches:
-                uniq = pd.Series(pdf[KEY].dropna().unique())
-                mapping = {}
-                for chunk in _chunks([uniq.to_frame(KEY)], batch_size):
-                    vals = _call(fn, chunk[KEY], client, client_factory is not None, vectorized)
-                    mapping.update(zip(chunk[KEY], vals))
-                yield pdf.assign(**{VAL: pdf[KEY].map(mapping)})
+            for column in columns:
+                keys = column.to_pylist()
+                fresh = [k for k in dict.fromkeys(keys) if k is not None and k not in known]
+                for chunk in _chunks([pd.DataFrame({KEY: pd.Series(fresh, dtype=_dtype(column.type))})],
+                                     batch_size) if fresh else ():
+                    values = _call(fn, chunk[KEY], client, client_factory is not None, vectorized)
+                    known.update(zip(chunk[KEY].tolist(), values.tolist(), strict=True))
+                out = [known.get(k) for k in keys]
+                yield pa.array([None if v is None or v is pd.NA or v != v else v for v in out], target)
+                if len(known) > STREAM_KEYS:
+                    known.clear()
         finally:
             if close is not None and client is not None:
                 close(client)
 
-    looked = base.mapInPandas(run, out_schema)
-    return add_field(looked, save_to, F.col(VAL), doc, skip_null=True).drop(KEY, VAL)
+    target = to_arrow_type(T._parse_datatype_string(return_type))
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, return_type)
 
 
-def _ddl_type(df: DataFrame, ddl: str) -> T.DataType:
-    return df.sparkSession.createDataFrame([], f"v {ddl}").schema["v"].dataType
+def _dtype(kind: pa.DataType):
+    """A pandas type that holds the keys exactly (there are no nulls among them)."""
+    return "int64" if pa.types.is_integer(kind) else "float64" if pa.types.is_floating(kind) else object
 
 
 def short_code_expr(value: Column, length: int = 8) -> Column:

@@ -4,8 +4,10 @@ Typed mode (``doc=None``) works on the DataFrame's columns: every operator is
 one ``select`` / ``withColumn`` computed from the schema when the plan is
 built, so Catalyst prunes and fuses it with the scan.  VARIANT mode
 (``doc="name"``) edits a ``VARIANT`` column through ``map<string,variant>``
-and ``to_variant_object``; objects of unknown depth are handled one level per
-expression, up to ``max_depth`` levels.
+and ``to_variant_object``.  Flatten, trim and prune work at any depth: a
+document becomes its array of leaves (path and value) by as many rounds of
+``aggregate`` as it has nested objects, and is rebuilt from the leaves level by
+level, so every row does the work its own depth needs.
 
 Semantics kept from the reference:
 
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from docweave.functions import paths as P
 
 VMAP = "map<string,variant>"
-DEFAULT_MAX_DEPTH = 8
+LEAVES = "array<struct<path:array<string>,value:variant>>"
 
 
 # --- helpers -------------------------------------------------------------------
@@ -76,47 +78,84 @@ def _json_null() -> Column:
     return F.parse_json(F.lit("null"))
 
 
-def object_depth(variant_schema: str) -> int:
-    """Deepest chain of objects nested in objects in a ``schema_of_variant`` type.
+def _opens(value: Column, keep_empty: bool) -> Column:
+    """Is it an object to go into?  With ``keep_empty`` an empty one is a leaf."""
+    return F.size(F.coalesce(_vmap(value), _empty_vmap())) > 0 if keep_empty else P.v_is_object(value)
 
-    Objects inside arrays do not count: arrays are leaves for flatten and trim.
+
+def _is_nested(entries: Column, keep_empty: bool) -> Column:
+    return F.exists(entries, lambda e: _opens(e["value"], keep_empty))
+
+
+def _no_rounds() -> Column:
+    return F.array().cast("array<int>")
+
+
+def v_leaves(doc: Column, keep_empty: bool = False) -> Column:
+    """Every leaf of an object as (path, value), at any depth.
+
+    An empty object has none, or is one itself with ``keep_empty``.  Arrays, JSON nulls and scalars are leaves.  The rounds are bounded by the
+    number of objects in the document, which is counted only if it is nested.
+    """
+    def wrap(m: Column, prefix: Column | None = None) -> Column:
+        def entry(e: Column) -> Column:
+            path = F.array(e["key"]) if prefix is None else F.concat(prefix, F.array(e["key"]))
+            return F.struct(path.alias("path"), e["value"].alias("value"))
+        return F.transform(F.map_entries(m), entry).cast(LEAVES)
+
+    def expand(acc: Column, _: Column) -> Column:
+        opened = F.flatten(F.transform(acc, lambda e: F.when(
+            _opens(e["value"], keep_empty), wrap(_vmap(e["value"]), e["path"])
+        ).otherwise(F.array(e).cast(LEAVES))))
+        return F.when(_is_nested(acc, keep_empty), opened).otherwise(acc)
+
+    top = wrap(_vmap(doc))
+    objects = F.size(F.split(F.schema_of_variant(doc), "OBJECT<")) - 1
+    rounds = F.when(_is_nested(top, keep_empty), F.sequence(F.lit(1), objects)).otherwise(_no_rounds())
+    return F.aggregate(rounds, top, expand)
+
+
+def v_rebuild(leaves: Column) -> Column:
+    """The object that has these leaves; the deepest objects are built first."""
+    def close(acc: Column, depth: Column) -> Column:
+        deep = F.filter(acc, lambda e: F.size(e["path"]) == depth)
+        parents = F.array_distinct(F.transform(deep, lambda e: F.slice(e["path"], F.lit(1), depth - 1)))
+
+        def parent(p: Column) -> Column:
+            own = F.filter(deep, lambda e: F.slice(e["path"], F.lit(1), depth - 1) == p)
+            made = F.map_from_entries(F.transform(own, lambda e: F.struct(
+                F.element_at(e["path"], -1).alias("key"), e["value"].alias("value"))))
+            return F.struct(p.alias("path"), F.to_variant_object(made).alias("value"))
+
+        rest = F.filter(acc, lambda e: F.size(e["path"]) < depth)
+        return F.concat(rest, F.transform(parents, parent).cast(LEAVES))
+
+    deepest = F.array_max(F.transform(leaves, lambda e: F.size(e["path"])))
+    rounds = F.when(deepest > 1, F.sequence(deepest, F.lit(2), F.lit(-1))).otherwise(_no_rounds())
+    top = F.aggregate(rounds, leaves, close)
+    return F.to_variant_object(F.map_from_entries(F.transform(
+        top, lambda e: F.struct(e["path"][0].alias("key"), e["value"].alias("value")))))
+
+
+def v_with_doubles(doc: Column) -> Column:
+    """The document with numbers such as ``2.0`` as doubles, so that they print as ``2.0``.
+
+    VARIANT keeps them as decimals without digits behind the point, which
+    print like integers.  Numbers in objects at any depth and in arrays there
+    are seen, not those in arrays of arrays.  Integers of any size stay.
     """
-    stack: list[str] = []
-    best = 0
-    i = 0
-    while i < len(variant_schema):
-        if variant_schema.startswith("OBJECT<", i):
-            stack.append("O")
-            i += len("OBJECT<")
-            chain = 0
-            for kind in stack:  # objects from the root, until the first array
-                if kind != "O":
-                    break
-                chain += 1
-            best = max(best, chain)
-            continue
-        if variant_schema.startswith("ARRAY<", i):
-            stack.append("A")
-            i += len("ARRAY<")
-            continue
-        if variant_schema[i] == "`":  # quoted field name: skip to its closing quote
-            j = variant_schema.index("`", i + 1)
-            while j + 1 < len(variant_schema) and variant_schema[j + 1] == "`":
-                j = variant_schema.index("`", j + 2)
-            i = j + 1
-            continue
-        if variant_schema[i] == ">" and stack:
-            stack.pop()
-        i += 1
-    return best
-
-
-def _resolve_depth(df: DataFrame, doc: str, max_depth) -> int:
-    """``max_depth="auto"``: measure the documents once (one aggregation)."""
-    if max_depth != "auto":
-        return int(max_depth)
-    merged = df.select(F.schema_of_variant_agg(F.col(doc))).first()[0]
-    return max(1, object_depth(merged or ""))
+    whole = r"DECIMAL\(([1-9]|1[0-8]), ?0\)"
+
+    def fixed(v: Column) -> Column:
+        return F.when(P.vtype(v).rlike("^" + whole), P.v_double(v).cast("variant")).otherwise(v)
+
+    def leaf(e: Column) -> Column:
+        many = F.try_variant_get(e["value"], "$", "array<variant>")
+        value = F.when(many.isNotNull(), F.to_variant_object(F.transform(many, fixed))).otherwise(fixed(e["value"]))
+        return F.struct(e["path"].alias("path"), value.alias("value"))
+
+    rebuilt = v_rebuild(F.transform(v_leaves(doc, keep_empty=True), leaf).cast(LEAVES))
+    return F.when(P.v_is_object(doc) & P.vtype(doc).rlike(whole), rebuilt).otherwise(doc)
 
 
 def _check_sep(sep: str) -> str:
@@ -127,17 +166,30 @@ def _check_sep(sep: str) -> str:
 
 # --- set / add (P7, P8, P12) ------------------------------------------------------
 
-def _typed_set(col: Column, st: T.StructType, rest: list[str], value: Column) -> Column:
-    base = F.when(col.isNull(), _null_struct(st)).otherwise(col) if st.fields else col
+def _typed_set(df: DataFrame, col: Column, dtype: T.DataType, rest: list[str], value: Column) -> Column:
+    """``col`` with ``value`` at the path ``rest`` inside it; siblings stay, whatever holds them."""
     name = rest[0]
+    if isinstance(dtype, T.VariantType):
+        return _v_set(col, rest, _to_variant(df, value))
+    if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+        old = F.coalesce(col, F.create_map().cast(dtype))
+        if len(rest) > 1:
+            new = _typed_set(df, F.try_element_at(old, F.lit(name)), dtype.valueType, rest[1:], value)
+        elif isinstance(dtype.valueType, T.VariantType):
+            new = _to_variant(df, value)
+        else:
+            new = value.cast(dtype.valueType)
+        kept = F.map_filter(old, lambda k, v: k != F.lit(name))
+        return F.map_concat(kept, F.create_map(F.lit(name), new))
+    if not isinstance(dtype, T.StructType):
+        return _nested(rest, value)  # a value that is no object gives way to one
+    base = F.when(col.isNull(), _null_struct(dtype)).otherwise(col) if dtype.fields else col
+    f = _field(dtype, name)
     if len(rest) == 1:
-        return base.withField(name, value)
-    f = _field(st, name)
-    if f is not None and isinstance(f.dataType, T.StructType):
-        inner = _typed_set(col.getField(name), f.dataType, rest[1:], value)
-    else:
-        inner = _nested(rest[1:], value)
-    return base.withField(name, inner)
+        return base.withField(_q(name), value)
+    inner = _nested(rest[1:], value) if f is None else \
+        _typed_set(df, col.getField(name), f.dataType, rest[1:], value)
+    return base.withField(_q(name), inner)
 
 
 def _nested(parts: list[str], value: Column) -> Column:
@@ -163,8 +215,8 @@ def add_field(df: DataFrame, path: str, value, doc: str | None = None,
               skip_null: bool = False) -> DataFrame:
     """Add or overwrite the field at ``path``; missing parents are created.
 
-    ``skip_null=True`` (VARIANT mode) leaves a document unchanged where the
-    value is NULL, instead of storing a JSON null.
+    ``skip_null=True`` leaves a document as it was where the value is NULL:
+    an existing value stays, and VARIANT documents get no JSON null.
     """
     parts = P.split_path(path)
     value = value if isinstance(value, Column) else F.lit(value)
@@ -173,14 +225,25 @@ def add_field(df: DataFrame, path: str, value, doc: str | None = None,
         if skip_null:
             edited = F.when(value.isNull(), F.col(doc)).otherwise(edited)
         return df.withColumn(doc, edited)
-    if len(parts) == 1:
-        return df.withColumn(parts[0], value)
     top = _field(df.schema, parts[0])
-    if top is not None and isinstance(top.dataType, T.StructType):
-        new = _typed_set(F.col(_q(parts[0])), top.dataType, parts[1:], value)
-    else:
+    if skip_null:
+        old = P.resolve_typed(df.schema, path)
+        if not old.missing:
+            value = F.coalesce(_to_variant(df, value) if old.is_variant else value, old.column)
+    if len(parts) == 1:
+        new = value
+    elif top is None:
         new = _nested(parts[1:], value)
-    return df.withColumn(parts[0], new)
+    else:
+        new = _typed_set(df, F.col(_q(parts[0])), top.dataType, parts[1:], value)
+    return _put(df, parts[0], new)
+
+
+def _put(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The column ``name`` replaced or appended; names that differ in case are different."""
+    if name not in df.columns:
+        return df.select(*[F.col(_q(c)) for c in df.columns], value.alias(name))
+    return df.select(*[value.alias(c) if c == name else F.col(_q(c)) for c in df.columns])
 
 
 def set_doc(df: DataFrame, value: Column, doc: str = "doc") -> DataFrame:
@@ -190,19 +253,40 @@ def set_doc(df: DataFrame, value: Column, doc: str = "doc") -> DataFrame:
 
 # --- remove (P10) ----------------------------------------------------------------------
 
-def _typed_remove(col: Column, st: T.StructType, rest: list[str]) -> Column | None:
-    """New value of a struct with ``rest`` removed; None when nothing changes."""
-    f = _field(st, rest[0])
+def _typed_remove(col: Column, dtype: T.DataType, rest: list[str]) -> Column | None:
+    """New value of ``col`` with ``rest`` removed; None when nothing changes."""
+    name = rest[0]
+    if isinstance(dtype, T.VariantType):
+        return _v_remove(col, rest)
+    if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+        if len(rest) == 1:
+            return F.map_filter(col, lambda k, v: k != F.lit(name))
+        # the values of a map share one type: a struct's field is emptied, not dropped
+        if _emptied(F.lit(None), dtype.valueType, rest[1:]) is None:
+            return None
+        return F.transform_values(col, lambda k, v: F.when(
+            k == F.lit(name), _emptied(v, dtype.valueType, rest[1:])).otherwise(v))
+    f = _field(dtype, name) if isinstance(dtype, T.StructType) else None
     if f is None:
         return None
     if len(rest) == 1:
-        if len(st.fields) == 1:  # parent stays, as an empty object
+        if len(dtype.fields) == 1:  # parent stays, as an empty object
             return F.when(col.isNull(), F.lit(None)).otherwise(F.struct())
-        return col.dropFields(rest[0])
-    if not isinstance(f.dataType, T.StructType):
+        return col.dropFields(_q(name))
+    inner = _typed_remove(col.getField(name), f.dataType, rest[1:])
+    return None if inner is None else col.withField(_q(name), inner)
+
+
+def _emptied(col: Column, dtype: T.DataType, rest: list[str]) -> Column | None:
+    """As ``_typed_remove``, but a struct keeps its type: the field becomes null."""
+    if not isinstance(dtype, T.StructType):
+        return _typed_remove(col, dtype, rest)
+    f = _field(dtype, rest[0])
+    if f is None:
         return None
-    inner = _typed_remove(col.getField(rest[0]), f.dataType, rest[1:])
-    return None if inner is None else col.withField(rest[0], inner)
+    inner = F.lit(None).cast(f.dataType) if len(rest) == 1 else \
+        _emptied(col.getField(rest[0]), f.dataType, rest[1:])
+    return None if inner is None else F.when(col.isNotNull(), col.withField(_q(rest[0]), inner))
 
 
 def _v_remove(obj: Column, parts: list[str]) -> Column:
@@ -227,19 +311,21 @@ def remove_field(df: DataFrame, path: str, doc: str | None = None,
     if also_literal and len(parts) > 1:
         if doc is not None:
             df = df.withColumn(doc, _v_remove(F.col(doc), [path]))
-        elif path in df.columns:
-            df = df.drop(path)
+        else:
+            df = _without(df, path)
     if doc is not None:
         return df.withColumn(doc, _v_remove(F.col(doc), parts))
     top = _field(df.schema, parts[0])
     if top is None:
         return df
     if len(parts) == 1:
-        return df.drop(parts[0])
-    if not isinstance(top.dataType, T.StructType):
-        return df
+        return _without(df, parts[0])
     new = _typed_remove(F.col(_q(parts[0])), top.dataType, parts[1:])
-    return df if new is None else df.withColumn(parts[0], new)
+    return df if new is None else _put(df, parts[0], new)
+
+
+def _without(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*[F.col(_q(c)) for c in df.columns if c != name]) if name in df.columns else df
 
 
 # --- rename (P1) -----------------------------------------------------------------------
@@ -270,7 +356,7 @@ def rename_field(df: DataFrame, find: str, replace: str, doc: str | None = None,
     fparts, rparts = P.split_path(find), P.split_path(replace)
     if len(fparts) == 1 and len(rparts) == 1:
         if ref.missing:
-            return df.withColumn(replace, F.lit(None).cast("string"))
+            return _put(df, replace, F.lit(None).cast("string"))
         cols = [c for c in df.columns if c != replace]
         return df.select(*[F.col(_q(c)).alias(replace) if c == find else F.col(_q(c))
                            for c in cols])
@@ -300,72 +386,41 @@ def _path_col(parts: list[str]) -> Column:
 
 
 def flatten_columns(schema: T.StructType, sep: str = "_") -> list[Column]:
-    """The ``select`` list that flattens a typed document (last key wins)."""
-    _check_sep(sep)
-    out: dict[str, Column] = {}
-    for parts, _ in _typed_leaves(schema, []):
-        out[sep.join(parts)] = _path_col(parts)
-    return [c.alias(name) for name, c in out.items()]
-
-
-_ENTRY = "struct<key:string,value:variant>"
-
-
-def _v_flat_level(arr: Column, sep: str) -> Column:
-    """Replace every object entry by its entries, keys prefixed (``{}`` vanishes)."""
-    def expand(e):
-        child = F.map_entries(_vmap(e["value"]))
-        nested = F.transform(child, lambda c: F.struct(
-            F.concat(e["key"], F.lit(sep), c["key"]).alias("key"),
-            c["value"].alias("value")).cast(_ENTRY))
-        return F.when(P.v_is_object(e["value"]), nested).otherwise(F.array(e.cast(_ENTRY)))
-
-    return F.flatten(F.transform(arr, expand))
-
-
-def _has_object(arr: Column) -> Column:
-    return F.exists(arr, lambda e: P.v_is_object(e["value"]))
-
+    """The ``select`` list that flattens a typed document.
 
-def _v_from_entries(doc: Column, arr: Column, max_depth: int) -> Column:
-    """Rebuild the flat object; ``arr`` must be a column (it is read several times)."""
-    left = _has_object(arr)
-    # last value wins for keys that collide after flattening (rare: checked first)
-    keys = F.transform(arr, lambda e: e["key"])
-    dedup = F.when(F.size(F.array_distinct(keys)) == F.size(arr), arr).otherwise(
-        F.filter(arr, lambda e, i: ~F.exists(F.slice(arr, i + 2, F.size(arr) + 1),
-                                             lambda x: x["key"] == e["key"])))
-    flat = F.to_variant_object(F.map_from_entries(dedup))
-    return (F.when(arr.isNull(), doc)
-            .when(left, F.raise_error(F.lit(f"document deeper than max_depth={max_depth}")))
-            .otherwise(flat))
+    Paths that give the same key share a column: the last one that has a value
+    wins, as in a document, where the others may be absent.  Their texts are
+    used if their types differ.
+    """
+    _check_sep(sep)
+    out: dict[str, list[tuple[Column, T.DataType]]] = {}
+    for parts, dtype in _typed_leaves(schema, []):
+        out.setdefault(sep.join(parts), []).append((_path_col(parts), dtype))
+    columns = []
+    for name, found in out.items():
+        same = len({d.simpleString() for _, d in found}) == 1
+        values = [c if same else c.cast("string") for c, _ in reversed(found)]
+        columns.append((values[0] if len(values) == 1 else F.coalesce(*values)).alias(name))
+    return columns
 
 
 def flatten_doc(df: DataFrame, sep: str = "_", doc: str | None = None,
-                keep: Iterable[str] = (), max_depth: int = DEFAULT_MAX_DEPTH,
-                entity: str | None = None) -> DataFrame:
-    """Flatten nested objects into one level joined by ``sep``.
+                keep: Iterable[str] = (), entity: str | None = None) -> DataFrame:
+    """Flatten nested objects, however deep, into one level joined by ``sep``.
 
     Typed mode flattens all columns except those in ``keep`` (e.g. ``entity``),
-    which pass through unchanged.  ``entity`` overrides the record type.
-    VARIANT mode expands ``max_depth`` levels (a deeper document raises);
-    ``max_depth="auto"`` measures the documents first with one aggregation.
+    which pass through unchanged.  ``entity`` overrides the record type.  In
+    VARIANT mode the last of colliding keys wins by the session's
+    ``spark.sql.mapKeyDedupPolicy`` (``docweave.session.configure`` sets it).
     """
     _check_sep(sep)
     if entity is not None:
-        return _entity(flatten_doc(df, sep, doc, keep, max_depth), entity)
+        return _entity(flatten_doc(df, sep, doc, keep), entity)
     if doc is not None:
-        max_depth = _resolve_depth(df, doc, max_depth)
-        tmp = "__flat_entries"
-        # one projection per level, each reading the previous level's column: a
-        # level past a document's depth costs one cheap type probe per entry
-        staged = df.withColumn(tmp, F.map_entries(_vmap(F.col(doc))).cast(f"array<{_ENTRY}>"))
-        for _ in range(max_depth):
-            staged = staged.withColumn(tmp, F.when(_has_object(F.col(tmp)),
-                                                   _v_flat_level(F.col(tmp), sep))
-                                       .otherwise(F.col(tmp)))
-        return staged.withColumn(doc, _v_from_entries(F.col(doc), F.col(tmp), max_depth)) \
-            .drop(tmp)
+        flat = F.map_from_entries(F.transform(v_leaves(F.col(doc)), lambda e: F.struct(
+            F.array_join(e["path"], sep).alias("key"), e["value"].alias("value"))))
+        return df.withColumn(doc, F.when(P.v_is_object(F.col(doc)), F.to_variant_object(flat))
+                             .otherwise(F.col(doc)))
     keep = [k for k in keep if k in df.columns]
     body = T.StructType([f for f in df.schema.fields if f.name not in keep])
     return df.select(*[F.col(_q(k)) for k in keep], *flatten_columns(body, sep))
@@ -389,33 +444,8 @@ def _typed_rebuild(col: Column | None, st: T.StructType, prefix: list[str],
     return out
 
 
-def _v_trim(v: Column, prefix: Column, fields: Column, allows: bool, depth: int,
-            max_depth: int) -> Column:
-    """Trim one object level, recursing into objects; emptied objects are removed."""
-    m = _vmap(v)
-    last = depth + 1 >= max_depth
-
-    def edit(k, x):
-        if last:
-            # allows: an object here holds no listed leaf; delete: left as it is
-            return F.when(P.v_is_object(x), F.lit(None)).otherwise(x) if allows else x
-        sub = _v_trim(x, F.concat(prefix, k, F.lit(".")), fields, allows, depth + 1, max_depth)
-        return F.when(P.v_is_object(x), sub).otherwise(x)
-
-    def keep(k, x):
-        listed = F.array_contains(fields, F.concat(prefix, k))
-        leaf_keep = listed if allows else ~listed
-        # x is SQL NULL only for an object dropped at the last level
-        return (F.when(x.isNull(), F.lit(False))
-                .when(P.v_is_object(x), P.vtype(x) != F.lit("OBJECT<>"))
-                .otherwise(leaf_keep))
-
-    return F.to_variant_object(F.map_filter(F.transform_values(m, edit), keep))
-
-
 def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
-         doc: str | None = None, keep: Iterable[str] = (),
-         max_depth: int = DEFAULT_MAX_DEPTH, entity: str | None = None) -> DataFrame:
+         doc: str | None = None, keep: Iterable[str] = (), entity: str | None = None) -> DataFrame:
     """Keep (``allows``) or drop (``delete``) the listed leaf paths, then prune empty objects.
 
     ``action`` other than ``delete`` (trimmed, any case) means allows.
@@ -423,16 +453,17 @@ def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
     ``entity`` overrides the record type.
     """
     if entity is not None:
-        return _entity(trim(df, fields, action, doc, keep, max_depth), entity)
+        return _entity(trim(df, fields, action, doc, keep), entity)
     names = [str(f).strip() for f in fields]
-    if doc is not None:
-        max_depth = _resolve_depth(df, doc, max_depth)
     allows = not (action is not None and str(action).strip().lower() == "delete")
     if doc is not None:
         arr = F.array(*[F.lit(n) for n in names]).cast("array<string>")
-        if allows:  # nothing deeper than the longest listed path can be kept
-            max_depth = min(max_depth, max([len(P.split_path(n)) for n in names] or [1]))
-        trimmed = _v_trim(F.col(doc), F.lit(""), arr, allows, 0, max_depth)
+
+        def stays(e: Column) -> Column:
+            listed = F.array_contains(arr, F.array_join(e["path"], "."))
+            return listed if allows else ~listed
+
+        trimmed = v_rebuild(F.filter(v_leaves(F.col(doc)), stays))
         return df.withColumn(doc, F.when(P.v_is_object(F.col(doc)), trimmed)
                              .otherwise(F.col(doc)))
     listed = set(names)
@@ -442,10 +473,9 @@ def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
     return df.select(*[F.col(_q(k)) for k in keep], *_typed_rebuild(None, body, [], rule))
 
 
-def prune_empty(df: DataFrame, doc: str | None = None,
-                max_depth: int = DEFAULT_MAX_DEPTH) -> DataFrame:
+def prune_empty(df: DataFrame, doc: str | None = None) -> DataFrame:
     """Remove every empty object, bottom-up (P6 on its own)."""
-    return trim(df, [], action="delete", doc=doc, max_depth=max_depth)
+    return trim(df, [], action="delete", doc=doc)
 
 
 # --- entity (P14) -------------------------------------------------------------------

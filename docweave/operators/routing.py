@@ -1,8 +1,8 @@
 """Dataflow edges: groupings, unions and fan-out.
 
 * ``shuffle``: balanced round-robin repartition;
-* ``field``: same key -> same partition (hash repartition on the key);
-* ``global``: everything in one partition;
+* ``field``: same key -> same partition (hash repartition on the key; a key
+  with most of the rows is one large partition by definition);
 * ``none``: keep the upstream partitioning (no exchange).
 """
 
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from docweave.functions import paths as P
 
-# The grouping names of the reference ("none": no exchange, ours).
-GROUPINGS = ("shuffle", "field", "global", "none")
+# The grouping names of the reference ("none": no exchange, ours).  Its
+# "global" grouping, all rows through one task, is left out: no operator needs it.
+GROUPINGS = ("shuffle", "field", "none")
 
 
 def partition(df: DataFrame, grouping: str = "shuffle", n: int | None = None,
@@ -27,8 +28,6 @@ def partition(df: DataFrame, grouping: str = "shuffle", n: int | None = None,
         raise ValueError(f"unknown grouping {grouping!r}; expected one of {GROUPINGS}")
     if g == "none":
         return df
-    if g == "global":
-        return df.repartition(1)
     if g == "shuffle":
         return df.repartition(n) if n else df.repartition()
     if key is None:
@@ -52,8 +51,12 @@ def merge(*dfs: DataFrame, by_name: bool = True) -> DataFrame:
 
 
 def fan_out(df: DataFrame, writers: Sequence[Callable[[DataFrame], object]],
-            persist: bool = True) -> list[object]:
-    """Feed one batch input to several sinks, computing it once.
+            persist: bool = False) -> list[object]:
+    """Feed one batch input to several sinks.
+
+    By default every sink reads the input by itself: pruned scans cost less
+    than storing all columns of a large input.  ``persist=True`` computes it
+    once, for a narrow input that is expensive to compute or not repeatable.
 
     Streaming inputs use ``docweave.streaming.fan_out_stream`` instead.
     """

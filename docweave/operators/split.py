@@ -24,8 +24,16 @@ BRANCH = "branch"
 
 @dataclass
 class Split:
+    """Two outputs; ``release()`` lets go of the copy that ``persist=True`` kept."""
+
     yes: DataFrame
     no: DataFrame
+    routed: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.routed is not None:
+            self.routed.unpersist()
+            self.routed = None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in ("yes", "no"):
@@ -44,9 +52,10 @@ def _split(df: DataFrame, positive: Column, entity: str | None, persist: bool =
         yes = routed.where(F.col("__route")).drop("__route")
         no = routed.where(~F.col("__route")).drop("__route")
     else:
+        routed = None
         yes = df.where(positive)
         no = df.where(~total(positive))
-    return Split(_with_entity(yes, entity), _with_entity(no, entity))
+    return Split(_with_entity(yes, entity), _with_entity(no, entity), routed)
 
 
 def _branch(df: DataFrame, positive: Column, entity: str | None, name: str) -> DataFrame:
@@ -65,7 +74,8 @@ def split(df: DataFrame, field: str, operator: str, value: str, doc: str | None
     """Route by ``field operator value``.
 
     ``persist=True`` (batch) evaluates the predicate once on a persisted copy
-    that both outputs read, instead of scanning the input twice.
+    that both outputs read, instead of scanning the input twice; call
+    ``release()`` on the result when both are done.
     """
     return _split(df, split_predicate(df, field, operator, value, doc, coerce), entity, persist)
 

@@ -2,22 +2,30 @@
 
 The reference's user transform sees one document at a time: ``prepare`` once,
 ``execute`` per document emitting zero or more documents, ``cleanup`` once.
-Here it runs inside ``mapInPandas``: Spark partitions the rows, each task
-calls ``prepare`` once, feeds Arrow batches, and ``cleanup`` in ``finally``.
+Here it runs inside ``mapInArrow``: Spark partitions the rows, each task calls
+``prepare`` once, decodes Arrow batches into dicts (exact integers, ``None``
+for null) and calls ``cleanup`` in ``finally``.  Output leaves in batches of at
+most ``OUT_ROWS`` rows, however many a document produces.
 
 ``map_batches`` is the vectorised form (a pandas DataFrame in, one out).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ERROR_COL = "_error"
+INPUT_COL = "_input"
 ON_ERROR = ("fail", "quarantine", "skip")
+OUT_ROWS = 4096
 
 
 def _schema(schema: str | T.StructType, df: DataFrame) -> T.StructType:
@@ -26,47 +34,100 @@ def _schema(schema: str | T.StructType, df: DataFrame) -> T.StructType:
     return df.sparkSession.createDataFrame([], schema).schema
 
 
-def flat_map_docs(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str | T.StructType,
+def _readable(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """VARIANT columns as JSON text, and their names: user code gets them decoded."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.VariantType)]
+    return df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if c in names else F.col(f"`{c}`")
+                       for c in df.columns]), names
+
+
+def _records(batch: pa.RecordBatch, variants: list[str]) -> Iterator[dict]:
+    for rec in batch.to_pylist():
+        for name in variants:
+            if rec[name] is not None:
+                rec[name] = json.loads(rec[name])
+        yield rec
+
+
+def _produced(batches, fn: Callable, state, with_state: bool, on_error: str, variants: list[str],
+              pick: Callable[[dict], object], wrap: Callable[[object, dict], dict]) -> Iterator[dict]:
+    """The dicts that user code emits; failures are raised, skipped or turned into quarantine rows."""
+    for batch in batches:
+        for rec in _records(batch, variants):
+            try:
+                out = fn(pick(rec), state) if with_state else fn(pick(rec))
+                made = [wrap(x, rec) for x in out or ()]
+            except Exception as exc:  # noqa: BLE001 - user code
+                if on_error == "fail":
+                    raise
+                if on_error == "skip":
+                    continue
+                made = [{ERROR_COL: f"{type(exc).__name__}: {exc}",
+                         INPUT_COL: json.dumps(rec, default=str, ensure_ascii=False)}]
+            yield from made
+
+
+def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= OUT_ROWS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def flat_map_docs(df: DataFrame, fn: Callable[..., Iterable[dict]], schema: str | T.StructType | None = None,
                   prepare: Callable[[], object] | None = None,
                   cleanup: Callable[[object], None] | None = None,
-                  on_error: str = "fail") -> DataFrame:
-    """Apply ``fn(row_dict[, state]) -> iterable of dicts`` to every document.
-
-    ``on_error``: ``fail`` stops the job; ``quarantine`` emits one row holding
-    only ``_error`` (the message) for the failing document, the other columns
-    null; ``skip`` drops the failing document.
+                  on_error: str = "fail", doc: str | None = None) -> DataFrame:
+    """Apply ``fn(row_dict[, state]) -> iterable of dicts`` to every row.
+
+    With ``doc``, ``fn`` gets the decoded document of that VARIANT column and
+    emits documents; the other columns go along and no schema is needed.
+    ``on_error``: ``fail`` stops the job; ``quarantine`` emits one row with
+    ``_error`` (the message) and ``_input`` (the failing row as JSON text), the
+    other columns null; ``skip`` drops the failing row.
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {ON_ERROR}")
-    st = _schema(schema, df)
-    out_fields = list(st.fields)
-    if on_error == "quarantine" and ERROR_COL not in st.names:
-        out_fields.append(T.StructField(ERROR_COL, T.StringType(), True))
-    out_schema = T.StructType(out_fields)
-    names = [f.name for f in out_fields]
+    src, variants = _readable(df)
+    if doc is not None:
+        fields = list(src.schema.fields)  # the document travels as JSON text
+    elif schema is None:
+        raise ValueError("flat_map_docs needs a schema or doc=")
+    else:
+        fields = list(_schema(schema, df).fields)
+    if on_error == "quarantine":
+        fields += [T.StructField(n, T.StringType(), True) for n in (ERROR_COL, INPUT_COL)
+                   if n not in [f.name for f in fields]]
+    out_schema = T.StructType(fields)
+    others = [v for v in variants if v != doc]
+
+    def pick(rec: dict):
+        return rec if doc is None else rec[doc]
+
+    def wrap(made, rec: dict) -> dict:
+        if doc is None:
+            return made
+        kept = {k: json.dumps(v) if k in others and v is not None else v for k, v in rec.items()}
+        return {**kept, doc: json.dumps(made, ensure_ascii=False)}
 
     def run(batches):
+        arrow = to_arrow_schema(out_schema)
         state = prepare() if prepare else None
         try:
-            for pdf in batches:
-                rows: list[dict] = []
-                for rec in pdf.to_dict("records"):
-                    try:
-                        produced = fn(rec, state) if prepare else fn(rec)
-                        rows.extend(produced or ())
-                    except Exception as exc:  # noqa: BLE001 - user code
-                        if on_error == "fail":
-                            raise
-                        if on_error == "quarantine":
-                            rows.append({ERROR_COL: f"{type(exc).__name__}: {exc}"})
-                # one object column per field: all-None columns convert cleanly
-                yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object)
-                                    for n in names})
+            yield from _batched(_produced(batches, fn, state, prepare is not None, on_error, variants,
+                                          pick, wrap), arrow)
         finally:
             if cleanup is not None:
                 cleanup(state)
 
-    return df.mapInPandas(run, out_schema)
+    out = src.mapInArrow(run, out_schema)
+    if doc is None:
+        return out
+    return out.select(*[F.parse_json(F.col(f"`{c}`")).alias(c) if c in variants else F.col(f"`{c}`")
+                        for c in out.columns])
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
@@ -85,8 +146,6 @@ def map_field(df: DataFrame, field: str, save_to: str, fn: Callable[[pd.Series],
     ``fn`` maps a pandas Series of field values to a Series of results; the
     result is stored at ``save_to`` (a dotted path; VARIANT ``doc`` allowed).
     """
-    from pyspark.sql import functions as F
-
     from docweave.functions import paths as P
     from docweave.operators.reshape import add_field
 

@@ -30,12 +30,13 @@ from docweave.operators.user import flat_map_docs
 from docweave.plans.dataflow import Dataflow
 from docweave.session import scratch_path
 from docweave.streaming.runner import new_items_stream, run_stream, stream_table
+from docweave.sinks.writers import log_sink
 from docweave.sinks.payloads import (bars_payload, boxes_payload, map_payload,
                                      message_payload, timeline_payload)
 from docweave.sources.envelope import (classify_documents, decode_envelope, from_envelope,
                                        parse_documents, split_malformed, to_envelope,
                                        with_documents)
-from docweave.sources.custom import parquet_row_groups, read_row_group, source_from_function
+from docweave.sources.custom import source_from_function
 from docweave.sources.feeds import new_items, parse_feed, snapshot_diff
 from docweave.sources.social import sample_stream, track_keywords
 
@@ -653,27 +654,40 @@ def q_enrich_fn(spark, sf):
 
 # --- routing (R1-R7) --------------------------------------------------------------------
 
+def _scattered(spark, sf) -> DataFrame:
+    """Events dealt over eight partitions by their id, so that a user's rows lie in several."""
+    return table(spark, sf, "events").select("event_id", "user_id").repartition(8, "event_id")
+
+
+def _places(df: DataFrame) -> DataFrame:
+    return (df.select("user_id", F.spark_partition_id().alias("pid")).distinct()
+            .groupBy("user_id").agg(F.count("*").alias("n")))
+
+
 @query("partition_field", """
-SELECT DISTINCT user_id, CAST(1 AS BIGINT) AS n_partitions FROM events""")
+SELECT user_id, CAST(1 AS BIGINT) AS n_partitions, count(*) > 20 AS scattered_before
+FROM events GROUP BY user_id""")
 def q_partition_field(spark, sf):
-    ev = partition(table(spark, sf, "events"), "field", 8, "user_id")
-    tagged = ev.select("user_id", F.spark_partition_id().alias("pid"))
-    return tagged.groupBy("user_id").agg(F.countDistinct("pid").alias("n_partitions"))
+    scattered = _scattered(spark, sf)
+    sizes = scattered.groupBy("user_id").agg(F.count("*").alias("rows"))
+    # users with many rows are in several partitions before, and in one after
+    before = _places(scattered).withColumnRenamed("n", "n_before").join(sizes, "user_id")
+    after = _places(partition(scattered, "field", 8, "user_id"))
+    return after.join(before, "user_id").select(
+        "user_id", F.col("n").alias("n_partitions"),
+        ((F.col("n_before") > 1) & (F.col("rows") > 20)).alias("scattered_before"))
 
 
 @query("partition_shuffle", """
-SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_ids FROM events""")
+SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_ids, CAST(8 AS BIGINT) AS n_partitions,
+       true AS balanced FROM events""")
 def q_partition_shuffle(spark, sf):
-    ev = partition(table(spark, sf, "events"), "shuffle", 8)
-    return ev.agg(F.count("*").alias("n_rows"), F.countDistinct("event_id").alias("n_ids"))
-
-
-@query("partition_global", """
-SELECT CAST(1 AS BIGINT) AS n_partitions, count(*) AS n_rows FROM events""")
-def q_partition_global(spark, sf):
-    ev = partition(table(spark, sf, "events"), "global")
-    tagged = ev.select(F.spark_partition_id().alias("pid"))
-    return tagged.agg(F.countDistinct("pid").alias("n_partitions"), F.count("*").alias("n_rows"))
+    lopsided = table(spark, sf, "events").select("event_id").coalesce(1)
+    dealt = partition(lopsided, "shuffle", 8).select("event_id", F.spark_partition_id().alias("pid"))
+    each = dealt.groupBy("pid").agg(F.count("*").alias("n"))
+    n = dealt.agg(F.count("*").alias("n_rows"), F.countDistinct("event_id").alias("n_ids"))
+    return n.crossJoin(each.agg(F.count("*").alias("n_partitions"),
+                                (F.max("n") <= 1.2 * F.min("n") + 8).alias("balanced")))  # one row each
 
 
 @query("merge_sources", """
@@ -727,29 +741,45 @@ def q_log_envelope(spark, sf):
 
 
 @query("bars_payload", """
-SELECT c_custkey, 'w-balance' AS widget_id, 'balance' AS label, c_acctbal AS value FROM customer
+SELECT c_custkey, 'w-balance' AS widget_id, 'balance' AS label, c_acctbal AS number, NULL::BIGINT AS whole
+FROM customer
 UNION ALL
-SELECT c_custkey, 'w-nation' AS widget_id, 'nation' AS label,
-       CAST(c_nationkey AS DOUBLE) AS value FROM customer""")
+SELECT c_custkey, 'w-nation' AS widget_id, 'nation' AS label, NULL, c_nationkey FROM customer""")
 def q_bars_payload(spark, sf):
     cust = table(spark, sf, "customer")
     out = bars_payload(cust, [("balance", "w-balance", "c_acctbal"),
                               {"label": "nation", "id": "w-nation", "field": "c_nationkey"}],
                        keep=["c_custkey"])
-    return out.select("c_custkey", "widget_id", "label", "value")
+    # read back from the payload: the values the widgets get
+    number = F.get_json_object("payload", "$.value")
+    balance = F.col("widget_id") == "w-balance"
+    return out.select("c_custkey", "widget_id", "label", F.when(balance, number.cast("double")).alias("number"),
+                      F.when(~balance, number.cast("bigint")).alias("whole"))
 
 
 @query("boxes_payload", """
-SELECT o_orderkey, 'b1' AS widget_id, 'total' AS label, o_totalprice AS value FROM orders
+SELECT o_orderkey, 'b1' AS widget_id, 'total' AS label, o_totalprice AS number,
+       CAST(NULL AS VARCHAR) AS text FROM orders
 UNION ALL
-SELECT o_orderkey, 'b2', 'customer', CAST(o_custkey AS DOUBLE) FROM orders
+SELECT o_orderkey, 'b2', 'customer', CAST(o_custkey AS DOUBLE), NULL FROM orders
 UNION ALL
-SELECT o_orderkey, 'b3', 'status', CAST(NULL AS DOUBLE) FROM orders""")
+SELECT o_orderkey, 'b3', 'status', NULL, '"' || o_orderstatus || '"' FROM orders
+UNION ALL
+SELECT o_orderkey, 'b4', 'urgent', NULL,
+       CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(o_orderpriority = '1-URGENT' AS VARCHAR) END
+FROM orders""")
 def q_boxes_payload(spark, sf):
-    orders = table(spark, sf, "orders")
+    # a number, an integer, a string, and a boolean that is null for some
+    orders = table(spark, sf, "orders").withColumn("urgent", F.when(
+        F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority") == "1-URGENT"))
     out = boxes_payload(orders, [("total", "b1", "o_totalprice"), ("customer", "b2", "o_custkey"),
-                                 ("status", "b3", "o_orderstatus")], keep=["o_orderkey"])
-    return out.select("o_orderkey", "widget_id", "label", "value")
+                                 ("status", "b3", "o_orderstatus"), ("urgent", "b4", "urgent")],
+                        keep=["o_orderkey"])
+    # the value as it stands in the payload: strings keep their quotes
+    raw = F.nullif(F.regexp_extract("payload", r'^\{"value":(.*)\}$', 1), F.lit(""))
+    numeric = F.col("widget_id").isin("b1", "b2")
+    return out.select("o_orderkey", "widget_id", "label", F.when(numeric, raw.cast("double")).alias("number"),
+                      F.when(~numeric, raw).alias("text"))
 
 
 @query("map_payload", """
@@ -809,23 +839,33 @@ def q_readme_example(spark, sf):
              df, [Cond("event_type", "==", "purchase"), Cond("value", ">", "100")]), "events")
          .transform("rename", lambda df: rename_field(df, "value", "amount"),
                     ("purchases", None, "shuffle", None, 2))
-         .sink("log", lambda df: to_envelope(df, entity="purchase")
-               .write.mode("overwrite").parquet(out), "rename"))
+         .sink("log", lambda df: log_sink(df, out, entity="purchase"), "rename"))
     p.run(spark)
-    return from_envelope(spark.read.parquet(out),
-                         "event_id bigint, user_id bigint, event_type string, amount double")
+    logged = spark.read.text(out).select(F.lit("purchase").alias("entity"), F.col("value").alias("map"))
+    return from_envelope(logged, "event_id bigint, user_id bigint, event_type string, amount double")
 
 
 # --- user source (S9, S10) -------------------------------------------------------------
 
+def _id_batches(span: tuple[int, int]):
+    """A user source's rows for the ids of one range, as Arrow batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    for at in range(span[0], span[1], 4096):
+        ids = np.arange(at, min(at + 4096, span[1]), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids * ids % 97)], names=["doc_id", "code"])
+
+
 @query("user_source", """
-SELECT doc_id, lang, n_chars FROM documents""")
+SELECT d.doc_id, d.lang, d.doc_id * d.doc_id % 97 AS code FROM documents d""")
 def q_user_source(spark, sf):
-    path = f"{sf.rstrip('/')}/documents.parquet"
-    source_from_function(spark, "docweave_parquet_groups", "doc_id bigint, lang string, n_chars bigint",
-                         lambda opts: parquet_row_groups(opts["path"]),
-                         read_row_group(["doc_id", "lang", "n_chars"]))
-    return spark.read.format("docweave_parquet_groups").option("path", path).load()
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id") + 1).first()
+    step = max(1, -(-(high - low) // 16))
+    spans = [(a, min(a + step, high)) for a in range(low, high, step)]
+    source_from_function(spark, "docweave_codes", "doc_id bigint, code bigint", spans, _id_batches)
+    return docs.join(spark.read.format("docweave_codes").load(), "doc_id")
 
 
 # --- streaming (D4, R8, S5) ------------------------------------------------------------------
@@ -863,24 +903,37 @@ SELECT event_id, user_id, event_type, poll_seq FROM d
 WHERE NOT EXISTS (SELECT 1 FROM d d2 WHERE d2.poll_seq = d.poll_seq - 1
                   AND d2.user_id = d.user_id AND d2.event_type = d.event_type)""")
 def q_stream_new_items(spark, sf):
-    # the poller numbers its polls: here one poll per day since 2024-01-01
-    ev = stream_table(spark, sf, "events").select(
-        "event_id", "user_id", "event_type",
-        (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).alias("poll"))
+    # the poller numbers its polls: here one poll per day since 2024-01-01.  The events are
+    # landed in slices of 121 hours, so polls lie across the borders of files and of
+    # micro-batches, and the stream stops and starts again in the middle
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    polls = table(spark, sf, "events").select("event_id", "user_id", "event_type", (day + 1).alias("poll"),
+                                              F.floor((day * 24 + F.hour("ts")) / 121).alias("slice"))
     out = scratch_path(spark, "stream-new-items")
+    schema = polls.drop("slice").schema
+    last = polls.agg(F.max("slice")).first()[0]
 
     def write(batch, batch_id):
         batch.drop("poll").write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
-    q = new_items_stream(ev, ["user_id", "event_type"], "poll", write, f"{out}/_ckpt",
-                         state_path=f"{out}/_state", available_now=True)
-    q.awaitTermination()
+    def go(slices):
+        for i in slices:
+            (polls.where(F.col("slice") == i).drop("slice").coalesce(1)
+             .write.mode("append").parquet(f"{out}/feed/slice={i:04}"))
+        stream = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+                  .option("maxFilesPerTrigger", 2).parquet(f"{out}/feed"))
+        q = new_items_stream(stream, ["user_id", "event_type"], "poll", write, f"{out}/_ckpt",
+                             available_now=True)
+        q.awaitTermination()
+
+    go(range(0, last // 2 + 1))
+    go(range(last // 2 + 1, last + 1))
     return spark.read.parquet(f"{out}/data").select("event_id", "user_id", "event_type",
                                                     "poll_seq")
 
 
 @query("stream_tick", """
-SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n_rows FROM events""")
+SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_ticks FROM events""")
 def q_stream_tick(spark, sf):
     ev = stream_table(spark, sf, "events")
     out = scratch_path(spark, "stream-tick")
@@ -893,7 +946,9 @@ def q_stream_tick(spark, sf):
     ticks = []
     q = run_stream(ev, count, f"{out}/_ckpt", available_now=True, on_tick=ticks.append)
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/ticks").select("batch_id", "n_rows")
+    seen = F.array(*[F.lit(t) for t in ticks]).cast("array<bigint>")
+    return spark.read.parquet(f"{out}/ticks").select(
+        "batch_id", "n_rows", F.size(F.filter(seen, lambda t: t == F.col("batch_id"))).cast("bigint").alias("n_ticks"))
 
 
 # --- VARIANT-mode twins of more operators -------------------------------------------------
@@ -952,15 +1007,20 @@ def q_timeline_variant(spark, sf):
 
 
 @query("bars_variant", """
-SELECT event_id, 'w-value' AS widget_id, 'value' AS label, value FROM events
+SELECT event_id, 'w-value' AS widget_id, 'value' AS label, value, CAST(NULL AS VARCHAR) AS text FROM events
+UNION ALL
+SELECT event_id, 'w-k', 'k', NULL, NULL FROM events
 UNION ALL
-SELECT event_id, 'w-k', 'k', CAST(NULL AS DOUBLE) FROM events""")
+SELECT event_id, 'w-type', 'type', NULL, event_type FROM events""")
 def q_bars_variant(spark, sf):
     docs = _event_docs(spark, sf)
-    out = bars_payload(docs, [("value", "w-value", "value"), ("k", "w-k", "props.k")],
-                       doc="doc", keep=["doc"])
-    return out.select(get_field(out, "event_id", "doc", "bigint").alias("event_id"),
-                      "widget_id", "label", "value")
+    # "props.k" names a top-level key with a dot, which no document has
+    out = bars_payload(docs, [("value", "w-value", "value"), ("k", "w-k", "props.k"),
+                              ("type", "w-type", "event_type")], doc="doc", keep=["doc"])
+    payload = F.get_json_object("payload", "$.value")
+    return out.select(get_field(out, "event_id", "doc", "bigint").alias("event_id"), "widget_id", "label",
+                      F.when(F.col("widget_id") != "w-type", payload.cast("double")).alias("value"),
+                      F.when(F.col("widget_id") == "w-type", payload).alias("text"))
 
 
 @query("track_keywords_variant", r"""
@@ -983,7 +1043,7 @@ def q_envelope_chain(spark, sf):
     env = to_envelope(ev, entity="event")
     out = with_documents(env, lambda d: trim(rename_field(filter_docs(
         d, [Cond("event_type", "==", "purchase"), Cond("value", ">", "100")], doc="doc"),
-        "value", "amount", doc="doc"), ["event_type"], "delete", doc="doc"))
+        "value", "amount", doc="doc"), ["event_type"], "delete", doc="doc"), dead_letter=False)
     return from_envelope(out, "event_id bigint, user_id bigint, amount double, value string")
 
 

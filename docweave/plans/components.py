@@ -23,6 +23,9 @@ from docweave.operators.enrich import enrich, short_code
 from docweave.operators.filter import filter_docs
 from docweave.operators.reshape import flatten_doc, rename_field, trim
 from docweave.operators.split import split, split_exists, split_fields
+from docweave.sinks.writers import log_sink
+from docweave.sources.feeds import parse_feed
+from docweave.sources.social import track_keywords
 from docweave.sinks.payloads import (bars_payload, boxes_payload, map_payload, message_payload,
                                      timeline_payload)
 
@@ -40,14 +43,20 @@ PARAMETERS = {
     "boxes": ("bars",),
     "map": ("latField", "lonField", "field", "id"),
     "timeline": ("contentField", "titleField", "imageField", "timestampField", "id"),
-    "message": ("fieldToTweet", "customText"),
+    "message": ("fieldToTweet", "customText", "consumerKey", "consumerSecret", "accessToken",
+                "accessTokenSecret"),
+    "rss": ("url", "frequency"),
+    "twitter": ("keywords", "consumerKey", "consumerSecret", "accessToken", "accessTokenSecret"),
+    "log": (),
 }
+# Parameters that go to the client and not into the data.
+CREDENTIALS = ("apiKey", "consumerKey", "consumerSecret", "accessToken", "accessTokenSecret")
 REQUIRED = {
     "filter": ("conditions",), "conditional": ("field", "operator", "value"),
     "conditional_fields": ("field1", "operator", "field2"), "exists": ("field",),
     "rename": ("find", "replace"), "trim": ("field",), "short_url": ("field", "saveTo"),
     "bars": ("bars",), "boxes": ("bars",), "map": ("latField", "lonField", "id"),
-    "timeline": ("id",), "message": ("fieldToTweet",),
+    "timeline": ("id",), "message": ("fieldToTweet",), "rss": ("url",),
 }
 
 
@@ -57,18 +66,28 @@ def _as_list(v) -> list:
     return list(v) if isinstance(v, (list, tuple)) else [v]
 
 
-def component(kind: str, params: dict, doc: str | None = None,
-              lookup: Callable | None = None) -> Callable[[DataFrame], object]:
+def credentials(params: dict) -> dict:
+    """The credential parameters, for the client factory of a push or a source."""
+    return {k: params[k] for k in CREDENTIALS if params.get(k)}
+
+
+def component(kind: str, params: dict, doc: str | None = None, lookup: Callable | None = None,
+              landed: Callable | None = None, path: str | None = None) -> Callable:
     """The transformation of one configured component.
 
     ``short_url`` uses ``lookup`` (a pandas Series -> Series function, e.g. a
     client of the shortening service) when given, otherwise an offline
-    md5-based code.  Unknown kinds or parameters, and missing required
+    md5-based code.  Source kinds (``rss``, ``twitter``) give a function of the
+    session: ``landed(spark, params)`` reads what a collector has landed for
+    them (feed snapshots with the column ``xml``; statuses with ``text``),
+    which is then parsed or tracked.  ``log`` writes the documents' JSON text
+    under ``path``.  Credentials are accepted and left to ``credentials`` and
+    the client factory.  Unknown kinds or parameters, and missing required
     parameters, raise ``ValueError`` when the topology is built.
     """
     if kind not in PARAMETERS:
         raise ValueError(f"unknown component {kind!r}; expected one of {sorted(PARAMETERS)}")
-    unknown = set(params) - set(PARAMETERS[kind]) - {"apiKey"}
+    unknown = set(params) - set(PARAMETERS[kind]) - set(CREDENTIALS)
     if unknown:
         raise ValueError(f"{kind}: unknown parameters {sorted(unknown)}")
     missing = [p for p in REQUIRED.get(kind, ()) if params.get(p) in (None, "", [])]
@@ -98,6 +117,16 @@ def component(kind: str, params: dict, doc: str | None = None,
         if lookup is not None:
             return lambda df: enrich(df, p["field"], p["saveTo"], lookup, doc=doc, entity=ent)
         return lambda df: short_code(df, p["field"], p["saveTo"], doc=doc, entity=ent)
+    if kind in ("rss", "twitter"):
+        if landed is None:
+            raise ValueError(f"{kind}: give landed=, a reader of what was collected")
+        if kind == "rss":
+            return lambda spark: parse_feed(landed(spark, p), "xml", doc=doc or "doc")
+        words = [w for v in _as_list(p.get("keywords")) for w in str(v).split(",") if w.strip()]
+        return lambda spark: (track_keywords(landed(spark, p), "text", words, doc=doc) if words
+                              else landed(spark, p))
+    if kind == "log":
+        return lambda df: log_sink(df, path, doc=doc)
     if kind == "bars":
         return lambda df: bars_payload(df, p["bars"], doc=doc, keep=["entity"])
     if kind == "boxes":

@@ -68,8 +68,9 @@ class Dataflow:
                   *inputs, parallelism: int | None = None) -> Dataflow:
         return self._add(_Node(name, "transform", fn, [_edge(e) for e in inputs], parallelism))
 
-    def sink(self, name: str, fn: Callable[[DataFrame], object], *inputs) -> Dataflow:
-        return self._add(_Node(name, "sink", fn, [_edge(e) for e in inputs]))
+    def sink(self, name: str, fn: Callable[[DataFrame], object], *inputs,
+             parallelism: int | None = None) -> Dataflow:
+        return self._add(_Node(name, "sink", fn, [_edge(e) for e in inputs], parallelism))
 
     # -- checks ------------------------------------------------------------------
     def validate(self) -> list[str]:
@@ -121,13 +122,34 @@ class Dataflow:
             raise ValueError(f"{e.node!r} has no stream {e.stream!r}")
         return partition(out, e.grouping, e.n, e.key)
 
-    def build(self, spark: SparkSession,
-              given: dict[str, DataFrame] | None = None) -> dict[str, DataFrame | Split]:
+    def _shared(self) -> set[str]:
+        """Transforms that more than one edge reads: computed once, or their sinks could differ."""
+        readers: dict[str, int] = {}
+        for n in self._nodes.values():
+            for e in n.inputs:
+                readers[e.node] = readers.get(e.node, 0) + 1
+        return {name for name, n in readers.items() if n > 1 and self._nodes[name].kind == "transform"}
+
+    def build(self, spark: SparkSession, given: dict[str, DataFrame] | None = None,
+              kept: list[DataFrame] | None = None) -> dict[str, DataFrame | Split]:
         """Compose every node's DataFrame (sinks are not run).
 
-        ``given`` replaces source nodes by ready DataFrames (used per micro-batch).
+        ``given`` replaces source nodes by ready DataFrames (used per
+        micro-batch).  Given a list ``kept``, batch results of transforms with
+        several readers are persisted and put there for the caller to release.
         """
         built: dict[str, DataFrame | Split] = {}
+        shared = self._shared() if kept is not None else set()
+
+        def spread(out: DataFrame, n: int | None) -> DataFrame:
+            return out.repartition(n) if n else out
+
+        def keep(out: DataFrame) -> DataFrame:
+            if out.isStreaming:
+                return out
+            kept.append(out.persist())
+            return out
+
         for name in self.validate():
             node = self._nodes[name]
             if node.kind == "source" and given and name in given:
@@ -138,11 +160,17 @@ class Dataflow:
                 ins = [self._input(built, e) for e in node.inputs]
                 df = ins[0] if len(ins) == 1 else merge(*ins)
                 if node.kind == "sink":
-                    built[name] = df
+                    built[name] = spread(df, node.parallelism)
                     continue
                 out = node.fn(df)
-            if node.parallelism and isinstance(out, DataFrame):
-                out = out.repartition(node.parallelism)
+            if isinstance(out, Split):
+                out = Split(spread(out.yes, node.parallelism), spread(out.no, node.parallelism), out.routed)
+                if name in shared:
+                    out = Split(keep(out.yes), keep(out.no), out.routed)
+            else:
+                out = spread(out, node.parallelism)
+                if name in shared:
+                    out = keep(out)
             built[name] = out
         return built
 
@@ -155,18 +183,31 @@ class Dataflow:
                 built[n.name].explain(mode)
 
     def run(self, spark: SparkSession) -> dict[str, object]:
-        """Build, then hand each sink its input; returns what each sink returned."""
-        built = self.build(spark)
-        return {n.name: n.fn(built[n.name]) for n in self._nodes.values() if n.kind == "sink"}
+        """Build, then hand each sink its input; returns what each sink returned.
 
-    def run_stream(self, spark: SparkSession, checkpoint: str, **trigger):
-        """Run the whole dataflow as one streaming query.
+        A transform that several sinks depend on runs once, so that they all
+        see the same random choices and remote answers.
+        """
+        kept: list[DataFrame] = []
+        try:
+            built = self.build(spark, kept=kept)
+            return {n.name: n.fn(built[n.name]) for n in self._nodes.values() if n.kind == "sink"}
+        finally:
+            for df in kept:
+                df.unpersist()
 
-        The single streaming source is read once per micro-batch: inside
-        ``foreachBatch`` the batch is persisted, the DAG is built on it, and
-        every sink gets its input -- called as ``sink(df, batch_id)`` so it
-        can write idempotently per batch.  ``trigger`` is passed to
-        ``docweave.streaming.run_stream`` (``every=``, ``available_now=``...).
+    def run_stream(self, spark: SparkSession, checkpoint: str, **trigger):
+        """Run the whole dataflow as streaming queries, one per streaming source.
+
+        Each source is read once per micro-batch: inside ``foreachBatch`` the
+        batch is persisted, the DAG is built on it -- the other streaming
+        sources being empty in that batch, as their rows come in batches of
+        their own -- and every sink gets its input, called as
+        ``sink(df, batch_id)``, or ``sink(df, batch_id, source)`` where there
+        are several sources, so it can write idempotently.  ``trigger`` is
+        passed to ``docweave.streaming.run_stream`` (``every=``,
+        ``available_now=``...).  Returns the query, or with several sources the
+        list of queries in the order of the sources.
         """
         from docweave.streaming.runner import run_stream
 
@@ -174,19 +215,26 @@ class Dataflow:
         sources = [n for n in self._nodes.values() if n.kind == "source"]
         streams = {n.name: n.fn(spark) for n in sources}
         live = [name for name, df in streams.items() if df.isStreaming]
-        if len(live) != 1:
-            raise ValueError("run_stream needs exactly one streaming source")
-        src = live[0]
-        static = {k: v for k, v in streams.items() if k != src}
+        if not live:
+            raise ValueError("run_stream needs a streaming source")
+        static = {k: v for k, v in streams.items() if k not in live}
+        empty = {k: spark.createDataFrame([], streams[k].schema) for k in live}
         sinks = [n for n in self._nodes.values() if n.kind == "sink"]
 
-        def each(batch: DataFrame, batch_id: int) -> None:
-            batch = batch.persist()
-            try:
-                built = self.build(spark, {src: batch, **static})
-                for n in sinks:
-                    n.fn(built[n.name], batch_id)
-            finally:
-                batch.unpersist()
-
-        return run_stream(streams[src], each, checkpoint, **trigger)
+        def start(src: str):
+            def each(batch: DataFrame, batch_id: int) -> None:
+                batch = batch.persist()
+                kept: list[DataFrame] = []
+                try:
+                    built = self.build(spark, {**static, **empty, src: batch}, kept)
+                    for n in sinks:
+                        n.fn(built[n.name], batch_id, *([src] if len(live) > 1 else []))
+                finally:
+                    for df in (*kept, batch):
+                        df.unpersist()
+
+            place = checkpoint if len(live) == 1 else f"{checkpoint.rstrip('/')}/{src}"
+            return run_stream(streams[src], each, place, **trigger)
+
+        queries = [start(src) for src in live]
+        return queries[0] if len(queries) == 1 else queries

@@ -5,6 +5,8 @@ The settings below mirror the JSON semantics the operators rely on:
 * ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` and
   ``spark.sql.variant.allowDuplicateKeys=true`` make a repeated key keep its
   last value, as a JSON object parsed into a map does.
+* ``spark.sql.caseSensitive=true``: JSON keys that differ only in case are
+  different keys.
 * ANSI mode stays on (the Spark 4 default); every operator uses ``try_*``
   functions so a bad value becomes NULL instead of failing the job.
 * AQE is on so skewed join partitions are split at run time and small
@@ -21,6 +23,7 @@ from pyspark.sql import SparkSession
 
 DOC_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.caseSensitive": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -87,14 +90,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, state snapshots and stream outputs.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there).  Only when it is unset -- local runs and tests -- a private
-    folder is created once per application and registered as the session's
-    checkpoint dir.
+    there).  Only when it is unset *and* driver and executors are one machine
+    -- local runs and tests -- a private folder is created once per
+    application; elsewhere executors could not see it, so this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="docweave-ckpt-")

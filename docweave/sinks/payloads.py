@@ -54,18 +54,29 @@ def _unpivot(df: DataFrame, widgets: list[Widget], doc: str | None,
     for w in widgets:
         v = _value(df, w.field, doc, literal=True)  # top-level field, dots literal
         vals.append(F.struct(F.lit(w.id).alias("widget_id"), F.lit(w.label).alias("label"),
-                             (P.v_double(v) if doc is not None else v.try_cast("double"))
-                             .alias("value")))
+                             _as_text(df, v).alias("value"),
+                             F.to_json(F.struct(v.alias("value"))).alias("payload")))
     rows = df.select(*[F.col(k) for k in keep], F.explode(F.array(*vals)).alias("__w"))
-    return (rows.select(*keep, "__w.*")
-            .withColumn("payload", F.to_json(F.struct(F.col("value")))))
+    return rows.select(*keep, "__w.*")
+
+
+def _as_text(df: DataFrame, value: Column) -> Column:
+    """The value's text (JSON text of objects and arrays); the payload holds the value itself."""
+    dtype = df.select(value.alias("v")).schema["v"].dataType
+    if isinstance(dtype, T.VariantType):
+        return P.v_java_text(value)
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(value)
+    return value.cast("string")
 
 
 def bars_payload(df: DataFrame, bars, doc: str | None = None,
                  keep: Sequence[str] = ()) -> DataFrame:
     """One row per document and bar: ``(widget_id, label, value, payload)`` (K2).
 
-    Every configured bar is posted (the reference's "keep five" has no effect).
+    The payload holds the field's JSON value as it is: a string, a number, a
+    boolean, an object or an array; a null or missing field gives ``{}``.
+    ``value`` is its text.  Every configured bar is posted (the reference's "keep five" has no effect).
     """
     return _unpivot(df, _widgets(bars), doc, keep)
 

@@ -3,24 +3,28 @@
 * ``log_sink``: the JSON text of every document -- to text files (batch or
   stream) or to the console (stream).
 * ``push_rows``: post each payload through a client made once per task,
-  with retries; returns one status row per payload, so failures land in a
-  table instead of being swallowed.
+  with retries; returns every row with its status, so failures land in a
+  table, with their widget and key, instead of being swallowed.
 * ``sink_from_function``: a user sink with ``prepare`` / ``process`` /
   ``cleanup`` per task, for batch and streaming inputs.
 """
 
 from __future__ import annotations
 
+import inspect
 import time
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.sources.envelope import to_envelope
 
-STATUS_SCHEMA = "payload string, ok boolean, attempts int, error string"
+#: Columns that ``push_rows`` adds; input columns of the same names are replaced.
+STATUS = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("attempts", T.IntegerType()),
+                       T.StructField("error", T.StringType())])
 
 
 def idempotency_key(payload: Column) -> Column:
@@ -54,29 +58,40 @@ def log_sink(df: DataFrame, path: str | None = None, doc: str | None = None,
     return None
 
 
-def _push_batches(client_factory: Callable, send: Callable, retries: int, backoff: float,
+def _with_row(send: Callable) -> bool:
+    """Does ``send`` take the row as a third argument?"""
+    kinds = [p.kind for p in inspect.signature(send).parameters.values()]
+    places = sum(k in (inspect.Parameter.POSITIONAL_ONLY, inspect.Parameter.POSITIONAL_OR_KEYWORD) for k in kinds)
+    return places >= 3 or inspect.Parameter.VAR_POSITIONAL in kinds
+
+
+def _push_batches(client_factory: Callable, send: Callable, payload: str, retries: int, backoff: float,
                   close: Callable | None):
+    row_too = _with_row(send)
+
+    def post(client, row: dict) -> tuple[bool, int, str | None]:
+        body, err, n = row[payload], None, 0
+        body = None if body is None else str(body)
+        for n in range(1, retries + 2):
+            try:
+                send(client, body, row) if row_too else send(client, body)
+                return True, n, None
+            except Exception as exc:  # noqa: BLE001 - remote failure
+                err = f"{type(exc).__name__}: {exc}"
+                if backoff:
+                    time.sleep(backoff * n)
+        return False, n, err
+
     def run(batches):
         client = client_factory()
         try:
-            for pdf in batches:
-                oks, tries, errs = [], [], []
-                for body in pdf["payload"]:
-                    err, n = None, 0
-                    for n in range(1, retries + 2):
-                        try:
-                            send(client, body)
-                            err = None
-                            break
-                        except Exception as exc:  # noqa: BLE001 - remote failure
-                            err = f"{type(exc).__name__}: {exc}"
-                            if backoff:
-                                time.sleep(backoff * n)
-                    oks.append(err is None)
-                    tries.append(n)
-                    errs.append(err)
-                yield pd.DataFrame({"payload": pdf["payload"], "ok": oks,
-                                    "attempts": tries, "error": errs})
+            for batch in batches:
+                rows = batch.to_pylist() if row_too else batch.select([payload]).to_pylist()
+                done = [post(client, r) for r in rows]
+                status = [pa.array([d[i] for d in done], t) for i, t in
+                          enumerate((pa.bool_(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *status],
+                                                 names=[*batch.schema.names, *STATUS.names])
         finally:
             if close is not None:
                 close(client)
@@ -86,17 +101,21 @@ def _push_batches(client_factory: Callable, send: Callable, retries: int, backof
 def push_rows(df: DataFrame, client_factory: Callable, send: Callable,
               payload: str = "payload", retries: int = 2, backoff: float = 0.0,
               close: Callable | None = None) -> DataFrame:
-    """Post every payload; one status row per payload (K6).
-
-    Lazy like any DataFrame: write the result (e.g. the rows with
-    ``ok = false`` to a failure table) to run it.  Delivery is at-least-once:
-    a task re-run after a lost executor posts its payloads again, so the
-    receiver should de-duplicate on ``idempotency_key(payload)`` (or, in a
-    stream, on the batch id passed to ``foreachBatch``).
+    """Post every payload; every row comes back with ``ok, attempts, error`` (K6).
+
+    ``send(client, body)`` posts one payload; ``send(client, body, row)`` also
+    gets the row as a dict, with the ``widget_id`` and any key that the
+    address depends on.  Lazy like any DataFrame: write the result (e.g. the
+    rows with ``ok = false`` to a failure table) to run it.  Delivery is
+    at-least-once: a task re-run after a lost executor posts its payloads
+    again, so the receiver should de-duplicate on
+    ``idempotency_key(payload)`` (or, in a stream, on the batch id passed to
+    ``foreachBatch``).
     """
-    src = df.select(F.col(payload).cast("string").alias("payload"))
-    return src.mapInPandas(_push_batches(client_factory, send, retries, backoff, close),
-                           STATUS_SCHEMA)
+    src = df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.VariantType)
+                      else F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in STATUS.names])
+    return src.mapInArrow(_push_batches(client_factory, send, payload, retries, backoff, close),
+                          T.StructType([*src.schema.fields, *STATUS.fields]))
 
 
 def push_sink(df: DataFrame, client_factory: Callable, send: Callable, failures_path: str,

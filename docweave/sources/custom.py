@@ -26,14 +26,15 @@ class _Part(InputPartition):
 
 def source_from_function(spark: SparkSession, name: str, schema: str,
                          partitions: Callable[[dict], Sequence] | Sequence,
-                         read: Callable[[object], Iterable[tuple]],
+                         read: Callable[[object], Iterable],
                          latest: Callable[[dict], int] | None = None,
                          read_range: Callable[[int, int], Iterable[tuple]] | None = None,
                          range_splits: int = 1) -> None:
     """Register a data source ``name``; read it with ``spark.read.format(name)``.
 
     ``partitions(options)`` (or a fixed list) gives one descriptor per
-    partition and ``read(descriptor)`` yields its rows as tuples.  For
+    partition and ``read(descriptor)`` yields its rows as tuples, or whole
+    ``pyarrow.RecordBatch``es, which cost no Python work per row.  For
     streaming, ``latest(options)`` returns the current end offset (an int)
     and ``read_range(start, end)`` yields the rows in ``[start, end)``; each
     micro-batch range is cut into ``range_splits`` partitions.
@@ -92,29 +93,3 @@ def source_from_function(spark: SparkSession, name: str, schema: str,
             return _StreamReader(self.options)
 
     spark.dataSource.register(_Source)
-
-
-def parquet_row_groups(path: str) -> list[tuple[str, int]]:
-    """Partition descriptors ``(file, row_group)`` for parquet files under ``path``."""
-    import glob
-    import os
-
-    import pyarrow.parquet as pq
-
-    files = [path] if os.path.isfile(path) else sorted(glob.glob(os.path.join(path, "*.parquet")))
-    return [(f, i) for f in files for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
-
-
-def read_row_group(columns: Sequence[str]) -> Callable[[tuple[str, int]], Iterator[tuple]]:
-    """Reader of one ``(file, row_group)`` descriptor, streaming record batches."""
-    cols = list(columns)
-
-    def read(desc: tuple[str, int]) -> Iterator[tuple]:
-        import pyarrow.parquet as pq
-
-        f, rg = desc
-        for batch in pq.ParquetFile(f).iter_batches(row_groups=[rg], columns=cols,
-                                                     batch_size=4096):
-            yield from zip(*[batch.column(c).to_pylist() for c in cols])
-
-    return read

@@ -116,6 +116,7 @@ def to_envelope(df: DataFrame, entity: str | None = None, doc: str | None = None
                 entity_col: str = ENTITY) -> DataFrame:
     """Print each document once as JSON text: ``(entity, map)``.
 
+    A VARIANT document's numbers keep the text the reference prints (``2.0``).
     Typed mode serialises all columns but ``entity`` with nulls kept
     (``ignoreNullFields=false``), like a Java map printed by Jackson.
     """
@@ -126,7 +127,8 @@ def to_envelope(df: DataFrame, entity: str | None = None, doc: str | None = None
     else:
         ent = F.lit(None).cast("string")
     if doc is not None:
-        text = F.to_json(F.col(doc))
+        from docweave.operators.reshape import v_with_doubles
+        text = F.to_json(v_with_doubles(F.col(doc)))
     else:
         body = [F.col(f"`{c}`") for c in df.columns if c != entity_col]
         text = F.to_json(F.struct(*body), {"ignoreNullFields": "false"})
@@ -134,14 +136,14 @@ def to_envelope(df: DataFrame, entity: str | None = None, doc: str | None = None
 
 
 def with_documents(df: DataFrame, fn, map_col: str = MAP, doc: str = DOC,
-                   dead_letter: bool = False):
+                   dead_letter: bool = True):
     """Run operators on envelopes: parse ``map`` once, apply ``fn``, print once.
 
     ``fn`` takes the DataFrame with the VARIANT column ``doc`` (operators are
     called with ``doc=doc``) and returns a DataFrame or a ``Split``; the result
-    comes back as ``(entity, map)`` envelopes (a ``Split`` of envelopes).  With
-    ``dead_letter=True`` the malformed records are returned too:
-    ``(result, dead)``.
+    comes back as ``(entity, map)`` envelopes (a ``Split`` of envelopes), and
+    the malformed records with it: ``(result, dead)``.  Only a caller that
+    says ``dead_letter=False`` gets the result alone.
     """
     parts = split_malformed(df, map_col, doc)
     out = fn(parts.yes.drop(map_col))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.sizing import DEFAULT_BROADCAST_ROWS, broadcast_derived
+from docweave.session import checkpoint_root
 
 # The record type of feed items, as the reference emits it.
 FEED_ENTITY = "rssItem"
@@ -39,19 +40,48 @@ def feed_schema(item_schema: str) -> str:
 XML_OPTIONS = {"attributePrefix": "", "valueTag": "content", "ignoreSurroundingSpaces": "true"}
 
 
-def parse_feed(df: DataFrame, xml_col: str, item_schema: str, entity: str = FEED_ENTITY,
-               options: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def parse_feed(df: DataFrame, xml_col: str, item_schema: str | None = None, entity: str = FEED_ENTITY,
+               options: dict[str, str] | None = None, keep: Sequence[str] = (), doc: str = "doc") -> DataFrame:
     """One row per ``rss/channel/item`` of each XML snapshot in ``xml_col``.
 
-    ``item_schema`` is a DDL list such as ``"title string, link string"``.  A
-    snapshot with a single item gives one row (the reference's parser fails
-    there).  Columns in ``keep`` are carried next to each item.
+    ``item_schema`` is a DDL list such as ``"title string, link string"``.
+    Without one, every item is a VARIANT document ``doc`` with all its
+    elements, as the reference emits it.  A snapshot with a single item gives
+    one row.  Columns in ``keep`` are carried next to each item.  A snapshot
+    that does not parse, or has no items, gives no row: see
+    ``feed_dead_letter``.
     """
     opts = {**XML_OPTIONS, **(options or {})}
-    parsed = F.from_xml(F.col(xml_col), feed_schema(item_schema), opts)
-    items = F.explode(parsed.getField("channel").getField("item")).alias("__item")
-    return (df.select(*[F.col(k) for k in keep], items)
-            .select(F.lit(entity).alias("entity"), *keep, "__item.*"))
+    kept = [F.col(k) for k in keep]
+    if item_schema is not None:
+        parsed = F.from_xml(F.col(xml_col), feed_schema(item_schema), opts)
+        items = F.explode(parsed.getField("channel").getField("item")).alias("__item")
+        return df.select(*kept, items).select(F.lit(entity).alias("entity"), *keep, "__item.*")
+    items = _parsed_feed(xml_col, opts).getField("channel").getField("item")
+    return (df.select(*kept, F.explode(items).alias(doc))
+            .select(F.lit(entity).alias("entity"), *keep, doc))
+
+
+_BROKEN = "__broken"
+
+
+def _parsed_feed(xml_col: str, opts: dict[str, str]) -> Column:
+    """The feed with its items as VARIANT documents, and the text if it does not parse."""
+    return F.from_xml(F.col(xml_col), f"channel struct<item: array<variant>>, {_BROKEN} string",
+                      {**opts, "columnNameOfCorruptRecord": _BROKEN})
+
+
+def feed_dead_letter(df: DataFrame, xml_col: str, options: dict[str, str] | None = None) -> DataFrame:
+    """The snapshots that ``parse_feed`` gets no item from, with a ``reason``.
+
+    ``malformed``: null or no well-formed XML; ``no items``: an empty feed or
+    a document that is no feed.  All columns stay.
+    """
+    parsed = _parsed_feed(xml_col, {**XML_OPTIONS, **(options or {})})
+    item = parsed.getField("channel").getField("item")
+    reason = (F.when(F.col(xml_col).isNull() | parsed.getField(_BROKEN).isNotNull(), F.lit("malformed"))
+              .when(F.coalesce(F.size(item), F.lit(0)) < 1, F.lit("no items")))
+    return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def read_feed(spark: SparkSession, path: str, item_schema: str | None = None,
@@ -95,7 +125,7 @@ def comparable_keys(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list
     return out, names
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+def null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [left[l].eqNullSafe(right[r]) for l, r in pairs])
 
 
@@ -108,14 +138,17 @@ def dense_number(df: DataFrame, order_col: str, out: str,
     partition.  No partition ever holds more than its range.
     """
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, order_col).withColumn("__part", F.spark_partition_id())
+    checkpoint_root(df.sparkSession)
+    # fixed by the checkpoint: both uses below see the same ranges
+    ranged = (df.repartitionByRange(n, order_col).withColumn("__part", F.spark_partition_id())
+              .checkpoint(eager=True))
     local = ranged.withColumn(
         "__local", F.row_number().over(Window.partitionBy("__part").orderBy(order_col)))
-    sizes = local.groupBy("__part").agg(F.count("*").alias("__size"))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0))
                            .alias("__offset"))
-    return (local.join(F.broadcast(offsets), "__part")
+    return (local.join(F.broadcast(offsets), "__part")  # one row per partition
             .withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint"))
             .drop("__part", "__local", "__offset"))
 
@@ -124,20 +157,30 @@ def with_poll_seq(df: DataFrame, poll: str, feed: str | Sequence[str] | None = N
                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Number the polls of each feed densely (1, 2, ...) in ``poll`` order.
 
-    Only the small table of distinct ``(feed, poll)`` pairs is ranked (a scan
-    of two columns with map-side distinct); it is materialised once and
-    joined back by broadcast when its row count is within
-    ``max_broadcast_rows``, else by a shuffle join.
+    A row whose poll is NULL belongs to no poll: its number is NULL and every
+    row stays.  A NULL feed is a feed of its own.  Only the small table of
+    distinct ``(feed, poll)`` pairs is ranked: all of them together by
+    ``dense_number`` in the order of feed and poll, and less the number before
+    each feed's first poll -- so a feed with most of the polls is no single
+    task.  It is materialised once and joined back, by broadcast if it is
+    proven small, else by a shuffle join.
     """
     feeds = _names(feed)
-    polls = df.select(*feeds, poll).distinct()
+    polls = df.where(F.col(poll).isNotNull()).select(*feeds, poll).distinct()
     if feeds:
-        w = Window.partitionBy(*feeds).orderBy(poll)
-        ranked = polls.withColumn(SEQ, F.dense_rank().over(w).cast("bigint"))
+        numbered = dense_number(polls.withColumn("__order", F.struct(*feeds, poll)), "__order", "__n")
+        first = numbered.groupBy(*feeds).agg(F.min("__n").alias("__first"))
+        firsts = first.select(*[F.col(f).alias(f"__f{i}") for i, f in enumerate(feeds)], "__first")
+        on = null_safe_on(numbered, firsts, [(f, f"__f{i}") for i, f in enumerate(feeds)])
+        ranked = numbered.join(firsts, on).select(
+            *feeds, poll, (F.col("__n") - F.col("__first") + 1).cast("bigint").alias(SEQ))
     else:
         ranked = dense_number(polls, poll, SEQ)
-    ranked = broadcast_derived(ranked, max_broadcast_rows, reliable=True)
-    return df.join(ranked, feeds + [poll], "inner")
+    keys = feeds + [poll]
+    ranked = broadcast_derived(ranked.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], SEQ), max_broadcast_rows)
+    on = null_safe_on(df, ranked, [(k, f"__k{i}") for i, k in enumerate(keys)])
+    return df.join(ranked, on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def new_items(df: DataFrame, item: str | Sequence[str], poll: str,
@@ -146,6 +189,8 @@ def new_items(df: DataFrame, item: str | Sequence[str], poll: str,
     """Rows whose item was not in the previous poll of the same feed.
 
     ``item`` names the columns that identify an item (null-safe equality).
+    Rows without a poll (NULL) were never polled before: they all stay, with
+    a NULL number.
     ``dense=True`` says ``poll`` already numbers each feed's polls 1, 2, ...
     without gaps.  Plan: distinct ``(feed, seq, item)`` keys shifted by one
     poll, then a left anti join of the rows against them -- one shuffle of
@@ -161,11 +206,11 @@ def new_items(df: DataFrame, item: str | Sequence[str], poll: str,
         with_poll_seq(df, poll, feeds, max_broadcast_rows)
     rows, items = comparable_keys(rows, items)
     key_cols = feeds + items
-    prev = (rows.select(*key_cols, SEQ).distinct()
+    prev = (rows.where(F.col(SEQ).isNotNull()).select(*key_cols, SEQ).distinct()
             .select(*[F.col(c).alias(f"__prev_{i}") for i, c in enumerate(key_cols)],
                     (F.col(SEQ) + 1).alias("__prev_seq")))
     pairs = [(c, f"__prev_{i}") for i, c in enumerate(key_cols)] + [(SEQ, "__prev_seq")]
-    out = rows.join(prev, _null_safe_on(rows, prev, pairs), "left_anti")
+    out = rows.join(prev, null_safe_on(rows, prev, pairs), "left_anti")
     return out.drop(*[c for c in items if c.startswith("__key_")])
 
 
@@ -180,5 +225,5 @@ def snapshot_diff(current: DataFrame, previous: DataFrame,
     prv, pks = comparable_keys(previous, _names(keys))
     prev = prv.select(*[F.col(c).alias(f"__prev_{i}") for i, c in enumerate(pks)]).distinct()
     pairs = [(c, f"__prev_{i}") for i, c in enumerate(ks)]
-    out = cur.join(prev, _null_safe_on(cur, prev, pairs), "left_anti")
+    out = cur.join(prev, null_safe_on(cur, prev, pairs), "left_anti")
     return out.drop(*[c for c in ks if c.startswith("__key_")])

@@ -34,7 +34,8 @@ def keyword_pattern(keywords: Sequence[str]) -> str:
     if not words:
         raise ValueError("track_keywords needs at least one keyword; use sample_stream")
     alts = "|".join(_quote(w) for w in words)
-    return f"(^|\\W)({alts})(\\W|$)"
+    # (?U): a letter of any script is part of a word
+    return f"(?U)(^|\\W)({alts})(\\W|$)"
 
 
 def keyword_match(text: Column, keywords: Sequence[str]) -> Column:
@@ -71,5 +72,7 @@ def sample_stream(df: DataFrame, key: str | None, fraction: float, method: str =
         return df.sample(fraction=fraction, seed=seed)
     if key is None:
         raise ValueError("hash sampling needs a key column")
+    while fraction > 0 and fraction * buckets < 100 and buckets < 1 << 31:
+        buckets *= 10  # finer buckets, so that a small fraction keeps its share
     keep = int(round(fraction * buckets))
     return df.where(hash_bucket(F.col(key), buckets) < F.lit(keep))

@@ -15,8 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.session import scratch_path
-from docweave.sources.feeds import SEQ, snapshot_diff
+from docweave.sources.feeds import SEQ, comparable_keys, null_safe_on, snapshot_diff
 
 
 def stream_table(spark: SparkSession, sf_dir: str, table: str,
@@ -93,21 +92,29 @@ def _drop_old_states(spark: SparkSession, root: str, keep_from: int) -> None:
                 fs.delete(st.getPath(), True)
 
 
+def _state_batches(spark: SparkSession, root: str) -> list[int]:
+    """Ids of the batches that have left a state; errors of the store are raised."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    found = []
+    for st in fs.listStatus(base):
+        name = st.getPath().getName()
+        done = jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
+        if name.startswith("batch=") and name[6:].isdigit() and fs.exists(done):
+            found.append(int(name[6:]))
+    return sorted(found)
+
+
 def _previous_state(spark: SparkSession, root: str, batch_id: int,
                     empty_like: DataFrame) -> DataFrame:
     """State written by the latest batch before ``batch_id`` (empty for the first)."""
-    try:
-        return spark.read.parquet(f"{root}/batch={batch_id - 1}")
-    except Exception:  # noqa: BLE001 - not written: first batch, or ids skipped
-        pass
-    try:
-        states = spark.read.parquet(root).where(F.col("batch") < batch_id)
-        last = states.agg(F.max("batch")).first()[0]
-    except Exception:  # noqa: BLE001 - no state at all yet
-        last = None
-    if last is None:
+    earlier = [b for b in _state_batches(spark, root) if b < batch_id]
+    if not earlier:
         return empty_like.limit(0)
-    return spark.read.parquet(f"{root}/batch={last}")
+    return spark.read.schema(empty_like.schema).parquet(f"{root}/batch={earlier[-1]}")
 
 
 def new_items_stream(df: DataFrame, item: str | Sequence[str], poll: str,
@@ -116,35 +123,38 @@ def new_items_stream(df: DataFrame, item: str | Sequence[str], poll: str,
                      feed: str | Sequence[str] | None = None, **kwargs):
     """Incremental new-item detection over a stream of polls.
 
-    Each micro-batch brings whole polls (``poll`` numbers each feed's polls
-    densely, as the poller does).  The batch is compared with the keys of
-    the previous poll -- from the same batch, or from the state table of the
-    last poll written by the previous batch -- with the same anti join as
-    ``new_items``.  The state table is rewritten per batch id, so a replayed
-    batch gives the same answer.
+    ``poll`` numbers each feed's polls densely, as the poller does.  Micro-batch
+    borders know nothing of polls: a poll may come in several batches, as long
+    as the polls of a feed come one after the other.  An item is
+    compared with the whole previous poll, by the same anti join as
+    ``new_items``; the state therefore keeps the keys of each feed's last *two*
+    polls.  It is a table per batch id under the checkpoint (or
+    ``state_path``), so a replayed batch gives the same answer and a restarted
+    stream goes on where it stopped.  Rows without a poll (NULL) all pass.
+    VARIANT items (whole documents) are compared by their JSON text.
     """
     spark = df.sparkSession
     feeds = [feed] if isinstance(feed, str) else list(feed or [])
     items = [item] if isinstance(item, str) else list(item)
-    state_root = state_path or scratch_path(spark, "new-items-state")
-    key_cols = feeds + items
+    state_root = state_path or f"{checkpoint.rstrip('/')}/new-items-state"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn(SEQ, F.col(poll).cast("bigint"))
-        keys = rows.select(*key_cols, SEQ).distinct()
-        earlier = _previous_state(spark, state_root, batch_id, keys)
-        all_keys = keys.unionByName(earlier)
+        rows, keys_of = comparable_keys(batch.withColumn(SEQ, F.col(poll).cast("bigint")), items)
+        key_cols = feeds + keys_of
+        keys = rows.where(F.col(SEQ).isNotNull()).select(*key_cols, SEQ).distinct()
+        all_keys = keys.unionByName(_previous_state(spark, state_root, batch_id, keys)).distinct()
         shifted = all_keys.withColumn(SEQ, F.col(SEQ) + 1)
         fresh = snapshot_diff(rows, shifted, key_cols + [SEQ])
-        output(fresh, batch_id)
-        # state for the next batch: keys of each feed's last poll seen so far
+        output(fresh.drop(*[c for c in keys_of if c not in items]), batch_id)
+        # state for the next batch: keys of each feed's last two polls seen so far
+        last = (all_keys.groupBy(*feeds) if feeds else all_keys.groupBy()).agg(F.max(SEQ).alias("__last"))
         if feeds:
-            last = all_keys.groupBy(*feeds).agg(F.max(SEQ).alias("__last"))
-            latest = (all_keys.join(last, feeds).where(F.col(SEQ) == F.col("__last"))
-                      .drop("__last"))
-        else:  # one feed: its last poll number is a single scalar
-            top = all_keys.agg(F.max(SEQ)).first()[0]
-            latest = all_keys.where(F.col(SEQ) == F.lit(top))
+            ends = last.select(*[F.col(f).alias(f"__f{i}") for i, f in enumerate(feeds)], "__last")
+            on = null_safe_on(all_keys, ends, [(f, f"__f{i}") for i, f in enumerate(feeds)])
+            joined = all_keys.join(ends, on)
+        else:
+            joined = all_keys.crossJoin(F.broadcast(last))  # one row
+        latest = joined.where(F.col(SEQ) >= F.col("__last") - 1).select(*key_cols, SEQ)
         latest.write.mode("overwrite").parquet(f"{state_root}/batch={batch_id}")
         # a replay of this batch needs batch_id - 1; older snapshots are never read again
         _drop_old_states(spark, state_root, batch_id - 1)

@@ -115,6 +115,129 @@ def test_new_items_rejects_streams(spark):
         new_items(stream_table(spark, SF01, "events"), "user_id", "ts")
 
 
+def _write_polls(spark, folder, files):
+    """One file per list of (feed, poll, item) rows, in the order of their names."""
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "feed string, poll long, item string")
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/f={i:03}")
+
+
+def test_polls_across_batches_and_a_restart(spark, tmp_path):
+    """A poll may span files and micro-batches; a restarted stream knows what was there."""
+    files = [[("f", 1, "A"), ("f", 1, "B"), (None, 1, "N")], [("f", 2, "A"), (None, 2, "N")],
+             [("f", 2, "B"), ("f", 2, "C"), ("f", None, "A")], [("f", 3, "B"), ("g", 1, "B")],
+             [("f", 3, "D"), ("g", 1, "E"), ("g", 2, "E")]]
+    src, out = tmp_path / "polls", tmp_path / "new"
+    schema = "feed string, poll long, item string"
+
+    def go():
+        stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                  .option("recursiveFileLookup", "true").parquet(str(src)))
+        q = new_items_stream(stream, "item", "poll",
+                             lambda b, i: b.write.mode("overwrite").parquet(f"{out}/b={i}"),
+                             str(tmp_path / "ck"), feed="feed", available_now=True)
+        q.awaitTermination()
+
+    _write_polls(spark, src, files[:2])
+    go()
+    for i, rows in enumerate(files[2:], 2):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/f={i:03}")
+        go()
+    got = sorted((str(r.feed), str(r.poll), r.item) for r in spark.read.parquet(str(out)).collect())
+    rows = [r for f in files for r in f]
+    batch = new_items(spark.createDataFrame(rows, schema), "item", "poll", "feed", dense=True).collect()
+    assert got == sorted((str(r.feed), str(r.poll), r.item) for r in batch)
+    assert ("f", "2", "B") not in got and ("f", "None", "A") in got and ("None", "2", "N") not in got
+
+
+def test_state_errors_are_raised(spark, tmp_path):
+    from docweave.streaming import runner
+    like = spark.createDataFrame([], "item string, poll_seq long")
+    assert runner._previous_state(spark, str(tmp_path / "none"), 3, like).count() == 0
+    with pytest.raises(Exception):
+        runner._previous_state(spark, "nostore://x/y", 3, like)
+
+
+def test_whole_documents_as_streamed_items(spark, tmp_path):
+    src = tmp_path / "docs"
+    for i, rows in enumerate([[(1, '{"a":1,"b":2}'), (1, '{"c":3}')], [(2, '{"b":2,"a":1}'), (2, '{"c":4}')]]):
+        spark.createDataFrame(rows, "poll long, text string").coalesce(1).write.parquet(f"{src}/f={i}")
+    stream = (spark.readStream.schema("poll long, text string").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(str(src))
+              .withColumn("doc", F.parse_json("text")))
+    seen = []
+    q = new_items_stream(stream, "doc", "poll", lambda b, i: seen.extend(r.text for r in b.select("text").collect()),
+                         str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination()
+    assert sorted(seen) == ['{"a":1,"b":2}', '{"c":3}', '{"c":4}']
+
+
+def test_streaming_enrich_sends_keys_only(spark, tmp_path):
+    from docweave.operators.enrich import enrich
+    big = 9007199254740993
+    spark.createDataFrame([(1, big, "x", None), (2, None, "y", "z")], "id int, k long, a string, b string") \
+        .coalesce(1).write.parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema("id int, k long, a string, b string").parquet(str(tmp_path / "src"))
+    out = enrich(stream, "k", "text", lambda keys: keys.astype(str))
+    q = (out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [(1, big, "x", None, str(big)), (2, None, "y", "z", None)]
+
+
+def test_shared_nodes_run_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def slow(df):
+        from docweave.operators.user import flat_map_docs
+
+        def one(r):
+            calls.add(1)
+            return [r]
+        return flat_map_docs(df, one, "id long")
+
+    p = (Dataflow().source("s", lambda s: s.range(2)).transform("t", slow, "s")
+         .sink("a", lambda d: d.count(), "t").sink("b", lambda d: d.count(), "t"))
+    assert p.run(spark) == {"a": 2, "b": 2} and calls.value == 2
+
+
+def test_several_streaming_sources(spark, tmp_path):
+    out = tmp_path / "out"
+    p = (Dataflow()
+         .source("nations", lambda s: stream_table(s, SF01, "nation").select(F.col("n_name").alias("name")))
+         .source("regions", lambda s: stream_table(s, SF01, "region").select(F.col("r_name").alias("name")))
+         .transform("upper", lambda d: d.withColumn("name", F.upper("name")), "nations", "regions")
+         .sink("all", lambda d, b, src: d.write.mode("overwrite").parquet(f"{out}/{src}={b}"), "upper"))
+    for q in p.run_stream(spark, str(tmp_path / "ck"), available_now=True):
+        q.awaitTermination()
+    assert spark.read.option("recursiveFileLookup", "true").parquet(str(out)).count() == 30
+
+
+def test_sink_and_split_parallelism(spark):
+    p = (Dataflow().source("s", lambda s: s.range(100))
+         .transform("t", lambda d: split(d, "id", ">", "49"), "s", parallelism=3)
+         .sink("yes", lambda d: d.rdd.getNumPartitions(), Edge("t", "yes"))
+         .sink("no", lambda d: d.rdd.getNumPartitions(), Edge("t", "no"), parallelism=5))
+    assert p.run(spark) == {"yes": 3, "no": 5}
+
+
+def test_source_and_log_components(spark, tmp_path):
+    from docweave.plans.components import component, credentials
+    xml = "<rss><channel><item><title>One</title><n>1</n></item><item><title>Two</title></item></channel></rss>"
+    landed = lambda s, p: s.createDataFrame([(xml,)], "xml string")
+    p = (Dataflow().source("feed", component("rss", {"url": "u", "frequency": "5"}, doc="doc", landed=landed))
+         .transform("only", component("filter", {"conditions": [
+             {"field": "title", "operator": "==", "value": "One"}]}, doc="doc"), "feed")
+         .sink("log", component("log", {}, doc="doc", path=str(tmp_path / "log")), "only"))
+    p.run(spark)
+    assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ['{"n":1,"title":"One"}'] or \
+        [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ['{"n":"1","title":"One"}']
+    tweets = lambda s, p: s.createDataFrame([("a token",), ("none",)], "text string")
+    got = component("twitter", {"keywords": ["token"], "consumerKey": "k"}, landed=tweets)(spark)
+    assert got.count() == 1 and credentials({"consumerKey": "k", "x": 1}) == {"consumerKey": "k"}
+
+
 def test_read_feed_attributes(spark, tmp_path):
     from docweave.sources.feeds import read_feed
     (tmp_path / "f.xml").write_text('<rss><channel><item><guid isPermaLink="false">g1</guid>'
@@ -284,7 +407,7 @@ def test_components_from_parameters(spark):
     with pytest.raises(ValueError):
         component("filter", {"conditions": [], "bogus": 1})
     env = to_envelope(ev, entity="event")
-    flat = with_documents(env, component("flatten", {"separator": "-"}, doc="doc"))
+    flat = with_documents(env, component("flatten", {"separator": "-"}, doc="doc"), dead_letter=False)
     assert flat.count() == ev.count()
 
 
@@ -297,7 +420,7 @@ def test_components_from_parameters(spark):
     ("boxes", {"bars": [("a", "1", "lo"), ("b", "2", "hi"), ("c", "3", "lo")]}),
     ("map", {"latField": "lo", "lonField": "hi", "field": ["name"], "id": "m"}),
     ("timeline", {"contentField": "name", "id": "t"}),
-    ("message", {"fieldToTweet": "name", "customText": "Hi"}),
+    ("message", {"fieldToTweet": "name", "customText": "Hi", "consumerKey": "k", "accessToken": "t"}),
 ])
 def test_every_component_kind_runs(spark, kind, params):
     from docweave.operators.split import Split

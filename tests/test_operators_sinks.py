@@ -48,7 +48,8 @@ def test_partition_field_one_partition_per_key(spark):
     df = spark.range(1000).select((F.col("id") % 37).alias("k"))
     tagged = partition(df, "field", 8, "k").select("k", F.spark_partition_id().alias("p"))
     assert tagged.groupBy("k").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
-    assert partition(df, "global").rdd.getNumPartitions() == 1
+    with pytest.raises(ValueError):
+        partition(df, "global")  # all rows through one task: left out
     assert partition(df, "shuffle", 5).rdd.getNumPartitions() == 5
     with pytest.raises(ValueError):
         partition(df, "bogus")
@@ -75,6 +76,7 @@ def test_flat_map_user_errors(spark):
     assert flat_map_docs(df, lines, schema, on_error="skip").count() == 2
     q = flat_map_docs(df, lines, schema, on_error="quarantine")
     assert q.where("_error IS NOT NULL").count() == 1 and q.count() == 3
+    assert json.loads(q.where("_error IS NOT NULL").first()._input) == {"id": 2, "text": None}
     state = flat_map_docs(df.where("text IS NOT NULL"), lambda r, s: [{"id": r["id"], "n": s, "line": ""}],
                           schema, prepare=lambda: 7, cleanup=lambda s: None)
     assert state.first().n == 7
@@ -82,6 +84,54 @@ def test_flat_map_user_errors(spark):
     assert sorted(r.id for r in doubled.collect()) == [2, 4]
 
 
+def test_user_code_sees_exact_values(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "a"), (None, "b")], "n long, s string")
+    seen = flat_map_docs(df, lambda r: [{"n": r["n"], "kind": type(r["n"]).__name__}], "n long, kind string")
+    assert sorted(map(tuple, seen.collect()), key=str) == sorted([(big, "int"), (None, "NoneType")], key=str)
+
+
+def test_user_code_on_documents(spark):
+    docs = parse_documents(spark.createDataFrame(
+        [("e", '{"a":{"b":[1,2.5,null]},"n":9007199254740993}'), ("f", '{"skip":true}')], "entity string, map string"))
+
+    def split(d):
+        for i, x in enumerate(d.get("a", {}).get("b", [])):
+            yield {"i": i, "x": x, "n": d["n"], "old": {"a": d["a"]}}
+
+    out = flat_map_docs(docs, split, doc="doc")
+    assert out.columns == docs.columns and dict(out.dtypes)["doc"] == "variant"
+    got = sorted((r[0], json.loads(r[1])["x"], json.loads(r[1])["n"]) for r in
+                 out.select("entity", F.to_json("doc")).collect() if json.loads(r[1])["x"] is not None)
+    assert got == [("e", 1, 9007199254740993), ("e", 2.5, 9007199254740993)]
+    bad = flat_map_docs(docs, lambda d: [{"n": d["n"]}], doc="doc", on_error="quarantine")
+    dead = bad.where("_error IS NOT NULL").first()
+    assert json.loads(dead._input)["doc"] == {"skip": True} and bad.count() == 2
+
+
+def test_many_rows_from_one_document(spark):
+    df = spark.createDataFrame([(20_000,)], "n int")
+    assert flat_map_docs(df, lambda r: ({"i": i} for i in range(r["n"])), "i int").count() == 20_000
+
+
+def test_enrich_in_place_keeps_the_old_value(spark):
+    df = spark.createDataFrame([(1, "bad"), (2, "ok"), (3, None)], "id int, u string")
+
+    def fn(keys):
+        if (keys == "bad").any():
+            raise RuntimeError("down")
+        return keys + "!"
+
+    assert {r.id: r.u for r in enrich(df, "u", "u", fn).collect()} == {1: "bad", 2: "ok!", 3: None}
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from docweave.functions.sizing import fits, sized_broadcast
+    wide = spark.range(100).select(F.repeat(F.lit("x"), 10_000).alias("t"), F.parse_json(F.lit("{}")).alias("v"))
+    assert fits(wide) and not fits(wide, max_bytes=500_000) and not fits(wide, max_rows=99)
+    assert sized_broadcast(wide, max_bytes=500_000) is wide
+
+
 def test_bars_boxes(spark):
     df = spark.createDataFrame([(1, 2.5, None)], "id int, v double, w double")
     bars = bars_payload(df, [("v", "w1", "v"), ("w", "w2", "w")], keep=["id"])
@@ -92,6 +142,16 @@ def test_bars_boxes(spark):
     assert boxes_payload(df, [("v", "1", "v"), ("w", "2", "w"), ("v", "3", "v")]).count() == 3
 
 
+def test_payload_holds_the_json_value(spark):
+    df = spark.createDataFrame([(1, "F", 5, True, [1, 2])], "id int, s string, n long, b boolean, a array<int>")
+    bars = [(c, f"w-{c}", c) for c in ("s", "n", "b", "a", "none")]
+    want = {"w-s": {"value": "F"}, "w-n": {"value": 5}, "w-b": {"value": True}, "w-a": {"value": [1, 2]}, "w-none": {}}
+    got = {r.widget_id: json.loads(r.payload) for r in bars_payload(df, bars).collect()}
+    assert got == want
+    docs = df.select(F.to_variant_object(F.struct("s", "n", "b", "a")).alias("doc"))
+    assert {r.widget_id: json.loads(r.payload) for r in bars_payload(docs, bars, doc="doc").collect()} == want
+
+
 def test_map_timeline_message(spark):
     docs = parse_documents(spark.createDataFrame(
         [("e", '{"geo":{"lat":1.5,"lon":2},"name":"n","t":"hello","ts":100}')],
@@ -123,6 +183,18 @@ def test_push_rows_retries_and_failures(spark):
     assert st == {"ok": (True, 1), "flaky": (True, 2), "bad": (False, 3)}
 
 
+def test_push_rows_carry_the_target(spark):
+    df = spark.createDataFrame([(1, "w1", "x"), (2, "w2", "y")], "id int, widget_id string, payload string")
+
+    def send(client, body, row):
+        if row["widget_id"] == "w2":
+            raise IOError(f"{row['id']} refused")
+
+    out = {r.id: r for r in push_rows(df, lambda: None, send, retries=0).collect()}
+    assert (out[1].widget_id, out[1].ok) == ("w1", True)
+    assert (out[2].widget_id, out[2].ok, out[2].payload) == ("w2", False, "y") and "2 refused" in out[2].error
+
+
 def test_sinks_write(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "k int, v string")
     log_sink(df, str(tmp_path / "log"), entity="x")
@@ -156,9 +228,10 @@ def test_readme_envelope_example(spark, tmp_path):
      .select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))))
      .write.text(landing))
     env = read_documents(spark, landing, entity="rssItem")
-    out = with_documents(env, lambda d: rename_field(
+    out, dead = with_documents(env, lambda d: rename_field(
         filter_docs(d, [Cond("title", "containsText", "widget")], doc="doc"),
         "title", "rsstitle", doc="doc"))
+    assert dead.count() == 0
     log_sink(out, str(tmp_path / "logs"))
     logged = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "logs")).collect()]
     want = spark.read.parquet(f"{SF01}/part.parquet").where("p_name LIKE '%widget%'").count()

@@ -46,9 +46,12 @@ def test_match_field_is_regex(spark):
     df = spark.createDataFrame([("a.c",)], "p string")
     assert df.select(total(condition(df, Cond("p", "match", "abc")))).first()[0] is True
     assert df.select(total(condition(df, Cond("p", "match", "xabc")))).first()[0] is False
-    bad = spark.createDataFrame([("x[",)], "p string")
-    with pytest.raises(Exception):  # a pattern from the data that does not compile fails
-        bad.select(condition(bad, Cond("p", "match", "x"))).collect()
+    # a pattern from the data that does not compile is false, unless failing is asked for
+    bad = spark.createDataFrame([("x[",), ("a(",), ("x",), (None,)], "p string")
+    got = bad.select("p", total(condition(bad, Cond("p", "match", "x"))).alias("ok")).collect()
+    assert {r.p: r.ok for r in got} == {"x[": False, "a(": False, "x": True, None: False}
+    with pytest.raises(Exception):
+        bad.select(condition(bad, Cond("p", "match", "x"), on_error="fail")).collect()
 
 
 def test_on_error_fail_typed(typed_d):

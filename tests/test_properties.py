@@ -18,9 +18,19 @@ KEYS = st.sampled_from(["a", "b", "c", "a_b", "x"])
 SCALARS = st.one_of(st.none(), st.booleans(), st.integers(-50, 50),
                     st.sampled_from(["5", "10", "q", "l1\nl2", "", "abc"]))
 VALUES = st.recursive(SCALARS, lambda inner: st.one_of(
-    st.lists(inner, max_size=3), st.dictionaries(KEYS, inner, max_size=3)), max_leaves=8)
-DOCS = st.lists(st.dictionaries(KEYS, VALUES, max_size=4), min_size=1, max_size=12)
-SETTINGS = settings(max_examples=6, deadline=None,
+    st.lists(inner, max_size=3), st.dictionaries(KEYS, inner, max_size=3)), max_leaves=20)
+
+
+def _wrapped(value, keys):
+    for k in keys:
+        value = {k: value}
+    return value
+
+
+# some documents are far deeper than a recursive strategy draws by itself
+DEEP = st.builds(_wrapped, st.dictionaries(KEYS, VALUES, max_size=3), st.lists(KEYS, min_size=1, max_size=14))
+DOCS = st.lists(st.one_of(st.dictionaries(KEYS, VALUES, max_size=4), DEEP), min_size=1, max_size=12)
+SETTINGS = settings(max_examples=10, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture,
                                            HealthCheck.too_slow])
 

@@ -155,14 +155,76 @@ def test_documents_round_trip(spark):
     assert sampled.count() == 2
 
 
-def test_auto_depth(spark):
-    deep = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"j":1}}}}}}}}},"l":[{"x":{"y":{"z":1}}}]}'
-    df = _docs(spark, deep, '{"k":1}')
-    assert R.object_depth("OBJECT<a: OBJECT<b: ARRAY<OBJECT<c: OBJECT<d: BIGINT>>>>, `x>y`: BIGINT>") == 2
-    with pytest.raises(Exception):
-        R.flatten_doc(df, "_", doc="doc").collect()  # 10 levels > default 8
-    out = {json.dumps(json.loads(r[0]), sort_keys=True) for r in
-           R.flatten_doc(df, "_", doc="doc", max_depth="auto").select(F.to_json("doc")).collect()}
-    assert '{"a_b_c_d_e_f_g_h_i_j": 1, "l": [{"x": {"y": {"z": 1}}}]}' in out
-    t = R.trim(df, ["a.b.c.d.e.f.g.h.i.j"], "delete", doc="doc", max_depth="auto")
-    assert {json.loads(r[0]).get("a") is None for r in t.select(F.to_json("doc")).collect()} == {True}
+def _deep(n, leaf, name="k"):
+    out = leaf
+    for i in reversed(range(n)):
+        out = {f"{name}{i}": out}
+    return out
+
+
+def test_any_depth(spark):
+    """No cap: deep leaves are kept or dropped as listed, and mixed kinds at a path do no harm."""
+    docs = [_deep(12, 1), {"k0": "text"}, {"k0": {"k1": None, "e": _deep(10, {})}, "l": [{"x": {"y": {}}}]}]
+    df = _docs(spark, *map(json.dumps, docs))
+    deep = ".".join(f"k{i}" for i in range(12))
+
+    def out(d):
+        return sorted((json.loads(r[0]) for r in d.select(F.to_json("doc")).collect()), key=str)
+
+    assert out(R.trim(df, [deep, "z"], "allows", doc="doc")) == sorted([docs[0], {}, {}], key=str)
+    left = {"k0": {"k1": None}, "l": [{"x": {"y": {}}}]}
+    assert out(R.trim(df, [deep], "delete", doc="doc")) == sorted([{}, docs[1], left], key=str)
+    assert out(R.prune_empty(df, doc="doc")) == sorted([docs[0], docs[1], left], key=str)
+    assert out(R.flatten_doc(df, "_", doc="doc")) == sorted(
+        [{deep.replace(".", "_"): 1}, docs[1], {"k0_k1": None, "l": [{"x": {"y": {}}}]}], key=str)
+
+
+def test_set_and_remove_inside_maps_and_variants(spark):
+    df = spark.sql("""SELECT 1 AS id, map('x', 1, 'y', 2) AS m, parse_json('{"k": 1, "o": {"p": 2}}') AS v,
+                      map('a', named_struct('b', 1, 'c', 2)) AS ms, named_struct('m', map('q', 'r')) AS s
+                      UNION ALL SELECT 2, CAST(NULL AS map<string,int>), NULL, NULL, NULL""")
+
+    def row(d, c, i=1):
+        return json.loads(d.filter(f"id = {i}").select(F.to_json(F.struct(c)).alias("j")).first().j).get(c)
+
+    assert row(R.add_field(df, "m.z", 5), "m") == {"x": 1, "y": 2, "z": 5}
+    assert row(R.add_field(df, "m.x", 5), "m") == {"y": 2, "x": 5}
+    assert row(R.add_field(df, "m.z", 5), "m", 2) == {"z": 5}
+    assert row(R.add_field(df, "v.z", 5), "v") == {"k": 1, "o": {"p": 2}, "z": 5}
+    assert row(R.add_field(df, "v.o.z", "t"), "v") == {"k": 1, "o": {"p": 2, "z": "t"}}
+    assert row(R.add_field(df, "ms.a.c", 9), "ms") == {"a": {"b": 1, "c": 9}}
+    assert row(R.add_field(df, "s.m.n", "w"), "s") == {"m": {"q": "r", "n": "w"}}
+    assert row(R.remove_field(df, "m.x"), "m") == {"y": 2}
+    assert row(R.remove_field(df, "v.k"), "v") == {"o": {"p": 2}}
+    assert row(R.remove_field(df, "v.o.p"), "v") == {"k": 1, "o": {}}
+    assert row(R.remove_field(df, "ms.a.c"), "ms") == {"a": {"b": 1}}  # emptied: to_json leaves nulls out
+    assert row(R.remove_field(df, "m.none"), "m") == {"x": 1, "y": 2}
+    moved = R.rename_field(df, "v.k", "m.k2")
+    assert row(moved, "m") == {"x": 1, "y": 2, "k2": 1} and row(moved, "v") == {"o": {"p": 2}}
+
+
+def test_keys_that_differ_in_case_are_different(spark):
+    df = spark.sql("SELECT 1 AS value, named_struct('a', 1) AS s")
+    out = R.add_field(R.add_field(df, "Value", 2), "s.A", 3)
+    assert out.columns == ["value", "s", "Value"]
+    assert json.loads(out.select(F.to_json(F.struct("*")).alias("j")).first().j) == {
+        "value": 1, "Value": 2, "s": {"a": 1, "A": 3}}
+    assert R.remove_field(out, "VALUE").columns == out.columns
+    assert R.remove_field(out, "Value").columns == ["value", "s"]
+
+
+def test_typed_flatten_collision_keeps_the_value_that_is_there(spark):
+    df = spark.sql("""SELECT named_struct('b', CAST(NULL AS string)) AS a, '2' AS a_b
+                      UNION ALL SELECT named_struct('b', '1'), NULL
+                      UNION ALL SELECT named_struct('b', '1'), '2'""")
+    assert [r.a_b for r in R.flatten_doc(df).collect()] == ["2", "1", "2"]
+    mixed = spark.sql("SELECT named_struct('b', 7) AS a, CAST(NULL AS string) AS a_b")
+    assert [r.a_b for r in R.flatten_doc(mixed).collect()] == ["7"]
+
+
+def test_failed_value_keeps_the_typed_field(spark):
+    df = spark.sql("SELECT 'old' AS u, named_struct('w', 'old') AS s")
+    none = F.lit(None).cast("string")
+    assert R.add_field(df, "u", none, skip_null=True).first().u == "old"
+    assert R.add_field(df, "s.w", none, skip_null=True).first().s.w == "old"
+    assert R.add_field(df, "u", F.lit("new"), skip_null=True).first().u == "new"
