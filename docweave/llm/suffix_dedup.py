@@ -18,11 +18,13 @@ An anchor p with the windows that begin at a..b has the block [a, b + WINDOW).
    the anchors, read backwards.  The common prefixes of neighbours in both
    orders tell for every offset o which windows [p - o, p - o + WINDOW) are
    equal.
-3. A run of suffixes with the same gram may go on across a bucket's boundary.
-   So the first and the last run of every bucket are compared across buckets:
-   each of their windows becomes a 128-bit hash, counted over all buckets.  A
-   gram that is so frequent that it fills whole buckets goes this way too, and
-   no task ever holds it as a whole.
+3. Then buckets are compared across their boundaries.  A window can occur in
+   another bucket only if the part of it from the anchor on is also a prefix of
+   the bucket's first or last suffix.  Of those windows, ``SLICE`` neighbouring
+   offsets at a time share a core; the 128-bit hashes of the different cores of
+   a bucket are counted over all buckets, and only where a core occurs again
+   the windows around it are hashed and counted in the same way.  So a gram may
+   be so frequent that it fills many buckets, and no task holds it as a whole.
 4. All windows of a block share the anchor, so what they cover is one
    interval from the smallest to the largest offset that is repeated.
 
@@ -43,12 +45,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_within, materialise, mixed, pick, utf8_parts
+from .common import materialise, mixed, pick, utf8_parts
 
 WINDOW = 200
 GRAM = 64
 #: Offsets that an anchor may have within a window.
 OFFSETS = WINDOW - GRAM + 1
+#: Neighbouring offsets whose windows are compared across buckets by their common core first.
+SLICE = 16
 #: Windows that are worked on at once.
 SEGMENT = 1 << 18
 #: Bits of a Bloom filter at most (64 MB); with more grams than that is good for, more anchors pass.
@@ -56,8 +60,6 @@ MAX_BLOOM_BITS = 1 << 29
 PROBES = 3
 #: Suffixes of a bucket, on average.
 BUCKET = 20_000
-#: Texts with repeats whose intervals are broadcast; more are joined by a shuffle.
-MAX_BROADCAST_TEXTS = 50_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 20) - 1)
@@ -206,31 +208,76 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeated_offsets(right: list[bytes], left: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest, largest) offset whose window occurs twice; -1 where none does.
+class Bucket:
+    """The suffixes of a bucket, sorted both ways.
 
     ``right`` are the bytes from the anchors on, ``left`` those before them,
     backwards; ``times`` tells how often each pair occurs.
     """
-    n = len(right)
-    smallest, largest = np.full(n, -1), np.full(n, -1)
-    if not n:
-        return smallest, largest
-    r_order, r_common = sorted_prefixes(right, WINDOW)
-    l_order, l_common = sorted_prefixes(left, OFFSETS)
-    r_length = np.fromiter(map(len, right), np.int64, n)
-    l_length = np.fromiter(map(len, left), np.int64, n)
-    for o in range(OFFSETS):
-        has = np.flatnonzero((r_length >= WINDOW - o) & (l_length >= o))
-        if not len(has):
-            continue
-        both = (_classes(r_order, r_common, WINDOW - o)[has] * (n + 1)
-                + (_classes(l_order, l_common, o)[has] if o else 0))
-        _, where = np.unique(both, return_inverse=True)
-        again = has[np.bincount(where, times[has])[where] > 1]
-        smallest[again] = np.where(smallest[again] < 0, o, smallest[again])
-        largest[again] = o
-    return smallest, largest
+
+    def __init__(self, right: list[bytes], left: list[bytes], times: np.ndarray):
+        n = len(right)
+        self.times = times
+        self.right = sorted_prefixes(right, WINDOW)
+        self.left = sorted_prefixes(left, OFFSETS)
+        self.r_length = np.fromiter(map(len, right), np.int64, n)
+        self.l_length = np.fromiter(map(len, left), np.int64, n)
+        # the longest prefix that each suffix shares with the bucket's first or last one
+        order, common = self.right
+        whole = self.r_length[order]
+        from_first = np.minimum.accumulate(np.concatenate([whole[:1], common[1:]]))
+        to_last = np.minimum.accumulate(np.concatenate([whole[-1:], common[:0:-1]]))[::-1]
+        self.edge = np.empty(n, np.int64)
+        self.edge[order] = np.maximum(from_first, to_last)
+
+    def classes(self, rows: np.ndarray, ahead: int, back: int):
+        """(first row, class of each row, times of each class) by ``ahead`` bytes from the anchor and ``back`` before."""
+        n = len(self.times)
+        both = _classes(*self.right, ahead)[rows] * (n + 1) + (_classes(*self.left, back)[rows] if back else 0)
+        _, first, where = np.unique(both, return_index=True, return_inverse=True)
+        return rows[first], where, np.bincount(where, self.times[rows]).astype(np.int64)
+
+    def compare(self):
+        """What the bucket tells about its windows.
+
+        Returns (smallest, largest) offset whose window occurs twice in the
+        bucket (-1 where none does); the windows that may occur in another
+        bucket, as lists of (rows, offset, times), one row for each different
+        window; and the cores, as lists of (rows, slice, times, alone).  The
+        windows around a core that is ``alone`` in the bucket are left to the
+        comparison of cores.
+        """
+        n = len(self.times)
+        smallest, largest = np.full(n, -1), np.full(n, -1)
+        windows, cores = [], []
+        for begin in range(0, OFFSETS, SLICE):
+            end = min(begin + SLICE, OFFSETS)  # offsets begin .. end - 1
+            top = np.minimum(end - 1, self.l_length)  # the largest that the row has
+            rows = np.flatnonzero((top >= begin) & (self.r_length >= WINDOW - top) & (self.edge >= WINDOW - top))
+            shared = np.zeros(n, np.bool_)  # rows whose core occurs twice in the bucket
+            if len(rows):
+                first, where, number = self.classes(rows, WINDOW - end + 1, begin)
+                alone = np.bincount(where) == 1
+                shared[rows] = ~alone[where]
+                cores.append((first, begin // SLICE, number, alone))
+            for o in range(begin, end):
+                has = np.flatnonzero((self.r_length >= WINDOW - o) & (self.l_length >= o))
+                if not len(has):
+                    continue
+                first, where, number = self.classes(has, WINDOW - o, o)
+                again = has[number[where] > 1]
+                smallest[again] = np.where(smallest[again] < 0, o, smallest[again])
+                largest[again] = o
+                reach = (self.edge[first] >= WINDOW - o) & shared[first]
+                if reach.any():
+                    windows.append((first[reach], o, number[reach]))
+        return smallest, largest, windows, cores
+
+
+def _hashes(left: list[bytes], right: list[bytes], rows: list[int], back: int, ahead: int) -> np.ndarray:
+    """128-bit hashes, as pairs of integers, of ``back`` bytes before the anchors and ``ahead`` from them on."""
+    digests = [xxhash.xxh3_128_digest(left[i][:back][::-1] + right[i][:ahead]) for i in rows]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
 # --- the operator -----------------------------------------------------------
@@ -283,41 +330,58 @@ def _occurrences(docs: DataFrame, every: np.ndarray, mixed_ones: np.ndarray) ->
         run, "h1 long, h2 long, at long, first long, last long, gram long, block long, right binary, left binary")
 
 
+_COMPARED = ("gram long, block long, kind int, smallest int, largest int, w1 long, w2 long, times long, "
+             "alone boolean")
+_LOCAL, _WINDOW, _CORE = 0, 1, 2
+
+
+def _rows(kind, gram, block, smallest, largest, hashes, times, alone=None) -> pa.RecordBatch:
+    n = len(gram)
+    empty = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(gram), pa.array(block), pa.array(np.full(n, kind, np.int32)),
+         pa.array(np.broadcast_to(smallest, n).astype(np.int32)), pa.array(np.broadcast_to(largest, n).astype(np.int32)),
+         empty if hashes is None else pa.array(hashes[:, 0].copy()),
+         empty if hashes is None else pa.array(hashes[:, 1].copy()),
+         empty if times is None else pa.array(times), pa.array(np.zeros(n, np.bool_) if alone is None else alone)],
+        names=[c.split()[0] for c in _COMPARED.split(", ")])
+
+
 def _compare_buckets(batches):
-    """A bucket of suffixes: offsets of the inner runs, and the windows of the first and the last run."""
+    """A bucket of suffixes: the offsets it tells itself, and the windows and cores to compare across buckets."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held)
     right, left = rows.column("right").to_pylist(), rows.column("left").to_pylist()
     gram, block = rows.column("gram").to_numpy(), rows.column("block").to_numpy()
-    times = rows.column("times").to_numpy()
-    heads = [s[:GRAM] for s in right]
-    low, high = min(heads), max(heads)
-    edge = np.fromiter((h in (low, high) for h in heads), np.bool_, len(heads))
-    names = ["gram", "block", "smallest", "largest", "w1", "w2", "times"]
-    inner = np.flatnonzero(~edge)
-    smallest, largest = repeated_offsets([right[i] for i in inner], [left[i] for i in inner], times[inner])
+    smallest, largest, windows, cores = Bucket(right, left, rows.column("times").to_numpy()).compare()
     some = smallest >= 0
-    none = pa.nulls(int(some.sum()), pa.int64())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(gram[inner][some]), pa.array(block[inner][some]), pa.array(smallest[some].astype(np.int32)),
-         pa.array(largest[some].astype(np.int32)), none, none, none], names=names)
-    for part in np.array_split(np.flatnonzero(edge), max(1, int(edge.sum()) // 500)):
-        index, offset, hashes = [], [], []
-        for i in part.tolist():
-            text = left[i][::-1] + right[i]
-            n_left = len(left[i])
-            for start in range(0, len(text) - WINDOW + 1):
-                index.append(i)
-                offset.append(n_left - start)
-                hashes.append(xxhash.xxh3_128_digest(text[start:start + WINDOW]))
-        halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-        index = np.array(index, np.int64)
-        offset = pa.array(offset, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(gram[index]), pa.array(block[index]), offset, offset, pa.array(halves[:, 0].copy()),
-             pa.array(halves[:, 1].copy()), pa.array(times[index])], names=names)
+    yield _rows(_LOCAL, gram[some], block[some], smallest[some], largest[some], None, None)
+    for row, o, number in windows:
+        yield _rows(_WINDOW, gram[row], block[row], o, o, _hashes(left, right, row.tolist(), o, WINDOW - o), number)
+    for row, part, number, alone in cores:
+        begin, end = part * SLICE, min((part + 1) * SLICE, OFFSETS)
+        hashes = _hashes(left, right, row.tolist(), begin, WINDOW - end + 1)
+        hashes = hashes ^ np.int64(part + 1)  # cores of different slices have nothing to do with each other
+        yield _rows(_CORE, gram[row], block[row], part, part, hashes, number, alone)
+
+
+def _open_cores(batches):
+    """Windows around cores that occur in several buckets; columns gram, block, right, left, times, part."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        right, left = batch.column("right").to_pylist(), batch.column("left").to_pylist()
+        gram, block = batch.column("gram").to_numpy(), batch.column("block").to_numpy()
+        times, part = batch.column("times").to_numpy(), batch.column("part").to_numpy()
+        for begin in np.unique(part).tolist():
+            for o in range(begin * SLICE, min((begin + 1) * SLICE, OFFSETS)):
+                row = np.array([i for i in np.flatnonzero(part == begin).tolist()
+                                if len(left[i]) >= o and len(right[i]) >= WINDOW - o], np.int64)
+                if len(row):
+                    yield _rows(_WINDOW, gram[row], block[row], o, o,
+                                _hashes(left, right, row.tolist(), o, WINDOW - o), times[row])
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
@@ -334,14 +398,21 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
               .agg(F.count("*").alias("times"), F.first("right").alias("right"), F.first("left").alias("left")))
     blocks = materialise(blocks, "suffix-blocks")
     compared = materialise(
-        blocks.repartitionByRange(max(1, -(-blocks.count() // BUCKET)), "right", "left").mapInArrow(
-            _compare_buckets, "gram long, block long, smallest int, largest int, w1 long, w2 long, times long"),
-        "suffix-compared")
-    windows = compared.filter("w1 IS NOT NULL")
+        blocks.repartitionByRange(max(1, -(-blocks.count() // BUCKET)), "right", "left")
+        .mapInArrow(_compare_buckets, _COMPARED), "suffix-compared")
+    cores = compared.filter(F.col("kind") == _CORE)
+    again = cores.groupBy("w1", "w2").agg(F.sum("times").alias("all")).filter(F.col("all") > 1)
+    opened = (cores.filter("alone").join(again, ["w1", "w2"])
+              .select("gram", "block", F.col("smallest").alias("part")).join(blocks, ["gram", "block"])
+              .select("gram", "block", "right", "left", "times", "part").mapInArrow(_open_cores, _COMPARED))
+    windows = materialise(compared.filter(F.col("kind") == _WINDOW).unionByName(opened), "suffix-windows")
     again = windows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).filter(F.col("all") > 1)
-    across = (windows.join(again, ["w1", "w2"]).groupBy("gram", "block")
-              .agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest")))
-    offsets = (compared.filter("w1 IS NULL").select("gram", "block", "smallest", "largest").unionByName(across))
+    across = windows.join(again, ["w1", "w2"]).select("gram", "block", "smallest", "largest")
+    # stored, so that the join below has two plain sides and a hot block is split
+    offsets = materialise(
+        compared.filter(F.col("kind") == _LOCAL).select("gram", "block", "smallest", "largest").unionByName(across)
+        .groupBy("gram", "block").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest")),
+        "suffix-offsets")
 
     pure = found.filter("not mixed").select("h1", "h2", F.col("first").alias("start"),
                                             (F.col("last") + WINDOW).alias("end"))
@@ -374,7 +445,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = _named(pick(docs, doc_id=id_col, text=text_col))
     spans = materialise(repeated_intervals(base), "suffix-spans")
-    rows = base.join(broadcast_within(spans, MAX_BROADCAST_TEXTS), ["h1", "h2"], "left").select("doc_id", "text", "spans")
+    rows = base.join(spans, ["h1", "h2"], "left").select("doc_id", "text", "spans")
     schema = T.StructType([
         base.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()),

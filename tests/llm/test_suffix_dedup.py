@@ -70,7 +70,6 @@ def test_equals_brute_force(spark, seed):
 
 def test_many_buckets_and_a_frequent_head(spark, monkeypatch):
     monkeypatch.setattr(S, "BUCKET", 7)
-    monkeypatch.setattr(S, "MAX_BROADCAST_TEXTS", 0)
     rng = random.Random(3)
     line = "this line stands in a third of all texts, and is long enough to hold whole grams of an anchor or more. "
     noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
