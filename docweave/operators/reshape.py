@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from docweave.functions import paths as P
 
 VMAP = "map<string,variant>"
+#: Documents with at most so many objects are trimmed level by level, the others by their leaves.
+LEVELS = 4
 LEAVES = "array<struct<path:array<string>,value:variant>>"
 
 
@@ -444,6 +446,36 @@ def _typed_rebuild(col: Column | None, st: T.StructType, prefix: list[str],
     return out
 
 
+def _trim_levels(v: Column, prefix: Column, fields: Column, allows: bool, levels: int) -> Column:
+    """Trim an object of at most ``levels`` levels, emptied objects removed, one lambda per level."""
+    def edit(k: Column, x: Column) -> Column:
+        if levels == 1:
+            return x
+        sub = _trim_levels(x, F.concat(prefix, k, F.lit(".")), fields, allows, levels - 1)
+        return F.when(P.v_is_object(x), sub).otherwise(x)
+
+    def keep(k: Column, x: Column) -> Column:
+        listed = F.array_contains(fields, F.concat(prefix, k))
+        full = F.size(F.coalesce(_vmap(x), _empty_vmap())) > 0
+        return F.when(P.v_is_object(x), full).otherwise(listed if allows else ~listed)
+
+    return F.to_variant_object(F.map_filter(F.transform_values(_vmap(v), edit), keep))
+
+
+def _v_trim(doc: Column, names: list[str], allows: bool) -> Column:
+    """Trim an object: small ones level by level, all others by their leaves; both at any depth they have."""
+    fields = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+
+    def stays(e: Column) -> Column:
+        listed = F.array_contains(fields, F.array_join(e["path"], "."))
+        return listed if allows else ~listed
+
+    by_leaves = v_rebuild(F.filter(v_leaves(doc), stays))
+    # as many levels as objects at most
+    small = F.size(F.split(F.schema_of_variant(doc), "OBJECT<")) - 1 <= LEVELS
+    return F.when(small, _trim_levels(doc, F.lit(""), fields, allows, LEVELS)).otherwise(by_leaves)
+
+
 def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
          doc: str | None = None, keep: Iterable[str] = (), entity: str | None = None) -> DataFrame:
     """Keep (``allows``) or drop (``delete``) the listed leaf paths, then prune empty objects.
@@ -457,13 +489,7 @@ def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
     names = [str(f).strip() for f in fields]
     allows = not (action is not None and str(action).strip().lower() == "delete")
     if doc is not None:
-        arr = F.array(*[F.lit(n) for n in names]).cast("array<string>")
-
-        def stays(e: Column) -> Column:
-            listed = F.array_contains(arr, F.array_join(e["path"], "."))
-            return listed if allows else ~listed
-
-        trimmed = v_rebuild(F.filter(v_leaves(F.col(doc)), stays))
+        trimmed = _v_trim(F.col(doc), names, allows)
         return df.withColumn(doc, F.when(P.v_is_object(F.col(doc)), trimmed)
                              .otherwise(F.col(doc)))
     listed = set(names)

@@ -150,7 +150,10 @@ def test_documents_round_trip(spark):
     back = typed_from_documents(docs)
     as_dicts = lambda d: sorted((r.asDict(recursive=True) for r in d.collect()), key=lambda x: x["id"])
     assert as_dicts(back) == as_dicts(df)  # VARIANT keeps object keys sorted: compare by name
-    assert struct_ddl("OBJECT<a: DECIMAL(2,1), b: VOID>") == "STRUCT<a: DOUBLE, b: VARIANT>"
+    assert struct_ddl("OBJECT<a: DECIMAL(2,1), b: VOID>") == "STRUCT<`a`: DOUBLE, `b`: VARIANT>"
+    # names are left alone, whatever they spell; integers beyond 64 bits stay exact
+    assert struct_ddl("OBJECT<VOID: BIGINT, `a>VOID``x`: OBJECT<OBJECT: VOID>, big: DECIMAL(20,0)>") == (
+        "STRUCT<`VOID`: BIGINT, `a>VOID``x`: STRUCT<`OBJECT`: VARIANT>, `big`: DECIMAL(20,0)>")
     sampled = typed_from_documents(docs, sample_fraction=1.0)
     assert sampled.count() == 2
 
