@@ -13,7 +13,8 @@ n-gram.  For a text, a popcount per language over its n-grams gives the number
 of hits; a language without the n-gram still hits with its filter's
 false-positive rate f, so the estimate is (hits - n f) / (n (1 - f)), at least
 zero.  The language with the largest estimate wins (ties: the first name in
-order); the score is that estimate, a share of the text's n-grams.
+order; no hits at all: the language with most training text); the score is that
+estimate, a share of the text's n-grams.
 
 N-grams are taken from the text's UTF-8 bytes with ASCII letters in lower
 case, within words (a space is put on either side); bytes that are neither
@@ -138,6 +139,7 @@ class LanguageFilter:
     languages: list[str]
     table: np.ndarray
     false_rate: np.ndarray
+    usual: int = 0
 
     def masks(self, gram: np.ndarray) -> np.ndarray:
         """(words, n-grams): the languages that contain each n-gram."""
@@ -199,14 +201,18 @@ def learn(docs: DataFrame) -> LanguageFilter:
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
     chosen = rated.join(best, "gram").filter(F.col("rate") >= MIN_SHARE * F.col("best")).select("lang", "gram")
     # at most 1 / MIN_RATE rows per language, whatever the size of the corpus
-    return build_filter([(r.lang, r.gram) for r in chosen.toLocalIterator()])
+    model = build_filter([(r.lang, r.gram) for r in chosen.toLocalIterator()])
+    most = totals.orderBy(F.desc("total"), "lang").first()
+    if most is not None and most.lang in model.languages:
+        model.usual = model.languages.index(most.lang)
+    return model
 
 
 def identify(docs: DataFrame, text: str, model: LanguageFilter) -> DataFrame:
     """``docs`` without ``text``, with lang_pred and score.
 
     A text that is null or has no letters gets ``und`` with score 0, and so
-    does one that no language's filter knows.
+    does every text if no language was learned.
     """
     from pyspark.sql import types as T
 
@@ -227,7 +233,8 @@ def identify(docs: DataFrame, text: str, model: LanguageFilter) -> DataFrame:
                                  for t in column.to_pylist()], np.bool_)
             score = estimates.max(axis=1) if known.languages else np.zeros(batch.num_rows)
             best = estimates.argmax(axis=1) if known.languages else np.zeros(batch.num_rows, np.int64)
-            sure = lettered & (score > 0)
+            best = np.where(score > 0, best, known.usual)
+            sure = lettered & bool(known.languages)
             best = np.where(sure, best, len(known.languages))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k) for k in kept], pa.array(names, pa.string()).take(pa.array(best)),
@@ -267,7 +274,7 @@ def drop_unidentified(docs: DataFrame, text_col: str = "text", id_col: str = "do
     base = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     model = learn(base.filter(~held_out(F.col("doc_id"))))
     seen = identify(carried.df.withColumn("words", carried.col(text_col)), "words", model)
-    return (seen.filter(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")).toDF(*carried.names)
+    return seen.filter(F.col("score") > 0).drop("lang_pred", "score").toDF(*carried.names)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,17 +59,19 @@ def test_lang_is_no_input_of_a_prediction(spark):
 def test_edge_cases(spark):
     prepare(spark)
     base = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text", "lang").limit(400)
-    odd = [(90_001, None, "en"), (90_002, "", "en"), (90_003, "123 !!", None), (90_004, "zqxj " * 3, None),
+    odd = [(90_001, None, "en"), (90_002, "", "en"), (90_003, "123 !!", None), (90_004, "ЖЖЩЪ " * 3, None),
            (None, "the and of that", None), (None, "the and of that", None), (90_006, "the and of " * 100_000, None)]
     docs = base.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
     docs = docs.selectExpr("doc_id", "text", "lang", "1 AS score", "'q' AS LANG", "'w' AS words")
     out = {r.doc_id: r for r in L.predict_languages(docs).collect() if r.doc_id is None or r.doc_id > 90_000}
     assert [out[i].lang_pred for i in (90_001, 90_002, 90_003)] == ["und"] * 3 and out[90_001].score == 0
+    # letters, but no known n-gram: the usual language, with score 0
+    assert out[90_004].lang_pred == "en" and out[90_004].score == 0
     assert out[None].lang_pred == "en" and out[90_006].lang_pred == "en" and not out[None].held_out
     kept = L.drop_unidentified(docs)
     assert kept.columns == docs.columns
     ids = [r[0] for r in kept.collect()]
-    assert ids.count(None) == 2 and not {90_001, 90_002, 90_003} & set(ids) and len(ids) >= 402
+    assert ids.count(None) == 2 and not {90_001, 90_002, 90_003, 90_004} & set(ids) and len(ids) >= 402
 
 
 def test_nothing_to_learn_and_empty_table(spark):
