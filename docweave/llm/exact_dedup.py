@@ -95,8 +95,9 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     maybe = materialise(probed.filter("again").select(
         *own, sha.alias("text_sha256"), F.monotonically_increasing_id().alias("tag")), "dedup-repeated")
     first = F.struct(row_id.isNull().alias("no_id"), row_id.alias("id"), F.col("tag").alias("tag"))
-    groups = (maybe.groupBy("text_sha256")
-              .agg(F.min(first).alias("first"), F.count("*").alias("group_size")))
+    # stored, so that the join below has two plain sides and a hot group of copies is split
+    groups = materialise(maybe.groupBy("text_sha256")
+                         .agg(F.min(first).alias("first"), F.count("*").alias("group_size")), "dedup-groups")
     several = maybe.join(groups, "text_sha256").select(
         *own, F.col("first.id").alias("keep_id"), "group_size",
         (F.col("tag") == F.col("first.tag")).alias("kept"), "text_sha256")
