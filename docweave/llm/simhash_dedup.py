@@ -250,7 +250,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = prints.groupBy("fp").agg(F.min("id").alias("low"))
     rooted = lowest.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
+    # stored, so that the join below has two plain sides and a hot fingerprint is split
+    by_print = materialise(rooted.join(named, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(by_print, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
@@ -274,7 +275,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # rows to drop: all but the first of every component of two or more rows
     firsts = (rooted.groupBy("root").agg(F.min("low").alias("first"), F.sum("n").alias("rows"))
               .filter("rows > 1"))
-    dropped = (prints.join(rooted.join(firsts, "root").select("fp", F.col("first.tag").alias("first_tag")), "fp")
+    kept = materialise(rooted.join(firsts, "root").select("fp", F.col("first.tag").alias("first_tag")),
+                       "simhash-kept")
+    dropped = (prints.join(kept, "fp")
                .filter("tag <> first_tag").select("tag"))
     return tagged.join(dropped, "tag", "left_anti").select(*own).toDF(*carried.names)
 
