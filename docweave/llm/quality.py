@@ -197,9 +197,9 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
     return tables
 
 
-def gram_hash(gram: np.ndarray, order: int, lang: int) -> np.ndarray:
-    """A bijective hash of an n-gram of up to 5 bytes with its order and language."""
-    return mixed(gram.astype(np.uint64) | np.uint64(order << 40) | np.uint64(lang << 44))
+def gram_hash(gram: np.ndarray, order: int, lang) -> np.ndarray:
+    """A bijective hash of an n-gram of up to 5 bytes with its order and language (one, or one for each)."""
+    return mixed(gram.astype(np.uint64) | np.uint64(order << 40) | np.uint64(lang) << np.uint64(44))
 
 
 class HashedModel:
@@ -248,18 +248,19 @@ def hashed_model(tables: list[DataFrame]) -> HashedModel:
     """Collect the stored tables into sorted arrays (the caller has checked their size)."""
     languages = sorted(r.lang for r in tables[0].select("lang").distinct().collect())
     number = {lang: i for i, lang in enumerate(languages)}
+
+    def hashed(rows: pa.Table, key: str, value: str, order: int) -> tuple[np.ndarray, np.ndarray]:
+        code = rows.column("lang").combine_chunks().dictionary_encode()
+        lang = np.array([number[x] for x in code.dictionary.to_pylist()], np.int64)[code.indices.to_numpy()]
+        return gram_hash(rows.column(key).to_numpy(), order, lang), rows.column(value).to_numpy()
+
     grams, contexts = [], []
     for order, table in enumerate(tables, 1):
-        for lang in languages:
-            own = table.filter(F.col("lang") == lang)
-            a = own.select("gram", F.log("p").cast("float").alias("p")).toArrow()
-            grams.append((gram_hash(a.column("gram").to_numpy(), order, number[lang]), a.column("p").to_numpy()))
-            b = own.groupBy("context").agg(F.log(F.first("gamma")).cast("float").alias("g")).toArrow()
-            contexts.append((gram_hash(b.column("context").to_numpy(), order, number[lang]),
-                             b.column("g").to_numpy()))
-    join = [tuple(map(np.concatenate, zip(*part, strict=True))) if part else
-            (np.zeros(0, np.uint64), np.zeros(0, np.float32)) for part in (grams, contexts)]
-    return HashedModel(languages, *join)
+        grams.append(hashed(table.select("lang", "gram", F.log("p").cast("float").alias("p")).toArrow(),
+                            "gram", "p", order))
+        contexts.append(hashed(table.groupBy("lang", "context").agg(F.log(F.first("gamma")).cast("float").alias("g"))
+                               .toArrow(), "context", "g", order))
+    return HashedModel(languages, *[tuple(map(np.concatenate, zip(*part, strict=True))) for part in (grams, contexts)])
 
 
 # --- scoring ----------------------------------------------------------------
