@@ -9,7 +9,12 @@ they cut lineage, survive lost executors, and are removed when the driver ends.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +22,35 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import docweave
 from docweave.session import scratch_path
 
 #: Rows of one Arrow batch handed to a Python task; with texts of a few KB a
-#: batch is a few MB, and ``maxBytesPerBatch`` cuts it earlier for long texts.
-ARROW_ROWS = 1000
+#: batch is one or two MB, and ``maxBytesPerBatch`` cuts it earlier for long texts.
+ARROW_ROWS = 400
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, so that they need no install."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(docweave.__file__).parent
+    folder = tempfile.mkdtemp(prefix="docweave-package-")  # the driver's own; Spark sends the file from there
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/docweave.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(path.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(f"{folder}/docweave.zip")
+    _SHIPPED.add(app)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: a Python task never holds more than one of them."""
+    """Small Arrow batches (a Python task never holds more than one of them), and the package on the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -79,6 +104,7 @@ class Carried:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (lineage is cut there)."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

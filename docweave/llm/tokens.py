@@ -26,10 +26,10 @@ from .common import mixed, utf8_parts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Pieces whose ids a worker keeps; beyond that it starts anew with the next texts.
-CACHE = 1_500_000
+CACHE = 1_200_000
 #: Words, and characters in them, that it keeps by name to recognise new spellings of them.
-WORDS = 400_000
-WORD_CHARS = 8_000_000
+WORDS = 300_000
+WORD_CHARS = 6_000_000
 #: Bytes and texts that are worked on at once (arrays that stay in a core's cache).
 STRETCH = 1 << 19
 STRETCH_TEXTS = 1 << 12
