@@ -16,7 +16,8 @@ per language:
 
 A text's score is its cross-entropy per byte, the logarithm of its perplexity.
 For each language the quartiles of the scores of all documents that pass the
-base rules set a lower and an upper band; documents outside are rejected.
+base rules, equal scores counted once, set a lower and an upper edge, each from
+the spread on its own side of the median; documents outside are rejected.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ MAX_MODEL = 8_000_000
 #: Distinct words that a task holds before it turns them into n-grams, or forgets their scores.
 HELD_WORDS = 300_000
 HELD_GRAMS = 1 << 20
-#: Width of the bands in interquartile ranges, and at least so much in nats per byte: a text
-#: is rejected only if it is over twice, or under half, as perplexing as its language's median.
+#: Distance of a band's edges from the median in interquartile ranges of the language's scores.
 BAND_RANGES = 6.0
-BAND_LEAST = 0.7
+#: Digits to which scores count as equal, and the slack of the edges: sums in another order differ by less.
+SCORE_DIGITS = 9
+SLACK = 1e-6
 #: Documents without a language are judged among themselves.
 NO_LANGUAGE = "und"
 
@@ -362,6 +364,21 @@ def score_by_join(docs: DataFrame, top: DataFrame) -> DataFrame:
             .groupBy("row").agg((-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("score")))
 
 
+def score_bands(scored: DataFrame) -> DataFrame:
+    """(lang, low, high) from the columns lang and score.
+
+    An edge lies ``BAND_RANGES`` interquartile ranges from the median; on a side
+    with the longer half of the range, so many times twice that half.  Copies
+    of a text have one score, which counts once, so that they do not narrow it.
+    """
+    different = scored.select("lang", F.round("score", SCORE_DIGITS).alias("score")).distinct()
+    quartiles = different.groupBy("lang").agg(F.percentile_approx("score", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    q1, q2, q3 = (F.col("q")[i] for i in range(3))
+    below = BAND_RANGES * F.greatest(q3 - q1, 2 * (q2 - q1)) + SLACK
+    above = BAND_RANGES * F.greatest(q3 - q1, 2 * (q3 - q2)) + SLACK
+    return quartiles.select("lang", (q2 - below).alias("low"), (q2 + above).alias("high"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           max_model: int = MAX_MODEL) -> DataFrame:
     """Every row of ``docs`` with its counts, score, bands and verdict.
@@ -382,10 +399,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         measured = materialise(measure(rows, None).drop("score").join(scores, "row", "left").drop("row"),
                                "quality-scores")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    quartiles = (measured.filter(~failed).groupBy("lang")
-                 .agg(F.percentile_approx("score", [0.25, 0.5, 0.75], 10_000).alias("q")))
-    width = F.greatest(F.lit(BAND_LEAST), BAND_RANGES * (F.col("q")[2] - F.col("q")[0]))
-    bands = quartiles.select("lang", (F.col("q")[1] - width).alias("low"), (F.col("q")[1] + width).alias("high"))
+    bands = score_bands(measured.filter(~failed))
     out = measured.join(F.broadcast(bands), "lang", "left").withColumn("base_failed", failed)
     within = F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & within).select(

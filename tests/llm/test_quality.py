@@ -117,3 +117,22 @@ def test_rows_and_both_ways_of_scoring(spark):
 
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_gibberish_and_boilerplate_fall_out_on_both_sides(spark):
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(1000)]
+    often = 1 / np.arange(1, 1001) ** 0.7
+    rows = [(i, " ".join(rng.choice(vocab, 400, p=often / often.sum()))) for i in range(300)]
+    rows += [(1000 + i, rows[0][1]) for i in range(40)]
+    rows += [(2000, " ".join("".join(rng.choice(list("aeiouxq"), 6)) for _ in range(120))),
+             # the commonest words only, without a window of three words that is found too often
+             (2001, " ".join(rng.choice(vocab[:12], 100)))]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    for max_model in (Q.MAX_MODEL, 0):
+        got = {r.doc_id: r for r in Q.judge(docs, max_model=max_model).collect()}
+        assert not any(r.base_failed for r in got.values())
+        assert got[2000].score > got[2000].high and got[2001].score < got[2001].low
+        assert not got[2000].kept and not got[2001].kept
+        assert all(r.kept for d, r in got.items() if d < 2000)
