@@ -16,7 +16,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages (no letters, no known n-gram) go."""
+    """Documents without a language (null or without letters) go."""
     prepare(spark)
     return drop_unidentified(docs)
 

@@ -263,10 +263,11 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def drop_unidentified(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                       lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the learned languages.
+    """The rows of ``docs`` whose text has a language.
 
-    Rejected are texts without letters, null texts, and texts none of whose
-    n-grams belongs to a learned language.
+    Rejected are null texts and texts without letters, and every text if no
+    language was learned.  A text with letters but without a known n-gram
+    stays: ``identify`` gives it a language too.
     """
     from .common import Carried
 
@@ -274,7 +275,8 @@ def drop_unidentified(docs: DataFrame, text_col: str = "text", id_col: str = "do
     base = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     model = learn(base.filter(~held_out(F.col("doc_id"))))
     seen = identify(carried.df.withColumn("words", carried.col(text_col)), "words", model)
-    return seen.filter(F.col("score") > 0).drop("lang_pred", "score").toDF(*carried.names)
+    learned = (F.col("score") > 0) | (F.col("lang_pred") != UNKNOWN)  # a label may be "und" itself
+    return seen.filter(learned).drop("lang_pred", "score").toDF(*carried.names)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

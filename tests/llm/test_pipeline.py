@@ -43,6 +43,17 @@ def test_language_id_drops_only_texts_without_letters(stages):
     assert dropped == {9001, 9002, 9005}
 
 
+def test_language_id_keeps_letters_without_a_known_ngram(spark):
+    prepare(spark)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    odd = [(9101, "A.", "en", "s", 2), (9102, "b c d", None, "s", 5), (9103, "\u4dae\U00020b9f", "en", "s", 2),
+           (9104, "\u0416", None, None, 1), (9105, "qzxj vxqk", "de", "s", 9),
+           (9106, "4 5", "en", "s", 3), (9107, "?!", None, "s", 2)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    kept = {r.doc_id for r in C.language_id(spark, docs, SF001).select("doc_id").collect()}
+    assert {r.doc_id for r in docs.select("doc_id").collect()} - kept == {9106, 9107}
+
+
 def test_exact_dedup(stages):
     low = {}
     for r in stages[1]:
