@@ -121,6 +121,36 @@ def test_terms_by_definition(spark):
             assert not r.terms
 
 
+def test_terms_of_classes(spark):
+    """No entity is in two texts, but its domain, prefix or kind is."""
+    prepare(spark)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, fill(60)) for i in range(300)]
+    rows += [(400 + i, f"{fill(5)} zorblax u{i}@acme.example, {fill(5)}") for i in range(8)]
+    rows += [(500 + i, f"{fill(5)} glimmer +1 (988) 555-{2000 + i}, {fill(5)}") for i in range(8)]
+    rows += [(600, f"{fill(5)} onlyonce u99@acme.example {fill(5)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    found = {r.doc_id: {text[r.doc_id][s.start:s.end] for s in r.terms} for r in P.find_pii(docs).collect()}
+    assert all("zorblax" in found[400 + i] and "glimmer" in found[500 + i] for i in range(8))
+    assert not any(found[i] for i in range(300))
+    assert not any(w in words or w == "onlyonce" for f in found.values() for w in f)
+    telling = P.disclosing_terms(docs, P.find_entities(docs)).collect()
+    n, df = len(text), 9
+    (share,) = [r.share for r in telling if (r.term, r.entity) == ("zorblax", "email/acme.example")]
+    assert abs(share - math.log((8 + df / n) / 9 / (df / n)) / math.log(n / df)) < 1e-9
+
+
+def test_classes(spark):
+    names = ["email:a@b.c", "ip:10.20.3.4", "card:4111111111111111", "phone:19885552485"]
+    got = spark.createDataFrame([(x,) for x in names], "e string").select(P.classes(F.col("e")).alias("c")).collect()
+    assert [r.c for r in got] == [["email:a@b.c", "email", "email/b.c"], ["ip:10.20.3.4", "ip", "ip/10.20"],
+                                  ["card:4111111111111111", "card", "card/411111"],
+                                  ["phone:19885552485", "phone", "phone/1988"]]
+
+
 def test_sanitise(spark):
     prepare(spark)
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
