@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import prepare
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language_id import op2_language_id
 from .mixing import op6_mixing
 from .packing import op1_best_fit_packing
@@ -35,8 +36,10 @@ QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op8_suffix_dedup,
     op9_wavelet_output,
     op10_quality_rules,
+    op13_hard_negatives,
 )}
 
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
