@@ -9,6 +9,7 @@ from .language_id import op2_language_id
 from .mixing import op6_mixing
 from .packing import op1_best_fit_packing
 from .pii import op5_pii
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op10_quality_rules
 from .sharding import op3_sharding
 from .simhash_dedup import op7_simhash_dedup
@@ -36,10 +37,12 @@ QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op8_suffix_dedup,
     op9_wavelet_output,
     op10_quality_rules,
+    op12_prefix_trie,
     op13_hard_negatives,
 )}
 
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
