@@ -11,6 +11,7 @@ from .packing import op1_best_fit_packing
 from .pii import op5_pii
 from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op10_quality_rules
+from .secret_scan import op11_secret_scan
 from .sharding import op3_sharding
 from .simhash_dedup import op7_simhash_dedup
 from .suffix_dedup import op8_suffix_dedup
@@ -37,6 +38,7 @@ QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op8_suffix_dedup,
     op9_wavelet_output,
     op10_quality_rules,
+    op11_secret_scan,
     op12_prefix_trie,
     op13_hard_negatives,
 )}
