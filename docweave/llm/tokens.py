@@ -4,8 +4,9 @@ The vocabulary's normaliser and splitter never look across a space or a line
 feed: white space only separates, and neither composition nor lower-casing
 crosses it.  So the ids of a text are the ids of its space-separated pieces in
 order.  Each Python worker keeps where the ids of the pieces it has met lie (at
-most ``CACHE`` pieces), in arrays addressed by a 128-bit hash, so that all
-pieces of a batch are looked up at once.  A new piece is reduced before it goes
+most ``CACHE`` pieces).  A piece of up to 16 bytes is looked up by its bytes,
+two 64-bit words filled up with spaces, in arrays, all of a batch at once; a
+longer piece by its bytes in a dictionary.  A new piece is reduced before it goes
 to the tokenizer: Latin-1 letters to lower case, as the normaliser does, and a
 full stop or comma after a letter at its end apart, as the splitter does; so
 most new pieces are spellings of a word that is known already.
@@ -35,18 +36,24 @@ STRETCH = 1 << 19
 STRETCH_TEXTS = 1 << 12
 #: Longer texts are encoded on their own, without the cache.
 LONG = 1 << 19
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes of a piece that fit into a key, and a word of spaces.
+SHORT = 16
+_SPACES = np.uint64(0x2020202020202020)
+#: Element i keeps the first i bytes of a little-endian word.
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(LONG + STRETCH_TEXTS + 2, b, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+def piece_keys(padded: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words that name each piece of at most ``SHORT`` bytes: equal only for equal pieces.
+
+    No piece holds a space, so spaces fill it up; 16 bytes must follow each
+    begin.  The first word is mixed with the second one, which can be undone.
+    """
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    first, second = _FIRST[np.minimum(length, 8)], _FIRST[np.maximum(length - 8, 0)]
+    a = words[begin] & first | _SPACES & ~first
+    b = words[begin + 8] & second | _SPACES & ~second
+    return mixed(a ^ mixed(b)), b
 
 
 class HashTable:
@@ -96,7 +103,8 @@ class PieceEncoder:
 
     def clear(self) -> None:
         self.table = HashTable(1 << max(10, (CACHE * 5 // 4).bit_length()))
-        self.kept = 0  # pieces in the table
+        self.longer: dict[bytes, int] = {}
+        self.kept = 0  # pieces in the table, and those that are longer
         self.number: dict[str, int] = {}  # of a word
         self.known = 0  # numbers given out
         self.chars = 0
@@ -175,8 +183,8 @@ class PieceEncoder:
         if len(self.number) > WORDS or self.chars > WORD_CHARS:
             self.number, self.chars = {}, 0  # the ids of known pieces stay
         n_rows = len(bounds) - 1
-        # a space before each text and at the end
-        padded = np.full(len(data) + n_rows + 1, 0x20, np.uint8)
+        # a space before each text and at the end, where a key's words may be read beyond it
+        padded = np.full(len(data) + n_rows + 1 + SHORT, 0x20, np.uint8)
         row_of = np.repeat(np.arange(n_rows, dtype=np.int32), np.diff(bounds))
         padded[np.arange(1, len(data) + 1) + row_of] = data
         apart = (padded == 0x20) | (padded == 0x0A)
@@ -184,26 +192,32 @@ class PieceEncoder:
         begin, end = np.flatnonzero(change == -1) + 1, np.flatnonzero(change == 1) + 1
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(n_rows, np.int64)
-        values = padded.astype(np.uint64) + np.uint64(1)
-        hashes = []
-        for base in _BASES:
-            up, down = _powers(base)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[:len(values)])])
-            hashes.append(mixed((sums[end] - sums[begin]) * up[begin]))
-        a, b = hashes
-        number = self.table.find(a, b).astype(np.int64)
-        unknown = np.flatnonzero(number < 0)
+        length = end - begin
+        short = np.flatnonzero(length <= SHORT)
+        number = np.full(len(begin), -1, np.int64)
+        a, b = piece_keys(padded, begin[short], length[short])
+        number[short] = self.table.find(a, b)
+        unknown = np.flatnonzero(number[short] < 0)
+        whole = padded.tobytes()
         if len(unknown):
             order = unknown[np.lexsort((b[unknown], a[unknown]))]
             new = np.ones(len(order), np.bool_)
             new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
             first = order[new]
-            whole = padded.tobytes()
             added = self._add([whole[x:y].decode() for x, y in
-                               zip(begin[first].tolist(), end[first].tolist(), strict=True)])
-            number[order] = added[np.cumsum(new) - 1]
+                               zip(begin[short[first]].tolist(), end[short[first]].tolist(), strict=True)])
+            number[short[order]] = added[np.cumsum(new) - 1]
             self.table.add(a[first], b[first], added)
             self.kept += len(first)
+        long = np.flatnonzero(length > SHORT)
+        if len(long):
+            pieces = [whole[x:y] for x, y in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+            fresh = list(set(pieces).difference(self.longer))
+            if fresh:
+                self.longer.update(zip(fresh, self._add([f.decode() for f in fresh]).tolist(), strict=True))
+                # the table may hold so many short ones; a long one counts by its size
+                self.kept += sum(1 + len(f) // 64 for f in fresh)
+            number[long] = np.fromiter(map(self.longer.__getitem__, pieces), np.int64, len(pieces))
         ids, lengths = self._gather(number)
         row = np.searchsorted(bounds[:-1] + np.arange(n_rows) + 1, begin, side="right") - 1
         return ids, np.bincount(row, lengths, minlength=n_rows).astype(np.int64)
