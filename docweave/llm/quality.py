@@ -22,6 +22,7 @@ the spread on its own side of the median; documents outside are rejected.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -31,11 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, mixed, pick, utf8_rows
+from .common import materialise, mixed, pick, utf8_parts, utf8_rows
 
 ORDER = 5
-#: N-grams of all orders that are broadcast at most (12 bytes each).
-MAX_MODEL = 8_000_000
+#: N-grams of all orders that are broadcast at most (16 bytes each).
+MAX_MODEL = 6_000_000
 #: Distinct words that a task holds before it turns them into n-grams, or forgets their scores.
 HELD_WORDS = 300_000
 HELD_GRAMS = 1 << 20
@@ -68,25 +69,45 @@ def duplicate_lines(text: bytes) -> int:
     return again
 
 
-def repeated_words(numbers: np.ndarray) -> int:
-    """Words in 3-word windows that are found twice or more (``numbers``: equal for equal words)."""
-    if len(numbers) < 4:
-        return 0
+def repeated_words(numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each text the words in 3-word windows that are found twice or more in it.
+
+    ``numbers`` are those of all texts' words in order (equal for equal words),
+    ``lengths`` the texts' numbers of words.  All windows are sorted at once.
+    """
+    ends = np.cumsum(lengths)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    begin = np.arange(max(len(numbers) - 2, 0))
+    begin = begin[text[:len(begin)] == text[2:]] if len(begin) else begin
     n = numbers.astype(np.uint64)
-    windows = mixed(mixed(mixed(n[:-2]) + n[1:-1]) + n[2:])
-    _, where, times = np.unique(windows, return_inverse=True, return_counts=True)
-    twice = times[where] > 1
+    windows = mixed(mixed(mixed(n[begin] + (text[begin].astype(np.uint64) << np.uint64(40))) + n[begin + 1]) + n[begin + 2])
+    order = np.argsort(windows)
+    same = windows[order[1:]] == windows[order[:-1]]
+    twice = np.zeros(len(begin), np.bool_)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
     inside = np.zeros(len(numbers), np.bool_)
     for shift in range(3):
-        inside[shift:shift + len(twice)] |= twice
-    return int(inside.sum())
+        inside[begin[twice] + shift] = True
+    counted = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])
+    return counted[ends] - counted[ends - lengths]
+
 
+def _per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many flags are set between the bounds of each row."""
+    at = np.flatnonzero(flags)
+    return np.diff(np.searchsorted(at, bounds)) if len(at) * 8 < len(flags) else \
+        np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(flags, dtype=np.int64)])[bounds])
 
-def base_counts(text: bytes, words: list[bytes], numbers: np.ndarray) -> tuple[int, int, int, int]:
-    """(word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
-    solid = text.translate(None, WHITE)
-    return (len(solid.decode("utf-8", "replace")), len(text) - len(text.translate(None, SYMBOLS)),
-            duplicate_lines(text), repeated_words(numbers))
+
+_SOLID = np.array([c not in WHITE for c in range(256)])
+_STARTS = np.array([c not in WHITE and c & 0xC0 != 0x80 for c in range(256)])
+_SYMBOL = np.array([c in SYMBOLS for c in range(256)])
+
+
+def byte_counts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: bytes and code points outside white space, and symbols."""
+    return tuple(_per_row(kind[data], bounds) for kind in (_SOLID, _STARTS, _SYMBOL))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -258,9 +279,9 @@ def hashed_model(tables: list[DataFrame]) -> HashedModel:
 
     grams, contexts = [], []
     for order, table in enumerate(tables, 1):
-        grams.append(hashed(table.select("lang", "gram", F.log("p").cast("float").alias("p")).toArrow(),
+        grams.append(hashed(table.select("lang", "gram", F.log("p").alias("p")).toArrow(),
                             "gram", "p", order))
-        contexts.append(hashed(table.groupBy("lang", "context").agg(F.log(F.first("gamma")).cast("float").alias("g"))
+        contexts.append(hashed(table.groupBy("lang", "context").agg(F.log(F.first("gamma")).alias("g"))
                                .toArrow(), "context", "g", order))
     return HashedModel(languages, *[tuple(map(np.concatenate, zip(*part, strict=True))) for part in (grams, contexts)])
 
@@ -296,7 +317,7 @@ class WordScores:
 
 
 @lru_cache(maxsize=1)
-def _worker_scores(model_id: int) -> dict[str, WordScores]:
+def _worker_scores(token: str) -> dict[str, WordScores]:
     return {}
 
 
@@ -311,26 +332,37 @@ def measure(docs: DataFrame, model: HashedModel | None) -> DataFrame:
     schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, T.LongType()) for n in names],
                            T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    token = id(shared)
+    token = uuid.uuid4().hex  # a worker may serve several models, one after the other
 
     def run(batches):
         scores = _worker_scores(token)
         known = shared.value
         for batch in batches:
-            rows, score = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), utf8_rows(batch.column("text")), strict=True):
-                words = text.split()
-                numbers = scores.setdefault(lang, WordScores()).of(words, known, lang)
-                rows.append((len(words), *base_counts(text, words, numbers)))
-                if known is None or not words:
-                    score.append(None)
-                else:
-                    total = scores[lang].score[numbers].sum()
-                    score.append(-float(total) / (len(text.translate(None, WHITE)) + len(words)))
-            columns = np.array(rows, np.int64).reshape(-1, len(names))
+            data, bounds = utf8_parts(batch.column("text"))
+            texts = list(utf8_rows(batch.column("text")))
+            words = [text.split() for text in texts]
+            n_words = np.fromiter(map(len, words), np.int64, len(words))
+            n_repeat = np.zeros(len(texts), np.int64)
+            total = np.zeros(len(texts))
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            for lang in dict.fromkeys(langs.tolist()):
+                rows = np.flatnonzero(langs == lang)
+                own = scores.setdefault(lang, WordScores())
+                numbers = own.of([w for r in rows.tolist() for w in words[r]], known, lang)
+                lengths = n_words[rows]
+                n_repeat[rows] = repeated_words(numbers, lengths)
+                ends = np.cumsum(lengths)
+                if len(numbers):
+                    some = lengths > 0
+                    total[rows[some]] = np.add.reduceat(own.score[numbers], (ends - lengths)[some])
+            solid, chars, symbols = byte_counts(data, bounds)
+            lines = np.fromiter(map(duplicate_lines, texts), np.int64, len(texts))
+            score = -total / np.maximum(solid + n_words, 1)
+            none = (n_words == 0) | (known is None)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], *[pa.array(columns[:, i]) for i in range(len(names))],
-                 pa.array(score, pa.float64())], names=schema.names)
+                [*[batch.column(c) for c in kept],
+                 *[pa.array(c.astype(np.int64)) for c in (n_words, chars, symbols, lines, n_repeat)],
+                 pa.array(score, pa.float64(), mask=none)], names=schema.names)
             if sum(len(s.number) for s in scores.values()) > 2 * HELD_WORDS:
                 for s in scores.values():
                     s.clear()

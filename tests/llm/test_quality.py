@@ -136,3 +136,21 @@ def test_gibberish_and_boilerplate_fall_out_on_both_sides(spark):
         assert got[2000].score > got[2000].high and got[2001].score < got[2001].low
         assert not got[2000].kept and not got[2001].kept
         assert all(r.kept for d, r in got.items() if d < 2000)
+
+
+def test_each_table_gets_its_own_scores(spark):
+    """Workers are used again: scores of one model must not be taken for another's."""
+    prepare(spark)
+    rng = np.random.default_rng(4)
+    vocab = ["kan", "los", "mit", "ren", "sol", "tag"]
+
+    def table(weights):
+        rows = [(i, " ".join(rng.choice(vocab, 60, p=weights)), "en") for i in range(20)]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+
+    for k in range(3):
+        weights = np.roll(np.array([.5, .3, .1, .05, .03, .02]), k)
+        docs = table(weights)
+        got = {r.doc_id: r.score for r in Q.judge(docs).collect()}
+        want = {r.doc_id: r.score for r in Q.judge(docs, max_model=0).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
