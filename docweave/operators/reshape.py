@@ -4,10 +4,11 @@ Typed mode (``doc=None``) works on the DataFrame's columns: every operator is
 one ``select`` / ``withColumn`` computed from the schema when the plan is
 built, so Catalyst prunes and fuses it with the scan.  VARIANT mode
 (``doc="name"``) edits a ``VARIANT`` column through ``map<string,variant>``
-and ``to_variant_object``.  Flatten, trim and prune work at any depth: a
-document becomes its array of leaves (path and value) by as many rounds of
-``aggregate`` as it has nested objects, and is rebuilt from the leaves level by
-level, so every row does the work its own depth needs.
+and ``to_variant_object``.  Flatten, trim and prune work at any depth: the
+plan holds a number of nested lambdas (``LEVELS`` or ``STEP``), of which a row
+runs as many as it has levels, so its work is linear in its entries.  A document
+that is deeper becomes its array of leaves (path and value), ``STEP`` levels per
+round, and is rebuilt from them level by level.
 
 Semantics kept from the reference:
 
@@ -34,8 +35,10 @@ from pyspark.sql import types as T
 from docweave.functions import paths as P
 
 VMAP = "map<string,variant>"
-#: Documents with at most so many objects are trimmed level by level, the others by their leaves.
-LEVELS = 4
+#: Levels of objects that a trim goes down in one expression.
+LEVELS = 14
+#: Levels that one round of the others goes down: every level of nested lambdas costs the analyser time.
+STEP = 5
 LEAVES = "array<struct<path:array<string>,value:variant>>"
 
 
@@ -80,65 +83,109 @@ def _json_null() -> Column:
     return F.parse_json(F.lit("null"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _opens(value: Column, keep_empty: bool) -> Column:
     """Is it an object to go into?  With ``keep_empty`` an empty one is a leaf."""
     return F.size(F.coalesce(_vmap(value), _empty_vmap())) > 0 if keep_empty else P.v_is_object(value)
 
 
-def _is_nested(entries: Column, keep_empty: bool) -> Column:
-    return F.exists(entries, lambda e: _opens(e["value"], keep_empty))
+def v_deeper(v: Column, levels: int) -> Column:
+    """Does the object nest objects more than ``levels`` levels deep (itself included)?"""
+    if not levels:
+        return F.lit(True)
+    return F.exists(F.map_values(_vmap(v)), lambda x: P.v_is_object(x) & v_deeper(x, levels - 1))
 
 
-def _no_rounds() -> Column:
-    return F.array().cast("array<int>")
+def _leaves_of(v: Column, prefix: Column, keep_empty: bool, levels: int) -> Column:
+    """Leaves of an object; objects ``levels`` levels below count as leaves."""
+    def entry(e: Column) -> Column:
+        path = F.array_append(prefix, e["key"])
+        leaf = F.array(F.struct(path.alias("path"), e["value"].alias("value"))).cast(LEAVES)
+        if levels == 1:
+            return leaf
+        return F.when(_opens(e["value"], keep_empty), _leaves_of(e["value"], path, keep_empty, levels - 1)).otherwise(leaf)
+
+    return F.flatten(F.transform(F.map_entries(_vmap(v)), entry))
 
 
-def v_leaves(doc: Column, keep_empty: bool = False) -> Column:
+def v_leaves(doc: Column, keep_empty: bool = False, step: int = STEP) -> Column:
     """Every leaf of an object as (path, value), at any depth.
 
-    An empty object has none, or is one itself with ``keep_empty``.  Arrays, JSON nulls and scalars are leaves.  The rounds are bounded by the
-    number of objects in the document, which is counted only if it is nested.
+    An empty object has none, or is one itself with ``keep_empty``.  Arrays,
+    JSON nulls and scalars are leaves.  Rounds of ``step`` levels go on while
+    there are objects among the leaves; their number is bounded by the number
+    of objects in the document, and a round that finds nothing to open is a
+    look at a flag.
     """
-    def wrap(m: Column, prefix: Column | None = None) -> Column:
-        def entry(e: Column) -> Column:
-            path = F.array(e["key"]) if prefix is None else F.concat(prefix, F.array(e["key"]))
-            return F.struct(path.alias("path"), e["value"].alias("value"))
-        return F.transform(F.map_entries(m), entry).cast(LEAVES)
+    root = F.array().cast("array<string>")
+    top = _leaves_of(doc, root, keep_empty, step)
+
+    def state(leaves: Column) -> Column:
+        return _let(leaves, lambda x: F.struct(
+            F.exists(x, lambda e: _opens(e["value"], keep_empty)).alias("open"), x.alias("leaves")))
 
     def expand(acc: Column, _: Column) -> Column:
-        opened = F.flatten(F.transform(acc, lambda e: F.when(
-            _opens(e["value"], keep_empty), wrap(_vmap(e["value"]), e["path"])
+        opened = F.flatten(F.transform(acc["leaves"], lambda e: F.when(
+            _opens(e["value"], keep_empty), _leaves_of(e["value"], e["path"], keep_empty, step)
         ).otherwise(F.array(e).cast(LEAVES))))
-        return F.when(_is_nested(acc, keep_empty), opened).otherwise(acc)
+        return F.when(acc["open"], state(opened)).otherwise(acc)
 
-    top = wrap(_vmap(doc))
     objects = F.size(F.split(F.schema_of_variant(doc), "OBJECT<")) - 1
-    rounds = F.when(_is_nested(top, keep_empty), F.sequence(F.lit(1), objects)).otherwise(_no_rounds())
-    return F.aggregate(rounds, top, expand)
+    deep = F.aggregate(F.sequence(F.lit(1), objects), state(top), expand, lambda acc: acc["leaves"])
+    return F.when(F.coalesce(v_deeper(doc, step), F.lit(False)), deep).otherwise(top)
 
 
 def v_rebuild(leaves: Column) -> Column:
-    """The object that has these leaves; the deepest objects are built first."""
+    """The object that has these leaves; the deepest objects are built first.
+
+    The leaves of a depth are sorted by path, so that those of one parent stand
+    together and are cut out: n log n for n leaves.
+    """
     def close(acc: Column, depth: Column) -> Column:
-        deep = F.filter(acc, lambda e: F.size(e["path"]) == depth)
-        parents = F.array_distinct(F.transform(deep, lambda e: F.slice(e["path"], F.lit(1), depth - 1)))
+        def parent_of(e: Column) -> Column:
+            return F.slice(e["path"], F.lit(1), depth - 1)
 
-        def parent(p: Column) -> Column:
-            own = F.filter(deep, lambda e: F.slice(e["path"], F.lit(1), depth - 1) == p)
+        def groups(deep: Column) -> Column:
+            places = F.sequence(F.lit(0), F.size(deep) - 1)
+            starts = F.filter(places, lambda i: (i == 0) | (parent_of(F.get(deep, i)) != parent_of(F.get(deep, i - 1))))
+            return _let(starts, lambda begins: F.zip_with(
+                begins, F.array_append(F.slice(begins, F.lit(2), F.size(begins)), F.size(deep)),
+                lambda a, b: F.slice(deep, a + 1, b - a)))
+
+        def parent(own: Column) -> Column:
             made = F.map_from_entries(F.transform(own, lambda e: F.struct(
                 F.element_at(e["path"], -1).alias("key"), e["value"].alias("value"))))
-            return F.struct(p.alias("path"), F.to_variant_object(made).alias("value"))
+            return F.struct(parent_of(own[0]).alias("path"), F.to_variant_object(made).alias("value"))
 
-        rest = F.filter(acc, lambda e: F.size(e["path"]) < depth)
-        return F.concat(rest, F.transform(parents, parent).cast(LEAVES))
+        here = F.filter(acc, lambda e: F.size(e["path"]) == depth)
+        in_order = _let(here, lambda deep: F.transform(
+            F.array_sort(F.transform(deep, lambda e, i: F.struct(e["path"].alias("path"), i.alias("i")))),
+            lambda k: F.get(deep, k["i"])))
+        closed = _let(in_order, lambda deep: F.when(F.size(deep) > 0, F.transform(groups(deep), parent))
+                      .otherwise(F.array()).cast(LEAVES))
+        return F.concat(F.filter(acc, lambda e: F.size(e["path"]) < depth), closed)
 
     deepest = F.array_max(F.transform(leaves, lambda e: F.size(e["path"])))
-    rounds = F.when(deepest > 1, F.sequence(deepest, F.lit(2), F.lit(-1))).otherwise(_no_rounds())
+    rounds = F.when(deepest > 1, F.sequence(deepest, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     top = F.aggregate(rounds, leaves, close)
     return F.to_variant_object(F.map_from_entries(F.transform(
         top, lambda e: F.struct(e["path"][0].alias("key"), e["value"].alias("value")))))
 
 
+def _with_leaves(v: Column, edit: Callable[[Column], Column], levels: int) -> Column:
+    """An object with its leaves edited; empty objects stay."""
+    def value(x: Column) -> Column:
+        if levels == 1:
+            return edit(x)
+        return F.when(P.v_is_object(x), _with_leaves(x, edit, levels - 1)).otherwise(edit(x))
+
+    return F.to_variant_object(F.transform_values(_vmap(v), lambda _, x: value(x)))
+
+
 def v_with_doubles(doc: Column) -> Column:
     """The document with numbers such as ``2.0`` as doubles, so that they print as ``2.0``.
 
@@ -151,12 +198,15 @@ def v_with_doubles(doc: Column) -> Column:
     def fixed(v: Column) -> Column:
         return F.when(P.vtype(v).rlike("^" + whole), P.v_double(v).cast("variant")).otherwise(v)
 
-    def leaf(e: Column) -> Column:
-        many = F.try_variant_get(e["value"], "$", "array<variant>")
-        value = F.when(many.isNotNull(), F.to_variant_object(F.transform(many, fixed))).otherwise(fixed(e["value"]))
-        return F.struct(e["path"].alias("path"), value.alias("value"))
+    def edited(v: Column) -> Column:
+        many = F.try_variant_get(v, "$", "array<variant>")
+        return F.when(many.isNotNull(), F.to_variant_object(F.transform(many, fixed))).otherwise(fixed(v))
+
+    def by_leaves(v: Column) -> Column:
+        return v_rebuild(F.transform(v_leaves(v, keep_empty=True, step=1), lambda e: F.struct(
+            e["path"].alias("path"), edited(e["value"]).alias("value"))).cast(LEAVES))
 
-    rebuilt = v_rebuild(F.transform(v_leaves(doc, keep_empty=True), leaf).cast(LEAVES))
+    rebuilt = F.when(v_deeper(doc, 2), by_leaves(doc)).otherwise(_with_leaves(doc, edited, 2))
     return F.when(P.v_is_object(doc) & P.vtype(doc).rlike(whole), rebuilt).otherwise(doc)
 
 
@@ -463,7 +513,7 @@ def _trim_levels(v: Column, prefix: Column, fields: Column, allows: bool, levels
 
 
 def _v_trim(doc: Column, names: list[str], allows: bool) -> Column:
-    """Trim an object: small ones level by level, all others by their leaves; both at any depth they have."""
+    """Trim an object level by level, or by its leaves if it is deeper than ``LEVELS``."""
     fields = F.array(*[F.lit(n) for n in names]).cast("array<string>")
 
     def stays(e: Column) -> Column:
@@ -471,9 +521,8 @@ def _v_trim(doc: Column, names: list[str], allows: bool) -> Column:
         return listed if allows else ~listed
 
     by_leaves = v_rebuild(F.filter(v_leaves(doc), stays))
-    # as many levels as objects at most
-    small = F.size(F.split(F.schema_of_variant(doc), "OBJECT<")) - 1 <= LEVELS
-    return F.when(small, _trim_levels(doc, F.lit(""), fields, allows, LEVELS)).otherwise(by_leaves)
+    return F.when(v_deeper(doc, LEVELS), by_leaves).otherwise(
+        _trim_levels(doc, F.lit(""), fields, allows, LEVELS))
 
 
 def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",

@@ -29,6 +29,7 @@ from docweave.operators.split import branch, branch_exists, branch_fields, split
 from docweave.operators.user import flat_map_docs
 from docweave.plans.dataflow import Dataflow
 from docweave.session import scratch_path
+from docweave.streaming.keyed import configure_state, keyed_ticks, new_items_keyed
 from docweave.streaming.runner import new_items_stream, run_stream, stream_table
 from docweave.sinks.writers import log_sink
 from docweave.sinks.payloads import (bars_payload, boxes_payload, map_payload,
@@ -932,6 +933,75 @@ def q_stream_new_items(spark, sf):
                                                     "poll_seq")
 
 
+def _landed_days(spark, sf, out):
+    """Events landed in folders of 5 days, in parallel; ``land(i)`` brings folder i to the watched place."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+                                               (day + 1).cast("bigint").alias("poll"), F.floor(day / 5).alias("slice"))
+    last = events.agg(F.max("slice")).first()[0]
+
+    def land(i):
+        events.where(F.col("slice") == i).drop("slice").write.mode("append").parquet(f"{out}/feed/slice={i:04}")
+
+    def stream():
+        return (spark.readStream.schema(events.drop("slice").schema).option("recursiveFileLookup", "true")
+                .parquet(f"{out}/feed"))
+
+    return land, stream, int(last)
+
+
+def _in_runs(spark, result, out, land, last, runs=3):
+    """The stream started, ended and started again, each time over some more folders."""
+    configure_state(spark)
+    for run in range(runs):
+        for i in range(run * (last + 1) // runs, (run + 1) * (last + 1) // runs):
+            land(i)
+        q = run_stream(result(), lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/data/batch={i}"),
+                       f"{out}/ckpt", available_now=True)
+        q.awaitTermination()
+    return spark.read.schema(result().schema).parquet(f"{out}/data").drop("batch")
+
+
+@query("stream_new_items_keyed", """
+WITH d AS (SELECT event_id, user_id, event_type,
+                  CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) AS poll
+           FROM events)
+SELECT event_id, user_id, event_type, poll FROM d
+WHERE NOT EXISTS (SELECT 1 FROM d d2 WHERE d2.poll = d.poll - 1
+                  AND d2.user_id = d.user_id AND d2.event_type = d.event_type)""")
+def q_stream_new_items_keyed(spark, sf):
+    # one entry of keyed state per item; the stream is stopped and started again twice
+    out = scratch_path(spark, "stream-keyed")
+    land, stream, last = _landed_days(spark, sf, out)
+
+    def fresh():
+        return new_items_keyed(stream(), ["user_id", "event_type"], "poll")
+
+    return _in_runs(spark, fresh, out, land, last).select("event_id", "user_id", "event_type", "poll")
+
+
+WEEK = 7 * 86_400_000
+
+
+@query("stream_key_ticks", f"""
+WITH ends AS (SELECT epoch_ms(max(ts)) AS w FROM events),
+     u AS (SELECT user_id, epoch_ms(min(ts)) AS first FROM events GROUP BY user_id)
+SELECT user_id, unnest(range((first // {WEEK} + 1) * {WEEK}, w + 1, {WEEK})) AS tick_at,
+       generate_subscripts(range((first // {WEEK} + 1) * {WEEK}, w + 1, {WEEK}), 1) AS n_ticks
+FROM u, ends""")
+def q_stream_key_ticks(spark, sf):
+    # a weekly tick for every user from their first event on, by event time
+    out = scratch_path(spark, "stream-key-ticks")
+    land, stream, last = _landed_days(spark, sf, out)
+
+    def ticks():
+        return keyed_ticks(stream().select("user_id", "ts"), "user_id", lambda entry, rows: entry or (0,),
+                           lambda key, entry, tick: ((entry[0] + 1,), [(key[0], tick, entry[0] + 1)]),
+                           "n bigint", "user_id bigint, tick_at bigint, n_ticks bigint", WEEK, time="ts")
+
+    return _in_runs(spark, ticks, out, land, last)
+
+
 @query("stream_tick", """
 SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_ticks FROM events""")
 def q_stream_tick(spark, sf):

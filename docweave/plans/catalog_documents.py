@@ -34,7 +34,7 @@ DEPTH = 12
 
 def _deep_orders(spark, sf) -> DataFrame:
     """``{"id", "k0": {"k1": ... {"k11": status, "e": {}}}}``; every fifth order has a string at ``k0.k1``."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    orders = table(spark, sf, "orders", heavy=True).select("o_orderkey", "o_orderstatus", "o_custkey")
     deep: Column = F.struct(F.col("o_orderstatus").alias(f"k{DEPTH - 1}"), F.parse_json(F.lit("{}")).alias("e"))
     deep = F.to_variant_object(deep)
     for i in reversed(range(2, DEPTH - 1)):

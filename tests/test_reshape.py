@@ -231,3 +231,65 @@ def test_failed_value_keeps_the_typed_field(spark):
     assert R.add_field(df, "u", none, skip_null=True).first().u == "old"
     assert R.add_field(df, "s.w", none, skip_null=True).first().s.w == "old"
     assert R.add_field(df, "u", F.lit("new"), skip_null=True).first().u == "new"
+
+
+# --- documents of any depth against brute force --------------------------------------
+
+def _some_documents():
+    import random
+    rnd = random.Random(1)
+
+    def made(depth):
+        if depth == 0 or rnd.random() < 0.25:
+            return rnd.choice([1, "x", None, [1, {"q": {}}], {}, True])
+        return {k: made(depth - 1) for k in rnd.sample("abcdef", rnd.randrange(0, 4))}
+
+    def chain(n):
+        out = {"leaf": 1, "e": {}}
+        for i in range(n):
+            out = {f"k{i % 3}": out, **({"z": {"y": i}} if i % 4 == 0 else {})}
+        return out
+
+    wide = {"w": {f"p{i}": {f"q{j}": {"a": {}, "b": i} for j in range(5)} for i in range(40)}}
+    return [{"r": made(6), "s": made(5)} for _ in range(40)] + [chain(n) for n in (4, 5, 6, 13, 14, 15, 33)] + [wide]
+
+
+def _leaves(doc, prefix=()):
+    for k, v in doc.items():
+        if isinstance(v, dict):
+            yield from _leaves(v, (*prefix, k))
+        else:
+            yield (*prefix, k), v
+
+
+def _trimmed(doc, keep, prefix=()):
+    out = {}
+    for k, v in doc.items():
+        if isinstance(v, dict):
+            inner = _trimmed(v, keep, (*prefix, k))
+            if inner:
+                out[k] = inner
+        elif keep(".".join((*prefix, k))):
+            out[k] = v
+    return out
+
+
+def test_documents_of_any_depth(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from docweave.operators.reshape import flatten_doc, prune_empty, trim
+
+    docs = _some_documents()
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, j string") \
+        .select("i", F.parse_json("j").alias("doc"))
+
+    def got(out):
+        return [json.loads(r.j) for r in out.select("i", F.to_json("doc").alias("j")).orderBy("i").collect()]
+
+    assert got(flatten_doc(df, "-", doc="doc")) == [{"-".join(p): v for p, v in _leaves(d)} for d in docs]
+    some = sorted({".".join(p) for d in docs for p, _ in _leaves(d)})[::2]
+    assert got(trim(df, some, "allows", doc="doc")) == [_trimmed(d, set(some).__contains__) for d in docs]
+    assert got(trim(df, some, "delete", doc="doc")) == [_trimmed(d, lambda p: p not in some) for d in docs]
+    assert got(prune_empty(df, doc="doc")) == [_trimmed(d, lambda p: True) for d in docs]
