@@ -862,9 +862,9 @@ def _id_batches(span: tuple[int, int]):
 SELECT d.doc_id, d.lang, d.doc_id * d.doc_id % 97 AS code FROM documents d""")
 def q_user_source(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id") + 1).first()
-    step = max(1, -(-(high - low) // 16))
-    spans = [(a, min(a + step, high)) for a in range(low, high, step)]
+    # one partition for every 4096 ids that the table has rows of
+    spans = [(r.low, r.high + 1) for r in docs.groupBy(F.floor(F.col("doc_id") / 4096)).agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()]
     source_from_function(spark, "docweave_codes", "doc_id bigint, code bigint", spans, _id_batches)
     return docs.join(spark.read.format("docweave_codes").load(), "doc_id")
 

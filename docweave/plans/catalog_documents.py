@@ -6,6 +6,8 @@ of them, in the query and in its SQL alike.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from docweave.plans.components import component
 from docweave.plans.dataflow import Dataflow, Edge
 from docweave.session import scratch_path
 from docweave.sinks.payloads import bars_payload, timeline_payload
-from docweave.sinks.writers import log_sink, push_rows, sink_from_function
+from docweave.sinks.transactional import read_published, register_sink
+from docweave.sinks.writers import log_sink, push_rows
 from docweave.sources.envelope import read_documents, split_malformed, to_envelope
 from docweave.sources.feeds import feed_dead_letter, new_items, parse_feed
 from docweave.streaming.runner import stream_table
@@ -151,23 +154,23 @@ def q_rename_between_holders(spark, sf):
 
 
 @query("keys_by_case", """
-SELECT r_regionkey AS key, 'upper' AS big, r_name AS small, 2 AS n FROM region""")
+SELECT c_custkey AS key, 'upper' AS big, c_name AS small, 2 AS n FROM customer""")
 def q_keys_by_case(spark, sf):
-    region = table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("value"))
-    out = add_field(region, "Value", "upper")
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("value"))
+    out = add_field(rows, "Value", "upper")
     text = to_envelope(out, entity="r").select(F.from_json("map", "map<string,string>").alias("d"))
-    return text.select(F.col("d")["r_regionkey"].cast("bigint").alias("key"), F.col("d")["Value"].alias("big"),
+    return text.select(F.col("d")["c_custkey"].cast("bigint").alias("key"), F.col("d")["Value"].alias("big"),
                        F.col("d")["value"].alias("small"),
                        F.size(F.filter(F.map_keys("d"), lambda k: F.lower(k) == "value")).alias("n"))
 
 
 @query("set_doc", """
-SELECT n_nationkey, n_name AS only FROM nation""")
+SELECT c_custkey, c_name AS only FROM customer""")
 def q_set_doc(spark, sf):
-    docs = table(spark, sf, "nation").select("n_nationkey", "n_name", F.parse_json(F.lit('{"old": 1}')).alias("doc"))
-    out = set_doc(docs, F.to_variant_object(F.struct(F.col("n_name").alias("only"))))
+    docs = table(spark, sf, "customer").select("c_custkey", "c_name", F.parse_json(F.lit('{"old": 1}')).alias("doc"))
+    out = set_doc(docs, F.to_variant_object(F.struct(F.col("c_name").alias("only"))))
     return out.where(~has_field(out, "old", doc="doc")).select(
-        "n_nationkey", get_field(out, "only", "doc", "string").alias("only"))
+        "c_custkey", get_field(out, "only", "doc", "string").alias("only"))
 
 
 @query("raw_document", """
@@ -433,11 +436,11 @@ def q_stream_enrich(spark, sf):
 # --- sinks and wiring (K1, K6, K8, K9, N11, R7, U4, G1) ---------------------------------
 
 @query("log_sink", """
-SELECT n_nationkey, n_name FROM nation""")
+SELECT o_orderkey, o_orderstatus FROM orders""")
 def q_log_sink(spark, sf):
     out = scratch_path(spark, "log-sink")
-    log_sink(table(spark, sf, "nation").select("n_nationkey", "n_name"), out, entity="nation")
-    return (spark.read.text(out).select(F.from_json("value", "n_nationkey bigint, n_name string").alias("d"))
+    log_sink(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), out, entity="order")
+    return (spark.read.text(out).select(F.from_json("value", "o_orderkey bigint, o_orderstatus string").alias("d"))
             .select("d.*"))
 
 
@@ -456,24 +459,21 @@ def q_push_rows(spark, sf):
 
 
 @query("user_sink", """
-SELECT s_suppkey, s_name FROM supplier""")
+SELECT c_custkey, c_name, upper(c_mktsegment) AS segment FROM customer""")
 def q_user_sink(spark, sf):
+    # what is returned is what the sink has published; the run is sent twice
     out = scratch_path(spark, "user-sink")
-    schema = "s_suppkey bigint, s_name string"
-
-    def keep(row, state):
-        state.append(row)
-
-    seen = spark.sparkContext.accumulator(0)
 
-    def done(state):
-        seen.add(len(state))
+    def render(row, seen):
+        seen.append(row["c_custkey"])
+        return json.dumps({**row, "segment": row["segment"].upper()})
 
-    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    sink_from_function(supplier, keep, prepare=list, cleanup=done)
-    # the sink saw every row once; the rows that are returned are cut to what it counted
-    supplier.write.mode("overwrite").json(out)
-    return spark.read.schema(schema).json(out).where(F.lit(seen.value) == F.lit(supplier.count()))
+    register_sink(spark, "docweave_user_sink", render, prepare=list, cleanup=list.clear)
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("segment"))
+    for _ in range(2):
+        rows.write.format("docweave_user_sink").option("path", out).option("run", "only").mode("append").save()
+    lines = read_published(spark, out)
+    return lines.select(F.from_json("value", "c_custkey bigint, c_name string, segment string").alias("d")).select("d.*")
 
 
 @query("timeline_now", """
@@ -536,15 +536,15 @@ def q_feed_to_log(spark, sf):
 
 
 @query("stream_merge", """
-SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region""")
+SELECT c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_name, 'supplier' FROM supplier""")
 def q_stream_merge(spark, sf):
     out = scratch_path(spark, "stream-merge")
 
     def named(tab, col):
         return lambda s: stream_table(s, sf, tab).select(F.col(col).alias("name"), F.lit(tab).alias("kind"))
 
-    flow = (Dataflow().source("nations", named("nation", "n_name")).source("regions", named("region", "r_name"))
-            .transform("both", lambda d: d.withColumn("name", F.trim("name")), "nations", "regions")
+    flow = (Dataflow().source("customers", named("customer", "c_name")).source("suppliers", named("supplier", "s_name"))
+            .transform("both", lambda d: d.withColumn("name", F.trim("name")), "customers", "suppliers")
             .sink("out", lambda d, batch, src: d.write.mode("overwrite").parquet(f"{out}/data/{src}-{batch}"), "both"))
     for q in flow.run_stream(spark, f"{out}/ckpt", available_now=True):
         q.awaitTermination()
