@@ -31,6 +31,7 @@ from docweave.plans.dataflow import Edge, Dataflow  # noqa: E402
 from docweave.session import checkpoint_root, configure, get_session  # noqa: E402
 from docweave.sinks.payloads import (Widget, bars_payload, boxes_payload,  # noqa: E402
                                      map_payload, message_payload, timeline_payload)
+from docweave.sinks.transactional import ledger, read_published, register_sink  # noqa: E402
 from docweave.sinks.writers import (idempotency_key, log_sink, push_rows,  # noqa: E402
                                     push_sink, sink_from_function)
 from docweave.sources.custom import source_from_function  # noqa: E402
