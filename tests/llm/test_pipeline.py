@@ -95,7 +95,7 @@ def test_packing(stages):
 
 def test_run_and_query(spark, stages):
     from docweave.llm.catalog import QUERIES
-    assert sum(k.startswith("op") for k in QUERIES) == 10
+    assert sum(k.startswith("op") for k in QUERIES) == 13
     assert C.run(spark, SF001).count() > 100
 
 
