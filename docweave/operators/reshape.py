@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions import paths as P
+from docweave.functions.ordered import print_in_order
 
 VMAP = "map<string,variant>"
 #: Levels of objects that a trim goes down in one expression.
@@ -457,17 +458,28 @@ def flatten_columns(schema: T.StructType, sep: str = "_") -> list[Column]:
 
 
 def flatten_doc(df: DataFrame, sep: str = "_", doc: str | None = None,
-                keep: Iterable[str] = (), entity: str | None = None) -> DataFrame:
+                keep: Iterable[str] = (), entity: str | None = None,
+                order: str | None = None) -> DataFrame:
     """Flatten nested objects, however deep, into one level joined by ``sep``.
 
     Typed mode flattens all columns except those in ``keep`` (e.g. ``entity``),
     which pass through unchanged.  ``entity`` overrides the record type.  In
     VARIANT mode the last of colliding keys wins by the session's
     ``spark.sql.mapKeyDedupPolicy`` (``docweave.session.configure`` sets it).
+
+    VARIANT keys are sorted, so there "last" means in key order.  With
+    ``order``, the column of the document's text, it means in the document, and
+    the column becomes the text of the flat document, in that order.
     """
     _check_sep(sep)
+    if order is not None and doc is None:
+        raise ValueError("order needs a VARIANT document")
     if entity is not None:
-        return _entity(flatten_doc(df, sep, doc, keep), entity)
+        return _entity(flatten_doc(df, sep, doc, keep, order=order), entity)
+    if order is not None:
+        printed = F.to_json(v_with_doubles(F.col(doc)))
+        return print_in_order(df, printed, order, flatten=sep) \
+            .withColumn(doc, F.try_parse_json(F.col(_q(order))))
     if doc is not None:
         flat = F.map_from_entries(F.transform(v_leaves(F.col(doc)), lambda e: F.struct(
             F.array_join(e["path"], sep).alias("key"), e["value"].alias("value"))))

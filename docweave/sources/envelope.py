@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import paths as P
+from docweave.functions.ordered import print_in_order
 from docweave.operators.split import Split
 
 ENTITY = "entity"
@@ -113,10 +114,12 @@ def split_malformed(df: DataFrame, map_col: str = MAP, doc: str = DOC) -> Split:
 
 
 def to_envelope(df: DataFrame, entity: str | None = None, doc: str | None = None,
-                entity_col: str = ENTITY) -> DataFrame:
+                entity_col: str = ENTITY, order: str | None = None) -> DataFrame:
     """Print each document once as JSON text: ``(entity, map)``.
 
-    A VARIANT document's numbers keep the text the reference prints (``2.0``).
+    A VARIANT document's numbers keep the text the reference prints (``2.0``);
+    its keys are sorted, or, with ``order`` (the column of the text it was
+    parsed from), in the order they have there, new ones last.
     Typed mode serialises all columns but ``entity`` with nulls kept
     (``ignoreNullFields=false``), like a Java map printed by Jackson.
     """
@@ -129,27 +132,34 @@ def to_envelope(df: DataFrame, entity: str | None = None, doc: str | None = None
     if doc is not None:
         from docweave.operators.reshape import v_with_doubles
         text = F.to_json(v_with_doubles(F.col(doc)))
+        if order is not None:
+            return print_in_order(df.select(ent.alias(ENTITY), F.col(order).alias(MAP), F.col(doc)), text, MAP) \
+                .select(ENTITY, MAP)
     else:
+        if order is not None:
+            raise ValueError("order needs a VARIANT document; typed columns print in their order")
         body = [F.col(f"`{c}`") for c in df.columns if c != entity_col]
         text = F.to_json(F.struct(*body), {"ignoreNullFields": "false"})
     return df.select(ent.alias(ENTITY), text.alias(MAP))
 
 
 def with_documents(df: DataFrame, fn, map_col: str = MAP, doc: str = DOC,
-                   dead_letter: bool = True):
+                   dead_letter: bool = True, keep_order: bool = False):
     """Run operators on envelopes: parse ``map`` once, apply ``fn``, print once.
 
     ``fn`` takes the DataFrame with the VARIANT column ``doc`` (operators are
     called with ``doc=doc``) and returns a DataFrame or a ``Split``; the result
     comes back as ``(entity, map)`` envelopes (a ``Split`` of envelopes), and
     the malformed records with it: ``(result, dead)``.  Only a caller that
-    says ``dead_letter=False`` gets the result alone.
+    says ``dead_letter=False`` gets the result alone.  With ``keep_order`` the
+    text stays beside the document and documents print in their own key order
+    (``fn`` must keep the column; ``flatten_doc`` takes it as ``order``).
     """
     parts = split_malformed(df, map_col, doc)
-    out = fn(parts.yes.drop(map_col))
+    out = fn(parts.yes if keep_order else parts.yes.drop(map_col))
 
     def back(d: DataFrame) -> DataFrame:
-        return to_envelope(d, doc=doc)
+        return to_envelope(d, doc=doc, order=map_col if keep_order else None)
 
     result = Split(back(out.yes), back(out.no)) if isinstance(out, Split) else back(out)
     return (result, parts.no) if dead_letter else result
