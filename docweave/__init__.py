@@ -41,6 +41,6 @@ from docweave.sources.envelope import (classify_documents, decode_envelope,  # n
                                        with_documents)
 from docweave.sources.feeds import (new_items, parse_feed, read_feed,  # noqa: E402
                                     snapshot_diff, with_poll_seq)
-from docweave.sources.social import sample_stream, track_keywords  # noqa: E402
+from docweave.sources.social import sample_stream, track_keyword_table, track_keywords  # noqa: E402
 
 __version__ = "0.1.0"

@@ -26,8 +26,10 @@ from docweave.session import scratch_path
 from docweave.sinks.payloads import bars_payload, timeline_payload
 from docweave.sinks.transactional import read_published, register_sink
 from docweave.sinks.writers import log_sink, push_rows
-from docweave.sources.envelope import read_documents, split_malformed, to_envelope
+from docweave.sources.envelope import (parse_documents, read_documents, split_malformed, to_envelope,
+                                       with_documents)
 from docweave.sources.feeds import feed_dead_letter, new_items, parse_feed
+from docweave.sources.social import track_keyword_table
 from docweave.streaming.runner import stream_table
 
 DEPTH = 12
@@ -561,3 +563,67 @@ def q_variant_number_text(spark, sf):
     return printed.select(F.regexp_extract("map", r'^\{"x":(\d+)', 1).cast("bigint").alias("event_id"),
                           F.regexp_extract("map", r'"x":([0-9.]+)', 1).alias("printed"))
 
+
+def _in_their_order(spark, sf) -> DataFrame:
+    """Envelopes of events whose keys are not sorted, with numbers in arrays of arrays."""
+    n = F.concat((F.col("event_id") % 1000).cast("string"), F.lit(".0"))
+    text = F.concat(F.lit('{"zeta": '), n, F.lit(', "alpha": {"y": '), F.col("user_id").cast("string"),
+                    F.lit(', "b": [[1.0, '), n, F.lit(']]}, "kind": "'), F.col("event_type"), F.lit('"}'))
+    return table(spark, sf, "events", heavy=True).select(F.lit("e").alias("entity"), text.alias("map"))
+
+
+@query("envelope_key_order", """
+SELECT '{"zeta":' || (event_id % 1000) || '.0,"alpha":{"b":[[1.0,' || (event_id % 1000) || '.0]],"user":'
+       || user_id || '},"Kind":"' || event_type || '"}' AS map FROM events""")
+def q_envelope_key_order(spark, sf):
+    # renamed keys come last, the others stay where the document has them
+    def edit(d: DataFrame) -> DataFrame:
+        return rename_field(rename_field(d, "kind", "Kind", doc="doc"), "alpha.y", "alpha.user", doc="doc")
+    printed, _ = with_documents(_in_their_order(spark, sf), edit, keep_order=True)
+    return printed.select("map")
+
+
+@query("flatten_document_order", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS a_b,
+       '{"z":1,"a_b":"' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END || '"}' AS map
+FROM orders""")
+def q_flatten_document_order(spark, sf):
+    # a.b and a_b collide: the one that the document has last wins, at the first one's place
+    nested = F.concat(F.lit('"a": {"b": "'), F.col("o_orderpriority"), F.lit('"}'))
+    plain = F.concat(F.lit('"a_b": "'), F.col("o_orderstatus"), F.lit('"'))
+    both = F.when(F.col("o_orderkey") % 2 == 0, F.concat(nested, F.lit(", "), plain)) \
+        .otherwise(F.concat(plain, F.lit(", "), nested))
+    docs = table(spark, sf, "orders", heavy=True).select(
+        "o_orderkey", F.concat(F.lit('{"z": 1, '), both, F.lit("}")).alias("map"))
+    flat = flatten_doc(parse_documents(docs), "_", doc="doc", order="map")
+    return flat.select("o_orderkey", F.try_variant_get("doc", "$.a_b", "string").alias("a_b"), "map")
+
+
+# --- keywords in a table (S6) ----------------------------------------------------------
+
+_KEYWORD_SQL = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS word
+               FROM documents),
+     keywords AS (SELECT word FROM words GROUP BY word HAVING count(DISTINCT doc_id) BETWEEN 2 AND 5)
+SELECT DISTINCT doc_id FROM words WHERE word IN (SELECT word FROM keywords)"""
+
+
+def _rare_words(docs: DataFrame) -> DataFrame:
+    """Words of two to five documents: a keyword table that grows with the documents."""
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(
+        F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}\p{Pc}]+)")))).alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("n"))
+    return often.where(F.col("n").between(2, 5)).select(F.upper("word").alias("word"))
+
+
+@query("track_keyword_table", _KEYWORD_SQL)
+def q_track_keyword_table(spark, sf):
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
+    return track_keyword_table(docs, "text", _rare_words(docs), "word").select("doc_id")
+
+
+@query("track_keyword_table_join", _KEYWORD_SQL)
+def q_track_keyword_table_join(spark, sf):
+    # the way of tables that are too large for an automaton
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
+    return track_keyword_table(docs, "text", _rare_words(docs), "word", max_rows=0).select("doc_id")

@@ -6,18 +6,23 @@ topic, a table):
 
 * ``track_keywords``: keep documents whose text holds any keyword as a whole
   word, case-insensitive (a multi-word keyword is matched as a phrase).
+* ``track_keyword_table``: the same for keywords in a table, thousands or more;
+  each text is read once, whatever their number.
 * ``sample_stream``: a deterministic hash sample (works on streams and is
   reproducible); ``method="random"`` uses ``DataFrame.sample``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import paths as P
+from docweave.functions.sizing import fits
 
 # The record type of status documents, as the reference emits it.
 TWEET_ENTITY = "tweet"
@@ -57,6 +62,111 @@ def track_keywords(df: DataFrame, field: str, keywords: Sequence[str],
     return df.where(keyword_match(text, keywords))
 
 
+# --- keywords in a table ---------------------------------------------------------------
+
+#: Keyword tables up to these bounds become an automaton in each Python worker; larger ones are joined.
+AUTOMATON_ROWS = 200_000
+AUTOMATON_BYTES = 16 << 20
+_WORD = r"(?U)\w"
+
+
+_BUILT: dict[str, tuple] = {}  # of the worker: the automaton in use
+
+
+class _Automaton:
+    """Aho-Corasick automaton over the keywords; built once per worker from the broadcast list."""
+
+    def __init__(self, words):
+        self.words = words  # a broadcast variable
+        self.token = uuid.uuid4().hex
+
+    def build(self) -> tuple:
+        if self.token not in _BUILT:
+            import ahocorasick
+            import regex
+            trie = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for w in self.words.value:
+                trie.add_word(w)
+            trie.make_automaton()
+            # the word characters of the pattern's (?U)\w
+            word = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]").match
+            _BUILT.clear()
+            _BUILT[self.token] = trie, word
+        return _BUILT[self.token]
+
+    def holds(self, text: str) -> bool:
+        trie, word = self.build()
+        for end, length in trie.iter(text):  # every keyword that ends there
+            begin = end - length + 1
+            if (begin == 0 or not word(text[begin - 1])) and (end + 1 == len(text) or not word(text[end + 1])):
+                return True
+        return False
+
+
+def _by_automaton(df: DataFrame, text: Column, words: Sequence[str]) -> DataFrame:
+    automaton = _Automaton(df.sparkSession.sparkContext.broadcast(list(words)))
+
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        return pa.array([t is not None and automaton.holds(t) for t in texts.to_pylist()], pa.bool_())
+
+    return df.where(holds(F.lower(text)))
+
+
+def _anchors(lowered: Column) -> Column:
+    """What a keyword can be looked up by: the words of a text and its other characters, once each.
+
+    A keyword that stands as a whole has each of its words as a whole word of
+    the text, and one without a word has its first character there.
+    """
+    return F.array_distinct(F.concat(F.regexp_extract_all(lowered, F.lit(f"({_WORD}+)")),
+                                     F.regexp_extract_all(lowered, F.lit(r"(?U)(\W)"))))
+
+
+def _by_join(df: DataFrame, text: Column, words: DataFrame) -> DataFrame:
+    """Texts that share an anchor with a keyword are compared with that keyword.
+
+    A keyword's anchor is its longest word.  The rows are checkpointed with a
+    number each, so a lost executor gives them the same numbers again; only
+    numbers, lower-case texts and anchors are shuffled.
+    """
+    from docweave.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    row, low, anchor, word = "__row", "__lowered", "__anchor", "__word"
+    rows = df.withColumn(row, F.monotonically_increasing_id()).withColumn(low, F.lower(text)).checkpoint()
+    own_words = F.regexp_extract_all(F.col(word), F.lit(f"({_WORD}+)"))
+    longest = F.array_sort(own_words, lambda a, b: F.length(b) - F.length(a))
+    keys = words.select(F.col(word), F.when(F.size(own_words) > 0, F.get(longest, F.lit(0)))
+                        .otherwise(F.substring(word, 1, 1)).alias(anchor))
+    found = rows.select(row, low, F.explode(_anchors(F.col(low))).alias(anchor)).join(keys, anchor)
+    quoted = F.regexp_replace(F.col(word), r"([^\p{L}\p{N} ])", r"\\$1")
+    pattern = F.concat(F.lit(r"(?U)(^|\W)("), quoted, F.lit(r")(\W|$)"))
+    hits = found.where((F.col(word) == F.col(anchor)) & F.col(word).rlike(f"^{_WORD}+$")
+                       | F.regexp_like(F.col(low), pattern)).select(row).distinct()
+    return rows.join(hits, row, "left_semi").drop(row, low)
+
+
+def track_keyword_table(df: DataFrame, field: str, keywords: DataFrame, column: str, doc: str | None = None,
+                        max_rows: int = AUTOMATON_ROWS, max_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """``track_keywords`` with the keywords of ``keywords[column]``.
+
+    Keywords are trimmed, lower-cased and used once; null and empty ones count
+    for nothing, and without any keyword no document is kept.  A table within
+    ``max_rows`` and ``max_bytes`` becomes one Aho-Corasick automaton per
+    Python worker (no shuffle, batch and stream); a larger one is joined by
+    the words of the texts (batch).  Both give the rows of ``track_keywords``.
+    A null text holds no keyword.
+    """
+    ref = P.resolve(df, field, doc)
+    text = P.v_string(ref.column) if ref.is_variant else ref.column
+    word = F.lower(F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", ""))
+    words = keywords.select(word.alias("__word")).where(F.col("__word") != "").distinct()
+    if fits(words, max_rows, max_bytes):
+        listed = [r[0] for r in words.collect()]
+        return _by_automaton(df, text, listed) if listed else df.where(F.lit(False))
+    return _by_join(df, text, words)
+
+
 def hash_bucket(key: Column, buckets: int = SAMPLE_BUCKETS) -> Column:
     """``conv(first 8 hex digits of md5(key), 16, 10) % buckets``."""
     h = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docweave.sources.envelope import (decode_envelope, parse_documents, split_malformed,
                                        to_envelope)
 from docweave.sources.feeds import new_items, parse_feed, read_feed, snapshot_diff
-from docweave.sources.social import sample_stream, track_keywords
+from docweave.sources.social import sample_stream, track_keyword_table, track_keywords
 
 
 def test_decode_envelope(spark):
@@ -89,6 +89,37 @@ def test_track_keywords(spark):
     assert sorted(r.id for r in track_keywords(df, "text", [" token "]).collect()) == [1, 3]
 
 
+def test_keyword_table_equals_the_pattern(spark):
+    import random
+    rng = random.Random(3)
+    pieces = ["a", "ab", "b", "c++", "+", "++", "é", "éa", "_", "-", " ", " ", " ", ".", "x1", "\u0301", "\u200d", "$", "\n"]
+    texts = [(i, "".join(rng.choices(pieces, k=rng.randrange(0, 9)))) for i in range(400)] + [(1000, None), (1001, "")]
+    words = [" AB ", "a b", "c++", "++", "+", "éa", "a-b", "a.b", "x1 a", "$", "_", "É", "a\u0301"]
+    docs = spark.createDataFrame([(i, t, t) for i, t in texts], "id int, text string, word string").repartition(3)
+    for chosen in ([w] for w in words):
+        want = sorted(r.id for r in track_keywords(docs, "text", chosen).collect())
+        table = spark.createDataFrame([(w,) for w in [*chosen, None, " ", *chosen]], "word string")
+        assert sorted(r.id for r in track_keyword_table(docs, "text", table, "word").collect()) == want, chosen
+        if chosen[0] in ("c++", "a b", "++", "éa"):
+            assert sorted(r.id for r in track_keyword_table(docs, "text", table, "word", max_rows=0).collect()) == want
+    every = spark.createDataFrame([(w,) for w in words], "word string")
+    want = sorted(r.id for r in track_keywords(docs, "text", words).collect())
+    assert 0 < len(want) < len(texts)
+    for rows in (100, 0):
+        out = track_keyword_table(docs, "text", every, "word", max_rows=rows)
+        assert out.columns == docs.columns and sorted(r.id for r in out.collect()) == want
+    assert track_keyword_table(docs, "text", every.where("false"), "word").count() == 0
+    assert track_keyword_table(docs, "text", every.where("false"), "word", max_rows=0).count() == 0
+
+
+def test_ten_thousand_keywords(spark):
+    docs = spark.range(2000).select("id", F.concat(F.lit("see k"), F.col("id") * 7, F.lit("x, and so on")).alias("text"))
+    table = spark.range(10_000).select(F.concat(F.lit("K"), "id", F.lit("X")).alias("word"))
+    for rows in (20_000, 0):
+        got = track_keyword_table(docs, "text", table, "word", max_rows=rows)
+        assert got.count() == 1429 and got.agg(F.max("id")).first()[0] == 1428
+
+
 def test_sample_hash_is_stable(spark):
     df = spark.range(20000)
     a = sample_stream(df, "id", 0.25)
