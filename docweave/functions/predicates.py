@@ -114,20 +114,47 @@ def as_double(ref: P.FieldRef) -> Column | None:
     return None
 
 
+def _negative_zero(ref: P.FieldRef, number: Column) -> Column | None:
+    """Is the field's double ``-0.0``?  None where it never is (whole and decimal numbers)."""
+    if not ref.is_variant and ref.kind == P.NUMBER and ref.data_type.typeName() not in ("float", "double"):
+        return None
+    return (number == F.lit(0.0)) & F.startswith(number.cast("string"), F.lit("-"))
+
+
 def _compare(left: Column, op: str, right: Column) -> Column:
+    return {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
+
+
+def _compare_literal(num: Column, op: str, rhs: float, negative: Column | None) -> Column:
+    """Total order of doubles against a literal: ``-0.0 < 0.0``, NaN greatest.
+
+    Spark differs for the zeros only.  The plain comparison stays a conjunct of
+    its own, so that it is pushed to the scan.
+    """
+    plain = _compare(num, op, F.lit(rhs))
+    if rhs != 0 or negative is None:
+        return plain
+    zero_is_negative = math.copysign(1.0, rhs) < 0
+    if op in ("<", "<="):
+        if zero_is_negative == (op == "<"):
+            return plain  # no zero is below -0.0, every zero is up to 0.0
+        return (num <= F.lit(0.0)) & ((num < F.lit(0.0)) | negative)
+    if zero_is_negative == (op == ">="):
+        return plain  # every zero is from -0.0 on, none is above 0.0
+    return (num >= F.lit(0.0)) & ~negative
+
+
+def _compare_fields(a: Column, op: str, b: Column, a_negative: Column | None, b_negative: Column | None) -> Column:
+    """Total order of two doubles."""
+    if op in (">", ">="):
+        return _compare_fields(b, "<" if op == ">" else "<=", a, b_negative, a_negative)
+    if a_negative is None and b_negative is None:
+        return _compare(a, op, b)
+    a_neg = F.lit(False) if a_negative is None else a_negative
+    b_neg = F.lit(False) if b_negative is None else b_negative
     if op == "<":
-        return left < right
-    if op == "<=":
-        return left <= right
-    if op == ">":
-        return left > right
-    if op == ">=":
-        return left >= right
-    if op == "==":
-        return left == right
-    if op == "!=":
-        return left != right
-    raise ValueError(op)
+        return (a < b) | ((a == b) & a_neg & ~b_neg)
+    return (a <= b) & ~((a == b) & b_neg & ~a_neg)
 
 
 def numeric(ref: P.FieldRef, op: str, value: str | float, on_error: str = "false") -> Column:
@@ -135,7 +162,7 @@ def numeric(ref: P.FieldRef, op: str, value: str | float, on_error: str = "false
     if num is None:
         return F.lit(False) if ref.missing else _unsupported(ref, op, on_error)
     rhs = value if isinstance(value, (int, float)) else java_double(value)
-    out = _compare(num, op, F.lit(float(rhs)))
+    out = _compare_literal(num, op, float(rhs), _negative_zero(ref, num))
     if ref.is_variant and on_error == "fail":
         # a present value that is not a number (boolean, object, "abc") fails the row
         bad = P.v_present(ref.column) & num.isNull()
@@ -366,7 +393,7 @@ def fields_condition(df: DataFrame, field1: str, op: str, field2: str,
         a, b = as_double(r1), as_double(r2)
         if a is None or b is None:
             return F.lit(False)
-        return _compare(a, op, b)
+        return _compare_fields(a, op, b, _negative_zero(r1, a), _negative_zero(r2, b))
     if op in ("==", "!="):
         s1, s2 = _string_value(r1), _string_value(r2)
         if coerce:

@@ -1,6 +1,7 @@
 """Golden rows of the conditions (FIXTURES.md section 2), VARIANT and typed mode."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.functions.predicates import Cond, condition, fields_condition, java_double, total
 from docweave.operators.filter import filter_docs
@@ -152,3 +153,29 @@ def test_regex_sees_java_number_text(spark):
     row = df.select(*[total(condition(df, Cond(f, "RegexExpression", p), "doc")).alias(f)
                       for f, p in checks]).first()
     assert all(row[f] for f, _ in checks), row
+
+
+def test_total_order_of_doubles(spark):
+    import math
+    from itertools import product
+
+    values = [-1.5, -0.0, 0.0, 2.0, math.inf, -math.inf, math.nan, None]
+
+    def key(x):  # Double.compareTo
+        return (x != x, x if x == x else 0.0, math.copysign(1.0, x) if x == 0 else 0.0)
+
+    test = {"<": lambda a, b: key(a) < key(b), "<=": lambda a, b: key(a) <= key(b),
+            ">": lambda a, b: key(a) > key(b), ">=": lambda a, b: key(a) >= key(b)}
+    pairs = [(i, a, b) for i, (a, b) in enumerate(product(values, values))]
+    df = spark.createDataFrame(pairs, "i int, a double, b double")
+    vdf = df.select("i", "a", "b", F.to_variant_object(F.struct("a", "b")).alias("doc"))
+    for doc, frame in ((None, df), ("doc", vdf)):
+        got = frame.select("i", *[fields_condition(frame, "a", op, "b", doc).alias(op) for op in test]).collect()
+        for (_, a, b), row in zip(pairs, sorted(got, key=lambda r: r.i)):
+            for op, fn in test.items():
+                assert bool(row[op]) == (a is not None and b is not None and fn(a, b)), (doc, a, op, b)
+        for text, rhs in (("0", 0.0), ("-0.0", -0.0), ("NaN", math.nan), ("2", 2.0)):
+            got = frame.select("i", *[condition(frame, Cond("a", op, text), doc).alias(op) for op in test]).collect()
+            for (_, a, _), row in zip(pairs, sorted(got, key=lambda r: r.i)):
+                for op, fn in test.items():
+                    assert bool(row[op]) == (a is not None and fn(a, rhs)), (doc, a, op, text)
