@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.paths import get_field, has_field, v_is_string
-from docweave.functions.predicates import Cond, condition, total
+from docweave.functions.predicates import Cond, condition, fields_condition, total
 from docweave.operators.enrich import enrich
 from docweave.operators.filter import filter_docs
 from docweave.operators.reshape import (add_field, flatten_doc, prune_empty, remove_field, rename_field,
@@ -29,6 +29,7 @@ from docweave.sinks.writers import log_sink, push_rows
 from docweave.sources.envelope import (parse_documents, read_documents, split_malformed, to_envelope,
                                        with_documents)
 from docweave.sources.feeds import feed_dead_letter, new_items, parse_feed
+from docweave.sources.custom import read_where, source_from_function
 from docweave.sources.social import track_keyword_table
 from docweave.streaming.runner import stream_table
 
@@ -627,3 +628,66 @@ def q_track_keyword_table_join(spark, sf):
     # the way of tables that are too large for an automaton
     docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
     return track_keyword_table(docs, "text", _rare_words(docs), "word", max_rows=0).select("doc_id")
+
+
+# --- order of doubles, user sources that search (N1, S9) ---------------------------------
+
+@query("double_total_order", """
+WITH x AS (SELECT event_id, event_id % 5 AS k, value FROM events)
+SELECT event_id,
+       CASE k WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN FALSE ELSE value < 0 END AS below_zero,
+       CASE k WHEN 0 THEN FALSE WHEN 1 THEN TRUE WHEN 2 THEN TRUE ELSE value >= 0 END AS from_zero,
+       CASE k WHEN 0 THEN FALSE WHEN 1 THEN TRUE WHEN 2 THEN TRUE ELSE value > 0 END AS above_minus_zero,
+       CASE k WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN FALSE ELSE value < 0 END AS below_other,
+       CASE k WHEN 0 THEN FALSE WHEN 1 THEN TRUE WHEN 2 THEN TRUE ELSE value >= 0 END AS from_other
+FROM x""")
+def q_double_total_order(spark, sf):
+    # -0.0, 0.0 and NaN among the values
+    k = F.col("event_id") % 5
+    x = F.when(k == 0, F.lit(-0.0)).when(k == 1, F.lit(0.0)).when(k == 2, F.lit(float("nan"))).otherwise(F.col("value"))
+    df = table(spark, sf, "events").select("event_id", x.alias("x"), F.lit(0.0).alias("zero"))
+    flags = {"below_zero": condition(df, Cond("x", "<", "0")), "from_zero": condition(df, Cond("x", ">=", "0.0")),
+             "above_minus_zero": condition(df, Cond("x", ">", "-0.0")),
+             "below_other": fields_condition(df, "x", "<", "zero"), "from_other": fields_condition(df, "x", ">=", "zero")}
+    return df.select("event_id", *[c.alias(name) for name, c in flags.items()])
+
+
+def _spans_with(spans: list[tuple[int, int]], wanted) -> list[tuple[int, int]]:
+    """The id ranges that can hold a wanted id."""
+    for column, comparison, value in wanted:
+        if column == "doc_id" and comparison in (">", ">="):
+            spans = [s for s in spans if s[1] > value]
+        elif column == "doc_id" and comparison in ("<", "<="):
+            spans = [s for s in spans if s[0] <= value]
+    return spans
+
+
+def _codes(span: tuple[int, int], wanted):
+    """A user source's rows for the ids of one range; the others are not made."""
+    import operator
+
+    import numpy as np
+    import pyarrow as pa
+
+    tests = {"=": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
+             "in": lambda a, values: np.isin(a, list(values))}
+    for at in range(span[0], span[1], 4096):
+        ids = np.arange(at, min(at + 4096, span[1]), dtype=np.int64)
+        rows = {"doc_id": ids, "code": ids * ids % 97}
+        keep = np.ones(len(ids), bool)
+        for column, comparison, value in wanted:
+            keep &= tests[comparison](rows[column], value)
+        yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in rows.values()], names=list(rows))
+
+
+@query("user_source_filtered", """
+SELECT doc_id, doc_id * doc_id % 97 AS code FROM documents
+WHERE doc_id >= 100 AND doc_id * doc_id % 97 IN (1, 4, 9) AND (doc_id * doc_id % 97 = 4 OR doc_id % 2 = 0)""")
+def q_user_source_filtered(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    spans = [(r.low, r.high + 1) for r in docs.groupBy(F.floor(F.col("doc_id") / 4096)).agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()]
+    source_from_function(spark, "docweave_searched_codes", "doc_id bigint, code bigint",
+                         lambda options, wanted: _spans_with(spans, wanted), _codes, searches=True)
+    codes = read_where(spark, "docweave_searched_codes", [("doc_id", ">=", 100), ("code", "in", [1, 4, 9])])
+    return docs.join(codes.where((F.col("code") == 4) | (F.col("doc_id") % 2 == 0)), "doc_id")

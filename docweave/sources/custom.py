@@ -11,12 +11,19 @@ checkpoints offsets and replays a micro-batch after a failure.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader,
                                     InputPartition)
 
+# what a source is told of a condition: (column, comparison, value)
+Wanted = tuple[str, str, object]
+_COMPARISONS = ("=", "<", "<=", ">", ">=", "in")
+_WANTED = "docweave.wanted"
+
 
 class _Part(InputPartition):
     def __init__(self, value):
@@ -29,7 +36,7 @@ def source_from_function(spark: SparkSession, name: str, schema: str,
                          read: Callable[[object], Iterable],
                          latest: Callable[[dict], int] | None = None,
                          read_range: Callable[[int, int], Iterable[tuple]] | None = None,
-                         range_splits: int = 1) -> None:
+                         range_splits: int = 1, searches: bool = False) -> None:
     """Register a data source ``name``; read it with ``spark.read.format(name)``.
 
     ``partitions(options)`` (or a fixed list) gives one descriptor per
@@ -38,18 +45,26 @@ def source_from_function(spark: SparkSession, name: str, schema: str,
     streaming, ``latest(options)`` returns the current end offset (an int)
     and ``read_range(start, end)`` yields the rows in ``[start, end)``; each
     micro-batch range is cut into ``range_splits`` partitions.
+
+    With ``searches``, both functions get a list of ``(column, comparison, value)`` as
+    their last argument (empty for a plain load).  Rows that do not meet all of them need
+    not be read, and ``partitions`` may leave out descriptors without such rows.
     """
+    def told(options: dict) -> tuple:
+        return ([tuple(w) for w in json.loads(options.get(_WANTED, "[]"))],) if searches else ()
 
     class _Reader(DataSourceReader):
         def __init__(self, options: dict):
             self.options = options
 
         def partitions(self):
-            parts = partitions(self.options) if callable(partitions) else partitions
-            return [_Part(p) for p in parts]
+            parts = partitions(self.options, *told(self.options)) if callable(partitions) else partitions
+            # a scan without partitions would be read as one
+            return [_Part(p) for p in parts] or [_Part(None)]
 
         def read(self, partition) -> Iterator[tuple]:
-            yield from read(partition.value)
+            if partition.value is not None:
+                yield from read(partition.value, *told(self.options))
 
     class _StreamReader(DataSourceStreamReader):
         def __init__(self, options: dict):
@@ -93,3 +108,21 @@ def source_from_function(spark: SparkSession, name: str, schema: str,
             return _StreamReader(self.options)
 
     spark.dataSource.register(_Source)
+
+
+def read_where(spark: SparkSession, name: str, wanted: Sequence[Wanted], **options) -> DataFrame:
+    """Rows of a searching source that meet all of ``wanted``.
+
+    A condition is ``(column, comparison, value)`` with one of ``= < <= > >= in``
+    and a number, text, boolean or (``in``) a list of them.  The source leaves
+    out what it can, and Spark tests every row that it gives, so the result is
+    that of a plain load with the same filter; nulls meet no condition.
+    """
+    out = spark.read.format(name).options(**options).option(_WANTED, json.dumps([list(w) for w in wanted])).load()
+    for column, comparison, value in wanted:
+        if comparison not in _COMPARISONS:
+            raise ValueError(f"unknown comparison {comparison!r}; expected one of {_COMPARISONS}")
+        c = F.col(f"`{column}`")
+        out = out.where(c.isin(list(value)) if comparison == "in" else
+                        {"=": c == value, "<": c < value, "<=": c <= value, ">": c > value, ">=": c >= value}[comparison])
+    return out
