@@ -7,15 +7,19 @@ pieces of each length and the search runs over that histogram, whose size does
 not grow with the corpus:
 
 * A best-fit decreasing solution is the first incumbent.
-* Bin completion takes the largest length left and enumerates undominated
-  fillings of the room beside it, by rising waste: one item before two, two
-  before three (replacing several items by one of their total size is never
-  worse), larger items first.  A filling is used for as many sequences as the
-  counts allow, so a path has at most one step per length.
+* Bin completion takes the largest length left and branches over fillings of
+  the room beside it.  A first, quick search tries the likely ones: exact ones
+  of one, two and three lengths and the fullest of all, each for as many
+  sequences as the counts allow, so a path has at most one step per length.
+* If that leaves a gap to the bound, a second search enumerates all undominated
+  fillings, lazily and by rising waste, each for as many sequences as the
+  counts allow and then for fewer.  A filling is dominated if a length that is
+  left fits into its waste, alone or in place of some of its items.
 * A branch is cut when its waste exceeds what a better solution than the
-  incumbent may waste.  The search ends at the lower bound (Martello and
-  Toth's L2), or after ``NODES`` steps with the best solution found; that
-  limit concerns optimality only, every piece is always packed.
+  incumbent may waste.  A search ends at the lower bound (Martello and Toth's
+  L2), with all branches tried, or after ``NODES`` steps (the second one also
+  after ``NODES * TRIES`` looks at fillings) with the best solution found;
+  these limits concern optimality only, every piece is always packed.
 
 The solution is a list of patterns (lengths, how often).  The pieces of each
 length are numbered without gaps, by counts per task, and piece number r of a
@@ -39,8 +43,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Steps of the search after which the best solution found is used.
 NODES = 6000
-#: Largest lengths that a filling of three or more is begun with.
+#: Largest lengths that a filling of three or more is begun with, in the quick search.
 TRIED = 64
+#: Looks at possible fillings for each step of the second search.
+TRIES = 30
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -147,9 +153,9 @@ def _fullest(counts: np.ndarray, room: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def fillings(counts: np.ndarray, room: int, allowed: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by rising waste: without waste by one, two or
-    three lengths, then the fullest of all, if it wastes no more than ``allowed``."""
+def likely_fillings(counts: np.ndarray, room: int, allowed: int) -> Iterator[tuple[int, ...]]:
+    """Fillings of ``room`` by rising waste: without waste by one, two or three
+    lengths, then the fullest of all, if it wastes no more than ``allowed``."""
     for items in (1, 2, 3):
         exact = next(_exact(counts, room, room, items), None)
         if exact is not None:
@@ -160,60 +166,148 @@ def fillings(counts: np.ndarray, room: int, allowed: int) -> Iterator[tuple[int,
         yield fullest
 
 
-def plan_sequences(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]:
-    """Patterns (lengths in falling order, how often) that use up ``counts``."""
-    counts = counts.astype(np.int64)
-    full: list[Pattern] = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
-    counts = counts.copy()
-    counts[capacity] = 0
-    if not counts.any():
-        return full
-    best = best_fit(counts, capacity)
-    bound, total = lower_bound(counts, capacity), int((counts * np.arange(capacity + 1)).sum())
+def _sums(items: tuple[int, ...]) -> set[int]:
+    """Totals of two or more of the items; of two only if there are many items."""
+    if len(items) > 12:
+        return {a + b for i, a in enumerate(items) for b in items[:i]}
+    one_or_more, several = set(), set()
+    for x in items:
+        several |= {x + t for t in one_or_more}
+        one_or_more |= {x + t for t in one_or_more} | {x}
+    return several
+
+
+def undominated_fillings(counts: np.ndarray, room: int, allowed: int, looks: list[int]) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` that waste no more than ``allowed``, by
+    rising waste and larger items first, while ``looks`` are left.
+
+    The exchange of a length that is left for items of at most its size, where
+    the waste makes up the difference, is never worse: such fillings are
+    dominated.  (With over 12 items, exchanges for three or more of them are
+    not looked for; a filling too many costs time only.)
+    """
+    left = counts[:room + 1]
+    sizes = np.flatnonzero(left)[::-1].tolist()
+    upto = np.cumsum(left)
+    sums = 1  # reachable totals, as bits
+    for size in sizes:
+        times, step = min(int(left[size]), room // size), 1
+        while times:
+            take = min(step, times)
+            sums |= sums << (size * take)
+            times -= take
+            step *= 2
+    sums &= (1 << (room + 1)) - 1
+
+    def within(low: int, high: int, items: tuple[int, ...]) -> bool:
+        """Is a length from low to high left beside the items?"""
+        if high < low:
+            return False
+        return int(upto[high] - (upto[low - 1] if low else 0)) > sum(low <= x <= high for x in items)
+
+    def dominated(items: tuple[int, ...], waste: int) -> bool:
+        return (within(1, waste, items) or any(within(x + 1, x + waste, items) for x in set(items))
+                or any(within(t, t + waste, items) for t in _sums(items)))
+
+    def of_total(total: int, at: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        for i in range(at, len(sizes)):
+            size = sizes[i]
+            if size > total or not sums >> (total - size) & 1:
+                continue
+            looks[0] -= 1
+            if looks[0] < 0:
+                return
+            for times in range(min(int(left[size]), total // size), 0, -1):
+                for rest in of_total(total - size * times, i + 1):
+                    yield (size,) * times + rest
+
+    for waste in range(0, min(allowed, room) + 1):
+        if looks[0] < 0:
+            return
+        if sums >> (room - waste) & 1:
+            for items in of_total(room - waste, 0):
+                if not dominated(items, waste):
+                    yield items
+
+
+def _search(counts: np.ndarray, capacity: int, best: list[Pattern], bound: int, nodes: int, thorough: bool) -> list[Pattern]:
+    """Depth first; each level has the choices for its largest length."""
+    total = int((counts * np.arange(capacity + 1)).sum())
     n_best = sum(often for _, often in best)
+    looks = [nodes * TRIES]
+
+    def choices(now: np.ndarray, largest: int, waste: int, closed: set) -> Iterator[tuple]:
+        """(pattern, how often, lengths, need of each, closed fillings of the branch)."""
+        without = now.copy()
+        without[largest] -= 1
+        room, allowed = capacity - largest, (n_best - 1) * capacity - total - waste
+        found_by = (undominated_fillings(without, room, allowed, looks) if thorough
+                    else likely_fillings(without, room, allowed))
+        for found in found_by:
+            if found in closed:
+                continue
+            lengths = tuple(sorted((largest, *found), reverse=True))
+            sizes, need = np.unique(lengths, return_counts=True)
+            often = int((now[sizes] // need).min())
+            closed = closed | {found}  # all branches with it are under this choice
+            for times in range(often, 0, -1) if thorough else (often,):
+                yield lengths, times, sizes, need, closed if thorough else set()
 
-    # depth first: each level has the filling iterator of its largest length
     path: list[Pattern] = []
-    levels: list[list] = []  # [fillings, counts, sequences, waste, largest]
-    state = (counts, 0, 0)
+    levels: list[list] = []  # [choices, counts, sequences, waste, largest]
+    state = (counts, 0, 0, 0, set())
     steps = 0
     while n_best > bound and steps < nodes:
-        now, sequences, waste = state
+        now, sequences, waste, before, closed = state
         if not now.any():
             if sequences < n_best:
                 n_best, best = sequences, list(path)
         elif sequences < n_best - 1:
             largest = int(np.flatnonzero(now)[-1])
-            without = now.copy()
-            without[largest] -= 1
-            allowed = (n_best - 1) * capacity - total - waste
-            levels.append([fillings(without, capacity - largest, allowed), now, sequences, waste, largest])
+            levels.append([choices(now, largest, waste, closed if largest == before else set()),
+                           now, sequences, waste, largest])
         state = None
         while levels and state is None:
             level = levels[-1]
             if len(path) >= len(levels):
                 del path[len(levels) - 1:]
-            options, before, begun, wasted, first = level
-            found = next(options, None)
-            if found is None:
+            options, held, begun, wasted, first = level
+            chosen = next(options, None)
+            if chosen is None:
                 levels.pop()
                 continue
-            lengths = tuple(sorted((first, *found), reverse=True))
-            sizes, need = np.unique(lengths, return_counts=True)
-            often = int((before[sizes] // need).min())
+            lengths, often, sizes, need, closed = chosen
             lost = capacity - sum(lengths)
             spare = (n_best - 1) * capacity - total - wasted
-            if lost > spare:
-                continue
-            if lost:  # not repeated beyond what the bound allows
-                often = min(often, spare // lost)
-            after = before.copy()
+            if lost * often > spare:
+                if thorough or lost > spare:
+                    continue
+                often = spare // lost  # not repeated beyond what the bound allows
+            after = held.copy()
             after[sizes] -= need * often
             path.append((lengths, often))
-            state = (after, begun + often, wasted + lost * often)
+            state = (after, begun + often, wasted + lost * often, first, closed)
             steps += 1
         if state is None:
             break
+    return best
+
+
+def plan_sequences(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]:
+    """Patterns (lengths in falling order, how often) that use up ``counts``."""
+    counts = counts.astype(np.int64)
+    full: list[Pattern] = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
+    counts = counts.copy()
+    counts[capacity] = 0
+    if not counts.any():
+        return full
+    best = best_fit(counts, capacity)
+    bound = lower_bound(counts, capacity)
+    for thorough in (False, True):
+        best = _search(counts, capacity, best, bound, nodes, thorough)
     return full + [(tuple(sorted(lengths, reverse=True)), often) for lengths, often in best]
 
 

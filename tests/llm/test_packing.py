@@ -51,6 +51,57 @@ def test_small_plans_are_optimal(seed):
     assert n == optimum(sizes.tolist(), 100)
 
 
+def test_pairs_that_the_largest_would_spoil():
+    sizes = [78, 73, 68, 54, 29, 22, 17, 16, 15, 12, 10, 6]  # 78+16+6, 73+15+12, 68+22+10, 54+29+17
+    counts = np.bincount(sizes, minlength=101)
+    assert check_plan(counts, 100, P.plan_sequences(counts, 100)) == 4
+
+
+def test_full_sequences_are_found_again():
+    rng = np.random.default_rng(17)
+    for _ in range(4000):
+        sizes = []
+        n = int(rng.integers(2, 5))
+        for _ in range(n):
+            cuts = np.sort(rng.choice(np.arange(1, 100), int(rng.integers(1, 4)), replace=False))
+            sizes += np.diff([0, *cuts, 100]).tolist()
+        counts = np.bincount(sizes, minlength=101)
+        assert check_plan(counts, 100, P.plan_sequences(counts, 100)) == n
+
+
+def test_repeated_lengths_are_optimal():
+    rng = np.random.default_rng(18)
+    for _ in range(300):
+        sizes = np.repeat(rng.integers(8, 60, 4), rng.integers(1, 4, 4))[:11]
+        counts = np.bincount(sizes, minlength=101)
+        assert check_plan(counts, 100, P.plan_sequences(counts, 100)) == optimum(sizes.tolist(), 100)
+
+
+def test_undominated_fillings_against_brute_force():
+    from itertools import combinations
+
+    def dominated(items, others, room):
+        waste = room - sum(items)
+        subsets = {sum(c): len(c) for k in range(len(items) + 1) for c in combinations(items, k)}
+        return any(t <= x <= t + waste and not (k == 1 and x == t) for t, k in subsets.items() for x in others)
+
+    rng = np.random.default_rng(19)
+    for _ in range(200):
+        sizes = rng.integers(1, 20, 8).tolist()
+        counts, room = np.bincount(sizes, minlength=41), int(rng.integers(5, 40))
+        every = {tuple(sorted(c, reverse=True)) for k in range(9) for c in combinations(sizes, k) if sum(c) <= room}
+        want = set()
+        for items in every:
+            others = list(sizes)
+            for x in items:
+                others.remove(x)
+            if not dominated(items, others, room):
+                want.add(items)
+        got = list(P.undominated_fillings(counts, room, room, [10**6]))
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [room - sum(x) for x in got] == sorted(room - sum(x) for x in got)
+
+
 def test_branch_and_bound_beats_best_fit():
     better = 0
     for seed in range(60):
