@@ -34,6 +34,7 @@ from docweave.sinks.payloads import (Widget, bars_payload, boxes_payload,  # noq
 from docweave.sinks.transactional import ledger, read_published, register_sink  # noqa: E402
 from docweave.sinks.writers import (idempotency_key, log_sink, push_rows,  # noqa: E402
                                     push_sink, sink_from_function)
+from docweave.functions.observed import FailureListener, observe_documents, observe_quarantined  # noqa: E402
 from docweave.sources.custom import read_where, source_from_function  # noqa: E402
 from docweave.sources.envelope import (classify_documents, decode_envelope,  # noqa: E402
                                        from_envelope, parse_documents, read_documents,

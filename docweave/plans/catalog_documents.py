@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from docweave.functions.observed import observe_documents
 from docweave.functions.paths import get_field, has_field, v_is_string
 from docweave.functions.predicates import Cond, condition, fields_condition, total
 from docweave.operators.enrich import enrich
@@ -26,8 +27,8 @@ from docweave.session import scratch_path
 from docweave.sinks.payloads import bars_payload, timeline_payload
 from docweave.sinks.transactional import read_published, register_sink
 from docweave.sinks.writers import log_sink, push_rows
-from docweave.sources.envelope import (parse_documents, read_documents, split_malformed, to_envelope,
-                                       with_documents)
+from docweave.sources.envelope import (classify_documents, parse_documents, read_documents, split_malformed,
+                                       to_envelope, with_documents)
 from docweave.sources.feeds import feed_dead_letter, new_items, parse_feed
 from docweave.sources.custom import read_where, source_from_function
 from docweave.sources.social import track_keyword_table
@@ -691,3 +692,26 @@ def q_user_source_filtered(spark, sf):
                          lambda options, wanted: _spans_with(spans, wanted), _codes, searches=True)
     codes = read_where(spark, "docweave_searched_codes", [("doc_id", ">=", 100), ("code", "in", [1, 4, 9])])
     return docs.join(codes.where((F.col("code") == 4) | (F.col("doc_id") % 2 == 0)), "doc_id")
+
+
+# --- failures counted while the rows pass (T26) --------------------------------------------
+
+@query("malformed_counts", """
+WITH m AS (SELECT CASE WHEN event_type = 'error' THEN substr(props, 1, length(props) - 1)
+                       WHEN event_type = 'signup' THEN '[' || props || ']' ELSE props END AS m FROM events),
+     s AS (SELECT CASE WHEN json_valid(m) AND json_type(m) = 'OBJECT' THEN 'good'
+                       WHEN json_valid(m) THEN 'not an object' ELSE 'malformed' END AS status FROM m)
+SELECT count(*) AS documents, count(*) FILTER (status = 'good') AS good,
+       count(*) FILTER (status = 'malformed') AS malformed, count(*) FILTER (status = 'not an object') AS not_object,
+       count(*) FILTER (status = 'good') AS landed
+FROM s""")
+def q_malformed_counts(spark, sf):
+    # the good documents land; the counts come from the same pass
+    cut = F.when(F.col("event_type") == "error", F.expr("substring(props, 1, length(props) - 1)")) \
+        .when(F.col("event_type") == "signup", F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("props"))
+    env = table(spark, sf, "events", heavy=True).select(F.lit("event").alias("entity"), cut.alias("map"))
+    seen, out = Observation(), scratch_path(spark, "good-documents")
+    observe_documents(classify_documents(env), seen).where("status = 'good'").select("entity", "map").write.parquet(out)
+    names = ("documents", "good", "malformed", "not_object")
+    counted = [F.lit(seen.get[n]).cast("bigint").alias(n) for n in names]
+    return spark.read.parquet(out).agg(F.count("*").alias("landed")).select(*counted, "landed")
