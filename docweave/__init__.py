@@ -25,7 +25,7 @@ from docweave.operators.reshape import (add_field, flatten_doc, prune_empty,  #
 from docweave.operators.routing import fan_out, merge, partition  # noqa: E402
 from docweave.operators.split import (Split, branch, branch_exists, branch_fields,  # noqa: E402
                                       split, split_exists, split_fields)
-from docweave.operators.user import flat_map_docs, map_batches, map_field  # noqa: E402
+from docweave.operators.user import flat_map_docs, map_batches, map_field, register_flat_map  # noqa: E402
 from docweave.plans.components import component  # noqa: E402
 from docweave.plans.dataflow import Edge, Dataflow  # noqa: E402
 from docweave.session import checkpoint_root, configure, get_session  # noqa: E402

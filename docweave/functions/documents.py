@@ -5,7 +5,7 @@
   schema or one inferred once with ``schema_of_variant_agg``.  Typed columns
   give Parquet pushdown, nested pruning and code generation to everything
   downstream; the price is that a missing key and a JSON null both become
-  NULL.
+  NULL, unless a presence column goes along (``presence=True``).
 """
 
 from __future__ import annotations
@@ -16,10 +16,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.paths import variant_path
+from docweave.functions.presence import NAME, bitmap, document_of, field_paths, presence_of
+
 
 def as_documents(df: DataFrame, keep: Sequence[str] = ("entity",), doc: str = "doc") -> DataFrame:
-    """Pack every column except ``keep`` into a VARIANT object column ``doc``."""
+    """Pack every column except ``keep`` into a VARIANT object column ``doc``.
+
+    With a presence column missing fields are left out; without one they are null.
+    """
     kept = [c for c in keep if c in df.columns]
+    if presence_of(df) is not None:
+        return df.select(*kept, document_of(df, tuple(kept)).alias(doc))
     body = [F.col(f"`{c}`") for c in df.columns if c not in kept]
     return df.select(*kept, F.to_variant_object(F.struct(*body)).alias(doc))
 
@@ -64,9 +72,14 @@ def variant_schema(df: DataFrame, doc: str = "doc", sample_fraction: float | Non
 
 def typed_from_documents(df: DataFrame, doc: str = "doc", schema: str | None = None,
                          sample_fraction: float | None = None,
-                         keep: Sequence[str] = ("entity",)) -> DataFrame:
+                         keep: Sequence[str] = ("entity",), presence: bool = False) -> DataFrame:
     """Typed columns from VARIANT documents.
 
+    ``presence=True`` adds a presence column, so that ``has_field``,
+    ``as_documents`` and ``to_envelope`` tell null fields from missing ones.
+    (Objects within arrays have no bits of their own; give their elements the
+    type VARIANT to keep the difference there as well.)
+
     Without ``schema`` it is inferred over all documents, or over a sample.
     With a sampled schema the strict ``variant_get`` is used, so a value that
     does not fit fails the job instead of silently becoming NULL.
@@ -75,5 +88,10 @@ def typed_from_documents(df: DataFrame, doc: str = "doc", schema: str | None = N
     ddl = schema or variant_schema(df, doc, sample_fraction)
     getter = F.variant_get if strict else F.try_variant_get
     kept = [c for c in keep if c in df.columns]
-    return (df.select(*kept, getter(F.col(doc), "$", ddl).alias("__typed"))
-            .select(*kept, "__typed.*"))
+    typed = getter(F.col(doc), "$", ddl).alias("__typed")
+    if not presence:
+        return df.select(*kept, typed).select(*kept, "__typed.*")
+    # the bits are read off the document, whose fields may not fit their types
+    paths = field_paths(df.select(typed).schema["__typed"].dataType)
+    tests = [(p, F.try_variant_get(F.col(doc), variant_path(list(p)), "variant").isNotNull()) for p in paths]
+    return df.select(*kept, typed, bitmap(tests)).select(*kept, "__typed.*", NAME)

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.presence import presence_of
+
 STRING = "string"
 NUMBER = "number"
 BOOLEAN = "boolean"
@@ -205,10 +207,15 @@ def get_field(df: DataFrame, path: str, doc: str | None = None,
 def has_field(df: DataFrame, path: str, doc: str | None = None) -> Column:
     """Presence test in which JSON null counts as present.
 
-    VARIANT mode is exact.  Typed mode cannot tell a null value from a missing
-    one, so it answers ``IS NOT NULL`` for a column that exists and ``false``
-    for one the schema does not have.
+    VARIANT mode is exact, and so is typed mode with a presence column
+    (``typed_from_documents(presence=True)``).  Without one typed mode cannot
+    tell a null value from a missing one: it answers ``IS NOT NULL`` for a
+    column that exists and ``false`` for one the schema does not have.
     """
+    held = presence_of(df) if doc is None else None
+    bit = held.bit(tuple(split_path(path))) if held is not None else None
+    if bit is not None:
+        return bit
     ref = resolve(df, path, doc)
     if ref.missing:
         return F.lit(False)

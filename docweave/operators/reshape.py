@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from docweave.functions import paths as P
 from docweave.functions.ordered import print_in_order
+from docweave.functions.presence import after_add, after_remove, after_rename, refuse
 
 VMAP = "map<string,variant>"
 #: Levels of objects that a trim goes down in one expression.
@@ -278,6 +279,11 @@ def add_field(df: DataFrame, path: str, value, doc: str | None = None,
         if skip_null:
             edited = F.when(value.isNull(), F.col(doc)).otherwise(edited)
         return df.withColumn(doc, edited)
+    return after_add(_add_typed(df, path, parts, value, skip_null), parts,
+                     value.isNotNull() if skip_null else None)
+
+
+def _add_typed(df: DataFrame, path: str, parts: list[str], value: Column, skip_null: bool = False) -> DataFrame:
     top = _field(df.schema, parts[0])
     if skip_null:
         old = P.resolve_typed(df.schema, path)
@@ -365,9 +371,13 @@ def remove_field(df: DataFrame, path: str, doc: str | None = None,
         if doc is not None:
             df = df.withColumn(doc, _v_remove(F.col(doc), [path]))
         else:
-            df = _without(df, path)
+            df = after_remove(_without(df, path), [path])
     if doc is not None:
         return df.withColumn(doc, _v_remove(F.col(doc), parts))
+    return after_remove(_remove_typed(df, parts), parts)
+
+
+def _remove_typed(df: DataFrame, parts: list[str]) -> DataFrame:
     top = _field(df.schema, parts[0])
     if top is None:
         return df
@@ -398,13 +408,17 @@ def rename_field(df: DataFrame, find: str, replace: str, doc: str | None = None,
         return _entity(rename_field(df, find, replace, doc), entity)
     if find == replace:
         return df
-    if doc is not None:
-        value = F.coalesce(P.resolve_variant(doc, find).column, _json_null())
-        tmp = "__moved_value"
-        staged = df.withColumn(tmp, value) \
-            .withColumn(doc, _v_remove(F.col(doc), P.split_path(find)))
-        return staged.withColumn(doc, _v_set(F.col(doc), P.split_path(replace), F.col(tmp))) \
-            .drop(tmp)
+    if doc is None:
+        return after_rename(_rename_typed(df, find, replace), P.split_path(find), P.split_path(replace))
+    value = F.coalesce(P.resolve_variant(doc, find).column, _json_null())
+    tmp = "__moved_value"
+    staged = df.withColumn(tmp, value) \
+        .withColumn(doc, _v_remove(F.col(doc), P.split_path(find)))
+    return staged.withColumn(doc, _v_set(F.col(doc), P.split_path(replace), F.col(tmp))) \
+        .drop(tmp)
+
+
+def _rename_typed(df: DataFrame, find: str, replace: str) -> DataFrame:
     ref = P.resolve_typed(df.schema, find)
     fparts, rparts = P.split_path(find), P.split_path(replace)
     if len(fparts) == 1 and len(rparts) == 1:
@@ -415,9 +429,8 @@ def rename_field(df: DataFrame, find: str, replace: str, doc: str | None = None,
                            for c in cols])
     tmp = "__docweave_moved"
     value = F.lit(None).cast("string") if ref.missing else ref.column
-    out = remove_field(df.withColumn(tmp, value), find)
-    out = add_field(out, replace, F.col(tmp))
-    return out.drop(tmp)
+    out = _remove_typed(df.withColumn(tmp, value), fparts)
+    return _add_typed(out, replace, rparts, F.col(tmp)).drop(tmp)
 
 
 # --- flatten (P2, P3) -----------------------------------------------------------------
@@ -485,6 +498,7 @@ def flatten_doc(df: DataFrame, sep: str = "_", doc: str | None = None,
             F.array_join(e["path"], sep).alias("key"), e["value"].alias("value"))))
         return df.withColumn(doc, F.when(P.v_is_object(F.col(doc)), F.to_variant_object(flat))
                              .otherwise(F.col(doc)))
+    refuse(df, "flatten")
     keep = [k for k in keep if k in df.columns]
     body = T.StructType([f for f in df.schema.fields if f.name not in keep])
     return df.select(*[F.col(_q(k)) for k in keep], *flatten_columns(body, sep))
@@ -553,6 +567,7 @@ def trim(df: DataFrame, fields: Iterable[str], action: str = "allows",
         trimmed = _v_trim(F.col(doc), names, allows)
         return df.withColumn(doc, F.when(P.v_is_object(F.col(doc)), trimmed)
                              .otherwise(F.col(doc)))
+    refuse(df, "trim")
     listed = set(names)
     rule = (lambda p: p in listed) if allows else (lambda p: p not in listed)
     keep = [k for k in keep if k in df.columns]

@@ -7,7 +7,8 @@ Here it runs inside ``mapInArrow``: Spark partitions the rows, each task calls
 for null) and calls ``cleanup`` in ``finally``.  Output leaves in batches of at
 most ``OUT_ROWS`` rows, however many a document produces.
 
-``map_batches`` is the vectorised form (a pandas DataFrame in, one out).
+``map_batches`` is the vectorised form (a pandas DataFrame in, one out), and
+``register_flat_map`` gives the same user code to SQL as a table function.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 ERROR_COL = "_error"
 INPUT_COL = "_input"
@@ -153,3 +155,79 @@ def map_field(df: DataFrame, field: str, save_to: str, fn: Callable[[pd.Series],
     value = P.v_string(ref.column) if ref.is_variant else ref.column
     udf = F.pandas_udf(fn, return_type)
     return add_field(df, save_to, udf(value), doc)
+
+
+def plain(value):
+    """A value as user code gets it: rows as dicts, VARIANT values decoded."""
+    if isinstance(value, Row):
+        return {k: plain(v) for k, v in zip(value.__fields__, value, strict=True)}
+    if isinstance(value, T.VariantVal):
+        return value.toPython()
+    if isinstance(value, list):
+        return [plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    return value
+
+
+def register_flat_map(spark: SparkSession, name: str, fn: Callable[..., Iterable[dict]],
+                      schema: str | T.StructType | None = None, prepare: Callable[[], object] | None = None,
+                      cleanup: Callable[[object], None] | None = None):
+    """User code of ``flat_map_docs`` as the SQL table function ``name`` (a Python UDTF in Arrow batches).
+
+    In SQL it takes a table, or named values in a lateral join::
+
+        SELECT * FROM name(TABLE(docs) PARTITION BY source ORDER BY doc_id)
+        SELECT d.doc_id, t.* FROM docs d, LATERAL name(doc_id => d.doc_id, text => d.text) t
+
+    ``fn(row_dict[, state])`` emits 0..n dicts.  Without ``schema`` the rows it
+    emits have the columns of its input, which ``analyze`` reads when the query
+    is planned.  A table with ``PARTITION BY`` hands every key's rows to one
+    ``prepare`` .. ``cleanup`` span, in the order of ``ORDER BY``, with one
+    state (for user code that needs the rows of a key together: a key is one
+    task's then, streamed, never held); without it a span is a task's rows, and
+    nothing is shuffled.  ``cleanup`` runs also after a row that failed; the
+    failure then ends the job.  Returns the function, for the DataFrame API.
+    """
+    fixed = schema if schema is None or isinstance(schema, T.StructType) else \
+        spark.createDataFrame([], schema).schema
+    with_state = prepare is not None
+
+    def columns(args: tuple, named: dict) -> T.StructType:
+        if args and (named or len(args) > 1 or not args[0].isTable):
+            raise ValueError(f"{name} takes one table, or values by name")
+        if fixed is not None:
+            return fixed
+        return args[0].dataType if args else T.StructType([T.StructField(k, a.dataType) for k, a in named.items()])
+
+    class FlatMap:
+        @staticmethod
+        def analyze(*args: AnalyzeArgument, **named: AnalyzeArgument) -> AnalyzeResult:
+            return AnalyzeResult(columns(args, named))
+
+        def __init__(self):
+            self.state = prepare() if with_state else None
+            self.open = True
+
+        def eval(self, *args, **named):
+            row = plain(args[0]) if args else {k: plain(v) for k, v in named.items()}
+            names = fixed.names if fixed is not None else list(row)
+            try:
+                for made in (fn(row, self.state) if with_state else fn(row)) or ():
+                    yield tuple(made.get(n) for n in names)
+            except BaseException:
+                self.close()
+                raise
+
+        def terminate(self):
+            self.close()
+            return iter(())
+
+        def close(self):
+            if self.open and cleanup is not None:
+                cleanup(self.state)
+            self.open = False
+
+    made = F.udtf(FlatMap, useArrow=True)
+    spark.udtf.register(name, made)
+    return made

@@ -11,6 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from docweave.functions.documents import typed_from_documents
 from docweave.functions.observed import observe_documents
 from docweave.functions.paths import get_field, has_field, v_is_string
 from docweave.functions.predicates import Cond, condition, fields_condition, total
@@ -19,7 +20,7 @@ from docweave.operators.filter import filter_docs
 from docweave.operators.reshape import (add_field, flatten_doc, prune_empty, remove_field, rename_field,
                                         set_doc, trim)
 from docweave.operators.split import branch, branch_exists, branch_fields, split, split_exists, split_fields
-from docweave.operators.user import flat_map_docs
+from docweave.operators.user import flat_map_docs, register_flat_map
 from docweave.plans.catalog import _drain, query, table
 from docweave.plans.components import component
 from docweave.plans.dataflow import Dataflow, Edge
@@ -198,6 +199,42 @@ def q_has_field_null(spark, sf):
                        total(get_field(docs, "f", "doc", "int").isNotNull()).alias("has_value"))
 
 
+# --- typed columns that tell null from missing (P11) ------------------------------------
+
+def _typed_customers(spark, sf) -> DataFrame:
+    """Typed documents ``{"id", "o": {"f", "g"}}``: ``o.f`` is missing, null or a number, ``o`` at times null."""
+    kind, key = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    rest = F.when(kind == 0, F.lit('"o": {"g": 1}')).when(kind == 1, F.lit('"o": {"f": null, "g": null}')) \
+        .when(kind == 2, F.concat(F.lit('"o": {"f": '), key, F.lit("}"))).otherwise(F.lit('"o": null'))
+    docs = table(spark, sf, "customer").select(F.parse_json(
+        F.concat(F.lit('{"id": '), key, F.lit(", "), rest, F.lit("}"))).alias("doc"))
+    return typed_from_documents(docs, schema="id bigint, o struct<f: bigint, g: bigint>", presence=True)
+
+
+@query("has_field_typed", """
+SELECT c_custkey AS id, true AS has_o, k IN (1, 2) AS has_f, k = 2 AS f_is_a_value, k IN (0, 1) AS has_g,
+       k IN (1, 2) AS moved_was_there
+FROM (SELECT c_custkey, c_custkey % 4 AS k FROM customer)""")
+def q_has_field_typed(spark, sf):
+    df = _typed_customers(spark, sf)
+    tests = df.select("*", has_field(df, "o").alias("has_o"), has_field(df, "o.f").alias("has_f"),
+                      total(get_field(df, "o.f").isNotNull()).alias("f_is_a_value"),
+                      has_field(df, "o.g").alias("has_g"))
+    moved = remove_field(rename_field(tests, "o", "p"), "p.g")
+    return moved.where(~has_field(moved, "o.f") & ~has_field(moved, "p.g")).select(
+        "id", "has_o", "has_f", "f_is_a_value", "has_g", has_field(moved, "p.f").alias("moved_was_there"))
+
+
+@query("envelope_typed_missing", """
+SELECT CASE c_custkey % 4 WHEN 0 THEN '{"id":' || c_custkey || ',"new":null,"o":{"g":1}}'
+         WHEN 1 THEN '{"id":' || c_custkey || ',"new":null,"o":{"f":null,"g":null}}'
+         WHEN 2 THEN '{"id":' || c_custkey || ',"new":null,"o":{"f":' || c_custkey || '}}'
+         ELSE '{"id":' || c_custkey || ',"new":null,"o":null}' END AS map, 'c' AS entity FROM customer""")
+def q_envelope_typed_missing(spark, sf):
+    df = add_field(_typed_customers(spark, sf), "new", F.lit(None).cast("string"))
+    return to_envelope(df, entity="c")
+
+
 # --- predicates on missing values, mixed kinds and bad patterns -------------------------
 
 def _mixed_docs(spark, sf) -> DataFrame:
@@ -383,6 +420,36 @@ def q_flat_map_nulls(spark, sf):
                          "o_orderkey bigint, big bigint, kind string")
 
 
+@query("flat_map_lateral", """
+SELECT doc_id, source, CAST(i - 1 AS BIGINT) AS line_no, parts[i] AS line
+FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts,
+             generate_series(1, len(string_split(text, chr(10)))) AS ii FROM documents),
+     unnest(ii) AS t(i)""")
+def q_flat_map_lateral(spark, sf):
+    def lines(rec):
+        for i, line in enumerate((rec["text"] or "").split("\n") if rec["text"] is not None else ()):
+            yield {"line_no": i, "line": line}
+
+    register_flat_map(spark, "docweave_lines", lines, "line_no bigint, line string")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "source", "text")
+    return spark.sql("SELECT d.doc_id, d.source, t.line_no, t.line "
+                     "FROM {docs} d, LATERAL docweave_lines(text => d.text) t", docs=docs)
+
+
+@query("flat_map_by_key", """
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders""")
+def q_flat_map_by_key(spark, sf):
+    # the state of a customer's span counts its orders; the output columns are the input's
+    def count(rec, seen):
+        seen.append(1)
+        yield {**rec, "n": len(seen)}
+
+    register_flat_map(spark, "docweave_numbered", count, prepare=list)
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.lit(0).cast("bigint").alias("n"))
+    return spark.sql("SELECT * FROM docweave_numbered(TABLE(SELECT * FROM {orders}) "
+                     "PARTITION BY o_custkey ORDER BY o_orderkey)", orders=orders)
+
+
 @query("flat_map_quarantine", """
 SELECT p_partkey, p_size * 2 AS twice, CAST(NULL AS BIGINT) AS failed FROM part WHERE p_size % 5 <> 0
 UNION ALL SELECT NULL, NULL, p_partkey FROM part WHERE p_size % 5 = 0""")

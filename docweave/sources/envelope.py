@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import paths as P
+from docweave.functions.presence import document_of, presence_of
 from docweave.functions.ordered import print_in_order
 from docweave.operators.split import Split
 
@@ -138,6 +139,9 @@ def to_envelope(df: DataFrame, entity: str | None = None, doc: str | None = None
     else:
         if order is not None:
             raise ValueError("order needs a VARIANT document; typed columns print in their order")
+        if presence_of(df) is not None:
+            from docweave.operators.reshape import v_with_doubles
+            return df.select(ent.alias(ENTITY), F.to_json(v_with_doubles(document_of(df, (entity_col,)))).alias(MAP))
         body = [F.col(f"`{c}`") for c in df.columns if c != entity_col]
         text = F.to_json(F.struct(*body), {"ignoreNullFields": "false"})
     return df.select(ent.alias(ENTITY), text.alias(MAP))
