@@ -1,14 +1,17 @@
 """Quality rules: base counts per text, and n-gram perplexity bands per language.
 
 The language model is an interpolated modified Kneser-Ney model of byte
-5-grams within words (a word is preceded by spaces and followed by one), one
-per language:
+5-grams over whole texts, one per language: a text is its words with one space
+after each (and ``ORDER`` - 1 before the first), so that n-grams run across the
+borders of words and the order of the words counts.
 
-* Spark counts the 5-grams of all documents: each task counts its distinct
-  words first, then their n-grams, and passes on one partial count per n-gram.
+* Spark counts the 5-grams of all documents, equal texts once: each task sorts
+  its own and passes on one partial count per n-gram.
 * Lower orders use continuation counts (how many different bytes precede an
-  n-gram).  Discounts D1, D2, D3+ come from the counts of counts of each order
-  and language; sums over a context are windows of at most 256 rows.
+  n-gram).  Discounts D2, D3+ come from the counts of counts of each order and
+  language; sums over a context are windows of at most 256 rows.  What was
+  counted once is its own text's evidence, so above order 1 it is discounted
+  whole (D1 = 1): it has its backoff probability and needs no entry.
 * The model goes into sorted arrays of 64-bit n-gram hashes (per order the
   probability, per context the backoff weight), searched by bisection.  It is
   broadcast up to ``MAX_MODEL`` n-grams.  A larger model stays a table and the
@@ -22,9 +25,8 @@ the spread on its own side of the median; documents outside are rejected.
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
-from functools import lru_cache
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, mixed, pick, utf8_parts, utf8_rows
+from .common import broadcast_within, materialise, mixed, pick, utf8_parts, utf8_rows
 
 ORDER = 5
 #: N-grams of all orders that are broadcast at most (16 bytes each).
 MAX_MODEL = 6_000_000
-#: Distinct words that a task holds before it turns them into n-grams, or forgets their scores.
-HELD_WORDS = 300_000
+#: Groups of equal texts that are broadcast at most (about 40 bytes each).
+MAX_COPIED = 1_000_000
+#: Distinct n-grams of a language that a task holds before it passes them on.
 HELD_GRAMS = 1 << 20
+#: N-grams that a task makes at once.
+STEP = 1 << 19
 #: Distance of a band's edges from the median in interquartile ranges of the language's scores.
 BAND_RANGES = 6.0
 #: Digits to which scores count as equal, and the slack of the edges: sums in another order differ by less.
@@ -116,60 +121,97 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 # --- counting ---------------------------------------------------------------
 
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams of all words as integers of ``ORDER`` bytes, word of each).
+def text_grams(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams as integers of ``ORDER`` bytes, text of each) of texts given as words, about ``STEP`` at once.
 
-    A word of m bytes has m + 1 n-grams: each of its bytes and the space after
-    it, with the ``ORDER`` - 1 bytes before.
+    A text has one n-gram for each byte of a word and for the space after it,
+    with the ``ORDER`` - 1 bytes before.  A long text comes in several parts.
     """
-    before = b" " * (ORDER - 1)
-    padded = np.frombuffer(b"".join([before + w + b" " for w in words]), np.uint8).astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    if not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = np.repeat(np.arange(len(words)), lengths)
-    at = np.arange(len(word)) + word * (ORDER - 1)
-    gram = np.zeros(len(at), np.uint64)
-    for i in range(ORDER):
-        gram = gram << np.uint64(8) | padded[at + i]
-    return gram, word
+    before = ORDER - 1
+    parts: list[bytes] = []
+    rows: list[int] = []
+
+    def made():
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) - before
+        at = np.arange(lengths.sum()) + np.repeat(before * np.arange(len(parts)), lengths)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        gram = np.zeros(len(at), np.uint64)
+        for i in range(ORDER):
+            gram = gram << np.uint64(8) | data[at + i]
+        return gram, np.repeat(np.array(rows, np.int64), lengths)
+
+    size = 0
+    for row, words in enumerate(texts):
+        if not words:
+            continue
+        whole = b" " * before + b" ".join(words) + b" "
+        for k in range(0, len(whole) - before, STEP):
+            parts.append(whole[k:k + STEP + before])
+            rows.append(row)
+            size += len(parts[-1])
+            if size >= STEP:
+                yield made()
+                parts, rows, size = [], [], 0
+    if parts:
+        yield made()
+
+
+def _added(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams with their counts, from several such pairs."""
+    grams = np.concatenate([g for g, _ in counted])
+    order = np.argsort(grams, kind="stable")  # runs that are sorted already
+    grams = grams[order]
+    first = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
+    return grams[first], np.add.reduceat(np.concatenate([n for _, n in counted])[order], first)
+
+
+def without_copies(docs: DataFrame, max_copied: int = MAX_COPIED) -> DataFrame:
+    """``docs`` (doc_id, lang, text) with one document of each group of equal texts of a language.
+
+    Copies are no further evidence: they would make their own text look usual.
+    The hashes of all texts are grouped; the groups of two or more, with the
+    smallest id of each, are broadcast up to ``max_copied`` groups, and only a
+    larger table is joined by a shuffle.  Rows that repeat that id stay, and so
+    do those of a group without ids.
+    """
+    keys = ["lang", "h", "bytes"]
+    hashed = docs.withColumn("h", F.xxhash64("text")).withColumn("bytes", F.octet_length("text"))
+    copied = materialise(hashed.groupBy(*keys).agg(F.min("doc_id").alias("stays"), F.count("*").alias("n"))
+                         .filter("n > 1").drop("n"), "quality-copies")
+    joined = hashed.join(broadcast_within(copied, max_copied), keys, "left")
+    return joined.filter(F.col("stays").isNull() | F.col("doc_id").eqNullSafe(F.col("stays"))) \
+        .select("lang", "text")
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over the columns lang (no nulls) and text."""
 
     def run(batches):
-        words: dict[str, Counter] = {}
-        grams: dict[str, list] = {}
-
-        def fold(lang):
-            counted = words.pop(lang, None)
-            if counted:
-                gram, word = word_grams(list(counted))
-                n = np.fromiter(counted.values(), np.int64, len(counted))
-                grams.setdefault(lang, []).append((gram, n[word]))
-            parts = grams.get(lang, [])
-            values, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-            sums = np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
-            grams[lang] = [(values, sums)]
-            return len(values)
+        held: dict[str, list] = {}  # of each language: what is added up, then single counts
 
         def out(lang):
-            values, sums = grams.pop(lang)[0]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(sums)],
-                names=["lang", "gram", "n"])
+            grams, n = _added(held.pop(lang))
+            for k in range(0, len(grams), HELD_GRAMS):
+                part = slice(k, k + HELD_GRAMS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(grams[part]), pa.string()), pa.array(grams[part].astype(np.int64)),
+                     pa.array(n[part].astype(np.int64))], names=["lang", "gram", "n"])
 
         for batch in batches:
+            texts: dict[str, list] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), utf8_rows(batch.column("text")), strict=True):
-                words.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, words.values())) > HELD_WORDS:
-                for lang in list(words):
-                    if fold(lang) > HELD_GRAMS:
-                        yield out(lang)
-        for lang in sorted({*words, *grams}):
-            if fold(lang):
-                yield out(lang)
+                texts.setdefault(lang, []).append(text.split())
+            for lang, words in texts.items():
+                own = held.setdefault(lang, [])
+                for gram, _ in text_grams(words):
+                    own.append(np.unique(gram, return_counts=True))
+                    if sum(len(g) for g, _ in own[1:]) > max(HELD_GRAMS, len(own[0][0])):
+                        own[:] = [_added(own)]
+            while sum(len(g) for own in held.values() for g, _ in own) > 6 * HELD_GRAMS:
+                yield from out(max(held, key=lambda lang: sum(len(g) for g, _ in held[lang])))
+        for lang in sorted(held):
+            if held[lang]:
+                yield from out(lang)
 
     parts = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -178,10 +220,11 @@ def count_grams(docs: DataFrame) -> DataFrame:
 # --- the model --------------------------------------------------------------
 
 def kneser_ney(counts: DataFrame) -> list[DataFrame]:
-    """Per order 1..ORDER a stored table (lang, gram, p, context, gamma).
+    """Per order 1..ORDER a stored table (lang, gram, p, context, gamma, own).
 
     ``gram`` holds the order's bytes, ``context`` all but the last of them;
-    ``p`` is the interpolated probability and ``gamma`` the context's backoff weight.
+    ``p`` is the interpolated probability, ``own`` its part from this order, and
+    ``gamma`` the context's backoff weight.
     """
     orders = {ORDER: counts.select("lang", "gram", "n")}
     for k in range(ORDER - 1, 0, -1):
@@ -204,7 +247,7 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
         discounts = F.broadcast(level.groupBy("lang").agg(*kinds).select(
             "lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)]))
         by = Window.partitionBy("lang", "context")
-        taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        taken = F.when(F.col("n") == 1, F.col("d1") if k == 1 else F.lit(1.0)).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = (level.join(discounts, "lang").withColumn("taken", F.least(taken, F.col("n").cast("double")))
                  .withColumn("total", F.sum("n").over(by))
                  .withColumn("gamma", F.sum("taken").over(by) / F.col("total"))
@@ -216,7 +259,7 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
             level = (level.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)))
                      .join(shorter, ["lang", "suffix"])
                      .withColumn("p", F.col("own") + F.col("gamma") * F.col("lower")))
-        tables.append(materialise(level.select("lang", "gram", "p", "context", "gamma"), "kn-model"))
+        tables.append(materialise(level.select("lang", "gram", "p", "context", "gamma", "own"), "kn-model"))
     return tables
 
 
@@ -267,6 +310,11 @@ class HashedModel:
         return out
 
 
+def entries(table: DataFrame) -> DataFrame:
+    """The n-grams whose probability is not that of backing off."""
+    return table.filter("own > 0")
+
+
 def hashed_model(tables: list[DataFrame]) -> HashedModel:
     """Collect the stored tables into sorted arrays (the caller has checked their size)."""
     languages = sorted(r.lang for r in tables[0].select("lang").distinct().collect())
@@ -279,82 +327,45 @@ def hashed_model(tables: list[DataFrame]) -> HashedModel:
 
     grams, contexts = [], []
     for order, table in enumerate(tables, 1):
-        grams.append(hashed(table.select("lang", "gram", F.log("p").alias("p")).toArrow(),
+        grams.append(hashed(entries(table).select("lang", "gram", F.log("p").alias("p")).toArrow(),
                             "gram", "p", order))
-        contexts.append(hashed(table.groupBy("lang", "context").agg(F.log(F.first("gamma")).alias("g"))
-                               .toArrow(), "context", "g", order))
+        # a context without entries backs off at weight 1, as an unknown one does
+        contexts.append(hashed(table.filter("gamma < 1").groupBy("lang", "context")
+                               .agg(F.log(F.first("gamma")).alias("g")).toArrow(), "context", "g", order))
     return HashedModel(languages, *[tuple(map(np.concatenate, zip(*part, strict=True))) for part in (grams, contexts)])
 
 
 # --- scoring ----------------------------------------------------------------
 
-class WordScores:
-    """Numbers of words, and their log probabilities; forgets all when it holds too many."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self):
-        self.number: dict[bytes, int] = {}
-        self.score = np.zeros(1 << 16)
-
-    def of(self, words: list[bytes], model: HashedModel | None, lang: str) -> np.ndarray:
-        """The number of each word."""
-        fresh = set(words).difference(self.number)
-        if fresh:
-            if len(self.number) + len(fresh) > HELD_WORDS:
-                self.clear()
-                fresh = set(words)
-            first, fresh = len(self.number), list(fresh)
-            self.number.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-            if len(self.number) > len(self.score):
-                self.score = np.concatenate([self.score, np.zeros(max(len(self.score), len(fresh)))])
-            if model is not None:
-                gram, word = word_grams(fresh)
-                self.score[first:first + len(fresh)] = np.bincount(
-                    word, model.log_p(gram, lang), minlength=len(fresh))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-
-
-@lru_cache(maxsize=1)
-def _worker_scores(token: str) -> dict[str, WordScores]:
-    return {}
-
-
 def measure(docs: DataFrame, model: HashedModel | None) -> DataFrame:
     """``docs`` (lang, text, others) without text: the base counts, and the score if a model is given.
 
     The score is the cross-entropy in nats per byte (a word's bytes and one
-    for its end); null for texts without words.
+    for the space after it); null for texts without words.
     """
     kept = [f.name for f in docs.schema.fields if f.name != "text"]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, T.LongType()) for n in names],
                            T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    token = uuid.uuid4().hex  # a worker may serve several models, one after the other
 
     def run(batches):
-        scores = _worker_scores(token)
         known = shared.value
         for batch in batches:
             data, bounds = utf8_parts(batch.column("text"))
             texts = list(utf8_rows(batch.column("text")))
             words = [text.split() for text in texts]
             n_words = np.fromiter(map(len, words), np.int64, len(words))
-            n_repeat = np.zeros(len(texts), np.int64)
+            each = list(chain.from_iterable(words))
+            number = {w: i for i, w in enumerate(dict.fromkeys(each))}
+            n_repeat = repeated_words(np.fromiter(map(number.__getitem__, each), np.int64, len(each)), n_words)
             total = np.zeros(len(texts))
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for lang in dict.fromkeys(langs.tolist()):
+            for lang in dict.fromkeys(langs.tolist()) if known is not None else ():
                 rows = np.flatnonzero(langs == lang)
-                own = scores.setdefault(lang, WordScores())
-                numbers = own.of([w for r in rows.tolist() for w in words[r]], known, lang)
-                lengths = n_words[rows]
-                n_repeat[rows] = repeated_words(numbers, lengths)
-                ends = np.cumsum(lengths)
-                if len(numbers):
-                    some = lengths > 0
-                    total[rows[some]] = np.add.reduceat(own.score[numbers], (ends - lengths)[some])
+                for gram, text in text_grams([words[r] for r in rows.tolist()]):
+                    values, where = np.unique(gram, return_inverse=True)
+                    total[rows] += np.bincount(text, known.log_p(values, lang)[where], minlength=len(rows))
             solid, chars, symbols = byte_counts(data, bounds)
             lines = np.fromiter(map(duplicate_lines, texts), np.int64, len(texts))
             score = -total / np.maximum(solid + n_words, 1)
@@ -363,9 +374,6 @@ def measure(docs: DataFrame, model: HashedModel | None) -> DataFrame:
                 [*[batch.column(c) for c in kept],
                  *[pa.array(c.astype(np.int64)) for c in (n_words, chars, symbols, lines, n_repeat)],
                  pa.array(score, pa.float64(), mask=none)], names=schema.names)
-            if sum(len(s.number) for s in scores.values()) > 2 * HELD_WORDS:
-                for s in scores.values():
-                    s.clear()
 
     return docs.mapInArrow(run, schema)
 
@@ -379,17 +387,15 @@ def score_by_join(docs: DataFrame, top: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row, lang, text in zip(batch.column("row").to_pylist(), batch.column("lang").to_pylist(),
-                                       utf8_rows(batch.column("text")), strict=True):
-                counted = Counter(text.split())
-                gram, word = word_grams(list(counted))
-                n = np.fromiter(counted.values(), np.int64, len(counted))
-                values, where = np.unique(gram, return_inverse=True)
-                if len(values):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(values), row, np.int64)), pa.array([lang] * len(values), pa.string()),
-                         pa.array(values.astype(np.int64)), pa.array(np.bincount(where, n[word]).astype(np.int64))],
-                        names=["row", "lang", "gram", "n"])
+            ids = batch.column("row").to_numpy()
+            langs = batch.column("lang").to_pylist()
+            for gram, text in text_grams([text.split() for text in utf8_rows(batch.column("text"))]):
+                values, n = np.unique(gram | text.astype(np.uint64) << np.uint64(8 * ORDER), return_counts=True)
+                text = (values >> np.uint64(8 * ORDER)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[text]), pa.array([langs[t] for t in text.tolist()], pa.string()),
+                     pa.array((values & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["row", "lang", "gram", "n"])
 
     grams = docs.select("row", "lang", "text").mapInArrow(run, "row long, lang string, gram long, n long")
     return (grams.join(top.select("lang", "gram", F.log("p").alias("log_p")), ["lang", "gram"])
@@ -422,8 +428,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     base = pick(docs, doc_id=id_col, lang=lang_col, text=text_col)
     base = base.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)))
-    tables = kneser_ney(materialise(count_grams(base), "kn-counts"))
-    if sum(t.count() for t in tables) <= max_model:
+    tables = kneser_ney(materialise(count_grams(without_copies(base)), "kn-counts"))
+    if sum(entries(t).count() for t in tables) <= max_model:
         measured = materialise(measure(base, hashed_model(tables)), "quality-scores")
     else:
         rows = materialise(base.withColumn("row", F.monotonically_increasing_id()), "quality-rows")

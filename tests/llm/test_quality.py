@@ -25,13 +25,17 @@ def brute_counts(text):
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(inside))
 
 
+def stream_grams(text):
+    """The 5-grams of a text's words with a space after each."""
+    p = b"    " + b"".join(w.encode() + b" " for w in SPLIT.findall(text))
+    return [p[i:i + 5] for i in range(len(p) - 4)]
+
+
 def brute_model(texts):
     """Log probability function of an interpolated modified Kneser-Ney model, straight from the definition."""
     top = Counter()
     for t in texts:
-        for w in t.encode().split():
-            p = b"    " + w + b" "
-            top.update(p[i:i + 5] for i in range(len(w) + 1))
+        top.update(stream_grams(t))
     counts = {5: top}
     for k in range(4, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -43,7 +47,7 @@ def brute_model(texts):
         for i, usual in ((1, .5), (2, 1.0), (3, 1.5)):
             y = t[1] / (t[1] + 2 * t[2]) if t[1] + t[2] else None
             e = i - (i + 1) * y * t[i + 1] / t[i] if t[i] and y is not None else None
-            d.append(e if e is not None and 0 < e < i else usual)
+            d.append(1 if k > 1 and i == 1 else e if e is not None and 0 < e < i else usual)
         ctx = defaultdict(list)
         for g, n in c.items():
             ctx[g[:-1]].append(n)
@@ -77,8 +81,7 @@ def tables(spark):
 def test_model_equals_the_definition(spark, tables):
     p = brute_model(TEXTS)
     model = Q.hashed_model(tables)
-    grams = sorted({(b"    " + w + b" ")[i:i + 5] for t in [*TEXTS, "unseen qqq wordz"]
-                    for w in t.encode().split() for i in range(len(w) + 1)})
+    grams = sorted({g for t in [*TEXTS, "unseen qqq wordz"] for g in stream_grams(t)})
     got = model.log_p(np.array([int.from_bytes(g, "big") for g in grams], np.uint64), "en")
     assert np.allclose(got, [math.log(p(g)) for g in grams], atol=1e-5)
     assert np.allclose(sum(p(b"the " + bytes([b])) for b in range(256)), 1)
@@ -138,6 +141,61 @@ def test_gibberish_and_boilerplate_fall_out_on_both_sides(spark):
         assert all(r.kept for d, r in got.items() if d < 2000)
 
 
+def test_scores_are_the_cross_entropy_of_whole_texts(spark, monkeypatch):
+    """Against the definition, with a text in many parts."""
+    prepare(spark)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string")
+    p = brute_model(TEXTS)
+    want = {i: -sum(math.log(p(g)) for g in stream_grams(t)) / len(stream_grams(t)) for i, t in enumerate(TEXTS)}
+    for max_model in (Q.MAX_MODEL, 0):
+        got = {r.doc_id: r.score for r in Q.judge(docs, max_model=max_model).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    words = [t.encode().split() for t in TEXTS] + [[]]
+    whole = [g for t in TEXTS for g in stream_grams(t)]
+    for step in (1, 7, 1000):
+        monkeypatch.setattr(Q, "STEP", step)
+        made = list(Q.text_grams(words))
+        assert [int(g).to_bytes(5, "big") for gram, _ in made for g in gram] == whole
+        assert [int(x) for _, text in made for x in text] == [i for i, t in enumerate(TEXTS) for _ in stream_grams(t)]
+
+
+def test_copies_count_once(spark):
+    prepare(spark)
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("a b", "en")] * 3 + [("a b", "fr"), ("c", "en"), (None, "en"),
+                                                                             (None, "en")])] + [(None, "c", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bound in (10, 0):
+        got = Q.without_copies(docs, bound).collect()
+        assert sorted((r.lang, r.text or "") for r in got if r.text) == [("en", "a b"), ("en", "c"), ("fr", "a b")]
+
+
+def test_word_salad_of_known_words_falls_out(spark):
+    """The words of clean texts in another order: only n-grams across words tell."""
+    prepare(spark)
+    rng = np.random.default_rng(7)
+    roots = ["".join(rng.choice(list("bcdfglmnprst"), 2)) + v for v in "aeiou" for _ in range(60)]
+    endings = {"a": "ra", "e": "lem", "i": "nis", "o": "dor", "u": "tuk"}
+    after = {"a": "e", "e": "i", "i": "o", "o": "u", "u": "a"}  # which kind of word follows which
+
+    def prose():
+        kind, out = rng.choice(list("aeiou")), []
+        for _ in range(400):
+            word = rng.choice([r for r in roots if r[-1] == kind])
+            out.append(kind + word + endings[kind])
+            kind = after[kind] if rng.random() < 0.95 else rng.choice(list("aeiou"))
+        return out
+
+    texts = [prose() for _ in range(200)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rows += [(1000 + i, " ".join(rng.permutation(w))) for i, w in enumerate(texts[:8])]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    for max_model in (Q.MAX_MODEL, 0):
+        got = {r.doc_id: r for r in Q.judge(docs, max_model=max_model).collect()}
+        assert not any(r.base_failed for r in got.values())
+        assert all(r.kept == (d < 1000) for d, r in got.items())
+        assert all(got[1000 + i].score > got[1000 + i].high for i in range(8))
+
+
 def test_each_table_gets_its_own_scores(spark):
     """Workers are used again: scores of one model must not be taken for another's."""
     prepare(spark)
