@@ -15,8 +15,9 @@ topic, a table):
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,8 @@ def track_keywords(df: DataFrame, field: str, keywords: Sequence[str],
 #: Keyword tables up to these bounds become an automaton in each Python worker; larger ones are joined.
 AUTOMATON_ROWS = 200_000
 AUTOMATON_BYTES = 16 << 20
+#: Bits of the filter that a join's keywords make for the words of the texts, at most (16 MB).
+FILTER_BITS = 1 << 27
 _WORD = r"(?U)\w"
 
 
@@ -123,27 +126,61 @@ def _anchors(lowered: Column) -> Column:
                                      F.regexp_extract_all(lowered, F.lit(r"(?U)(\W)"))))
 
 
+def _may_be_in(keys: DataFrame, anchor: str) -> Callable[[Column], Column]:
+    """A test of one hashed bit per anchor: false only for what is not in ``keys[anchor]``.
+
+    The bits are made where the keys are, 32 a key and ``FILTER_BITS`` at most,
+    so what passes the driver is bounded.
+    """
+    bits = min(FILTER_BITS, 1 << max(15, (32 * keys.count()).bit_length()))
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(bits))
+
+    of = place(F.col(anchor)) + 1  # buckets begin with 1
+    maps = keys.groupBy(F.bitmap_bucket_number(of)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(of)))
+    filled = np.zeros(bits // 8, np.uint8)
+    for number, part in maps.collect():
+        filled[(number - 1) * 4096:number * 4096] = np.frombuffer(part, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(filled)
+
+    @F.arrow_udf("boolean")
+    def is_set(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return lambda column: is_set(place(column))
+
+
 def _by_join(df: DataFrame, text: Column, words: DataFrame) -> DataFrame:
     """Texts that share an anchor with a keyword are compared with that keyword.
 
     A keyword's anchor is its longest word.  The rows are checkpointed with a
-    number each, so a lost executor gives them the same numbers again; only
-    numbers, lower-case texts and anchors are shuffled.
+    number each, so a lost executor gives them the same numbers again.  Only
+    numbers and those anchors that a keyword may have are shuffled: a keyword of
+    one word is found with its anchor, and for the others a text comes to its
+    candidates once, by its number.
     """
     from docweave.session import checkpoint_root
     checkpoint_root(df.sparkSession)
-    row, low, anchor, word = "__row", "__lowered", "__anchor", "__word"
-    rows = df.withColumn(row, F.monotonically_increasing_id()).withColumn(low, F.lower(text)).checkpoint()
+    row, low, anchor, word, single = "__row", "__lowered", "__anchor", "__word", "__single"
     own_words = F.regexp_extract_all(F.col(word), F.lit(f"({_WORD}+)"))
     longest = F.array_sort(own_words, lambda a, b: F.length(b) - F.length(a))
     keys = words.select(F.col(word), F.when(F.size(own_words) > 0, F.get(longest, F.lit(0)))
-                        .otherwise(F.substring(word, 1, 1)).alias(anchor))
-    found = rows.select(row, low, F.explode(_anchors(F.col(low))).alias(anchor)).join(keys, anchor)
-    quoted = F.regexp_replace(F.col(word), r"([^\p{L}\p{N} ])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?U)(^|\W)("), quoted, F.lit(r")(\W|$)"))
-    hits = found.where((F.col(word) == F.col(anchor)) & F.col(word).rlike(f"^{_WORD}+$")
-                       | F.regexp_like(F.col(low), pattern)).select(row).distinct()
-    return rows.join(hits, row, "left_semi").drop(row, low)
+                        .otherwise(F.substring(word, 1, 1)).alias(anchor),
+                        F.col(word).rlike(f"^{_WORD}+$").alias(single)).checkpoint()
+    rows = df.withColumn(row, F.monotonically_increasing_id()).checkpoint()
+    lowered = F.lower(text)
+    found = rows.select(row, F.explode(_anchors(lowered)).alias(anchor)).where(_may_be_in(keys, anchor)(F.col(anchor)))
+    hits = found.join(keys.where(single), anchor, "left_semi").select(row)
+    longer = keys.where(~F.col(single))
+    if not longer.isEmpty():
+        quoted = F.regexp_replace(F.col(word), r"([^\p{L}\p{N} ])", r"\\$1")
+        pattern = F.concat(F.lit(r"(?U)(^|\W)("), quoted, F.lit(r")(\W|$)"))
+        candidates = found.join(longer, anchor).select(row, word)
+        hits = hits.union(candidates.join(rows.select(row, lowered.alias(low)), row)
+                          .where(F.regexp_like(F.col(low), pattern)).select(row))
+    return rows.join(hits.distinct(), row, "left_semi").drop(row)
 
 
 def track_keyword_table(df: DataFrame, field: str, keywords: DataFrame, column: str, doc: str | None = None,

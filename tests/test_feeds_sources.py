@@ -112,6 +112,19 @@ def test_keyword_table_equals_the_pattern(spark):
     assert track_keyword_table(docs, "text", every.where("false"), "word", max_rows=0).count() == 0
 
 
+def test_the_keyword_join_shuffles_no_texts_by_word(spark):
+    # keywords of one word need no text beside the anchors; for the others it comes once per row
+    docs = spark.range(300).select("id", F.concat(F.lit("alpha beta w"), F.col("id") % 50, F.lit(" C++ ; w7 (x)")).alias("text")) \
+        .unionByName(spark.createDataFrame([(900, None), (901, "w3"), (901, "w3"), (902, "gamma")], "id bigint, text string"))
+    for words, longer in ((["W3", "w49", "none"], False), (["w3", "Beta W7", "w7 (x", "++"], True), (["beta w8", "a w9"], True)):
+        table = spark.createDataFrame([(w,) for w in words], "word string")
+        out = track_keyword_table(docs, "text", table, "word", max_rows=0)
+        want = sorted(r.id for r in track_keywords(docs, "text", words).collect())
+        assert sorted(r.id for r in out.collect()) == want and want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("__lowered" in plan) == longer
+
+
 def test_ten_thousand_keywords(spark):
     docs = spark.range(2000).select("id", F.concat(F.lit("see k"), F.col("id") * 7, F.lit("x, and so on")).alias("text"))
     table = spark.range(10_000).select(F.concat(F.lit("K"), "id", F.lit("X")).alias("word"))
