@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
 DEFAULT_BROADCAST_BYTES = 64 << 20
+#: Rows of one task after ``spread``, at most.
+SPREAD_ROWS = 50_000
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> int | None:
@@ -81,7 +83,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     partitions than ``min_partitions`` (default: the session's default
     parallelism) it is hash-repartitioned on a per-row id; an input that is
     already split -- any large table -- is returned unchanged, so no shuffle
-    is added at scale.  The row id (partition index and position) keeps
+    is added at scale.  Splits of a file hold nothing when its row groups are
+    larger than they are: where the fullest partition has more than twice a
+    task's share of the rows, the input is spread too.  A task gets
+    ``SPREAD_ROWS`` rows at most.  The row id (partition index and position) keeps
     identical rows apart -- hashing the content would send all copies of a
     hot document to one task -- and avoids the local sort that a round-robin
     repartition runs to stay deterministic.
@@ -93,8 +98,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
             return df
         current = df.rdd.getNumPartitions()
+        # rows by partition: of a scan, read from the footers of its files
+        total, fullest = df.groupBy(F.spark_partition_id()).count().agg(
+            F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     except Exception:  # no JVM plan view (e.g. a remote session): leave it as it is
         return df
-    if current >= target:
+    if current >= target and fullest * target <= 2 * total:
         return df
-    return df.repartition(target, F.monotonically_increasing_id())
+    return df.repartition(max(target, -(-total // SPREAD_ROWS)), F.monotonically_increasing_id())

@@ -286,3 +286,27 @@ def test_idempotency_key_stable(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "payload string")
     keys = [r.k for r in df.select(idempotency_key(F.col("payload")).alias("k")).collect()]
     assert keys[0] == keys[1] != keys[2]
+
+
+def test_spread_sees_splits_without_rows(spark, tmp_path):
+    # one row group in a file of many splits: all rows are one task's
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from docweave.functions.sizing import spread
+    pq.write_table(pa.table({"id": list(range(60_000))}), f"{tmp_path}/one.parquet", row_group_size=1 << 20)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "20000")
+        scan = spark.read.parquet(f"{tmp_path}/one.parquet")
+        assert scan.rdd.getNumPartitions() >= 4
+        out = spread(scan, 4)
+        sizes = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert max(sizes) < 30_000 and sum(sizes) == 60_000
+        assert out.agg(F.countDistinct("id")).first()[0] == 60_000
+        pq.write_table(pa.table({"id": list(range(60_000))}), f"{tmp_path}/many.parquet", row_group_size=5000)
+        scan = spark.read.parquet(f"{tmp_path}/many.parquet")
+        assert spread(scan, 2) is scan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
