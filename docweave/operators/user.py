@@ -13,7 +13,10 @@ most ``OUT_ROWS`` rows, however many a document produces.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
+import numbers
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -170,10 +173,66 @@ def plain(value):
     return value
 
 
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+_KINDS = {T.BooleanType: bool, T.DateType: datetime.date, T.TimestampType: datetime.datetime,
+          T.TimestampNTZType: datetime.datetime, T.DecimalType: decimal.Decimal, T.BinaryType: (bytes, bytearray)}
+
+
+def _fitted(kind: T.DataType) -> Callable:
+    """What makes an emitted value one of the column's type; a value that is none is an error, not a null."""
+    def refuse(value):
+        raise TypeError(f"{value!r} is no {kind.simpleString()}")
+
+    if isinstance(kind, T.StringType):
+        def fit(v):
+            return v if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+    elif type(kind) in _BITS:
+        end = 1 << (_BITS[type(kind)] - 1)
+
+        def fit(v):
+            if type(v) is not int:
+                if isinstance(v, bool) or not isinstance(v, numbers.Real) or v != v or v - v or int(v) != v:
+                    refuse(v)
+                v = int(v)
+            return v if -end <= v < end else refuse(v)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        def fit(v):
+            return refuse(v) if isinstance(v, bool) or not isinstance(v, numbers.Real) else float(v)
+    elif isinstance(kind, T.ArrayType):
+        of = _fitted(kind.elementType)
+
+        def fit(v):
+            return refuse(v) if isinstance(v, (str, bytes, dict)) or not isinstance(v, Iterable) else [of(x) for x in v]
+    elif isinstance(kind, T.MapType):
+        key, of = _fitted(kind.keyType), _fitted(kind.valueType)
+
+        def fit(v):
+            return {key(k): of(x) for k, x in v.items()} if isinstance(v, dict) else refuse(v)
+    elif isinstance(kind, T.StructType):
+        names, parts = kind.names, [_fitted(f.dataType) for f in kind.fields]
+
+        def fit(v):
+            values = [v.get(n) for n in names] if isinstance(v, dict) else v
+            if not isinstance(values, (list, tuple)) or len(values) != len(parts):
+                refuse(v)
+            return tuple(part(x) for part, x in zip(parts, values, strict=True))
+    elif type(kind) in _KINDS:
+        wanted = _KINDS[type(kind)]
+
+        def fit(v):
+            if wanted is datetime.date and isinstance(v, datetime.datetime):
+                return v.date()
+            return v if isinstance(v, wanted) else refuse(v)
+    else:
+        def fit(v):
+            return v
+    return lambda v: None if v is None else fit(v)
+
+
 def register_flat_map(spark: SparkSession, name: str, fn: Callable[..., Iterable[dict]],
                       schema: str | T.StructType | None = None, prepare: Callable[[], object] | None = None,
                       cleanup: Callable[[object], None] | None = None):
-    """User code of ``flat_map_docs`` as the SQL table function ``name`` (a Python UDTF in Arrow batches).
+    """User code of ``flat_map_docs`` as the SQL table function ``name`` (a Python UDTF).
 
     In SQL it takes a table, or named values in a lateral join::
 
@@ -192,6 +251,7 @@ def register_flat_map(spark: SparkSession, name: str, fn: Callable[..., Iterable
     fixed = schema if schema is None or isinstance(schema, T.StructType) else \
         spark.createDataFrame([], schema).schema
     with_state = prepare is not None
+    fits: dict[str, list] = {}  # of the worker
 
     def columns(args: tuple, named: dict) -> T.StructType:
         if args and (named or len(args) > 1 or not args[0].isTable):
@@ -205,16 +265,17 @@ def register_flat_map(spark: SparkSession, name: str, fn: Callable[..., Iterable
         def analyze(*args: AnalyzeArgument, **named: AnalyzeArgument) -> AnalyzeResult:
             return AnalyzeResult(columns(args, named))
 
-        def __init__(self):
+        def __init__(self, analyzed: AnalyzeResult):
+            # of the columns, once per task and not per key
+            self.fits = fits.get("of") or fits.setdefault("of", [(f.name, _fitted(f.dataType)) for f in analyzed.schema])
             self.state = prepare() if with_state else None
             self.open = True
 
         def eval(self, *args, **named):
             row = plain(args[0]) if args else {k: plain(v) for k, v in named.items()}
-            names = fixed.names if fixed is not None else list(row)
             try:
                 for made in (fn(row, self.state) if with_state else fn(row)) or ():
-                    yield tuple(made.get(n) for n in names)
+                    yield tuple(fit(made.get(n)) for n, fit in self.fits)
             except BaseException:
                 self.close()
                 raise
@@ -228,6 +289,7 @@ def register_flat_map(spark: SparkSession, name: str, fn: Callable[..., Iterable
                 cleanup(self.state)
             self.open = False
 
-    made = F.udtf(FlatMap, useArrow=True)
+    # rows of a batch travel together; in Arrow each row's output would be a batch of its own
+    made = F.udtf(FlatMap, useArrow=False)
     spark.udtf.register(name, made)
     return made

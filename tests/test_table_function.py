@@ -74,3 +74,36 @@ def test_failures_end_the_job_after_cleanup(spark, tmp_path):
         spark.sql("SELECT * FROM fails(1, 2)").collect()
     empty = spark.createDataFrame([], "k bigint")
     assert spark.sql("SELECT * FROM fails(TABLE(SELECT * FROM {e}))", e=empty).count() == 0
+
+
+def test_many_keys_travel_in_batches(spark):
+    # of 20,000 keys each row's output once was an Arrow batch of its own
+    made = register_flat_map(spark, "numbered", lambda r, seen: [seen.append(1), {**r, "n": len(seen)}][1:],
+                             "k bigint, n int", prepare=list)
+    from pyspark.util import PythonEvalType
+    assert made.evalType == PythonEvalType.SQL_TABLE_UDF
+    data = spark.range(40_000).selectExpr("id % 20000 AS k")
+    out = spark.sql("SELECT * FROM numbered(TABLE(SELECT * FROM {d}) PARTITION BY k)", d=data)
+    assert out.agg(F.count("*"), F.sum("n"), F.countDistinct("k")).first()[:] == (40_000, 60_000, 20_000)
+
+
+def test_emitted_values_are_fitted_to_their_columns(spark):
+    import datetime
+    import decimal
+    kinds = ("s string, b string, d double, f float, i bigint, a array<double>, m map<string,string>, "
+             "t struct<x: double, y: string>, z string, day date, c decimal(5,2), raw binary, at timestamp, ok boolean")
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5)
+
+    def emit(rec):
+        yield {"s": 5, "b": True, "d": 2, "f": 3, "i": 4.0, "a": [1, None], "m": {1: 2}, "t": {"x": 1, "y": 2},
+               "day": at, "c": decimal.Decimal("1.50"), "raw": b"r", "at": at, "ok": False}
+
+    register_flat_map(spark, "typed", emit, kinds)
+    row = spark.sql("SELECT * FROM typed(TABLE(SELECT 1 AS k))").first()
+    assert tuple(row) == ("5", "true", 2.0, 3.0, 4, [1.0, None], {"1": "2"}, (1.0, "2"), None, at.date(),
+                          decimal.Decimal("1.50"), b"r", at, False)
+    for value, kind in ((1.5, "bigint"), ("x", "bigint"), (1 << 31, "int"), ("x", "double"), (1, "boolean"),
+                        ("x", "array<string>"), (1, "date"), (float("nan"), "int")):
+        register_flat_map(spark, "wrong", lambda rec, value=value: [{"v": value}], f"v {kind}")
+        with pytest.raises(Exception, match="is no"):
+            spark.sql("SELECT * FROM wrong(TABLE(SELECT 1 AS k))").collect()
