@@ -975,7 +975,8 @@ def q_stream_new_items_keyed(spark, sf):
     land, stream, last = _landed_days(spark, sf, out)
 
     def fresh():
-        return new_items_keyed(stream(), ["user_id", "event_type"], "poll")
+        polls = stream().select("event_id", "user_id", "event_type", "poll")
+        return new_items_keyed(polls, ["user_id", "event_type"], "poll")
 
     return _in_runs(spark, fresh, out, land, last).select("event_id", "user_id", "event_type", "poll")
 

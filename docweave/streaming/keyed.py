@@ -52,25 +52,32 @@ def new_items_keyed(df: DataFrame, item: str | Sequence[str], poll: str, feed: s
     ``new_items_stream``, whose join splits hot items.
     """
     items, feeds = _names(item), _names(feed)
-    rows, keys = comparable_keys(df.withColumn(SEQ, F.col(poll).cast("bigint")), items)
     columns = list(df.columns)
-    schema = T.StructType([rows.schema[c] for c in columns])
+    # a poll that is a bigint goes to the workers once, every column costs time per key
+    sole = isinstance(df.schema[poll].dataType, T.LongType) and poll not in (*items, *feeds) \
+        and (poll == SEQ or SEQ not in columns)
+    numbered = df.withColumnRenamed(poll, SEQ) if sole else df.withColumn(SEQ, F.col(poll).cast("bigint"))
+    rows, keys = comparable_keys(numbered, items)
+    sent = [SEQ if sole and c == poll else c for c in columns]
+    schema = T.StructType([rows.schema[c] for c in sent])
+    whole = sent == list(rows.columns)
 
     def fresh(key, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
         known = set(state.get) if state.exists else set()
-        held: list[pd.DataFrame] = []
+        held: list[tuple] = []
         for frame in frames:
-            known |= {int(p) for p in frame[SEQ].dropna().unique()}
-            seen = frame[SEQ].notna() & (frame[SEQ] - 1).isin(known)
-            if not seen.all():
-                held.append(frame[~seen])
-        for frame in held:
-            out = frame[~(frame[SEQ].notna() & (frame[SEQ] - 1).isin(known))]
-            if len(out):
-                yield out[columns]
+            polls = [None if p != p else int(p) for p in frame[SEQ].to_numpy().tolist()]
+            known.update(p for p in polls if p is not None)
+            if not all(p is not None and p - 1 in known for p in polls):
+                held.append((frame, polls))
+        for frame, polls in held:
+            new = [i for i, p in enumerate(polls) if p is None or p - 1 not in known]
+            if new:
+                out = frame if len(new) == len(polls) else frame.take(new)
+                yield out if whole else out[sent]
         last = sorted(known)[-2:]
         if last:
             state.update((last[-1], last[0]))  # the same one twice if there is one only
@@ -78,8 +85,9 @@ def new_items_keyed(df: DataFrame, item: str | Sequence[str], poll: str, feed: s
                 state.setTimeoutDuration(forget_after_ms)
 
     timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy(*feeds, *keys).applyInPandasWithState(
+    out = rows.groupBy(*feeds, *keys).applyInPandasWithState(
         fresh, schema, "last bigint, before bigint", "append", timeout)
+    return out.withColumnRenamed(SEQ, poll) if sole else out
 
 
 def keyed_ticks(df: DataFrame, keys: str | Sequence[str], update: Callable[[tuple | None, pd.DataFrame], tuple],

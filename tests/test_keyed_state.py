@@ -62,6 +62,23 @@ def test_new_items_equal_the_batch_form(rocks, tmp_path):
             Counter({r: n for r, n in got.items() if r[0] == "a" and r[1] is not None})
 
 
+def test_a_poll_goes_to_the_workers_once(rocks, tmp_path):
+    rows = [(n, p, i) for n, (p, i) in enumerate([(1, "x"), (1, "x"), (2, "x"), (2, "y"), (3, "y"), (3, "z"), (None, "x"), (5, "z")])]
+    want = Counter([rows[0], rows[1], rows[3], rows[5], rows[6], rows[7]])
+    for kind, item, once in (("bigint", "item", True), ("int", "item", False), ("bigint", ["item"], True)):
+        feed = Feed(rocks, tmp_path / f"{kind}-{len(item)}", f"n bigint, poll {kind}, item string")
+        made = []
+
+        def make(stream, item=item, made=made):
+            made.append(new_items_keyed(stream, item, "poll"))
+            return made[-1]
+
+        feed.run(make, rows[:3])
+        assert feed.run(make, rows[3:]) == want
+        assert made[0].columns == ["n", "poll", "item"] and made[0].schema["poll"].dataType.simpleString() == kind
+        assert ("cast(poll" not in made[0]._jdf.queryExecution().analyzed().toString()) == once
+
+
 def test_the_state_has_one_entry_per_item(rocks, tmp_path):
     schema = "poll bigint, item string"
     feed = Feed(rocks, tmp_path, schema)
