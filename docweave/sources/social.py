@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import paths as P
 from docweave.functions.sizing import fits
+from docweave.session import checkpoint_root
 
 # The record type of status documents, as the reference emits it.
 TWEET_ENTITY = "tweet"
@@ -116,6 +117,18 @@ def _by_automaton(df: DataFrame, text: Column, words: Sequence[str]) -> DataFram
     return df.where(holds(F.lower(text)))
 
 
+def _made_once(words: DataFrame) -> DataFrame:
+    """``words`` from the checkpoint folder, so what derives them from the texts runs once.
+
+    Where no folder is shared they stay as they are: a small table needs none.
+    """
+    try:
+        checkpoint_root(words.sparkSession)
+    except ValueError:
+        return words
+    return words.checkpoint()
+
+
 def _anchors(lowered: Column) -> Column:
     """What a keyword can be looked up by: the words of a text and its other characters, once each.
 
@@ -161,14 +174,13 @@ def _by_join(df: DataFrame, text: Column, words: DataFrame) -> DataFrame:
     one word is found with its anchor, and for the others a text comes to its
     candidates once, by its number.
     """
-    from docweave.session import checkpoint_root
     checkpoint_root(df.sparkSession)
     row, low, anchor, word, single = "__row", "__lowered", "__anchor", "__word", "__single"
     own_words = F.regexp_extract_all(F.col(word), F.lit(f"({_WORD}+)"))
     longest = F.array_sort(own_words, lambda a, b: F.length(b) - F.length(a))
     keys = words.select(F.col(word), F.when(F.size(own_words) > 0, F.get(longest, F.lit(0)))
                         .otherwise(F.substring(word, 1, 1)).alias(anchor),
-                        F.col(word).rlike(f"^{_WORD}+$").alias(single)).checkpoint()
+                        F.col(word).rlike(f"^{_WORD}+$").alias(single))
     rows = df.withColumn(row, F.monotonically_increasing_id()).checkpoint()
     lowered = F.lower(text)
     found = rows.select(row, F.explode(_anchors(lowered)).alias(anchor)).where(_may_be_in(keys, anchor)(F.col(anchor)))
@@ -197,7 +209,7 @@ def track_keyword_table(df: DataFrame, field: str, keywords: DataFrame, column:
     ref = P.resolve(df, field, doc)
     text = P.v_string(ref.column) if ref.is_variant else ref.column
     word = F.lower(F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", ""))
-    words = keywords.select(word.alias("__word")).where(F.col("__word") != "").distinct()
+    words = _made_once(keywords.select(word.alias("__word")).where(F.col("__word") != "").distinct())
     if fits(words, max_rows, max_bytes):
         listed = [r[0] for r in words.collect()]
         return _by_automaton(df, text, listed) if listed else df.where(F.lit(False))

@@ -125,6 +125,22 @@ def test_the_keyword_join_shuffles_no_texts_by_word(spark):
         assert ("__lowered" in plan) == longer
 
 
+def test_a_keyword_table_is_made_once(spark):
+    # the table may be derived from all the texts: measuring, listing and joining it must not derive it again
+    docs = spark.createDataFrame([(1, "a w3 b"), (2, "none"), (3, "W7")], "id int, text string")
+    for rows in (100, 5, 0):
+        made = spark.sparkContext.accumulator(0)
+
+        def count(i, made=made):
+            made.add(1)
+            return (f"w{i}",)
+
+        table = spark.createDataFrame(spark.sparkContext.parallelize(range(20), 2).map(count), "word string")
+        got = track_keyword_table(docs, "text", table, "word", max_rows=rows)
+        assert sorted(r.id for r in got.collect()) == [1, 3]
+        assert made.value == 20, rows
+
+
 def test_ten_thousand_keywords(spark):
     docs = spark.range(2000).select("id", F.concat(F.lit("see k"), F.col("id") * 7, F.lit("x, and so on")).alias("text"))
     table = spark.range(10_000).select(F.concat(F.lit("K"), "id", F.lit("X")).alias("word"))
