@@ -991,14 +991,16 @@ SELECT user_id, unnest(range((first // {WEEK} + 1) * {WEEK}, w + 1, {WEEK})) AS
        generate_subscripts(range((first // {WEEK} + 1) * {WEEK}, w + 1, {WEEK}), 1) AS n_ticks
 FROM u, ends""")
 def q_stream_key_ticks(spark, sf):
-    # a weekly tick for every user from their first event on, by event time
+    # a weekly tick for every user from their first event on, by event time; a batch
+    # brings rows or a tick for most users, so users share calls
     out = scratch_path(spark, "stream-key-ticks")
     land, stream, last = _landed_days(spark, sf, out)
 
     def ticks():
         return keyed_ticks(stream().select("user_id", "ts"), "user_id", lambda entry, rows: entry or (0,),
                            lambda key, entry, tick: ((entry[0] + 1,), [(key[0], tick, entry[0] + 1)]),
-                           "n bigint", "user_id bigint, tick_at bigint, n_ticks bigint", WEEK, time="ts")
+                           "n bigint", "user_id bigint, tick_at bigint, n_ticks bigint", WEEK, time="ts",
+                           buckets=2048)
 
     return _in_runs(spark, ticks, out, land, last)
 

@@ -125,3 +125,40 @@ def test_ticks_by_the_clock_without_new_rows(rocks, tmp_path):
     ticks = Counter((k, t) for k, t, _ in rows)
     assert set(ticks.values()) == {1} and all(t % 1000 == 0 for _, t in ticks) and {n for *_, n in rows} == {1}
     assert {k for k, _ in ticks} == {"a", "b"}
+
+
+def test_keys_of_a_bucket_share_calls(rocks, tmp_path):
+    def at(k, n, s):
+        return (k, n, datetime.fromtimestamp(s, UTC) if s is not None else None)
+
+    big = 2**60 + 1
+    first = [at("a", 1, 3), at("a", big, 12), at(None, 1, 5), at("gone", None, 5), at("a", 1, 2), at("b", None, None), at("b", 2, None)]
+    later = [[at("b", None, 27), at("a", big, 33)], [at(None, 1, 36), at("a", 1, 40)], [at("b", 2, 71)]]
+    got = {}
+    for buckets in (None, 1, 3):
+        calls = rocks.sparkContext.accumulator(0)
+
+        def make(stream, buckets=buckets, calls=calls):
+            def on_tick(key, entry, tick):
+                k, n = (None if v != v else v for v in key)
+                entry = entry[0] + 1, entry[1]
+                return (entry if k != "gone" or entry[0] < 3 else None), [(k, None if n is None else int(n), tick, *entry)]
+
+            def update(entry, rows):
+                calls.add(1)
+                assert list(rows.index) == list(range(len(rows))) and list(rows.columns) == ["k", "n", "at"]
+                return (entry[0] if entry else 0), (entry[1] if entry else 0) + len(rows)
+
+            return keyed_ticks(stream, ["k", "n"], update, on_tick, "ticks int, seen bigint",
+                               "k string, n bigint, tick bigint, ticks int, seen bigint", 10_000, time="at", buckets=buckets)
+
+        feed = Feed(rocks, tmp_path / str(buckets), "k string, n bigint, at timestamp")
+        feed.run(make, first, later[0])
+        got[buckets] = feed.run(make, *later[1:])
+        assert calls.value == 11
+        if buckets == 1:  # an entry by the columns that are null, not by key
+            state = rocks.read.format("statestore").load(f"{tmp_path}/1/ckpt")
+            assert 0 < state.count() <= 3
+    assert got[None] == got[1] == got[3] and {r[:2] for r in got[1]} == {("a", 1), ("a", big), (None, 1), ("gone", None), ("b", None), ("b", 2)}
+    with pytest.raises(ValueError, match="buckets"):
+        keyed_ticks(rocks.readStream.format("rate").load(), "timestamp", None, None, "n int", "n int", 1000, buckets=2)
